@@ -2,4 +2,31 @@
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+OP2 = r"""
+WITH sized AS (
+  SELECT doc_id, text, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, CAST([3, 1, 2][1 + CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS INT)] AS DOUBLE) AS weight,
+    source_size * CAST(2 AS DOUBLE) AS bound, CAST(sum(source_size) OVER () AS BIGINT) * CAST(1.5 AS DOUBLE) AS total
+  FROM sources
+), levels AS (
+  SELECT *, (total - coalesce(sum(bound) OVER (ORDER BY bound / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY bound / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed
+), shared AS (
+  SELECT level FROM levels WHERE bound >= level * weight ORDER BY bound / weight, source ASC NULLS LAST LIMIT 1
+), targets AS (
+  SELECT source, source_size, least(bound, coalesce((SELECT level FROM shared) * weight, bound)) AS target FROM levels
+), rated AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, coalesce(t.target / nullif(t.source_size, 0), 0) AS rate,
+    CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), '\N') || ':' || coalesce(md5(s.text), '\N')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS u
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+  CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM rated
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mix": OP2}

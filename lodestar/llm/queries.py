@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontaminate
+from lodestar.llm import decontaminate, mix
 from lodestar.llm.common import table
 
 
@@ -12,6 +12,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_mix": op2_mix,
 }
