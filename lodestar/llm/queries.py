@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontaminate, mix
+from lodestar.llm import decontaminate, mix, tokencount
 from lodestar.llm.common import table
 
 
@@ -16,7 +16,14 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
+    "op4_tokens": op4_tokens,
 }
