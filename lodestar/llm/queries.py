@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontaminate, mix, tokencount
+from lodestar.llm import decontaminate, mix, quality, tokencount
 from lodestar.llm.common import table
 
 
@@ -22,8 +22,13 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
     "op4_tokens": op4_tokens,
+    "op5_quality": op5_quality,
 }
