@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontaminate, mix, quality, tokencount
+from lodestar.llm import decontaminate, mix, quality, simhash, tokencount
 from lodestar.llm.common import table
 
 
@@ -26,9 +26,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
     "op4_tokens": op4_tokens,
     "op5_quality": op5_quality,
+    "op8_simhash": op8_simhash,
 }
