@@ -81,3 +81,13 @@ def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
     whole = {c.lower() for c in df.columns}
     inner = {c.lower() for c in df.schema["_rest"].dataType.fieldNames()}
     return df.select(*[(F.col("_rest").getField(c) if c.lower() in inner else F.col(f"`{c}`")).alias(c) for c in columns if c.lower() in inner | whole])
+
+
+#: Rows of at most some hundred bytes each that a join may broadcast; more are dealt out by key.
+BROADCAST_ROWS = 50_000
+
+
+def join_checked(left: DataFrame, right: DataFrame, on: Callable[[DataFrame, DataFrame], Column], how: str = "left") -> DataFrame:
+    """A join with a checkpointed, narrow ``right``, which is broadcast if it has few rows; else Spark deals both out."""
+    few = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return left.join(F.broadcast(right) if few else right, on(left, right), how)

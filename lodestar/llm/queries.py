@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import chat, decontaminate, mix, quality, simhash, tokencount
+from lodestar.llm import chat, decontaminate, mix, quality, secrets, simhash, tokencount
 from lodestar.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(told.unionByName(own))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
@@ -45,4 +49,5 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
+    "op10_secrets": op10_secrets,
 }
