@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import chat, decontaminate, mix, quality, secrets, simhash, tokencount
+from lodestar.llm import chat, decontaminate, langid, mix, quality, secrets, simhash, tokencount, urlgraph
 from lodestar.llm.common import table
 
 
@@ -42,11 +42,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_digest(table(spark, sf_dir, "documents"))
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.url_digest(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
+    "op3_urls": op3_urls,
     "op4_tokens": op4_tokens,
     "op5_quality": op5_quality,
+    "op7_language": op7_language,
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
     "op10_secrets": op10_secrets,
