@@ -9,7 +9,7 @@ places, and its token count is the sum of its pre-tokens' counts.
    (document, frequency) entries packed in an array.
 2. These rows are dealt out by pre-token and sorted, so each distinct pre-token meets all its frequencies in one place and
    goes through the model once; products are summed per document before they are dealt out again.
-3. A sum per document.
+3. Sums are dealt out by batch, packed as they were, and meet there; only then does each document become a row again.
 
 No row grows with the corpus: a row has at most ``BATCH_ROWS`` documents, and a pre-token in every document
 of the corpus has one row a batch.
@@ -33,7 +33,7 @@ from lodestar.llm.common import utf8
 
 LIMIT = 4096
 #: Documents in a batch of frequencies; an entry has the document's place in 14 bits and a frequency above them.
-BATCH_ROWS = 8192
+BATCH_ROWS = 1 << 14
 _PLACE = 14
 _MOST = (1 << 16) - 1
 #: Entries that are summed in memory before their sums go on.
@@ -120,12 +120,9 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
                         pa.concat_arrays([none(n_docs, pa.binary()), pa.array(list(entries), pa.binary())]),
                         pa.array(np.full(n_docs + n_tokens, number)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                        pa.concat_arrays([pa.array(np.arange(n_docs, dtype=np.int32)), none(n_tokens, pa.int32())]),
-                        pa.concat_arrays([batch.column(0), none(n_tokens, batch.column(0).type)]),
-                        pa.concat_arrays([pa.array(sizes, pa.int64()), none(n_tokens, pa.int64())]),
-                        pa.concat_arrays([pa.array(sums, pa.int64()), none(n_tokens, pa.int64())]),
+                        pa.concat_arrays([document := _documents(batch.column(0), np.arange(n_docs), sizes, sums), none(n_tokens, document.type)]),
                     ],
-                    names=["token", "batch", "entries", "place", "id", "n_bytes", "n"],
+                    names=["token", "batch", "entries", "document"],
                 )
                 number += 1
 
@@ -140,14 +137,15 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
             numbers, code = np.unique(number, return_inverse=True)
             total = np.bincount(code << _PLACE | place, weights=n)
             some = np.flatnonzero(total)
-            rows = [pa.array(numbers[some >> _PLACE]), pa.array((some & ((1 << _PLACE) - 1)).astype(np.int32)), pa.array(total[some].astype(np.int64))]
-            return pa.RecordBatch.from_arrays([*rows, pa.nulls(len(some), id_type), pa.nulls(len(some), pa.int64())], names=["batch", "place", "n", "id", "n_bytes"])
+            offsets = np.searchsorted(some, np.arange(len(numbers) + 1) << _PLACE).astype(np.int32)
+            packed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(some & ((1 << _PLACE) - 1) | total[some].astype(np.int64) << _PLACE))
+            return pa.RecordBatch.from_arrays([pa.array(numbers), packed, pa.nulls(len(numbers), kind)], names=["batch", "sums", "document"])
 
         for batch in batches:
-            id_type = batch.schema.field("id").type
-            docs_here = batch.filter(batch.column("token").is_null())
-            if docs_here.num_rows:
-                yield docs_here.select(["batch", "place", "n", "id", "n_bytes"])
+            kind = batch.schema.field("document").type
+            own = batch.filter(batch.column("token").is_null())
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([own.column("batch"), pa.nulls(own.num_rows, pa.list_(pa.int64())), own.column("document")], names=["batch", "sums", "document"])
             batch = batch.filter(batch.column("token").is_valid())
             if not batch.num_rows:
                 continue
@@ -166,10 +164,41 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
         if held:
             yield sums()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frequencies, f"token binary, batch long, entries array<int>, place int, id {key_type}, n_bytes long, n long")
-    dealt = rows.repartition(F.coalesce(F.xxhash64("token"), F.lit(0)), F.when(F.col("token").isNull(), F.hash("batch", "place"))).sortWithinPartitions("token")
-    parts = dealt.mapInArrow(products, f"batch long, place int, n long, id {key_type}, n_bytes long")
-    return parts.groupBy("batch", "place").agg(F.max("id").alias(id_col), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens")).drop("batch", "place")
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, documents, total = None, [], np.zeros(BATCH_ROWS, np.int64)
+
+        def done() -> pa.RecordBatch:
+            whole = pa.concat_arrays(documents)
+            place, ids, n_bytes, n = whole.flatten()
+            n_tokens = n.to_numpy() + total[place.to_numpy()]
+            return pa.RecordBatch.from_arrays([ids, n_bytes, pa.array(n_tokens)], names=[id_col, "n_bytes", "n_tokens"])
+
+        for batch in batches:
+            numbers = batch.column("batch").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for first, end in zip(edges, edges[1:], strict=False):
+                if first == end:
+                    continue
+                if number is not None and numbers[first] != number:
+                    yield done()
+                    documents, total = [], np.zeros(BATCH_ROWS, np.int64)
+                number = numbers[first]
+                part = batch.slice(first, end - first)
+                documents.append(part.column("document").filter(part.column("document").is_valid()))
+                packed = part.column("sums").flatten().to_numpy()
+                np.add.at(total, packed & ((1 << _PLACE) - 1), packed >> _PLACE)
+        if number is not None:
+            yield done()
+
+    document = f"document struct<place: int, id: {key_type}, n_bytes: bigint, n: bigint>"
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frequencies, f"token binary, batch long, entries array<int>, {document}")
+    dealt = rows.repartition(F.coalesce(F.xxhash64("token"), F.lit(0)), F.when(F.col("token").isNull(), F.hash("batch", "document.place"))).sortWithinPartitions("token")
+    parts = dealt.mapInArrow(products, f"batch long, sums array<long>, {document}")
+    return parts.repartition("batch").sortWithinPartitions("batch").mapInArrow(totals, f"`{id_col}` {key_type}, n_bytes long, n_tokens long")
+
+
+def _documents(ids: pa.Array, place: np.ndarray, sizes: list[int], sums: list[int]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), ids, pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], names=["place", "id", "n_bytes", "n"])
 
 
 def token_digest(docs: DataFrame, model_path: str, *, limit: int = LIMIT) -> DataFrame:
