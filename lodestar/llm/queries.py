@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import chat, decontaminate, langid, mix, quality, secrets, simhash, tokencount, urlgraph
+from lodestar.llm import chat, decontaminate, langid, mix, quality, repeats, secrets, simhash, tokencount, urlgraph
 from lodestar.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlgraph.url_digest(table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op3_urls": op3_urls,
     "op4_tokens": op4_tokens,
     "op5_quality": op5_quality,
+    "op6_repeats": op6_repeats,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
