@@ -13,7 +13,7 @@ into a probability, and per language the cross-entropy above which a text is rej
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import map_rows, md5_unit
+from lodestar.llm.common import checkpoint, map_rows, md5_unit
 
 ORDER = 4
 #: Labelled documents a language that a model learns from, at most (on average over hashes).
@@ -32,9 +32,10 @@ CALIBRATION = 0.2
 TEMPERATURES = (5.0, 10.0, 20.0, 40.0, 80.0)
 REJECT_SIGMAS = 6.0
 UNKNOWN = "und"
-_CHUNK = 1 << 20
+#: Characters that are scored at once.
+_CHUNK = 1 << 18
 _LETTER = np.array([chr(c).isalpha() and not 0xD800 <= c < 0xE000 for c in range(0x10000)])
-_BLANK = np.uint64(32)
+_BLANK = np.uint16(32)
 
 
 def codes_of(text: str | None) -> np.ndarray:
@@ -45,13 +46,13 @@ def codes_of(text: str | None) -> np.ndarray:
     if far.any():
         letter[far] = [chr(c).isalpha() for c in raw[far].tolist()]
         raw = np.where(far, 0xE000 + raw % 0x1900, raw)
-    codes = np.where(letter, raw, 32).astype(np.uint64)
+    codes = np.where(letter, raw, 32).astype(np.uint16)
     return codes[(codes != _BLANK) | np.concatenate(([True], codes[:-1] != _BLANK))] if len(codes) else codes
 
 
 def ngram_keys(codes: np.ndarray, order: int = ORDER) -> np.ndarray:
     """A key for each character, from it and the ``order`` - 1 before it, blanks before the first."""
-    padded = np.concatenate((np.full(order - 1, _BLANK, np.uint64), codes))
+    padded = np.concatenate((np.full(order - 1, _BLANK), codes)).astype(np.uint64)
     keys = np.zeros(len(codes), np.uint64)
     for k in range(order):
         keys = keys << np.uint64(16) | padded[k : k + len(codes)]
@@ -97,23 +98,31 @@ class Model:
             out[~found] = weight * lower
         return out
 
-    def entropies(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Cross-entropy per character (texts by languages); texts are not empty."""
-        out = np.empty((len(texts), len(self.langs)))
-        first = 0
-        while first < len(texts):
-            end, held = first, 0
-            while end < len(texts) and (end == first or held + len(texts[end]) <= _CHUNK):
-                held += len(texts[end])
-                end += 1
-            keys, back = np.unique(np.concatenate([ngram_keys(c) for c in texts[first:end]]), return_inverse=True)
-            cost = -np.log(self.prob(keys))
-            lengths = np.array([len(c) for c in texts[first:end]])
-            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    def entropies(self, texts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+        """Cross-entropies per character by language, for each of some texts that aren't empty."""
+        held: list[np.ndarray] = []
+        size = 0
+        for codes in texts:
+            if held and size + len(codes) > _CHUNK:
+                yield from self._entropies(held)
+                held, size = [], 0
+            held.append(codes)
+            size += len(codes)
+        if held:
+            yield from self._entropies(held)
+
+    def _entropies(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Texts are summed piece by piece, so a very long one takes no more memory than any other."""
+        sums = np.zeros((len(texts), len(self.langs)))
+        lengths = np.array([len(c) for c in texts])
+        every = np.concatenate([ngram_keys(c) for c in texts]) if len(texts) > 1 else ngram_keys(texts[0])
+        text_of = np.repeat(np.arange(len(texts)), lengths)
+        for first in range(0, len(every), _CHUNK):
+            keys, back = np.unique(every[first : first + _CHUNK], return_inverse=True)
+            cost = -np.log(self.prob(keys).astype(np.float64))
             for k in range(len(self.langs)):
-                out[first:end, k] = np.add.reduceat(cost[:, k].astype(np.float64)[back], starts) / lengths
-            first = end
-        return out
+                sums[:, k] += np.bincount(text_of[first : first + _CHUNK], cost[back, k], len(texts))
+        return sums / lengths[:, None]
 
 
 def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
@@ -177,13 +186,13 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         for batch in batches:
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                by.setdefault(lang, []).append(ngram_keys(codes_of(text)))
-            for lang, keys in by.items():
-                grams, times = np.unique(np.concatenate(keys), return_counts=True)
+                by.setdefault(lang, []).append(codes_of(text))
+            for lang, texts in by.items():
+                grams, times = np.unique(np.concatenate([ngram_keys(c) for c in texts]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(times)], names=["lang", "gram", "times"])
 
     # a few languages of a tiny sample may fall to calibration in whole, so those learn from all of it
-    counts = sample.where(~F.col("calibrates") | (bound >= 1.0)).select("lang", "text").mapInArrow(counted, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
+    counts = checkpoint(sample.where(~F.col("calibrates") | (bound >= 1.0)).select("lang", "text").mapInArrow(counted, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times")))
     most = max(1, table_ngrams // len(share))
     by_count = counts.groupBy("lang", "times").count().collect()
     least = {lang: _least(sorted(((r["times"], r["count"]) for r in by_count if r["lang"] == lang), reverse=True), most) for lang in share}
@@ -213,7 +222,7 @@ def _calibrated(model: Model, sample: DataFrame) -> Model:
             out = {"lang": [], "cost": [], **{f"t{k}": [] for k in range(len(TEMPERATURES))}}
             texts = [codes_of(t) for t in batch.column("text").to_pylist()]
             some = [k for k, c in enumerate(texts) if (c != _BLANK).any()]
-            cost = shared.value.entropies([texts[k] for k in some])
+            cost = shared.value.entropies(texts[k] for k in some)
             langs = batch.column("lang").to_pylist()
             for row, k in zip(cost, some, strict=True):
                 if langs[k] not in shared.value.langs:
@@ -246,10 +255,19 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         held = shared.value
-        texts = [codes_of(t) for t in batch.column(text_col).cast(pa.string()).to_pylist()]
-        lang, score, entropy, rejected = ([x] * len(texts) for x in (UNKNOWN, 0.0, None, True))
-        some = [k for k, c in enumerate(texts) if (c != _BLANK).any()] if held.langs else []
-        for k, cost in zip(some, held.entropies([texts[k] for k in some]), strict=True):
+        column = batch.column(text_col)
+        lang, score, entropy, rejected = ([x] * batch.num_rows for x in (UNKNOWN, 0.0, None, True))
+        some: list[int] = []
+
+        def texts() -> Iterator[np.ndarray]:
+            for k in range(batch.num_rows if held.langs else 0):
+                codes = codes_of(column[k].as_py())
+                if (codes != _BLANK).any():
+                    some.append(k)
+                    yield codes
+
+        for place, cost in enumerate(held.entropies(texts())):
+            k = some[place]
             best = int(np.argmin(cost))
             lang[k], entropy[k] = held.langs[best], float(cost[best])
             score[k] = float(1 / np.exp(-held.temperature * (cost - cost[best])).sum())
