@@ -34,7 +34,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
-        read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        read = lambda name: corpora.read_table(spark, f"{sf_dir}/{name}.parquet")
         self.read = read
         self.docs = corpora.table_documents(read("documents"))
         self.queries = corpora.table_queries(read("benchmark"))

@@ -158,6 +158,13 @@ def resumed(work: DataFrame, done: DataFrame) -> DataFrame:
     return work.join(done.select("id"), "id", "left_anti")
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; one of fewer files than cores (a file may be a single row group, one task's work) is dealt out to all cores."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < min(cores, 64) else df
+
+
 # --- the driver tables as a collection
 
 
