@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import fresh, md5_unit
+from lodestar.llm.common import checkpoint, fresh, join_checked, md5_unit
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -58,11 +58,11 @@ def with_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     of docs that is named like a new one is replaced. An empty table gives an empty table.
     """
     sized = docs.withColumn("size", word_count(F.col(text_col)))
-    targets = source_targets(sized, source_col=source_col, size=F.col("size"), **shares)
+    targets = checkpoint(source_targets(sized, source_col=source_col, size=F.col("size"), **shares))
     key, has = fresh(sized, "_key"), fresh(sized, "_rate")
     targets = targets.select(F.col("source").alias(key), F.col("source_size"), F.col("target"), F.col("rate").alias(has))
     fixed = sized.drop("source_size", "target", "copies")
-    joined = fixed.join(targets, fixed[source_col].cast("string").eqNullSafe(targets[key]), "left")
+    joined = join_checked(fixed, targets, lambda a, b: a[source_col].cast("string").eqNullSafe(b[key]))
     whole = F.floor(F.col(has))
     more = md5_unit(seed, F.col(id_col), F.md5(F.col(text_col).cast("binary"))) < F.col(has) - whole
     return joined.withColumn("copies", (whole + more.cast("int")).cast("long")).drop(key, has)
