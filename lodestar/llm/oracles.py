@@ -47,4 +47,55 @@ SELECT conv_id, count(*) AS n_turns,
 FROM written GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mix": OP2, "op9_chat": OP9}
+OP1 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS gram
+  FROM (SELECT item, w, unnest(range(1, CAST(greatest(len(w) - 9, 1) AS BIGINT) + 1)) AS i FROM items WHERE len(w) > 0)
+), grams AS (
+  SELECT row, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram
+  FROM (SELECT row, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), found AS (
+  SELECT g.row, g.i, g.n, w.item FROM grams g JOIN windows w USING (n, gram)
+), hits AS (
+  SELECT row, count(DISTINCT spot) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS spot FROM (SELECT DISTINCT row, i, n FROM found)) GROUP BY row
+), whose AS (
+  SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM found) GROUP BY row
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (row) LEFT JOIN whose USING (row)
+"""
+
+OP5 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT row, w, unnest(range(1, CAST(len(w) - 6 AS BIGINT))) AS i FROM d WHERE len(w) > 8
+), again AS (
+  SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, array_to_string(list_slice(w, i, i + 7), ' ')) AS n FROM starts) WHERE n > 1
+), repeats AS (
+  SELECT row, count(DISTINCT spot) AS n FROM (SELECT row, unnest(range(i, i + 8)) AS spot FROM again) GROUP BY row
+), measured AS (
+  SELECT row, doc_id, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN repeats r USING (row)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured
+), domains AS (
+  SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM judged GROUP BY source
+), moments AS (
+  SELECT avg(CAST(failed AS DOUBLE) / n) AS m, var_pop(CAST(failed AS DOUBLE) / n) AS v FROM domains
+), prior AS (
+  SELECT m, CASE WHEN v > 0 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE 1 END AS k FROM moments
+), verdicts AS (
+  SELECT source, (failed + m * k) / (n + k) <= 0.9 AS good FROM domains CROSS JOIN prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept
+FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op2_mix": OP2, "op5_quality": OP5, "op9_chat": OP9}
