@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.sources.corpora import read_table
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df``, written once to the reliable checkpoint folder, so that later steps do not compute it again.
@@ -66,7 +68,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def packed(df: DataFrame, *cols: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import checkpoint, fresh, map_rows, packed, unpacked, utf8
+from lodestar.llm.common import checkpoint, fresh, join_checked, map_rows, packed, unpacked, utf8
 
 LEAST_WORDS = 20
 WINDOW = 8
@@ -111,8 +111,8 @@ def with_verdicts(docs: DataFrame, *, text_col: str = "text", domain_col: str =
     verdicts = domain_verdicts(checkpoint(failures), most=most)
     judged = with_measures(docs, text_col).drop("domain_rate", "domain_kept", "kept")
     key = fresh(judged, "_domain")
-    verdicts = verdicts.select(F.col("domain").alias(key), "domain_rate", "domain_kept")
-    judged = judged.join(verdicts, judged[domain_col].cast("string").eqNullSafe(verdicts[key]), "left").drop(key)
+    verdicts = checkpoint(verdicts.select(F.col("domain").alias(key), "domain_rate", "domain_kept"))
+    judged = join_checked(judged, verdicts, lambda a, b: a[domain_col].cast("string").eqNullSafe(b[key])).drop(key)
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("domain_kept"))
 
 
