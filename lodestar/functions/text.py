@@ -33,7 +33,7 @@ def normalize_query(query: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """All runs of ASCII letters and digits, lower-cased."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
 
 
 def embedding_tokens(text: Column) -> Column:

@@ -35,16 +35,21 @@ def field_stats(tokens: DataFrame) -> DataFrame:
 
 
 def postings(tokens: DataFrame, terms: DataFrame | None = None, positions: bool = False) -> DataFrame:
-    """(field, term, id, dl, tf), and positions if asked for; of ``terms`` (term) only, if given."""
+    """(field, term, id, dl, tf), and positions if asked for; of ``terms`` (term) only, if given.
+
+    Tokens are dealt out by document alone, so what is counted and summed per document from here on stays where it is.
+    """
     each = tokens.select("id", "field", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
     if terms is not None:
         each = each.join(small(terms.select("term").distinct()), "term", "left_semi")
+    each = each.repartition("id")
     more = [F.sort_array(F.collect_list("pos")).alias("positions")] if positions else []
     return each.groupBy("field", "term", "id", "dl").agg(F.count("*").alias("tf"), *more)
 
 
 def document_frequencies(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("field", "term").agg(F.count("*").alias("df"))
+    """(field, term, df). It asks for tf, so that its plan holds the same exchange as one that reads postings, and that is made once."""
+    return posted.groupBy("field", "term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"))
 
 
 def query_terms(queries: DataFrame, analyzer: Analyzer = tx.tokens) -> DataFrame:

@@ -46,9 +46,11 @@ def term_scores(docs: DataFrame, queries: DataFrame, fields: list[str], *, profi
     tokens = ix.tokenized(docs, fields, analyzer) if tokens is None else tokens
     terms = ix.query_terms(queries, analyzer)
     posted = ix.postings(tokens, terms)
-    stats = posted.join(ix.document_frequencies(posted), ["field", "term"]).join(F.broadcast(ix.field_stats(tokens)), "field")  # a row per field
+    few = terms.limit(ix.BROADCAST_ROWS + 1).count() <= ix.BROADCAST_ROWS  # and so are their frequencies, a row per term and field
+    frequencies = ix.document_frequencies(posted)
+    stats = posted.join(F.broadcast(frequencies) if few else frequencies, ["field", "term"]).join(F.broadcast(ix.field_stats(tokens)), "field")  # a row per field
     scored = stats.select("field", "term", "id", bm25(profile, F.col("tf"), F.col("df"), F.col("dl"), F.col("n_docs"), F.col("avg_len")).alias("score"))
-    return scored.join(ix.small(terms), "term").select("query_id", "id", "field", "term", "qtf", "score")
+    return scored.join(F.broadcast(terms) if few else terms, "term").select("query_id", "id", "field", "term", "qtf", "score")
 
 
 def field_scores(scores: DataFrame) -> DataFrame:
