@@ -150,13 +150,15 @@ class Engine:
         return answer | {"stages": list(resolve(architecture).stages), "plan": plan}
 
 
-# Milestones and the architectures behind them.
-MILESTONES = {"phase-0": "baseline", "phase-1": "prf-rerank", "bge-hybrid": None}
+# Milestones, the architectures behind them (none: it needs vectors of an external model), other names.
+MILESTONES = {"arch-0.1": "baseline", "arch-0.2-prf": "prf-rerank", "arch-0.3-bge": None}
+MILESTONE_NAMES = {"v0.1": "arch-0.1", "baseline": "arch-0.1", "prf": "arch-0.2-prf", "prf-rerank": "arch-0.2-prf", "bge": "arch-0.3-bge", "vector-hybrid": "arch-0.3-bge"}
 
 
 def milestone(name: str) -> Architecture:
-    """The architecture that a milestone pins; one that needs vectors of a model isn't available here."""
+    """The architecture that a milestone pins; whatever a caller asks for, a milestone's search uses its own."""
     key = name.strip().lower()
+    key = MILESTONE_NAMES.get(key, key)
     if key not in MILESTONES:
         raise NotFoundError(f"unknown milestone {name}")
     if MILESTONES[key] is None:

@@ -191,9 +191,9 @@ def test_engine_facade(spark, tmp_path):
         with pytest.raises(ValidationError) as error:
             bad()
         assert (error.value.code, error.value.status) == (code, 400)
-    assert result_size("") == 10 and normal_query(" a  b") == "a b" and milestone("phase-1").id == "prf-rerank"
+    assert result_size("") == 10 and normal_query(" a  b") == "a b" and milestone("PRF").id == "prf-rerank"
     with pytest.raises(NotAvailableError):
-        milestone("bge-hybrid")
+        milestone("bge")
     with pytest.raises(NotFoundError):
         milestone("other")
 
