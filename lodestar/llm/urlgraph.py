@@ -1,10 +1,12 @@
 """URL filters: rules for hosts and paths, and trust propagated over the graph of hosts for all other urls.
 
 A url's own rule, if one fits, decides. Else its host's standing does: personalised PageRank flows from trusted seeds along links,
-distrust flows from blocked seeds against them (who links to the blocked is suspect), and a host is blocked where distrust is above
-both a threshold and its trust. A host is a seed by the share of its urls that an allow or a block rule decides.
+distrust flows from blocked seeds against them (who links to the blocked is suspect). Distrust is divided among all that link to a
+host, so suspicion does the same with shares of the linking host's own links, which don't shrink as a blocked host has more links to it.
+A host is blocked where distrust or suspicion is above both a threshold and its trust. A host is a seed by the share of its urls that
+an allow or a block rule decides.
 
-Links of all pages are counted per pair of hosts before anything is dealt out; both flows run as one table with a kind
+Links of all pages are counted per pair of hosts before anything is dealt out; the flows run as one table with a kind
 column, one join and one sum an iteration, checkpointed so that the lineage stays short. Scores aren't scaled by the number
 of hosts: an isolated host whose urls are all blocked by rules has distrust 1 - damping.
 """
@@ -59,15 +61,17 @@ def host_links(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
 
 
 def standings(links: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
-    """(host, trust, distrust) of every host that a flow reaches.
+    """(host, trust, distrust, suspicion) of every host that a flow reaches.
 
     ``links`` (src, dst, links), ``seeds`` (host, trust, distrust, each 0 to 1). A host passes damping times its score on, by its links'
-    counts; what a host without links would pass on is lost, for trust and distrust alike.
+    counts; what a host without links would pass on is lost, for trust and distrust alike. Suspicion starts as distrust does; a host has damping times
+    the mean suspicion of what it links to.
     """
     flows = links.select(F.lit("trust").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), "links").unionAll(links.select(F.lit("distrust"), "dst", "src", "links"))
     total = flows.groupBy("kind", "from").agg(F.sum("links").alias("total"))
-    flows = checkpoint(flows.join(total, ["kind", "from"]).select("kind", "from", "to", (F.col("links") / F.col("total") * damping).alias("share")))
-    start = seeds.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col("host"), (F.col(k) * (1 - damping)).alias("score")) for k in ("trust", "distrust")])).alias("s")).select("s.*").where("score > 0")
+    shared = flows.join(total, ["kind", "from"]).select("kind", "from", "to", (F.col("links") / F.col("total") * damping).alias("share"))
+    flows = checkpoint(shared.unionAll(shared.where("kind = 'trust'").select(F.lit("suspicion"), "to", "from", "share")))
+    start = seeds.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col("host"), (F.col(of) * (1 - damping)).alias("score")) for k, of in (("trust", "trust"), ("distrust", "distrust"), ("suspicion", "distrust"))])).alias("s")).select("s.*").where("score > 0")
     start = checkpoint(start)
     scores = start
     if not flows.isEmpty():
@@ -77,7 +81,7 @@ def standings(links: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, i
             if k % 3 == 2 or k == iterations - 1:
                 scores = checkpoint(scores)
     side = lambda k: F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)), 9).alias(k)
-    return scores.groupBy("host").agg(side("trust"), side("distrust"))
+    return scores.groupBy("host").agg(side("trust"), side("distrust"), side("suspicion"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", html_col: str = "html", damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
@@ -100,14 +104,16 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", html_col:
 
     share = lambda v: F.avg((F.coalesce(F.col("_rule.verdict"), F.lit("")) == v).cast("int"))
     seeds = ruled(urls).where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    standing = checkpoint(standings(checkpoint(host_links(pages, url_col=url_col, html_col=html_col)), checkpoint(seeds), damping=damping))
+    standing = standings(checkpoint(host_links(pages, url_col=url_col, html_col=html_col)), checkpoint(seeds), damping=damping)
     judged = ruled(located(own))
-    of = fresh(judged, "_of")
-    judged = join_checked(judged, standing.withColumnRenamed("host", of), lambda a, b: a["host"] == b[of]).drop(of)
+    of, bad = fresh(judged, "_of"), fresh(judged, "_bad")
+    worst = F.greatest("distrust", "suspicion")
+    blocked = (worst >= round(threshold * (1 - damping), 9)) & (worst > F.col("trust"))
+    standing = checkpoint(standing.select(F.col("host").alias(of), "trust", "distrust", blocked.alias(bad)))
+    judged = join_checked(judged, standing, lambda a, b: a["host"] == b[of]).drop(of)
     judged = judged.withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
-    blocked = (F.col("distrust") >= round(threshold * (1 - damping), 9)) & (F.col("distrust") > F.col("trust"))
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(blocked, "block").otherwise("allow"))
-    return judged.withColumn("verdict", verdict).withColumn("rule", F.col("_rule.rule")).drop("_rule")
+    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col(bad), "block").otherwise("allow"))
+    return judged.withColumn("verdict", verdict).withColumn("rule", F.col("_rule.rule")).drop("_rule", bad)
 
 
 def url_digest(pages: DataFrame) -> DataFrame:

@@ -85,3 +85,14 @@ def test_flows_and_odd_urls(spark):
     assert by["friend.io"] == "block" and by["user@nice.io:80"] == "allow" and by[""] == "allow"
     assert U.judge(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in U.judge(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_a_blocked_host_with_many_links_to_it_blocks_those_that_link_to_it_only(spark):
+    link = lambda *hosts: "".join(f'<a href="https://{h}/x">' for h in hosts)
+    data = [(0, "http://bad.example.com/de/1", "")] + [(k, f"http://h{k}.io/", link("bad.example.com")) for k in range(1, 41)]
+    data += [(41, "http://far.io/", link("h1.io", "h2.io")), (42, "http://mixed.io/", link("bad.example.com", "a.io", "b.io", "c.io")), (43, "http://good.org/fr/", link("liked.io")), (44, "http://liked.io/", link("bad.example.com", "a.io"))]
+    rules = spark.createDataFrame(U.RULES, "host string, path string, verdict string")
+    out = U.judge(spark.createDataFrame(data, "page_id long, url string, html string"), rules)
+    assert set(out.columns) == {"page_id", "url", "html", "host", "path", "rule", "trust", "distrust", "verdict"}
+    by = {r.host: r.verdict for r in out.collect() if r.rule is None}
+    assert {h for h, v in by.items() if v == "block"} == {f"h{k}.io" for k in range(1, 41)} | {"far.io"}
