@@ -2,14 +2,15 @@
 
 Base patterns report what is plain by itself: assignments to secret-like names, access keys and long hex runs. Weak
 candidates are parts of a credential that mean nothing alone: account names, mixed tokens or short assigned values, and
-addresses. A weak part is reported only if its complement starts within ``SCOPE`` code points of it:
+addresses. A weak part is reported only if at most ``SCOPE`` code points lie between it and its complement:
 
 * an identifier next to a secret (weak, assigned or hex),
 * a secret next to an identifier (weak, or an access key),
 * an endpoint next to both.
 
-Parts are rows keyed by document and scope bucket; a part looks into its own bucket and the two beside it, and semi-joins keep
-each part once however many complements it has, so no pairs are made and a key holds at most what fits into a bucket.
+Parts are rows keyed by document and scope bucket, one for each bucket that a part covers; a part looks into those buckets and
+the two beside them, and semi-joins keep each part once however many complements it has, so no pairs are made and a key holds
+at most what fits into a bucket.
 """
 
 from __future__ import annotations
@@ -75,23 +76,24 @@ def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _linked(parts: DataFrame, scope: int) -> DataFrame:
     """(_key, _more): the weak candidates of each row that have their complements; ``parts`` has _key, _base, _weak."""
     every = parts.where("_key is not null").select("_key", F.explode(F.array_distinct(F.concat("_base", "_weak"))).alias("s")).distinct()
-    every = every.select("_key", "s", F.col("s.kind").alias("kind"), F.floor(F.col("s.start") / scope).alias("bucket"))
+    every = every.select("_key", "s", F.col("s.kind").alias("kind"))
     ids = every.where(F.col("kind").isin(1, 3))
     keys = every.where(F.col("kind").isin(0, 2, 4))
 
+    def buckets(start: Column, end: Column) -> Column:
+        return F.explode(F.sequence(F.floor(start / scope), F.floor(end / scope))).alias("bucket")
+
     def beside(weak: DataFrame, other: DataFrame) -> DataFrame:
-        look = weak.select("_key", "s", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"))
-        there = other.select(F.col("_key").alias("k"), F.col("bucket").alias("b"), F.col("s.start").alias("at"))
-        near = (F.col("_key") == F.col("k")) & (F.col("bucket") == F.col("b")) & (F.abs(F.col("s.start") - F.col("at")) <= scope)
+        start, end = F.col("s.start"), F.col("s.end")
+        look = weak.select("_key", "s", buckets(start - scope, end + scope))
+        there = other.select("_key", start.alias("from"), end.alias("to"), buckets(start, end)).withColumnsRenamed({"_key": "k", "bucket": "b"})
+        near = (F.col("_key") == F.col("k")) & (F.col("bucket") == F.col("b")) & (F.col("from") <= end + scope) & (F.col("to") >= start - scope)
         return look.join(there, near, "left_semi").select("_key", "s").distinct()
 
-    def again(found: DataFrame) -> DataFrame:
-        return found.withColumn("bucket", F.floor(F.col("s.start") / scope))
-
     found = [
         beside(every.where("kind = 3"), keys),
         beside(every.where("kind = 4"), ids),
-        beside(again(beside(every.where("kind = 5"), ids)), keys),
+        beside(beside(every.where("kind = 5"), ids), keys),
     ]
     return reduce(DataFrame.unionAll, found).groupBy("_key").agg(F.collect_list("s").alias("_more"))
 

@@ -88,3 +88,17 @@ def test_redaction_keeps_rows_and_masks_spans(spark):
             want, at = want + text[at:a] + S.MASK, b
         want = want + text[at:] if runs else text
         assert r.text == want and r.n_chars == len(want or "") and r.Spans == 1
+
+
+def test_parts_longer_than_the_scope_link_both_ways(spark):
+    key, run, url = "secret=" + "k" * 700, "0a" * 400, "https://example.com/x?q=" + "z" * 900
+    texts = {
+        1: f"{key} client_id=abc", 2: f"client_id=abc {key}", 3: f"{run} user: bob", 4: f"{url} user: bob password: ab12", 5: f"user: bob password: ab12 {url}",
+        6: "Zk3" + "aB9" * 200 + " login=alice", 7: key + " x" * 119 + "  client_id=abc", 8: key + " x" * 121 + " client_id=abc", 9: "client_id=abc" + " x" * 121 + " " + key,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    by = {r.doc_id: {s.split(":")[0] for s in r.spans.split(",")} for r in S.secret_digest(docs).collect()}
+    assert by[1] == by[2] == by[7] == {"assign", "linked_id"} and by[3] == {"hex", "linked_id"} and by[8] == by[9] == {"assign"}
+    assert by[4] == by[5] == {"linked_id", "linked_secret", "linked_endpoint"} and by[6] == {"linked_id", "linked_secret"}
+    out = {r.doc_id: r.text for r in S.redact(docs).collect()}
+    assert out[1] == "[secret] [secret]" and out[4] == "[secret] [secret] [secret]"
