@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written before the next stage reads it:
 
 * quality: documents that fail their own rules, or whose domain is rejected, go.
-* near_duplicates: one document of each SimHash component stays.
+* near_duplicates: one document of each component of near copies stays (five-word shingles, Jaccard similarity 0.8 or more).
 * decontamination: documents that hold a passage of the benchmark go.
 * secrets: secrets in texts are masked; all documents stay.
 * mix: documents are repeated, kept once or left out, so that sources have their target words.
@@ -47,7 +47,7 @@ STAGES = [
     ("mix", mix_stage),
 ]
 
-#: SQL can't express SimHash components; the tests hold the stages against brute-force versions instead.
+#: SQL can't express components of near copies; the tests hold the stages against brute-force versions instead.
 ORACLE_SQL = None
 
 

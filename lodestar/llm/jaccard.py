@@ -1,0 +1,193 @@
+"""Near copies by the exact Jaccard similarity of word shingles.
+
+1. A set of hashed word shingles per text; equal sets are one.
+2. In one order of all hashes, two sets of similarity p / q or more share a hash among the first n - ceil(p n / q) + 1 of
+   each. Any order will do; hashes that are frequent in a sample come last, so few sets meet at one hash.
+3. Sets that meet are candidates if their sizes and what follows the hash where they meet leave room for the overlap, and if
+   counts of their hashes by bucket, in few buckets and then in many, differ by no more than the sets may. All bounds are safe: no near copy is lost.
+4. The candidates' whole sets are made again and intersected.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodestar.llm.common import checkpoint, join_checked, map_rows, utf8
+
+SHINGLE = 5
+#: The least similarity of near copies, p / q.
+SIMILAR = (4, 5)
+SEED = 42
+#: Buckets of a sketch, each a count of one byte; the wide sketch has a bucket for some 4 to 8 hashes, and this many at least.
+BUCKETS = 64
+#: Texts whose hashes are counted for the order, and how many of the most frequent ones come last. Both change the cost only.
+SAMPLE_DOCS = 20_000
+FREQUENT = 100_000
+_UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of the shingles; a text of fewer words is one shingle."""
+    words = text.translate(_UPPER).split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths).tolist()
+    ends = ends[min(size, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=False)], np.uint64))
+
+
+def _counts(hashes: np.ndarray, buckets: int) -> bytes:
+    return np.minimum(np.bincount((hashes % np.uint64(buckets)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def _named(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+
+
+def frequent(docs: DataFrame, text_col: str) -> np.ndarray:
+    """The hashes most frequent in a sample of texts, rarest first."""
+    share = SAMPLE_DOCS / max(docs.count(), 1)
+    sample = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in utf8(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], names=["h"])
+
+    counted = sample.mapInArrow(run, "h long").groupBy("h").count().where("count > 2")
+    rows = counted.orderBy(F.col("count").desc(), "h").limit(FREQUENT).collect()
+    return np.array([r.h for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def with_names(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``fp``, a hash of the text's set of shingles."""
+
+    def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        return {"fp": pa.array(np.array([_named(shingles(t)) for t in utf8(batch.column(text_col))], np.uint64).view(np.int64))}
+
+    return map_rows(docs, run, T.StructType([T.StructField("fp", T.LongType())]))
+
+
+def with_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``fp``, ``n`` (the set's size), ``sketch`` and ``wide`` (counts by bucket) and ``prefix``, the hashes at which sets meet."""
+    late = frequent(docs, text_col)
+    by_hash = np.argsort(late)
+    known = late[by_hash]
+    p, q = SIMILAR
+
+    def prefix(hashes: np.ndarray) -> np.ndarray:
+        most = len(hashes) + p * len(hashes) // -q + 1  # n - ceil(p n / q) + 1
+        place = np.zeros(len(hashes), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            place = np.where(known[at] == hashes, by_hash[at] + 1, 0)
+        return hashes[np.lexsort((hashes, place))[:most]].view(np.int64)
+
+    def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        sets = [shingles(t) for t in utf8(batch.column(text_col))]
+        counts = [_counts(s, BUCKETS) for s in sets]
+        wide = [_counts(s, max(BUCKETS, 1 << max(len(s) // 4, 1).bit_length() - 1)) for s in sets]
+        names = np.array([_named(s) for s in sets], np.uint64).view(np.int64)
+        return {"fp": pa.array(names), "n": pa.array([len(s) for s in sets], pa.int32()), "sketch": pa.array(counts, pa.binary()), "wide": pa.array(wide, pa.binary()), "prefix": pa.array([prefix(s) for s in sets], pa.list_(pa.int64()))}
+
+    return map_rows(docs, run, T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("wide", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets that meet at a hash, from rows (h, n, rest, fp) sorted by h and n."""
+    p, q = SIMILAR
+
+    def pairs(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h, n, rest, fp = table
+        found, held = [], 0
+        at, step = np.arange(len(h)), 1
+        while len(at := at[at + step < len(h)]):
+            at = at[(h[at] == h[at + step]) & (q * n[at] >= p * n[at + step])]
+            close = at[(p + q) * np.minimum(rest[at], rest[at + step]) >= p * (n[at] + n[at + step])]
+            found.append(np.sort(np.stack((fp[close], fp[close + step])), axis=0))
+            held += len(close)
+            step += 1
+            if held > 1_000_000:
+                yield batch_of(found)
+                found, held = [], 0
+        if held:
+            yield batch_of(found)
+
+    def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[k])) for k in (0, 1)], names=["a", "b"])
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)])
+        change = np.flatnonzero(rows[0] != rows[0, -1])
+        cut_at = change[-1] + 1 if len(change) else 0  # from here on is the last hash, which may go on
+        if cut_at or held and held[-1][0, -1] != rows[0, 0]:
+            yield from pairs(np.concatenate([*held, rows[:, :cut_at]], axis=1))
+            held = []
+        held.append(rows[:, cut_at:])
+    if held:
+        yield from pairs(np.concatenate(held, axis=1))
+
+
+def _room(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of rows (a, b, room, x, y) whose sketches x and y, powers of two wide, differ by at most ``room``."""
+    for batch in batches:
+        near = []
+        for x, y, room in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "room")), strict=True):
+            least = min(len(x), len(y))
+            one, other = (np.frombuffer(v, np.uint8).reshape(-1, least).sum(axis=0, dtype=np.int64) for v in (x, y))
+            near.append(int(np.abs(one - other).sum()) <= room)
+        yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that may be near copies, each once; ``sets`` (fp, n, sketch, wide, prefix) may repeat sets."""
+    p, q = SIMILAR
+    once = sets.select("fp", "n", "prefix").dropDuplicates(["fp"])
+    rows = once.select("fp", "n", F.posexplode("prefix").alias("k", "h")).select("h", "n", (F.col("n") - F.col("k")).alias("rest"), "fp")
+    met = rows.repartition("h").sortWithinPartitions("h", "n").mapInArrow(_meet, "a long, b long").where("a <> b").distinct()
+    # of m + n, sets that overlap by p / (p + q) differ by the rest, 1 - 2 p / (p + q)
+    room = F.floor((F.col("m") + F.col("n")) * (q - p) / F.lit(p + q)).alias("room")
+    for sketch in ("sketch", "wide"):
+        sketches = sets.select("fp", "n", F.col(sketch).alias("s"))
+        if sketch == "wide":
+            met = checkpoint(met)
+            some = met.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+            sketches = sketches.join(some, "fp", "left_semi")
+        sketches = sketches.dropDuplicates(["fp"])
+        x = sketches.select(F.col("fp").alias("a"), F.col("n").alias("m"), F.col("s").alias("x"))
+        y = sketches.select(F.col("fp").alias("b"), "n", F.col("s").alias("y"))
+        met = met.join(x, "a").join(y, "b").select("a", "b", room, "x", "y").mapInArrow(_room, "a long, b long")
+    return met
+
+
+def links(docs: DataFrame, sets: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """Links (a, b) of all sets that are near copies; ``sets`` are those of ``docs``, with their columns fp, n, sketch, wide, prefix."""
+    p, q = SIMILAR
+    near = checkpoint(candidates(sets))
+    some = checkpoint(near.select(F.explode(F.array("a", "b")).alias("of")).distinct())
+
+    def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        made = [shingles(t) for t in utf8(batch.column(text_col))]
+        return {"fp": pa.array(np.array([_named(s) for s in made], np.uint64).view(np.int64)), "hashes": pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))}
+
+    whole = map_rows(docs.select(F.col(text_col)), run, T.StructType([T.StructField("fp", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])).select("fp", "hashes")
+    whole = checkpoint(join_checked(whole, some, lambda a, b: a["fp"] == b["of"], "left_semi").dropDuplicates(["fp"]))
+    x = whole.select(F.col("fp").alias("a"), F.col("hashes").alias("x"))
+    y = whole.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
+    shared, both = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return near.join(x, "a").join(y, "b").where((p + q) * shared >= p * both).select("a", "b")

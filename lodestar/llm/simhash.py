@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.llm import jaccard
 from lodestar.llm.common import checkpoint, map_rows, packed, unpacked, utf8
 
 SHINGLE = 3
@@ -287,20 +288,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def groups(fps: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     """(fp, root, component_id) of each distinct fingerprint in ``fps`` (id, fp)."""
     least = fps.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = components(links(checkpoint(least.select("fp")), radius=radius))
+    return _grouped(least, links(checkpoint(least.select("fp")), radius=radius))
+
+
+def _grouped(least: DataFrame, edges: DataFrame) -> DataFrame:
+    """As ``groups``, of ``least`` (fp, first), by the links ``edges`` (a, b)."""
+    roots = components(edges)
     rooted = least.join(roots, least.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, that of the smallest id, with the columns of ``docs``.
+    """One row of each component of near copies, that of the smallest id, with the columns of ``docs``.
 
+    Near copies have a Jaccard similarity of 0.8 or more of five-word shingles, which ``jaccard`` finds without loss: such pairs differ in
+    some 10 of 64 bits, and at such a radius keys of pieces aren't selective. Texts without words are copies of each other.
     If ids repeat or are null, a component's rows are ordered by id (nulls last) and then text, and its first stays.
     """
-    fps = checkpoint(with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).select("id", "fp"))
-    found = groups(fps)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    fps = checkpoint(jaccard.with_sets(texts).select("id", "fp", "n", "sketch", "wide", "prefix"))
+    found = _grouped(fps.groupBy("fp").agg(F.min("id").alias("first")), jaccard.links(texts, fps))
     if fps.groupBy("id").count().where("count > 1 or id is null").isEmpty():
         return docs.join(found.select(F.col("component_id").alias(id_col)), id_col, "left_semi").select(docs.columns)
-    rows = with_fingerprints(packed(docs, id_col, text_col), text_col).join(found, "fp")
+    rows = jaccard.with_names(packed(docs, id_col, text_col), text_col).join(found, "fp")
     first = Window.partitionBy("root").orderBy(F.col(id_col).asc_nulls_last(), text_col)
     return unpacked(rows.withColumn("_place", F.row_number().over(first)).where("_place = 1"), docs.columns)

@@ -1,0 +1,57 @@
+import random
+
+from lodestar.llm import jaccard as J
+from lodestar.llm import simhash as S
+from lodestar.llm.common import table
+
+
+def shingles(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def kept(rows):
+    """rows: (id, text). Ids that stay, from all pairs."""
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), i), i)
+    return sorted(least.values())
+
+
+def test_whole_table_against_all_pairs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == kept([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_near_copies_at_the_bound_and_frequent_shingles(spark, monkeypatch):
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(10**6)}"
+    licence = [word() for _ in range(120)]
+    rows = []
+    for size in (5, 6, 9, 20, 60, 300, 2000):
+        for _ in range(6):
+            words = [word() for _ in range(size)] + (licence if size in (20, 60) else [])
+            rows.append(words)
+            for cut in (0.03, 0.08, 0.1, 0.11, 0.12, 0.13, 0.2):  # a tail that differs: similarities on both sides of 0.8
+                tail = max(1, round(len(words) * cut))
+                rows.append(words[:-tail] + [word() for _ in range(tail)])
+                rows.append(words[: -2 * tail])
+    data = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    want = kept(data)
+    assert 100 < len(want) < len(data) - 100
+    assert sorted(x.doc_id for x in S.keep_one(docs).collect()) == want
+    monkeypatch.setattr(J, "FREQUENT", 0)
+    assert sorted(x.doc_id for x in S.keep_one(docs).collect()) == want
