@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,20 +14,44 @@ from pyspark.sql import types as T
 from lodestar.sources.corpora import read_table
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df``, written once to the reliable checkpoint folder, so that later steps do not compute it again.
+def _folder(spark: SparkSession) -> str:
+    """The reliable checkpoint folder: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset (tests, a laptop), a folder
-    beside the warehouse is taken, which a cluster shares too.
+    Where that is unset, a local session (tests, a laptop) gets a folder beside the warehouse; on a cluster, where that may be one machine's
+    own, it is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", own))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df``, written once to the reliable checkpoint folder, so that later steps do not compute it again."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Tables of an iteration, written to the checkpoint folder and read again; a name has 16 places, which are taken in turn.
+
+    Unlike a checkpoint, a written table brings its true size along; the estimates of a plan that joins its own results
+    would be multiplied anew in each round.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.at, self.turn = spark, f"{_folder(spark)}/rounds-{uuid.uuid4()}", 0
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.turn += 1
+        path = f"{self.at}/{name}-{self.turn % 16}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have (names compare without case, as in Spark)."""
     taken = {c.lower() for c in df.columns}
@@ -87,9 +113,26 @@ def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
 
 #: Rows of at most some hundred bytes each that a join may broadcast; more are dealt out by key.
 BROADCAST_ROWS = 50_000
+#: Where rows are dealt out, keys with more than this share of them (fewer than its inverse) are joined by broadcast instead.
+COMMON = 1 / 256
+
 
+def join_checked(left: DataFrame, right: DataFrame, key: Column, right_key: str, how: str = "left") -> DataFrame:
+    """``left`` with the columns of ``right`` (checkpointed, narrow, one row a ``right_key``) whose key is ``key``; null meets null.
 
-def join_checked(left: DataFrame, right: DataFrame, on: Callable[[DataFrame, DataFrame], Column], how: str = "left") -> DataFrame:
-    """A join with a checkpointed, narrow ``right``, which is broadcast if it has few rows; else Spark deals both out."""
-    few = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return left.join(F.broadcast(right) if few else right, on(left, right), how)
+    A ``right`` of few rows is broadcast. Else rows are dealt out by key, but for those whose key is null or common: there are at most
+    1 / ``COMMON`` of these keys, so their rows of ``right`` are broadcast and a hot key isn't one task.
+    """
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key.eqNullSafe(right[right_key]), how)
+    own = fresh(left, "_own_key")
+    keyed = left.withColumn(own, key)
+    counts = keyed.groupBy(own).count()
+    counts = checkpoint(counts.withColumnRenamed(own, "key"))
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    common = [r["key"] for r in counts.where((F.col("count") > COMMON * total) & F.col("key").isNotNull()).select("key").collect()]
+    is_common = lambda c: c.isNull() | c.isin(*common) if common else c.isNull()
+    few = F.broadcast(right.where(is_common(F.col(right_key))))
+    hot = keyed.where(is_common(F.col(own))).join(few, F.col(own).eqNullSafe(few[right_key]), how)
+    rest = keyed.where(~is_common(F.col(own))).join(right, F.col(own) == right[right_key], how)
+    return hot.unionByName(rest).drop(own)

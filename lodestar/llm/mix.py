@@ -54,15 +54,16 @@ def source_targets(docs: DataFrame, *, source_col: str = "source", size: Column,
 def with_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **shares) -> DataFrame:
     """``docs`` with size, source_size, target and copies (how often the mix takes the document).
 
-    A null text has size 0; null sources are one source; rows repeated in whole take the same number of copies; a column
-    of docs that is named like a new one is replaced. An empty table gives an empty table.
+    A null or empty text has size 0, and a very long one its whole size; null sources are one source; rows repeated in whole take the same
+    number of copies, which ties (equal hashes) share too; a column of docs that is named like a new one is replaced. An empty table gives an
+    empty table.
     """
     sized = docs.withColumn("size", word_count(F.col(text_col)))
     targets = checkpoint(source_targets(sized, source_col=source_col, size=F.col("size"), **shares))
     key, has = fresh(sized, "_key"), fresh(sized, "_rate")
     targets = targets.select(F.col("source").alias(key), F.col("source_size"), F.col("target"), F.col("rate").alias(has))
     fixed = sized.drop("source_size", "target", "copies")
-    joined = join_checked(fixed, targets, lambda a, b: a[source_col].cast("string").eqNullSafe(b[key]))
+    joined = join_checked(fixed, targets, F.col(source_col).cast("string"), key)
     whole = F.floor(F.col(has))
     more = md5_unit(seed, F.col(id_col), F.md5(F.col(text_col).cast("binary"))) < F.col(has) - whole
     return joined.withColumn("copies", (whole + more.cast("int")).cast("long")).drop(key, has)

@@ -100,28 +100,33 @@ def domain_verdicts(failures: DataFrame, *, most: float = MOST_FAILURES) -> Data
     return shrunk.withColumn("domain_rate", rate).withColumn("domain_kept", F.col("domain_rate") <= most).drop("prior")
 
 
+def _judged(measured: DataFrame, domain_col: str, most: float) -> DataFrame:
+    """``measured`` (checkpointed rows with base_failed) with domain_rate, domain_kept and kept."""
+    domain = F.col(domain_col).cast("string")
+    failures = measured.groupBy(domain.alias("domain")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    judged = measured.drop("domain_rate", "domain_kept", "kept")
+    key = fresh(judged, "_domain")
+    verdicts = checkpoint(domain_verdicts(checkpoint(failures), most=most).select(F.col("domain").alias(key), "domain_rate", "domain_kept"))
+    return join_checked(judged, verdicts, domain, key).drop(key).withColumn("kept", ~F.col("base_failed") & F.col("domain_kept"))
+
+
 def with_verdicts(docs: DataFrame, *, text_col: str = "text", domain_col: str = "source", most: float = MOST_FAILURES) -> DataFrame:
     """``docs`` with the measures, base_failed, domain_rate, domain_kept and kept.
 
-    Null and empty texts have no words and so fail; documents without a domain are one domain; repeated rows count and are
-    judged one by one; columns named like new ones are replaced; an empty table gives an empty table.
+    Null and empty texts have no words and so fail; a very long text is measured in whole, by its task alone; documents without a domain are
+    one domain; repeated rows count and are judged one by one; a domain whose rate equals the bound is kept; columns named like new ones are
+    replaced; an empty table gives an empty table. Texts are measured once: rows are checkpointed with their measures.
     """
-    failures = with_measures(docs.select(F.col(domain_col).cast("string").alias("domain"), F.col(text_col).cast("string").alias("text")))
-    failures = failures.groupBy("domain").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    verdicts = domain_verdicts(checkpoint(failures), most=most)
-    judged = with_measures(docs, text_col).drop("domain_rate", "domain_kept", "kept")
-    key = fresh(judged, "_domain")
-    verdicts = checkpoint(verdicts.select(F.col("domain").alias(key), "domain_rate", "domain_kept"))
-    judged = join_checked(judged, verdicts, lambda a, b: a[domain_col].cast("string").eqNullSafe(b[key])).drop(key)
-    return judged.withColumn("kept", ~F.col("base_failed") & F.col("domain_kept"))
+    return _judged(checkpoint(with_measures(docs, text_col)), domain_col, most)
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, the measures, base_failed, kept."""
-    return with_verdicts(docs.select("doc_id", "source", "text")).select("doc_id", *BASE.names, "base_failed", "kept")
+    measured = checkpoint(with_measures(docs.select("doc_id", "source", "text")).drop("text"))
+    return _judged(measured, "source", MOST_FAILURES).select("doc_id", *BASE.names, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns only."""
+    """The documents that are kept, with their own columns only, of any name; null and empty texts fail, so they go."""
     judged = with_verdicts(packed(docs, "text", "source"))
     return unpacked(judged.where("kept"), docs.columns)

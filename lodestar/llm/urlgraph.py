@@ -24,6 +24,8 @@ DAMPING = 0.85
 ITERATIONS = 12
 #: A host is blocked at this share of what a wholly blocked seed has from its own rules, or more.
 THRESHOLD = 0.5
+#: Links of a host that are dealt out together.
+PART = 10_000
 HREF = r"""(?i)\bhref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
@@ -70,13 +72,19 @@ def standings(links: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, i
     flows = links.select(F.lit("trust").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), "links").unionAll(links.select(F.lit("distrust"), "dst", "src", "links"))
     total = flows.groupBy("kind", "from").agg(F.sum("links").alias("total"))
     shared = flows.join(total, ["kind", "from"]).select("kind", "from", "to", (F.col("links") / F.col("total") * damping).alias("share"))
-    flows = checkpoint(shared.unionAll(shared.where("kind = 'trust'").select(F.lit("suspicion"), "to", "from", "share")))
+    flows = shared.unionAll(shared.where("kind = 'trust'").select(F.lit("suspicion"), "to", "from", "share"))
+    # a host with many links is dealt out in parts, and its score goes to each of them
+    parts = flows.groupBy("kind", "from").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    flows = checkpoint(flows.join(parts, ["kind", "from"]).withColumn("part", F.pmod(F.xxhash64("to"), F.col("parts"))))
+    parts = checkpoint(parts.select(F.col("kind").alias("of_kind"), F.col("from").alias("of"), F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1).alias("part")))
     start = seeds.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col("host"), (F.col(of) * (1 - damping)).alias("score")) for k, of in (("trust", "trust"), ("distrust", "distrust"), ("suspicion", "distrust"))])).alias("s")).select("s.*").where("score > 0")
     start = checkpoint(start)
     scores = start
     if not flows.isEmpty():
         for k in range(iterations):
-            passed = scores.join(flows, (scores.kind == flows.kind) & (scores.host == flows["from"])).select(scores.kind, F.col("to").alias("host"), (F.col("score") * F.col("share")).alias("score"))
+            dealt = scores.join(parts, (scores.kind == parts.of_kind) & (scores.host == parts.of)).select("of_kind", "of", "score", F.explode("part").alias("of_part"))
+            passed = dealt.join(flows, (dealt.of_kind == flows.kind) & (dealt.of == flows["from"]) & (dealt.of_part == flows.part))
+            passed = passed.select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share")).alias("score"))
             scores = start.unionAll(passed).groupBy("kind", "host").agg(F.sum("score").alias("score"))
             if k % 3 == 2 or k == iterations - 1:
                 scores = checkpoint(scores)
@@ -89,20 +97,22 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", html_col:
 
     Null urls and those without ``://`` have an empty host and path, no rule and no links; they and unknown hosts are allowed. Repeated
     rows count as urls of their own; columns named like new ones are replaced; null html has no links; an empty table gives an
-    empty table. Rules (host, path, verdict) fit a host, its subdomains and all paths that start like theirs; the longest decides, ties by text.
+    empty table; a very long url or page is read in whole. Rules (host, path, verdict) fit a host, its subdomains and all paths that start like theirs; the longest decides, ties by text.
     """
     own = pages.drop("host", "path", "rule", "trust", "distrust", "verdict") if {url_col, html_col}.isdisjoint({"host", "path", "rule", "trust", "distrust", "verdict"}) else pages
     located = lambda df: df.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
     told = rules.select("host", "path", "verdict").distinct()
+    rule = fresh(pages, "_rule")
     urls = located(pages.select(F.col(url_col).alias(url_col)))
     known = checkpoint(host_rules(urls.select("host").where("host <> ''").distinct(), told))
 
     def ruled(df: DataFrame) -> DataFrame:
-        of, fit = fresh(df, "_of"), F.filter("_rules", lambda r: F.startswith(F.col("path"), r["path"]))
-        joined = join_checked(df, known.select(F.col("host").alias(of), F.col("rules").alias("_rules")), lambda a, b: a["host"] == b[of])
-        return joined.withColumn("_rule", F.try_element_at(fit, F.lit(1))).drop(of, "_rules")
+        of, held = fresh(df, "_of"), fresh(df, "_rules")
+        joined = join_checked(df, known.select(F.col("host").alias(of), F.col("rules").alias(held)), F.col("host"), of)
+        fit = F.filter(held, lambda r: F.startswith(F.col("path"), r["path"]))
+        return joined.withColumn(rule, F.try_element_at(fit, F.lit(1))).drop(of, held)
 
-    share = lambda v: F.avg((F.coalesce(F.col("_rule.verdict"), F.lit("")) == v).cast("int"))
+    share = lambda v: F.avg((F.coalesce(F.col(f"{rule}.verdict"), F.lit("")) == v).cast("int"))
     seeds = ruled(urls).where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     standing = standings(checkpoint(host_links(pages, url_col=url_col, html_col=html_col)), checkpoint(seeds), damping=damping)
     judged = ruled(located(own))
@@ -110,10 +120,10 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", html_col:
     worst = F.greatest("distrust", "suspicion")
     blocked = (worst >= round(threshold * (1 - damping), 9)) & (worst > F.col("trust"))
     standing = checkpoint(standing.select(F.col("host").alias(of), "trust", "distrust", blocked.alias(bad)))
-    judged = join_checked(judged, standing, lambda a, b: a["host"] == b[of]).drop(of)
+    judged = join_checked(judged, standing, F.col("host"), of).drop(of)
     judged = judged.withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col(bad), "block").otherwise("allow"))
-    return judged.withColumn("verdict", verdict).withColumn("rule", F.col("_rule.rule")).drop("_rule", bad)
+    verdict = F.coalesce(F.col(f"{rule}.verdict"), F.when(F.col(bad), "block").otherwise("allow"))
+    return judged.withColumn("verdict", verdict).withColumn("rule", F.col(f"{rule}.rule")).drop(rule, bad)
 
 
 def url_digest(pages: DataFrame) -> DataFrame:
