@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import checkpoint, join_checked, packed, unpacked
+from lodestar.llm.common import BROADCAST_ROWS, checkpoint, packed, unpacked
 
 SCOPE = 240
 #: Kinds in the order of ties.
@@ -101,16 +101,27 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
 def with_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """``docs`` with base_spans and spans (base and linked), arrays of (start, kind, end) sorted by start and kind.
 
-    Offsets are code points, ends exclusive; ``KINDS`` names the kinds. Null and empty texts have none; repeated rows get
-    the same spans each; columns of docs named like new ones are replaced; an empty table gives an empty table.
+    Offsets are code points, ends exclusive; ``KINDS`` names the kinds. Null and empty texts have none; a very long text is scanned in whole,
+    and its spans are one row; spans that start together are ordered by kind, then end; repeated rows get the same spans each; columns of docs
+    named like new ones are replaced, all others pass through; an empty table gives an empty table. Texts are scanned once: rows are
+    checkpointed with what was found.
     """
-    plain = docs.drop("base_spans", "spans")
-    more = checkpoint(_linked(checkpoint(_parts(plain.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text").where("_key is not null").select("_key", "_base", "_weak")), scope))
-    return _joined(_parts(plain, id_col, text_col), more)
+    kept = [c for c in docs.columns if c.lower() not in ("base_spans", "spans")]
+    parts = checkpoint(_parts(packed(docs.select(*[F.col(f"`{c}`") for c in kept]), id_col, text_col), id_col, text_col))
+    found = _joined(parts, checkpoint(_linked(parts, scope)))
+    return unpacked(found, [*kept, "base_spans", "spans"])
 
 
 def _joined(parts: DataFrame, more: DataFrame) -> DataFrame:
-    joined = join_checked(parts.drop("_weak"), more.withColumnRenamed("_key", "_of"), lambda a, b: a["_key"] == b["_of"])
+    """``parts`` (checkpointed) with base_spans and spans; only rows with weak candidates are joined, unless ``more`` is broadcast."""
+    few = more.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = parts.drop("_weak")
+    more = more.withColumnRenamed("_key", "_of")
+    if few:
+        joined = rows.join(F.broadcast(more), F.col("_key") == F.col("_of"), "left")
+    else:
+        joined = rows.where("_key is not null").join(more, F.col("_key") == F.col("_of"), "left")
+        joined = joined.unionByName(rows.where("_key is null").withColumn("_of", F.lit(None).cast("string")).withColumn("_more", F.lit(None).cast(_SPANS)))
     plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     spans = F.array_sort(F.concat("_base", F.coalesce("_more", F.array().cast(_SPANS))))
     return joined.withColumn("base_spans", plain(F.col("_base"))).withColumn("spans", plain(spans)).drop("_base", "_more", "_key", "_of")
@@ -140,18 +151,25 @@ def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
         return F.when((F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["end"] > s["start"]), wider).otherwise(F.concat(runs, F.array(one)))
 
     runs = F.aggregate(spans, state, merge)
-    edges = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))), runs)
-    between = F.transform(edges, lambda r, k: F.substr(text, (r["end"] + 1).cast("int"), (F.coalesce(F.get(edges, k + 1)["start"], F.length(text).cast("long")) - r["end"]).cast("int")))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(runs, lambda r: r["end"]))
+    starts = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.length(text).cast("long")))
+    between = F.zip_with(ends, starts, lambda end, start: F.substr(text, (end + 1).cast("int"), (start - end).cast("int")))
     return F.when(F.size(spans) > 0, F.array_join(between, mask)).otherwise(text)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every span masked, and with n_chars (if there) made the new text's length; all rows stay."""
-    found = with_spans(packed(docs, "doc_id", "text"))
-    found = found.withColumn("_changed", F.size("spans") > 0).withColumn("text", masked(F.col("text"), F.col("spans")))
-    plain = unpacked(found, [*docs.columns, "_changed"])
+    """The documents with every span masked, and with n_chars (if there) made the new text's length; all rows stay.
+
+    Null and empty texts stay as they are, a very long text is masked in whole, repeated rows are masked alike; columns of any name pass
+    through; an empty table gives an empty table.
+    """
     kinds = dict(docs.dtypes)
-    for c in docs.columns:
-        if c.lower() == "n_chars":
-            plain = plain.withColumn(c, F.when(F.col("_changed"), F.length("text").cast(kinds[c])).otherwise(F.col(c)))
-    return plain.select(docs.columns)
+    found = with_spans(packed(docs, "doc_id", "text"))
+    found = found.withColumn("changed", F.size("spans") > 0).withColumn("text", masked(F.col("text"), F.col("spans")))
+    rest = {c.lower() for c in found.schema["_rest"].dataType.fieldNames()}
+
+    def made(c: str) -> Column:
+        old = F.col("_rest").getField(c) if c.lower() in rest else F.col(f"`{c}`")
+        return F.when(F.col("changed"), F.length("text").cast(kinds[c])).otherwise(old) if c.lower() == "n_chars" else old
+
+    return found.select(*[made(c).alias(c) for c in docs.columns])
