@@ -5,14 +5,16 @@ anything but blanks (both are checked when a model is loaded), so a text falls a
 places, and its token count is the sum of its pre-tokens' counts.
 
 1. Each Arrow batch of documents becomes pre-token frequencies. Pre-tokens that are pieces themselves are in a table of
-   the model's own size and are summed at once; the others become one row a batch and distinct pre-token, with
-   (document, frequency) entries packed in an array.
+   the model's own size and are summed at once. So are those that ``COMMON`` documents of the batch have or more: they are counted once a
+   batch, and no task gathers a hot one. The others become one row a batch and distinct pre-token, with (document, frequency) entries
+   packed in an array.
 2. These rows are dealt out by pre-token and sorted, so each distinct pre-token meets all its frequencies in one place and
    goes through the model once; products are summed per document before they are dealt out again.
 3. Sums are dealt out by batch, packed as they were, and meet there; only then does each document become a row again.
 
-No row grows with the corpus: a row has at most ``BATCH_ROWS`` documents, and a pre-token in every document
-of the corpus has one row a batch.
+No row grows with the corpus: a row has fewer than ``COMMON`` documents. Batches are known by task and number, and entries by a document's
+place in its batch; rows are sorted by text and id before batches are cut, so a task that runs again, with rows in
+whatever order, cuts the same batches.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from lodestar.llm.common import utf8
 LIMIT = 4096
 #: Documents in a batch of frequencies; an entry has the document's place in 14 bits and a frequency above them.
 BATCH_ROWS = 1 << 14
+#: Documents of a batch from which on a pre-token is counted there.
+COMMON = 64
 _PLACE = 14
 _MOST = (1 << 16) - 1
 #: Entries that are summed in memory before their sums go on.
@@ -80,15 +84,16 @@ def _model(proto: bytes) -> PieceModel:
 def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of ``docs``: its id, n_bytes (UTF-8) and n_tokens, without special tokens.
 
-    Null and empty texts have no bytes and no tokens. Rows are counted one by one, so repeated rows and ids stay apart;
-    other columns are left out. An empty table gives an empty table.
+    Null and empty texts have no bytes and no tokens; a very long text is cut in whole by its task. Rows are counted one by one, so repeated
+    rows and ids stay apart; ties are no matter; other columns are left out, whatever their names. An empty table gives an empty table.
     """
     with open(model_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
     key_type = docs.schema[id_col].dataType.simpleString()
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _model(shared.value).known
+        model = _model(shared.value)
+        known = model.known
         number = TaskContext.get().partitionId() << 33
         for whole in batches:
             for first in range(0, whole.num_rows, BATCH_ROWS):
@@ -110,6 +115,10 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
                         held.append(place | n << _PLACE)
                     sizes.append(len(text or b""))
                     sums.append(total)
+                common = [t for t, held in entries.items() if len(held) >= COMMON]
+                for token, pieces in zip(common, model.count(common), strict=True):
+                    for entry in entries.pop(token):
+                        sums[entry & (1 << _PLACE) - 1] += pieces * (entry >> _PLACE)
                 n_docs, n_tokens = len(sizes), len(entries)
                 lengths = np.fromiter(map(len, entries.values()), np.int32, n_tokens)
                 values = np.fromiter(chain.from_iterable(entries.values()), np.int32, int(lengths.sum()))
@@ -191,7 +200,8 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
             yield done()
 
     document = f"document struct<place: int, id: {key_type}, n_bytes: bigint, n: bigint>"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frequencies, f"token binary, batch long, entries array<int>, {document}")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = own.sortWithinPartitions(F.xxhash64("text"), "text", "id").mapInArrow(frequencies, f"token binary, batch long, entries array<int>, {document}")
     dealt = rows.repartition(F.coalesce(F.xxhash64("token"), F.lit(0)), F.when(F.col("token").isNull(), F.hash("batch", "document.place"))).sortWithinPartitions("token")
     parts = dealt.mapInArrow(products, f"batch long, sums array<long>, {document}")
     return parts.repartition("batch").sortWithinPartitions("batch").mapInArrow(totals, f"`{id_col}` {key_type}, n_bytes long, n_tokens long")
