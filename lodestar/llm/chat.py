@@ -81,7 +81,10 @@ def examples(formatted: DataFrame, *, conv_col: str = "conv_id", context: bool =
 
 
 def chat_digest(turns: DataFrame) -> DataFrame:
-    """One row a conversation, read back from transcripts and examples; see the columns' names."""
+    """One row a conversation, read back from transcripts and examples; see the columns' names.
+
+    Every example's context is made and hashed, one after the other; context_chars sums their lengths, contexts_sha256 is the hash of their hashes.
+    """
     formatted = format_conversations(turns)
     told = formatted.select("conv_id", transcript(F.col("segments")).alias("formatted"))
     told = told.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), read_turns(F.col("formatted")).alias("turns"))
@@ -91,7 +94,18 @@ def chat_digest(turns: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
         "formatted_chars",
     )
-    replies = examples(formatted, context=False).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("example", unescape(F.col("target")).alias("text")))).alias("targets"))
-    replies = replies.select(F.col("conv_id").alias("of"), F.array_join(F.transform("targets", lambda t: t["text"]), "").alias("loss"))
-    joined = told.join(replies, told.conv_id.eqNullSafe(replies.of), "left").withColumn("loss", F.coalesce("loss", F.lit("")))
-    return joined.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+    each = F.struct("example", F.length("context").cast("long").alias("chars"), F.sha2("context", 256).alias("context"), unescape(F.col("target")).alias("text"))
+    replies = examples(formatted).groupBy("conv_id").agg(F.sort_array(F.collect_list(each)).alias("all"))
+    replies = replies.select(
+        F.col("conv_id").alias("of"),
+        F.array_join(F.transform("all", lambda t: t["text"]), "").alias("loss"),
+        F.aggregate("all", F.lit(0).cast("long"), lambda n, t: n + t["chars"]).alias("context_chars"),
+        F.array_join(F.transform("all", lambda t: t["context"]), ",").alias("contexts"),
+        F.size("all").cast("long").alias("n_examples"),
+    )
+    joined = told.join(replies, told.conv_id.eqNullSafe(replies.of), "left")
+    text, number = lambda c: F.coalesce(c, F.lit("")), lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return joined.select(
+        "conv_id", "n_turns", "turns_sha256", F.length(text("loss")).cast("long").alias("loss_chars"), F.sha2(text("loss"), 256).alias("loss_sha256"), "formatted_chars",
+        number("n_examples"), number("context_chars"), F.sha2(text("contexts"), 256).alias("contexts_sha256"),
+    )

@@ -30,12 +30,25 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts look like the template's own marks."""
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marks = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], told.schema)
-    return chat.chat_digest(told.unionByName(own))
+    return told.unionByName(own)
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digest(_conversations(spark, sf_dir))
+
+
+def chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expansion itself: every assistant turn with its whole context."""
+    return chat.examples(chat.format_conversations(_conversations(spark, sf_dir))).drop("example")
+
+
+def language_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.calibration(table(spark, sf_dir, "documents"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +78,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
     "op10_secrets": op10_secrets,
+    "chat_examples": chat_examples,
+    "language_calibration": language_calibration,
 }
