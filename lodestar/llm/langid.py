@@ -1,14 +1,15 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Texts are lower-cased, everything but letters is a blank, and runs of blanks are one. A model per language is
-learnt from n-gram counts that Spark sums over a bounded sample of labelled documents (at most about ``SAMPLE_DOCS`` a language,
-chosen by hash); ``TABLE_NGRAMS`` bounds the n-grams of all languages together, the most frequent of each staying. So the
-model that is broadcast has a fixed size, whatever the corpus.
+learnt from n-gram counts that Spark sums over a bounded sample of labelled documents: about ``SAMPLE_DOCS`` a language, chosen by hash.
+All n-grams of the sample count, so discounts and continuation counts are those of the definition; the model that is broadcast holds
+the n-grams of that many documents, whatever the corpus. More documents a language (``sample_docs``) learn from more, up to all of them.
 
 A model is sorted arrays: for each order, the n-grams' 64-bit keys with one interpolated probability a language, and the
 contexts' keys with one back-off weight a language; a lookup is a binary search. A document's language has the
-lowest cross-entropy per character. A fifth of the sample is held back to calibrate: the temperature that turns cross-entropies
-into a probability, and per language the cross-entropy above which a text is rejected as foreign to all.
+lowest cross-entropy per character. Calibration is cross-fitted, at every size alike: the sample is cut into ``FOLDS`` parts by hash, and each document is scored
+by models that its own part didn't teach. This gives the temperature that turns cross-entropies into a probability, and
+per language the cross-entropy above which a text is rejected as foreign to all.
 """
 
 from __future__ import annotations
@@ -27,8 +28,7 @@ from lodestar.llm.common import checkpoint, map_rows, md5_unit
 ORDER = 4
 #: Labelled documents a language that a model learns from, at most (on average over hashes).
 SAMPLE_DOCS = 2000
-TABLE_NGRAMS = 1_200_000
-CALIBRATION = 0.2
+FOLDS = 5
 TEMPERATURES = (5.0, 10.0, 20.0, 40.0, 80.0)
 REJECT_SIGMAS = 6.0
 UNKNOWN = "und"
@@ -172,72 +172,68 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, table_ngrams: int = TABLE_NGRAMS) -> Model:
-    """The models of the labelled documents that aren't held out. Without any, the model has no language."""
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
+    """The models of the labelled documents that aren't held out. Without any, the model has no language.
+
+    A language whose sample is all in one part (a single document, say) can't be cross-fitted: it has no limit and rejects nothing.
+    """
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     share = {r["lang"]: min(1.0, sample_docs / r["n"]) for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not share:
         return kneser_ney({})
     bound = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("lang"))
     sample = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).where(md5_unit("langid", F.col("id")) < bound)
-    sample = sample.withColumn("calibrates", md5_unit("langid-calibration", F.col("id")) < CALIBRATION)
+    sample = sample.select("lang", "text", F.floor(md5_unit("langid-fold", F.col("id"), F.md5(F.col("text").cast("binary"))) * FOLDS).cast("int").alias("fold"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                by.setdefault(lang, []).append(codes_of(text))
-            for lang, texts in by.items():
+            by: dict[tuple[str, int], list[np.ndarray]] = {}
+            for lang, fold, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "fold", "text")), strict=True):
+                by.setdefault((lang, fold), []).append(codes_of(text))
+            for (lang, fold), texts in by.items():
                 grams, times = np.unique(np.concatenate([ngram_keys(c) for c in texts]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(times)], names=["lang", "gram", "times"])
-
-    # a few languages of a tiny sample may fall to calibration in whole, so those learn from all of it
-    counts = checkpoint(sample.where(~F.col("calibrates") | (bound >= 1.0)).select("lang", "text").mapInArrow(counted, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times")))
-    most = max(1, table_ngrams // len(share))
-    by_count = counts.groupBy("lang", "times").count().collect()
-    least = {lang: _least(sorted(((r["times"], r["count"]) for r in by_count if r["lang"] == lang), reverse=True), most) for lang in share}
-    floor = F.element_at(F.create_map(*[F.lit(x) for pair in least.items() for x in pair]), F.col("lang"))
-    rows = counts.where(F.col("times") >= floor).toArrow()
-    lang_of, gram, times = rows.column("lang").to_numpy(), rows.column("gram").to_numpy().view(np.uint64), rows.column("times").to_numpy()
-    model = kneser_ney({lang: (gram[lang_of == lang], times[lang_of == lang]) for lang in sorted(set(lang_of.tolist()))})
-    return _calibrated(model, sample.where(F.col("calibrates") | (bound >= 1.0)).select("id", "lang", "text"))
-
-
-def _least(times: list[tuple[int, int]], most: int) -> int:
-    """The lowest count at which at most ``most`` n-grams remain."""
-    held, least = 0, times[0][0] if times else 1
-    for t, n in times:
-        held += n
-        if held > most:
-            break
-        least = t
-    return least
-
-
-def _calibrated(model: Model, sample: DataFrame) -> Model:
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(np.full(len(grams), fold, np.int32)), pa.array(grams.view(np.int64)), pa.array(times)], names=["lang", "fold", "gram", "times"])
+
+    counts = sample.mapInArrow(counted, "lang string, fold int, gram long, times long").groupBy("lang", "fold", "gram").agg(F.sum("times").alias("times"))
+    rows = counts.toArrow()
+    lang_of, fold_of, gram, times = (rows.column(c).to_numpy() for c in ("lang", "fold", "gram", "times"))
+    gram = gram.view(np.uint64)
+
+    def learnt(some: np.ndarray) -> Model:
+        tables = {}
+        for lang in sorted(set(lang_of[some].tolist())):
+            own = some & (lang_of == lang)
+            keys, which = np.unique(gram[own], return_inverse=True)
+            tables[lang] = (keys, np.bincount(which, times[own], len(keys)))
+        return kneser_ney(tables)
+
+    return _calibrated(learnt(np.ones(len(gram), bool)), [learnt(fold_of != k) for k in range(FOLDS)], sample)
+
+
+def _calibrated(model: Model, without: list[Model], sample: DataFrame) -> Model:
+    """``model`` with temperature and limits from ``sample`` (lang, text, fold), each fold scored by the model that it didn't teach."""
+    shared = sample.sparkSession.sparkContext.broadcast(without)
+    temps = [f"t{k}" for k in range(len(TEMPERATURES))]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"lang": [], "cost": [], **{f"t{k}": [] for k in range(len(TEMPERATURES))}}
+            out = {"lang": [], "cost": [], **{t: [] for t in temps}}
             texts = [codes_of(t) for t in batch.column("text").to_pylist()]
-            some = [k for k, c in enumerate(texts) if (c != _BLANK).any()]
-            cost = shared.value.entropies(texts[k] for k in some)
-            langs = batch.column("lang").to_pylist()
-            for row, k in zip(cost, some, strict=True):
-                if langs[k] not in shared.value.langs:
-                    continue
-                mine = shared.value.langs.index(langs[k])
-                out["lang"].append(langs[k])
-                out["cost"].append(row[mine])
-                for i, t in enumerate(TEMPERATURES):
-                    out[f"t{i}"].append(float(np.log(np.exp(-t * (row - row[mine])).sum())))
+            langs, folds = batch.column("lang").to_pylist(), batch.column("fold").to_pylist()
+            for fold, held in enumerate(shared.value):
+                some = [k for k, c in enumerate(texts) if folds[k] == fold and langs[k] in held.langs and (c != _BLANK).any()]
+                for row, k in zip(held.entropies(texts[k] for k in some), some, strict=True):
+                    mine = held.langs.index(langs[k])
+                    out["lang"].append(langs[k])
+                    out["cost"].append(row[mine])
+                    for name, t in zip(temps, TEMPERATURES, strict=True):
+                        out[name].append(float(np.log(np.exp(-t * (row - row[mine])).sum())))
             yield pa.RecordBatch.from_pydict(out, pa.schema([("lang", pa.string()), *[(c, pa.float64()) for c in list(out)[1:]]]))
 
-    rows = sample.mapInArrow(scored, "lang string, cost double, " + ", ".join(f"t{k} double" for k in range(len(TEMPERATURES))))
-    stats = rows.groupBy("lang").agg(F.avg("cost").alias("mean"), F.stddev_pop("cost").alias("sd"), F.count("*").alias("n"), *[F.sum(f"t{k}").alias(f"t{k}") for k in range(len(TEMPERATURES))]).collect()
+    rows = sample.mapInArrow(scored, "lang string, cost double, " + ", ".join(f"{t} double" for t in temps))
+    stats = rows.groupBy("lang").agg(F.avg("cost").alias("mean"), F.stddev_pop("cost").alias("sd"), F.count("*").alias("n"), *[F.sum(t).alias(t) for t in temps]).collect()
     if stats:
-        loss = [round(sum(r[f"t{k}"] for r in stats) / sum(r["n"] for r in stats), 6) for k in range(len(TEMPERATURES))]
+        loss = [round(sum(r[t] for r in stats) / sum(r["n"] for r in stats), 6) for t in temps]
         model.temperature = TEMPERATURES[int(np.argmin(loss))]
         limits = {r["lang"]: r["mean"] + REJECT_SIGMAS * max(r["sd"], 0.05) for r in stats}
         model.limits = np.array([limits.get(lang, np.inf) for lang in model.langs])
@@ -282,3 +278,11 @@ def language_digest(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, held_out, lang_pred, score, rejected."""
     found = identify(docs.select("doc_id", "text"), train(docs.select("doc_id", "lang", "text")))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def calibration(docs: DataFrame) -> DataFrame:
+    """(lang, n, accuracy, mean_score, error, rejected) over the held-out labelled documents; error is how far the mean score is from the accuracy."""
+    found = identify(docs.where(held_out() & F.col("lang").isNotNull()).select("doc_id", "lang", "text"), train(docs.select("doc_id", "lang", "text"))).where(F.col("lang_pred") != UNKNOWN)
+    right = F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))
+    rows = found.groupBy("lang").agg(F.count("*").alias("n"), F.round(right, 4).alias("accuracy"), F.round(F.avg("score"), 4).alias("mean_score"), F.sum(F.col("rejected").cast("long")).alias("rejected"))
+    return rows.withColumn("error", F.round(F.abs(F.col("mean_score") - F.col("accuracy")), 4))
