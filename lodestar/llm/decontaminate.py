@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import map_rows, packed, unpacked, utf8
+from lodestar.llm.common import fresh, map_rows, packed, unpacked, utf8
 
 WINDOW = 10
 #: Words of benchmark items that one automaton holds; some tens of MB in each Python worker.
@@ -136,12 +136,12 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_pattern_words: int = MAX_PATTERN_WORDS) -> DataFrame:
     """``docs`` with n_words, n_hit, items (sorted ids of the items found), hit_spans (code-point offsets in the text) and contaminated.
 
-    Null and empty texts have no words and no hits; items without words or without an id match nothing; repeated
-    items count once; repeated documents are judged row by row; an empty benchmark hits nothing. Other columns stay,
-    those named like a new one are replaced.
+    Null and empty texts have no words and no hits; a very long text passes in whole; items without words or without an id match nothing;
+    repeated items count once, and items that tie for the same words are all listed; repeated documents are judged row by row; an empty
+    table gives an empty table, and an empty benchmark hits nothing. Other columns stay, those named like a new one are replaced.
     """
     sc = docs.sparkSession.sparkContext
-    hits = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hit_spans", _RUNS), T.StructField("_runs", _RUNS)])
+    hits = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hit_spans", _RUNS), T.StructField(runs_col := fresh(docs, "_runs"), _RUNS)])
     out = docs
     for number, block in enumerate(_blocks(benchmark, item_col, item_text_col, max_pattern_words)):
         shared = sc.broadcast(block)
@@ -150,7 +150,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
         def scan(batch: pa.RecordBatch, shared=shared, key=key, first=number == 0) -> dict:
             matcher = _matcher(key, shared.value, window)
             new: dict[str, list] = {f.name: [] for f in hits}
-            before = [([], [])] * batch.num_rows if first else zip(batch.column("_runs").to_pylist(), batch.column("items").to_pylist(), strict=True)
+            before = [([], [])] * batch.num_rows if first else zip(batch.column(runs_col).to_pylist(), batch.column("items").to_pylist(), strict=True)
             for text, (old_runs, old_items) in zip(utf8(batch.column(text_col)), before, strict=True):
                 words = words_of(text)
                 runs, items = matcher.scan(words)
@@ -160,11 +160,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
                 new["n_hit"].append(sum(b - a for a, b in runs))
                 new["items"].append(sorted(items.union(old_items)))
                 new["hit_spans"].append([{"start": a, "end": b} for a, b in _text_spans(text, runs)] if runs else [])
-                new["_runs"].append([{"start": a, "end": b} for a, b in runs])
+                new[runs_col].append([{"start": a, "end": b} for a, b in runs])
             return new
 
         out = map_rows(out, scan, hits)
-    return out.drop("_runs").withColumn("contaminated", F.col("n_hit") > 0)
+    return out.drop(runs_col).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -179,6 +179,6 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any hit, with their own columns only."""
+    """The documents without any hit, with their own columns only, of any name; those with null or empty texts stay."""
     found = find_contamination(packed(docs, "text"), benchmark)
     return unpacked(found.where(~F.col("contaminated")), docs.columns)

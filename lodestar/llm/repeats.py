@@ -279,8 +279,8 @@ def spans_of(ranges: list[dict] | None, length: int) -> list[tuple[int, int]]:
 def with_repeats(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, repeats (byte spans that are removed) and kept (the remaining bytes).
 
-    Null and empty texts, and those shorter than ``length``, have no repeats (null: no bytes). Copies, repeated rows too, count as documents
-    of their own. Columns named like new ones are replaced; an empty table gives an empty table.
+    Null and empty texts, and those shorter than ``length``, have no repeats (null: no bytes); a very long text is cut by one task, window by
+    window. Copies, repeated rows too, count as documents of their own, so all of each goes; no copy is preferred. Columns named like new ones are replaced; an empty table gives an empty table.
     """
     starts = repeated_starts(docs, text_col=text_col, length=length, gram=gram, group=group)
     k1, k2, ranges = (fresh(docs, n) for n in ("_k1", "_k2", "_ranges"))

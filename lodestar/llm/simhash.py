@@ -5,8 +5,8 @@
    Every choice of m - RADIUS pieces is a table, keyed by their bits; a linked pair meets in one table at least, and no
    others need comparing. m follows from the number of distinct fingerprints, so keys stay selective as the input grows.
 3. Rows with the same table and key are compared bit-sliced: the bit planes of a block of fingerprints are stored
-   vertically, 64 fingerprints a machine word, and carry-save counters (two bits and an overflow) take in one plane of
-   differences after the other, until all of a block exceed the radius.
+   vertically, 64 fingerprints a machine word, and carry-save counters take in one plane of differences after the
+   other, until all of a block exceed the radius.
    Each block keeps a spanning forest of the links it finds, so links are at most as many as its fingerprints.
 4. Components by alternating large and small stars, checkpointed each round.
 
@@ -22,12 +22,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm import jaccard
-from lodestar.llm.common import checkpoint, map_rows, packed, unpacked, utf8
+from lodestar.llm import similar
+from lodestar.llm.common import Rounds, checkpoint, map_rows, packed, unpacked, utf8
 
 SHINGLE = 3
 RADIUS = 3
@@ -88,40 +88,57 @@ def _masks(m: int, radius: int) -> list[int]:
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """Bit planes: row k has bit k of all fingerprints, 64 to a word; padded with zeros."""
-    n = -len(fps) % 64
-    padded = np.concatenate((fps, np.zeros(n, np.uint64)))
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes of fingerprints of one or more words: row k has bit k of all, 64 to a word; padded with zeros."""
+    fps = fps.reshape(len(fps), -1)
+    padded = np.concatenate((fps, np.zeros((-len(fps) % 64, fps.shape[1]), np.uint64)))
+    bits = np.unpackbits(padded.view(np.uint8).reshape(len(padded), -1), axis=1, bitorder="little")
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64)
 
 
+class Counters:
+    """Carry-save counters of differences, one a bit of each word; they start so that they overflow beyond ``radius``."""
+
+    def __init__(self, radius: int, shape: tuple[int, ...]) -> None:
+        width = max(radius.bit_length(), 1)
+        start = (1 << width) - 1 - radius
+        self.bits = [np.full(shape, _ALL if start >> k & 1 else 0, np.uint64) for k in range(width)]
+        self.over = np.zeros(shape, np.uint64)
+
+    def add(self, carry: np.ndarray) -> None:
+        for k, bit in enumerate(self.bits):
+            self.bits[k], carry = bit ^ carry, bit & carry
+        self.over |= carry
+
+    def keep(self, which: np.ndarray) -> None:
+        self.bits = [x[which] for x in self.bits]
+        self.over = self.over[which]
+
+
 def near(queries: np.ndarray, block: np.ndarray, vertical: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, member of the block) at ``radius`` (3 at most) or fewer differing bits.
+    """Index pairs (query, member of the block) at ``radius`` or fewer differing bits; ``vertical`` are the block's planes.
 
-    For each query, one word of counters per 64 members: ones and twos count differences, over says that a fourth came.
+    For each query, one word of counters per 64 members takes in a plane of differences at a time.
     """
-    shape = (len(queries), vertical.shape[1])
-    ones, twos, over = (np.zeros(shape, np.uint64) for _ in range(3))
-    rows = np.arange(len(queries))
-    for k in range(BITS):
-        bit = np.where(queries[rows] >> np.uint64(k) & np.uint64(1), _ALL, np.uint64(0))
-        carry = vertical[k][None, :] ^ bit[:, None]
-        ones, carry = ones ^ carry, ones & carry
-        twos, carry = twos ^ carry, twos & carry
-        over |= carry
-        if k % 8 == 7 and k < BITS - 1:
-            open_rows = (over != _ALL).any(axis=1)
+    queries, block = queries.reshape(len(queries), -1), block.reshape(len(block), -1)
+    counters = Counters(radius, (len(queries), vertical.shape[1]))
+    rows, last = np.arange(len(queries)), len(vertical) - 1
+    for k in range(last + 1):
+        bit = np.where(queries[rows, k // BITS] >> np.uint64(k % BITS) & np.uint64(1), _ALL, np.uint64(0))
+        counters.add(vertical[k][None, :] ^ bit[:, None])
+        if radius <= k < last and k % 8 == 7:
+            open_rows = (counters.over != _ALL).any(axis=1)
             if not open_rows.all():  # of these queries, the whole block exceeds the radius
-                rows, ones, twos, over = rows[open_rows], ones[open_rows], twos[open_rows], over[open_rows]
+                rows = rows[open_rows]
+                counters.keep(open_rows)
                 if not len(rows):
                     break
-    found_row, found_word = np.nonzero(over != _ALL)
-    bits = np.unpackbits((~over[found_row, found_word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    found_row, found_word = np.nonzero(counters.over != _ALL)
+    bits = np.unpackbits((~counters.over[found_row, found_word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     which, bit = np.nonzero(bits)
     query, member = rows[found_row[which]], found_word[which] * 64 + bit
     inside = member < len(block)
     query, member = query[inside], member[inside]
-    close = np.bitwise_count(queries[query] ^ block[member]) <= radius
+    close = np.bitwise_count(queries[query] ^ block[member]).sum(axis=1) <= radius
     return query[close], member[close]
 
 
@@ -145,27 +162,26 @@ def _forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
 
 
 def near_pairs(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Places at which two rows of fingerprints differ in at most ``radius`` (3 at most) bits, counted the same way."""
+    """Places at which two rows of fingerprints differ in at most ``radius`` bits, counted the same way."""
+    left, right = left.reshape(len(left), -1), right.reshape(len(right), -1)
     mine, theirs = planes(left), planes(right)
-    words = np.arange(mine.shape[1])
-    ones, twos, over = (np.zeros(len(words), np.uint64) for _ in range(3))
-    for k in range(BITS):
-        carry = mine[k, words] ^ theirs[k, words]
-        ones, carry = ones ^ carry, ones & carry
-        twos, carry = twos ^ carry, twos & carry
-        over |= carry
-        if k % 8 == 7 and k < BITS - 1 and not (still := over != _ALL).all():
-            words, ones, twos, over = words[still], ones[still], twos[still], over[still]
+    words, last = np.arange(mine.shape[1]), len(mine) - 1
+    counters = Counters(radius, (len(words),))
+    for k in range(last + 1):
+        counters.add(mine[k, words] ^ theirs[k, words])
+        if radius <= k < last and k % 8 == 7 and not (still := counters.over != _ALL).all():
+            words = words[still]
+            counters.keep(still)
             if not len(words):
                 break
-    word, bit = np.nonzero(np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    word, bit = np.nonzero(np.unpackbits((~counters.over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
     at = words[word] * 64 + bit
     at = at[at < len(left)]
-    return at[np.bitwise_count(left[at] ^ right[at]) <= radius]
+    return at[np.bitwise_count(left[at] ^ right[at]).sum(axis=1) <= radius]
 
 
-def _between(queries: np.ndarray, block: np.ndarray, same: bool, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two blocks, or within one."""
+def _between(queries: np.ndarray, block: np.ndarray, names: tuple[np.ndarray, np.ndarray], same: bool, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two blocks, or within one, by the blocks' names."""
     vertical = planes(block)
     kept: list[tuple[int, int]] = []
     for first in range(0, len(queries), 256):
@@ -175,11 +191,11 @@ def _between(queries: np.ndarray, block: np.ndarray, same: bool, radius: int) ->
             query, member = query[query < member], member[query < member]
         if len(query):
             old = np.array(kept, np.uint64).reshape(-1, 2)
-            kept = _forest(np.concatenate((old[:, 0], queries[query])), np.concatenate((old[:, 1], block[member])))
+            kept = _forest(np.concatenate((old[:, 0], names[0][query])), np.concatenate((old[:, 1], names[1][member])))
     return kept
 
 
-def _within_small(fps: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def _within_small(fps: np.ndarray, names: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links within many small groups, which are runs of equal numbers in ``group``."""
     left, right = [], []
     at = np.arange(len(fps) - 1)
@@ -188,8 +204,8 @@ def _within_small(fps: np.ndarray, group: np.ndarray, radius: int) -> list[tuple
         for first in range(0, len(at), 65536):
             mine = at[first : first + 65536]
             close = near_pairs(fps[mine], fps[mine + step], radius)
-            left.append(fps[mine[close]])
-            right.append(fps[mine[close] + step])
+            left.append(names[mine[close]])
+            right.append(names[mine[close] + step])
         step += 1
     return _forest(np.concatenate(left), np.concatenate(right)) if left else []
 
@@ -198,40 +214,54 @@ def links(distinct: DataFrame, *, radius: int = RADIUS, block: int = BLOCK) -> D
     """Links (a, b) whose components are those of all pairs of ``distinct`` (fp) within ``radius``; at most one a fingerprint and table."""
     m = pieces(distinct.count(), radius)
     masks = _masks(m, radius)
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(x)) for x in masks])).alias("t", "key"))
-    crowded = keyed.groupBy("t", "key").count().where(F.col("count") > block).select("t", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    cut = keyed.join(crowded, ["t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
-    dealt = cut.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "own")
+    return linked(distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(x)) for x in masks])).alias("t", "key")), ["fp"], radius=radius, block=block)
+
+
+def in_blocks(rows: DataFrame, keys: list[str], weight: Column, block: int) -> DataFrame:
+    """``rows`` (keys, fp and more) with i, j and own, once for each pair of blocks of its group that its own block is in.
+
+    A group weighing more than ``block`` is cut into blocks by hash of fp, so that every two of its rows stand together under one (i, j).
+    """
+    crowded = rows.groupBy(*keys).agg(F.sum(weight).alias("_weight")).where(F.col("_weight") > block).select(*keys, F.ceil(F.col("_weight") / block).cast("int").alias("_blocks"))
+    cut = rows.join(crowded, keys, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("_blocks")).cast("int"))
+    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    cut = cut.withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other")).drop("_blocks", "_other")
+    return cut
+
+
+def linked(keyed: DataFrame, words: list[str], *, radius: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b), by fp, of rows (fp, t, key) that share table and key and differ in at most ``radius`` bits of ``words``; a forest a block."""
+    dealt = in_blocks(keyed, ["t", "key"], F.lit(1), block).select("t", "key", "i", "j", "own", "fp", *[w for w in words if w != "fp"])
+    dealt = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "own")
+    wide = len(dealt.columns) > 6
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows: list[np.ndarray]) -> list[tuple[int, int]]:
-            """Links within whole groups of rows (t, key, i, j, own, fp)."""
+            """Links within whole groups of rows (t, key, i, j, own, fp, words)."""
             table = np.concatenate(rows, axis=1)
-            fps = table[5].view(np.uint64)
+            names = table[5].view(np.uint64)
+            fps = np.ascontiguousarray(table[6:].T).view(np.uint64) if wide else names
             new = np.concatenate(([True], (table[:4, 1:] != table[:4, :-1]).any(axis=0)))
             group = np.cumsum(new) - 1
             sizes = np.bincount(group)
             some = (sizes[group] > 1) & (sizes[group] <= 64)
-            kept = _within_small(fps[some], group[some], radius) if some.any() else []
+            kept = _within_small(fps[some], names[some], group[some], radius) if some.any() else []
             starts = np.flatnonzero(new)
             for g in np.flatnonzero(sizes > 64):
                 rows_of = slice(starts[g], starts[g] + sizes[g])
-                mine, own_block = fps[rows_of], table[4, rows_of]
+                mine, called, own_block = fps[rows_of], names[rows_of], table[4, rows_of]
                 if table[2, starts[g]] == table[3, starts[g]]:
-                    kept += _between(mine, mine, True, radius)
+                    kept += _between(mine, mine, (called, called), True, radius)
                 else:
                     first = own_block == table[2, starts[g]]
-                    kept += _between(mine[first], mine[~first], False, radius)
+                    kept += _between(mine[first], mine[~first], (called[first], called[~first]), False, radius)
             return kept
 
         held: list[np.ndarray] = []
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(6)]) if batch.num_rows else np.zeros((6, 0), np.int64)
-            if not rows.shape[1]:
+            if not batch.num_rows:
                 continue
+            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(batch.num_columns)])
             change = np.flatnonzero((rows[:4] != rows[:4, -1:]).any(axis=0))
             cut_at = change[-1] + 1 if len(change) else 0  # from here on is the last group, which may go on
             if cut_at:
@@ -253,13 +283,26 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], names=["a", "b"])
 
 
+#: A node with more than this share of all edges is a hub; there are fewer than twice its inverse.
+HUB = 1 / 256
+
+
+def _with_least(edges: DataFrame, n: int, rounds: Rounds) -> DataFrame:
+    """``edges`` (u, v) with m, the least v of each u. Hubs, a bounded number, are joined by broadcast, so that none meets in one task."""
+    least = rounds.written(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")), "least")
+    hub = F.col("degree") > HUB * n
+    rest = edges.join(least.where(~hub).select("u", "m"), "u")
+    return rest.unionAll(edges.join(F.broadcast(least.where(hub).select("u", "m")), "u"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b), root being the least node of its component.
 
     Large stars hang a node's larger neighbours on its least one, small stars its smaller ones; what remains after some
     rounds (of the order of the logarithm of the nodes) is a star per component.
     """
-    edges = checkpoint(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    rounds = Rounds(edges.sparkSession)
+    edges = rounds.written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -267,18 +310,17 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
         state = now
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = checkpoint(small.where("u != v").distinct())
+        large = rounds.written(_with_least(both, 2 * now[0], rounds).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "large")
+        small = _with_least(large, now[0], rounds).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        edges = rounds.written(small.where("u != v").distinct(), "edges")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row a row of ``docs``: its id, fingerprint (16 hex digits) and component_id, the smallest id that links reach.
 
     Texts without words (null and empty ones too) have fingerprint 0 and are linked like any other; repeated rows are linked
-    to each other; null ids are passed over for component_id, unless there are no others. An empty table gives an empty table.
+    to each other; null ids are passed over for component_id, unless there are no others. A very long text counts in whole; ties are no
+    matter, as the least id names a component. Other columns are left out, whatever their names. An empty table gives an empty table.
     """
     fps = checkpoint(with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text", size).select("id", "fp"))
     found = groups(fps, radius=radius)
@@ -301,15 +343,22 @@ def _grouped(least: DataFrame, edges: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of near copies, that of the smallest id, with the columns of ``docs``.
 
-    Near copies have a Jaccard similarity of 0.8 or more of five-word shingles, which ``jaccard`` finds without loss: such pairs differ in
-    some 10 of 64 bits, and at such a radius keys of pieces aren't selective. Texts without words are copies of each other.
-    If ids repeat or are null, a component's rows are ordered by id (nulls last) and then text, and its first stays.
+    Near copies have a Jaccard similarity of 0.8 or more of five-word shingles (``similar``). Texts without words, null and empty ones, are copies
+    of each other; very long texts count in whole. If ids repeat or are null, a component's rows are ordered by id (nulls last) and then text, and
+    its first stays, of rows repeated in whole one. Columns of any name pass through; an empty table gives an empty table.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    fps = checkpoint(jaccard.with_sets(texts).select("id", "fp", "n", "sketch", "wide", "prefix"))
-    found = _grouped(fps.groupBy("fp").agg(F.min("id").alias("first")), jaccard.links(texts, fps))
-    if fps.groupBy("id").count().where("count > 1 or id is null").isEmpty():
-        return docs.join(found.select(F.col("component_id").alias(id_col)), id_col, "left_semi").select(docs.columns)
-    rows = jaccard.with_names(packed(docs, id_col, text_col), text_col).join(found, "fp")
-    first = Window.partitionBy("root").orderBy(F.col(id_col).asc_nulls_last(), text_col)
-    return unpacked(rows.withColumn("_place", F.row_number().over(first)).where("_place = 1"), docs.columns)
+    marks = checkpoint(similar.marked(texts))
+    sets = checkpoint(similar.distinct_sets(marks))
+    loose = linked(similar.keyed(sets), similar.WORDS, radius=similar.RADIUS)
+    edges = similar.exact_links(texts, sets, components(loose))
+    found = _grouped(sets.select("fp", "first"), edges)
+    if marks.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        return docs.join(found.select(F.col("component_id").alias(id_col)).distinct(), id_col, "left_semi").select(docs.columns)
+    rows = packed(docs, id_col, text_col)
+    key = similar.row_key(F.col(id_col), F.col(text_col).cast("string"))
+    rooted = marks.select("row", "fp").distinct().join(found, "fp").select("row", "root")
+    rows = rows.withColumn("_row", key).join(rooted.withColumnRenamed("row", "_row"), "_row")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(text_col).isNull().alias("no_text"), F.col(text_col).alias("text"))
+    first = rows.groupBy("root").agg(F.min_by(F.struct(id_col, text_col, "_rest"), order).alias("kept")).select("kept.*")
+    return unpacked(first, docs.columns)

@@ -8,7 +8,7 @@ from lodestar.llm.common import table
 from tests.llm import test_decontaminate as contaminated
 from tests.llm import test_quality as measured
 from tests.llm import test_secrets as found
-from tests.llm import test_simhash as near
+from tests.llm import test_similar as near
 
 
 def fill(sizes):
@@ -53,8 +53,8 @@ def test_run_against_brute_force(spark, sf_dir):
         return n >= 20 and 100 * repeats <= 30 * n
 
     docs = [d for d in docs if good(d[1])]
-    fps = [(d[0], near.brute_fingerprint(d[1])) for d in docs]
-    docs = [d for d, group in zip(docs, near.brute_groups(fps), strict=True) if d[0] == group]
+    stay = set(near.kept([d[:2] for d in docs]))
+    docs = [d for d in docs if d[0] in stay]
     docs = [d for d in docs if not contaminated.brute(d[1], items)[4]]
 
     def mask(text):
@@ -97,3 +97,18 @@ def test_stages_pass_odd_columns_and_empty_tables(spark, sf_dir):
             assert out.columns == docs.columns, name
             out.collect()
     assert simhash.keep_one(docs).count() <= 4
+
+
+def test_stages_take_long_empty_and_repeated_rows(spark, sf_dir):
+    item = table(spark, sf_dir, "benchmark").first().text
+    long = " ".join(f"v{k}" for k in range(200_000))
+    data = [(1, long, "s"), (1, long, "s"), (2, "", "s"), (3, long + " x", "s"), (4, " ".join(f"u{k}" for k in range(60)) + " " + item, "s"), (5, " ".join(f"z{k}" for k in range(60)) + " password: abcdefgh1", "s"), (5, " ".join(f"z{k}" for k in range(60)) + " password: abcdefgh1", "s")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    stage = dict(P.STAGES)
+    out = [sorted((r.doc_id, len(r.text)) for r in stage[n](spark, docs, sf_dir).collect()) for n in ("quality", "near_duplicates", "decontamination", "secrets")]
+    size = {d[0]: len(d[1]) for d in data}
+    assert out[0] == sorted((d[0], len(d[1])) for d in data if d[1])
+    assert out[1] == [(k, size[k]) for k in (1, 2, 4, 5)]
+    assert out[2] == sorted((d[0], len(d[1])) for d in data if d[0] != 4)
+    masked = size[5] - len("password: abcdefgh1") + len("[secret]")
+    assert out[3] == sorted((d[0], masked if d[0] == 5 else len(d[1])) for d in data)
