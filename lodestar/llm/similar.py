@@ -52,17 +52,19 @@ def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=False)], np.uint64))
 
 
-def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    x = (hashes ^ hashes >> np.uint64(29)) * _MIX[k]
-    return x ^ x >> np.uint64(32)
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    return hashes ^ hashes >> np.uint64(29)
 
 
 def keys(hashes: np.ndarray) -> np.ndarray:
     """One key a table; none without shingles."""
     if not len(hashes):
         return np.zeros(0, np.int64)
-    least = np.array([_mixed(hashes, k).min() for k in range(TABLES * ROWS)], np.uint64).reshape(TABLES, ROWS)
-    out = np.zeros(TABLES, np.uint64)
+    spread, factors = _spread(hashes), _MIX[: TABLES * ROWS, None]
+    least = np.full(TABLES * ROWS, ~np.uint64(0))
+    for first in range(0, len(spread), 1024):
+        np.minimum(least, (spread[None, first : first + 1024] * factors).min(axis=1), out=least)
+    least, out = least.reshape(TABLES, ROWS), np.zeros(TABLES, np.uint64)
     for k in range(ROWS):
         out = (out ^ least[:, k]) * _MIX[k]
         out ^= out >> np.uint64(31)
@@ -71,14 +73,13 @@ def keys(hashes: np.ndarray) -> np.ndarray:
 
 def wide_print(hashes: np.ndarray) -> np.ndarray:
     """The majority bits of four words mixed from each shingle's hash."""
-    out = np.zeros(len(WORDS), np.uint64)
-    for k in range(len(WORDS)):
-        ones = np.zeros(64, np.int64)
-        for first in range(0, len(hashes), 65536):
-            part = _mixed(hashes[first : first + 65536], TABLES * ROWS + k) * _MIX[0]
-            ones += np.unpackbits((part ^ part >> np.uint64(32)).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(2 * ones > len(hashes)).view(np.uint64)[0]
-    return out.view(np.int64)
+    ones = np.zeros((len(WORDS), 64), np.int64)
+    for first in range(0, len(hashes), 16384):
+        part = _spread(hashes[first : first + 16384])[None, :] * _MIX[TABLES * ROWS :, None]
+        part = (part ^ part >> np.uint64(32)) * _MIX[0]
+        part ^= part >> np.uint64(32)
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(WORDS), -1, 8), axis=2).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1).view(np.int64)[:, 0]
 
 
 def name_of(hashes: np.ndarray) -> int:
