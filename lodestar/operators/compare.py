@@ -88,3 +88,22 @@ def baseline_matrix(runs: DataFrame, datasets: DataFrame) -> DataFrame:
     both = datasets.join(best, "dataset", "left").select("dataset", "tier", F.when(F.col("run").isNull(), "pending").otherwise("measured").alias("status"), "run.query_count", "run.ndcg_at_k", "published")
     delta = round_half_up(F.col("ndcg_at_k") - F.col("published"))
     return both.withColumn("delta", delta).withColumn("relative_delta", round_half_up(delta / F.col("published")))
+
+
+def mean_of_parts(runs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(dataset, parts, query_count, ndcg_at_k): collections made of parts, by the plain mean over those; ``parts`` has (dataset, part), ``runs`` a row a part."""
+    both = parts.join(runs.select(F.col("dataset").alias("part"), "query_count", "ndcg_at_k"), "part")
+    mean = F.sum(F.round(F.col("ndcg_at_k") * 10000).cast("long")) / F.lit(10000.0) / F.count("*")
+    return both.groupBy("dataset").agg(F.count("*").alias("parts"), F.sum("query_count").alias("query_count"), round_half_up(mean).alias("ndcg_at_k"))
+
+
+def portfolio(rows: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
+    """(technique, dataset, baseline, measured, relative, scope) of rows (technique, dataset, baseline, measured) and of ``fixed`` ones, measured elsewhere.
+
+    Relative gains are null without a baseline, and where it is 0; a technique without any gain to show is dormant.
+    """
+    every = rows.select("technique", "dataset", "baseline", "measured")
+    every = every if fixed is None else every.unionByName(fixed)
+    scopes = classify(every).select("technique", "scope")
+    told = every.withColumn("relative", relative(F.col("measured"), F.col("baseline"))).join(scopes, "technique", "left")
+    return told.withColumn("scope", F.coalesce("scope", F.lit("dormant")))

@@ -41,14 +41,21 @@ def top_k(scored: DataFrame, k: int, *keys: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def term_scores(docs: DataFrame, queries: DataFrame, fields: list[str], *, profile: Profile = DEFAULT, analyzer=tx.tokens, tokens: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, field, term, qtf, score): BM25 of each matching term, score without qtf."""
-    tokens = ix.tokenized(docs, fields, analyzer) if tokens is None else tokens
+def term_scores(docs: DataFrame, queries: DataFrame, fields: list[str], *, profile: Profile = DEFAULT, analyzer=tx.tokens, tokens: DataFrame | None = None, stored: ix.Stored | None = None, dataset: str | None = None) -> DataFrame:
+    """(query_id, id, field, term, qtf, score): BM25 of each matching term, score without qtf.
+
+    A ``stored`` index is read instead of documents or tokens, of one ``dataset`` if asked for.
+    """
     terms = ix.query_terms(queries, analyzer)
-    posted = ix.postings(tokens, terms)
+    if stored is not None:
+        posted = stored.postings(terms, dataset).where(F.col("field").isin(fields))
+        fields_of, frequencies = stored.fields, stored.frequencies(terms)
+    else:
+        tokens = ix.tokenized(docs, fields, analyzer) if tokens is None else tokens
+        posted = ix.postings(tokens, terms)
+        fields_of, frequencies = ix.field_stats(tokens), ix.document_frequencies(posted)
     few = terms.limit(ix.BROADCAST_ROWS + 1).count() <= ix.BROADCAST_ROWS  # and so are their frequencies, a row per term and field
-    frequencies = ix.document_frequencies(posted)
-    stats = posted.join(F.broadcast(frequencies) if few else frequencies, ["field", "term"]).join(F.broadcast(ix.field_stats(tokens)), "field")  # a row per field
+    stats = posted.join(F.broadcast(frequencies) if few else frequencies, ["field", "term"]).join(F.broadcast(fields_of), "field")  # a row per field
     scored = stats.select("field", "term", "id", bm25(profile, F.col("tf"), F.col("df"), F.col("dl"), F.col("n_docs"), F.col("avg_len")).alias("score"))
     return scored.join(F.broadcast(terms) if few else terms, "term").select("query_id", "id", "field", "term", "qtf", "score")
 

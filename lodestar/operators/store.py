@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
 
+from pyspark.sql import DataFrame, SparkSession
 
-def materialized(df: DataFrame) -> DataFrame:
-    """``df`` (a pool, a run, judgements: rows by query, not by document) computed once.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset, one beside the warehouse.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", own))
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; where that is unset, a local session gets a folder beside the warehouse, and a cluster an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return sc.getCheckpointDir()
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` (a pool, a run, judgements: rows by query, not by document; or an index) computed once, into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -77,33 +77,39 @@ def normalized(query: str | None) -> str:
 
 
 class Engine:
-    def __init__(self, docs: DataFrame, *, fields: dict[str, float] = BOOSTS, profile: rt.Profile = rt.DEFAULT, analyzer: ix.Analyzer = tx.tokens, tokens: DataFrame | None = None) -> None:
-        self.docs, self.fields, self.profile, self.analyzer = docs, fields, profile, analyzer
+    def __init__(self, docs: DataFrame, *, fields: dict[str, float] = BOOSTS, profile: rt.Profile = rt.DEFAULT, analyzer: ix.Analyzer = tx.tokens, tokens: DataFrame | None = None, stored: ix.Stored | None = None) -> None:
+        self.docs, self.fields, self.profile, self.analyzer, self.stored = docs, fields, profile, analyzer, stored
         self.tokens = ix.tokenized(docs, list(fields), analyzer) if tokens is None else tokens
 
     def save(self, path: str) -> None:
         """Writes the corpus and its tokens, by field, so that a later search reads the fields it needs."""
         self.docs.write.mode("errorifexists").parquet(f"{path}/docs")
         self.tokens.write.mode("errorifexists").partitionBy("field").parquet(f"{path}/tokens")
+        ix.store(self.tokens, f"{path}/index", self.docs if "dataset" in self.docs.columns else None)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, **options) -> Engine:
-        return cls(spark.read.parquet(f"{path}/docs"), tokens=spark.read.parquet(f"{path}/tokens"), **options)
+    def load(cls, spark: SparkSession, path: str, *, indexed: bool = True, **options) -> Engine:
+        """An engine over what ``save`` wrote, or a stream, which writes no postings (``indexed`` False)."""
+        return cls(spark.read.parquet(f"{path}/docs"), tokens=spark.read.parquet(f"{path}/tokens"), stored=ix.Stored(spark, f"{path}/index") if indexed else None, **options)
 
     def count(self, dataset: str | None = None) -> int:
         return (self.docs if dataset is None else self.docs.where(F.col("dataset") == dataset)).count()
 
-    def scored(self, queries: DataFrame, architecture: str = "field-sum") -> DataFrame:
-        """(query_id, id, score) of all matches at the first stage."""
+    def scored(self, queries: DataFrame, architecture: str = "field-sum", dataset: str | None = None) -> DataFrame:
+        """(query_id, id, score) of all matches at the first stage, of one dataset if asked for; what terms are worth doesn't depend on that."""
         a = resolve(architecture)
         if a.id == "query-rescue":
-            return rt.rescue(self.docs, queries, self.fields, {f: PHRASE_BOOSTS[f] for f in self.fields}, profile=self.profile, analyzer=self.analyzer)
-        terms = rt.term_scores(self.docs, queries, list(self.fields), profile=self.profile, analyzer=self.analyzer, tokens=self.tokens)
-        return rt.best_fields(terms, self.fields) if a.id == "baseline" else rt.field_sum(terms, self.fields)
+            found = rt.rescue(self.docs, queries, self.fields, {f: PHRASE_BOOSTS[f] for f in self.fields}, profile=self.profile, analyzer=self.analyzer)
+        else:
+            terms = rt.term_scores(self.docs, queries, list(self.fields), profile=self.profile, analyzer=self.analyzer, tokens=self.tokens, stored=self.stored, dataset=dataset)
+            found = rt.best_fields(terms, self.fields) if a.id == "baseline" else rt.field_sum(terms, self.fields)
+        if dataset is not None and (self.stored is None or a.id == "query-rescue"):
+            found = found.join(self.docs.where(F.col("dataset") == dataset).select("id"), "id", "left_semi")
+        return found.select("query_id", "id", "score")
 
-    def pool(self, queries: DataFrame, size: int = rerank.POOL_SIZE, *, ignore_identical: bool = False) -> DataFrame:
+    def pool(self, queries: DataFrame, size: int = rerank.POOL_SIZE, *, ignore_identical: bool = False, dataset: str | None = None) -> DataFrame:
         """(query_id, query, id, score, rank, title, abstract): the first stage's best by field sum, with what reranking needs."""
-        found = self.scored(queries)
+        found = self.scored(queries, dataset=dataset)
         best = rt.top_k(rt.without_identical(found) if ignore_identical else found, size)
         return materialized(self._with_texts(best, queries))
 
@@ -113,24 +119,25 @@ class Engine:
         texts = self.docs.select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce(body, F.lit("")).alias("abstract"))
         return texts.join(ranked, "id").join(ix.small(queries.select("query_id", "query")), "query_id").select("query_id", "query", "id", "score", "rank", "title", "abstract")
 
-    def search(self, queries: DataFrame, size: int = 10, architecture: str = "baseline", *, ignore_identical: bool = False) -> DataFrame:
-        """(query_id, id, score, rank), for reranking architectures by their own score."""
+    def search(self, queries: DataFrame, size: int = 10, architecture: str = "baseline", *, ignore_identical: bool = False, dataset: str | None = None) -> DataFrame:
+        """(query_id, id, score, rank), for reranking architectures by their own score; of documents of one dataset, if asked for."""
         a, size = resolve(architecture), result_size(size)
         if a.id in ("baseline", "field-sum", "query-rescue"):
-            found = self.scored(queries, a.id)
+            found = self.scored(queries, a.id, dataset)
             return rt.top_k(rt.without_identical(found) if ignore_identical else found, size)
-        pool = self.pool(queries, max(size, rerank.POOL_SIZE), ignore_identical=ignore_identical)
+        pool = self.pool(queries, max(size, rerank.POOL_SIZE), ignore_identical=ignore_identical, dataset=dataset)
         if a.id == "coverage-rerank":
             ranked = rerank.by_coverage(pool)
         elif a.id == "prf-rerank":
             ranked = rerank.by_feedback(pool)
         else:
-            ranked = self.expanded(pool, queries)
+            ranked = self.expanded(pool, queries, dataset=dataset)
         return ranked.where(F.col("rank") <= size).select("query_id", "id", F.col("rerank_score").alias("score"), "rank")
 
-    def expanded(self, pool: DataFrame, queries: DataFrame, size: int = rerank.EXPANDED_SIZE) -> DataFrame:
+    def expanded(self, pool: DataFrame, queries: DataFrame, size: int = rerank.EXPANDED_SIZE, *, dataset: str | None = None) -> DataFrame:
         terms = materialized(rerank.feedback_terms(pool))
-        again = rt.top_k(rt.expanded_field_sum(self.tokens, queries, terms, self.fields, {f: rerank.EXPANSION_BOOSTS[f] for f in self.fields}, profile=self.profile, analyzer=self.analyzer), size)
+        found = rt.expanded_field_sum(self.tokens, queries, terms, self.fields, {f: rerank.EXPANSION_BOOSTS[f] for f in self.fields}, profile=self.profile, analyzer=self.analyzer)
+        again = rt.top_k(found if dataset is None else found.join(self.docs.where(F.col("dataset") == dataset).select("id"), "id", "left_semi"), size)
         merged = rerank.merged_pools(pool, again)
         details = self._with_texts(merged.select("query_id", "id", F.lit(0).alias("score"), F.lit(0).alias("rank")), queries)
         return rerank.by_expanded_feedback(merged, details, terms)
@@ -170,3 +177,12 @@ def collection_search(docs: DataFrame, queries: DataFrame, size: int = 10, *, pr
     """Best fields over title and text, the other field counting half: how collections of (id, title, text) are searched."""
     found = rt.best_fields(rt.term_scores(docs, queries, list(COLLECTION_BOOSTS), profile=profile, analyzer=analyzer), COLLECTION_BOOSTS, COLLECTION_TIE)
     return rt.top_k(rt.without_identical(found) if ignore_identical else found, size)
+
+
+# Boosts of a collection's pool.
+POOL_BOOSTS = {"title": 3, "text": 2}
+
+
+def collection_pool(docs: DataFrame, queries: DataFrame, size: int = rerank.POOL_SIZE, *, profile: rt.Profile = rt.DEFAULT, analyzer: ix.Analyzer = tx.tokens) -> DataFrame:
+    """(query_id, id, score, rank): the pool of a collection of (id, title, text), by the sum of both fields."""
+    return rt.top_k(rt.field_sum(rt.term_scores(docs, queries, list(POOL_BOOSTS), profile=profile, analyzer=analyzer), POOL_BOOSTS), size)

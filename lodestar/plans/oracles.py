@@ -255,7 +255,7 @@ ORACLE_SQL: dict[str, str] = {
         f"grid AS (SELECT phrase_weight, query_id, id, row_number() OVER (PARTITION BY phrase_weight, query_id ORDER BY rerank_score DESC, original_rank) AS rank FROM (SELECT phrase_weight, query_id, id, original_rank, {_r('fixed + phrase_weight * phrase')} AS rerank_score FROM (SELECT query_id, id, rank AS original_rank, {_share('score')} + CAST(0.06 AS DOUBLE) * {_coverage('asked')} + CAST(0.14 AS DOUBLE) * {_coverage(_E)} AS fixed, {_phrase('asked')} AS phrase FROM {_own(FEEDBACK_STOPWORDS, EXPANDED)}) CROSS JOIN (SELECT CAST(unnest([0, 0.01, 0.02, 0.04, 0.06]) AS DOUBLE) AS phrase_weight)))",
         _scored("grid", keys=", phrase_weight"),
     ) + f"SELECT phrase_weight, {MEANS} FROM scored GROUP BY phrase_weight",
-    "local_hash_embedding": _with(DOCS, _hash("docs", "id", "title", "dvec")) + "SELECT id, component, value FROM dvec",
+    "local_hash_embedding": _with(DOCS, _hash("docs", "id", "text", "dvec")) + "SELECT id, component, value FROM dvec",
     "knn_exact": _with(VECTORS) + RANKED + f"({_top('(SELECT query_id, id, q, e FROM vq CROSS JOIN vecs)', VSCORES, 10)})",
     "knn_ignore_identical": _with(VECTORS) + RANKED + f"({_top('(SELECT query_id, id, q, e FROM vq CROSS JOIN vecs WHERE id <> query_id)', VSCORES, 10)})",
     "knn_label_metrics": _with(VECTORS, "queries AS (SELECT query_id FROM vq)", "qrels AS (SELECT query_id, id, 1 AS grade FROM vq JOIN vecs USING (label) WHERE id <> query_id)", f"run AS ({_top('(SELECT query_id, id, q, e FROM vq CROSS JOIN vecs WHERE id <> query_id)', VSCORES, 10)})", _scored("run", mode="binary")) + f"SELECT {MEANS} FROM scored",
@@ -281,6 +281,16 @@ ORACLE_SQL: dict[str, str] = {
         f"rel AS (SELECT t.technique, t.dataset, {_r('(t.measured - b.measured) / b.measured')} AS delta FROM by_set t JOIN by_set b ON b.technique = 'field-sum' AND b.dataset = t.dataset WHERE t.technique <> 'field-sum' AND b.measured <> 0)",
         "agg AS (SELECT technique, count(*) AS evaluated, count(*) FILTER (delta > 0) AS improved, least(min(delta), 0) AS worst, coalesce(string_agg(CASE WHEN delta > 0 THEN dataset END, ',' ORDER BY dataset), '') AS improved_on FROM rel GROUP BY technique)",
     ) + f"SELECT technique, CASE WHEN improved / evaluated >= 0.7 AND worst >= -0.05 THEN 'universal' WHEN improved >= 2 THEN 'domain-conditional' ELSE 'dormant' END AS scope, evaluated, improved, {_r('improved / evaluated', 3)} AS improve_rate, {_r('worst', 3)} AS worst_relative_regression, improved_on FROM agg",
+    "portfolio": _with(
+        *COMMON, QRELS, POOL, COVERAGE, TERMS, PRF, DOMAINS, "runs AS (SELECT 'field-sum' AS technique, query_id, id, rank FROM pool UNION ALL SELECT 'coverage-rerank', query_id, id, rank FROM cov UNION ALL SELECT 'prf-rerank', query_id, id, rank FROM prf)",
+        _scored("runs", mode="linear", keys=", technique"), f"by_set AS (SELECT technique, dataset, {_mean('ndcg_at_k', 'measured')} FROM scored JOIN dom USING (query_id) GROUP BY ALL)",
+        f"rel AS (SELECT t.technique, t.dataset, {_r('(t.measured - b.measured) / b.measured')} AS delta FROM by_set t JOIN by_set b ON b.technique = 'field-sum' AND b.dataset = t.dataset WHERE t.technique <> 'field-sum' AND b.measured <> 0)",
+        "agg AS (SELECT technique, count(*) AS evaluated, count(*) FILTER (delta > 0) AS improved, least(min(delta), 0) AS worst FROM rel GROUP BY technique)",
+    ) + f"SELECT t.technique, t.dataset, b.measured AS baseline, t.measured, CASE WHEN b.measured <> 0 THEN {_r('(t.measured - b.measured) / b.measured')} END AS relative, CASE WHEN improved / evaluated >= 0.7 AND worst >= -0.05 THEN 'universal' WHEN improved >= 2 THEN 'domain-conditional' ELSE 'dormant' END AS scope FROM by_set t JOIN by_set b ON b.technique = 'field-sum' AND b.dataset = t.dataset LEFT JOIN agg a ON a.technique = t.technique WHERE t.technique <> 'field-sum'",
+    "mean_of_parts": _with(*COMMON, QRELS, BASELINE, DOMAINS, _scored("run", mode="linear"), f"by_set AS (SELECT dataset, count(*) AS query_count, {_mean('ndcg_at_k', 'ndcg_at_k')} FROM scored JOIN dom USING (query_id) GROUP BY dataset)") + f"SELECT 'all' AS dataset, count(*) AS parts, CAST(sum(query_count) AS BIGINT) AS query_count, {_mean('ndcg_at_k', 'ndcg_at_k')} FROM by_set",
+    "failure_shares": _with(*COMMON, QRELS, BASELINE, DOMAINS, _scored("run"), _classified("scored", "c")) + f"SELECT *, {_r('CAST(query_count AS DOUBLE) / sum(query_count) OVER (PARTITION BY dataset)')} AS share FROM (SELECT dataset, behavior_group, count(*) AS query_count FROM c JOIN dom USING (query_id) GROUP BY ALL)",
+    "collection_pool": _with(DOCS, _index(fields={"title": 3, "text": 2})) + RANKED + f"({_top('wide', _r('3 * title + 2 * text', 6), 50)})",
+    "filtered_search": _with(*COMMON) + RANKED + f"({_top("(SELECT w.* FROM wide w JOIN documents d ON CAST(d.doc_id AS VARCHAR) = w.id WHERE d.lang = 'fr')", BEST, 10)})",
     "baseline_matrix": _with(*COMMON, QRELS, BASELINE, DOMAINS, _scored("run", mode="linear"), f"by_set AS (SELECT dataset, count(*) AS query_count, {_mean('ndcg_at_k', 'ndcg_at_k')} FROM scored JOIN dom USING (query_id) GROUP BY dataset)") + f"SELECT dataset, CAST(1 AS BIGINT) AS tier, 'measured' AS status, query_count, ndcg_at_k, CAST(0.43 AS DOUBLE) AS published, {_r('ndcg_at_k - CAST(0.43 AS DOUBLE)')} AS delta, {_r(_r('ndcg_at_k - CAST(0.43 AS DOUBLE)') + ' / CAST(0.43 AS DOUBLE)')} AS relative_delta FROM by_set",
     "ltr_features": _with(*COMMON, QRELS, POOL, TERMS, HASHED, NEAR, FEATURE_ROWS) + "SELECT * FROM feats",
     "ltr_linear_score": _with(*COMMON, QRELS, POOL, TERMS, HASHED, NEAR, FEATURE_ROWS, "sc AS (SELECT query_id, id, original_rank, " + _r(" + ".join(f'"{f}" * CAST({LTR.get(f, 0.0)} AS DOUBLE)' for f in FEATURES), 6) + " AS ltr_score FROM feats)") + "SELECT query_id, id, ltr_score, row_number() OVER (PARTITION BY query_id ORDER BY ltr_score DESC, original_rank, id) AS rank FROM sc",

@@ -6,6 +6,7 @@ divides by 100 are the queries of vector search.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,9 @@ from lodestar.functions.numbers import dot, round_half_up
 from lodestar.operators import compare, english, failures, ltr, metrics, rerank, vectors
 from lodestar.operators import index as ix
 from lodestar.operators import retrieval as rt
-from lodestar.operators.store import materialized
+from lodestar.operators.store import materialized, shared_folder
 from lodestar.plans.engine import BOOSTS, PHRASE_BOOSTS, Engine, collection_search
+from lodestar.plans.engine import collection_pool as pool_of_collection
 from lodestar.sources import corpora
 from lodestar.streaming import ingest
 
@@ -174,13 +176,32 @@ def prf_grid(t: Tables) -> DataFrame:
 
 
 def local_hash_embedding(t: Tables) -> DataFrame:
-    return vectors.hash_features(t.docs, "title").withColumn("component", F.col("component").cast("long"))
+    return vectors.hash_features(t.docs, "text").withColumn("component", F.col("component").cast("long"))
 
 
 def knn_exact(t: Tables) -> DataFrame:
     return _ranked(vectors.nearest(*t.embeddings(), K))
 
 
+def knn_ivf(t: Tables) -> DataFrame:
+    """Every row is indexed; lists are probed until a sample of the queries has a recall of 0.95 or more."""
+    docs, asked = t.embeddings()
+    index = vectors.InvertedLists.fitted(docs)
+    return _ranked(index.nearest(asked, K, index.probes_for(asked, K)))
+
+
+def filtered_search(t: Tables) -> DataFrame:
+    """A stored index with languages as datasets, searched in one of them."""
+    langs = t.read("documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("dataset"))
+    path = f"{shared_folder(t.spark)}/index-{uuid.uuid4()}"
+    Engine(t.docs.join(langs, "id")).save(path)
+    return _ranked(Engine.load(t.spark, path).search(t.queries, K, dataset="fr"))
+
+
+def collection_pool(t: Tables) -> DataFrame:
+    return _ranked(pool_of_collection(t.docs, t.queries))
+
+
 def knn_ignore_identical(t: Tables) -> DataFrame:
     return _ranked(vectors.nearest(*t.embeddings(), K, ignore_identical=True))
 
@@ -263,6 +284,20 @@ def _techniques(t: Tables) -> DataFrame:
     return each.where("technique <> 'field-sum'").join(first, "dataset")
 
 
+def portfolio(t: Tables) -> DataFrame:
+    return compare.portfolio(_techniques(t))
+
+
+def mean_of_parts(t: Tables) -> DataFrame:
+    """The groups of queries as parts of one collection, by the plain mean."""
+    runs = metrics.aggregate(t.scored(t.baseline(), "linear").join(t.domains(), "query_id"), "dataset")
+    return compare.mean_of_parts(runs, runs.select(F.lit("all").alias("dataset"), F.col("dataset").alias("part")))
+
+
+def failure_shares(t: Tables) -> DataFrame:
+    return failures.group_shares(t.classified(t.baseline()).join(t.domains(), "query_id"), "dataset")
+
+
 def technique_classification(t: Tables) -> DataFrame:
     return compare.classify(_techniques(t))
 
@@ -344,7 +379,7 @@ _ALL = [
     knn_ignore_identical, knn_label_metrics, minmax_scores, blend_linear, rrf, hybrid_sweep, metrics_aggregate, failure_groups, failure_examples,
     missing_relevant, metric_deltas, group_deltas, query_deltas, decision, technique_classification, baseline_matrix, ltr_features, ltr_linear_score,
     ltr_coordinate_ascent, ltr_boosted_trees, fold_assignment, pool_recall, oracle_rank, normalize_query, stopword_tokens, bigrams, dataset_profile_counts,
-    event_arrivals,
+    event_arrivals, knn_ivf, filtered_search, collection_pool, portfolio, mean_of_parts, failure_shares,
 ]
 
 

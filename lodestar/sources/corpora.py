@@ -153,6 +153,15 @@ def bulk_payload(docs: DataFrame, index: str) -> DataFrame:
     return docs.select(F.concat(action, F.lit("\n"), F.to_json(F.struct(*docs.columns))).alias("value"))
 
 
+def embedding_input(docs: DataFrame, queries: DataFrame, qrels: DataFrame, path: str) -> None:
+    """Writes what an external model embeds, as JSON lines (id, text): documents with their titles, and the judged queries of a split."""
+    title = F.coalesce("title", F.lit(""))
+    text = F.concat(F.when(title != "", F.concat(title, F.lit("\n"))).otherwise(F.lit("")), F.coalesce("text", F.lit("")))
+    docs.select("id", text.alias("text")).write.mode("errorifexists").json(f"{path}/documents")
+    judged = queries.join(qrels.select("query_id").distinct(), "query_id", "left_semi")
+    judged.select(F.col("query_id").alias("id"), F.col("query").alias("text")).write.mode("errorifexists").json(f"{path}/queries")
+
+
 def resumed(work: DataFrame, done: DataFrame) -> DataFrame:
     """What of ``work`` (id) isn't among ``done`` yet."""
     return work.join(done.select("id"), "id", "left_anti")
@@ -182,7 +191,8 @@ def table_queries(benchmark: DataFrame) -> DataFrame:
 def table_qrels(docs: DataFrame, queries: DataFrame, labels: DataFrame) -> DataFrame:
     """(query_id, id, grade): documents that hold the query's text, graded by label: toxic -1, good 3, unlabelled 2, poor 1.
 
-    Candidates come from the longest inner word of each query, which a document must have as a token, not from all pairs.
+    Candidates come from the longest inner word of each query, which a document must have as a token, not from all pairs. Queries of fewer than
+    three words have no inner word; they go to each document as one list.
     """
     from lodestar.operators.index import small
 
@@ -192,6 +202,9 @@ def table_qrels(docs: DataFrame, queries: DataFrame, labels: DataFrame) -> DataF
     asked = queries.where(F.size(words) >= 3).select("query_id", "query", key.alias("word"))
     each = docs.select("id", "text", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("word"))
     found = each.join(small(asked), "word").where(F.contains("text", "query")).select("query_id", "id").distinct()
+    short = queries.where(F.size(words) < 3).agg(F.collect_list(F.struct("query_id", "query")).alias("s"))
+    held = docs.select("id", F.col("text"), F.explode(short.scalar()).alias("q")).where(F.contains("text", F.col("q.query"))).select("q.query_id", "id")
+    found = found.unionByName(held.distinct())
     graded = found.join(labels.select(F.col("doc_id").cast("string").alias("id"), "quality", "toxic"), "id", "left")
     grade = F.when(F.col("toxic") == 1, -1).when(F.col("quality") == 1, 3).when(F.col("quality").isNull(), 2).otherwise(1)
     return graded.select("query_id", "id", grade.alias("grade"))

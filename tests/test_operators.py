@@ -224,7 +224,7 @@ def test_stream_appends_what_the_engine_loads(spark, tmp_path):
     stream = ingest.document_stream(spark, f"{tmp_path}/in", "id string, title string, abstract string, text string", files_per_batch=1)
     query = ingest.index_stream(stream, f"{tmp_path}/index", list(BOOSTS))
     query.awaitTermination(120)
-    assert Engine.load(spark, f"{tmp_path}/index").ask("heat transfer")["results"][0]["id"] == "3"
+    assert Engine.load(spark, f"{tmp_path}/index", indexed=False).ask("heat transfer")["results"][0]["id"] == "3"
 
 
 def test_plans_stay_in_the_engine(spark):
@@ -232,3 +232,50 @@ def test_plans_stay_in_the_engine(spark):
     asked = spark.createDataFrame([("q", "wing pressure")], "query_id string, query string")
     plan = rt.top_k(rt.field_sum(rt.term_scores(docs, asked, list(BOOSTS)), BOOSTS), 10)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan and "Python" not in plan
+
+
+def test_stored_index_filters_by_dataset_and_reads_asked_buckets(spark, tmp_path):
+    docs = spark.createDataFrame([(*d, "a" if d[0] == "1" else "b") for d in DOCS], "id string, title string, abstract string, text string, dataset string")
+    plain = Engine(docs)
+    plain.save(f"{tmp_path}/index")
+    stored = Engine.load(spark, f"{tmp_path}/index")
+    queries = spark.createDataFrame([("q", "wing pressure layer"), ("r", "heat")], "query_id string, query string")
+    rows = lambda e, *a, **o: sorted(map(tuple, e.search(queries, 5, *a, **o).collect()))
+    for architecture in ("baseline", "field-sum", "coverage-rerank", "prf-expand-rerank", "query-rescue"):
+        assert rows(stored, architecture) == rows(plain, architecture)
+        some = rows(stored, architecture, dataset="b")
+        assert some == rows(plain, architecture, dataset="b") and {r[1] for r in some} == {"2", "3"}
+    assert {(r[1], r[2]) for r in rows(stored, dataset="b")} < {(r[1], r[2]) for r in rows(stored)}
+    plan = stored.search(queries.where("query_id = 'r'"), 5)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket" in plan.split("PartitionFilters")[1]
+
+
+def test_export_of_embedding_input(spark, tmp_path):
+    from lodestar.sources import corpora
+
+    docs = spark.createDataFrame(DOCS, "id string, title string, abstract string, text string")
+    queries = spark.createDataFrame([("q1", "wing"), ("q2", "heat")], "query_id string, query string")
+    corpora.embedding_input(docs, queries, spark.createDataFrame([("q2", "3", 1)], "query_id string, id string, grade int"), f"{tmp_path}/out")
+    lines = spark.read.json(f"{tmp_path}/out/documents")
+    assert sorted((r.id, r.text) for r in lines.collect()) == [("1", "wing pressure distribution\n" + DOCS[0][3]), ("2", "boundary layer\n" + DOCS[1][3]), ("3", "heat transfer\n" + DOCS[2][3])]
+    assert [(r.id, r.text) for r in spark.read.json(f"{tmp_path}/out/queries").collect()] == [("q2", "heat")]
+
+
+def test_inverted_lists_reach_the_recall_asked_for(spark):
+    import numpy as np
+
+    from lodestar.operators import vectors
+
+    r = np.random.default_rng(3)
+    middle = r.normal(size=(20, 16))
+    rows = [(f"d{k}", (middle[k % 20] + 0.4 * r.normal(size=16)).tolist()) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(6)
+    asked = docs.where("int(substring(id, 2)) % 100 = 0").selectExpr("id as query_id", "embedding")
+    index = vectors.InvertedLists.fitted(docs, lists=20)
+    assert index.rows.count() == 3000 and index.rows.select("list").distinct().count() > 10
+    probes = index.probes_for(asked, 10)
+    exact = {(x.query_id, x.id) for x in vectors.nearest(docs, asked, 10).collect()}
+    found = {(x.query_id, x.id) for x in index.nearest(asked, 10, probes).collect()}
+    assert probes < 20 and len(exact & found) / len(exact) >= 0.9
+    every = {(x.query_id, x.id, x.score) for x in index.nearest(asked, 10, 20).collect()}
+    assert every == {(x.query_id, x.id, x.score) for x in vectors.nearest(docs, asked, 10).collect()}
