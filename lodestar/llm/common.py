@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,27 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.operators.store import shared_folder
 from lodestar.sources.corpora import read_table
 
 
-def _folder(spark: SparkSession) -> str:
-    """The reliable checkpoint folder: the session's ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session (tests, a laptop) gets a folder beside the warehouse; on a cluster, where that may be one machine's
-    own, it is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
-    return sc.getCheckpointDir()
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df``, written once to the reliable checkpoint folder, so that later steps do not compute it again."""
-    _folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -43,7 +28,7 @@ class Rounds:
     """
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.at, self.turn = spark, f"{_folder(spark)}/rounds-{uuid.uuid4()}", 0
+        self.spark, self.at, self.turn = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4()}", 0
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         self.turn += 1

@@ -81,12 +81,8 @@ def _model(proto: bytes) -> PieceModel:
     return _MODELS[hash(proto)]
 
 
-def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row of ``docs``: its id, n_bytes (UTF-8) and n_tokens, without special tokens.
-
-    Null and empty texts have no bytes and no tokens; a very long text is cut in whole by its task. Rows are counted one by one, so repeated
-    rows and ids stay apart; ties are no matter; other columns are left out, whatever their names. An empty table gives an empty table.
-    """
+def pre_token_rows(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(token, batch, entries, document): the frequencies of each batch's pre-tokens, and its documents with what is summed already (token null)."""
     with open(model_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
     key_type = docs.schema[id_col].dataType.simpleString()
@@ -135,6 +131,23 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
                 )
                 number += 1
 
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).sortWithinPartitions(F.xxhash64("text"), "text", "id")
+    return own.mapInArrow(frequencies, f"token binary, batch long, entries array<int>, {_DOCUMENT.format(key_type)}")
+
+
+_DOCUMENT = "document struct<place: int, id: {}, n_bytes: bigint, n: bigint>"
+
+
+def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a row of ``docs``: its id, n_bytes (UTF-8) and n_tokens, without special tokens.
+
+    Null and empty texts have no bytes and no tokens; a very long text is cut in whole by its task. Rows are counted one by one, so repeated
+    rows and ids stay apart; ties are no matter; other columns are left out, whatever their names. An empty table gives an empty table.
+    """
+    with open(model_path, "rb") as file:
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+    key_type = docs.schema[id_col].dataType.simpleString()
+
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         last: tuple[bytes | None, int] = (None, 0)
@@ -199,11 +212,9 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
         if number is not None:
             yield done()
 
-    document = f"document struct<place: int, id: {key_type}, n_bytes: bigint, n: bigint>"
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = own.sortWithinPartitions(F.xxhash64("text"), "text", "id").mapInArrow(frequencies, f"token binary, batch long, entries array<int>, {document}")
+    rows = pre_token_rows(docs, model_path, id_col=id_col, text_col=text_col)
     dealt = rows.repartition(F.coalesce(F.xxhash64("token"), F.lit(0)), F.when(F.col("token").isNull(), F.hash("batch", "document.place"))).sortWithinPartitions("token")
-    parts = dealt.mapInArrow(products, f"batch long, sums array<long>, {document}")
+    parts = dealt.mapInArrow(products, f"batch long, sums array<long>, {_DOCUMENT.format(key_type)}")
     return parts.repartition("batch").sortWithinPartitions("batch").mapInArrow(totals, f"`{id_col}` {key_type}, n_bytes long, n_tokens long")
 
 

@@ -33,3 +33,18 @@ def test_empty_table(spark):
 def test_model_that_changes_texts_is_refused():
     with pytest.raises(Exception):
         K.PieceModel(b"no model")
+
+
+def test_batches_and_counts_do_not_depend_on_the_order_of_rows(spark, sf_dir, monkeypatch):
+    """A task that runs again after an executor is lost may get its rows in another order; the rows that it sends must be the same."""
+    monkeypatch.setattr(K, "COMMON", 5)
+    docs = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    docs += docs[:20] + [(None, "a b c"), (None, None), (7, None)]
+    sent = []
+    for rows in (docs, docs[::-1]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        sent.append(sorted((bytes(r.token or b""), r.batch, r.entries or [], str(r.document)) for r in K.pre_token_rows(df, PATH).collect()))
+    assert sent[0] == sent[1] and all(len(x[2]) < 5 for x in sent[0])
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    got = sorted((r.n_bytes, r.n_tokens) for r in K.token_counts(spark.createDataFrame(docs, "doc_id long, text string"), PATH).collect())
+    assert got == sorted((len((t or "").encode()), len(model.encode(t or ""))) for _, t in docs)
