@@ -122,7 +122,13 @@ def phrase(docs: DataFrame, queries: DataFrame, boosts: dict[str, float], *, slo
     length = asked.groupBy("query_id").agg(F.count("*").alias("asked"))
     posted = ix.postings(tokens, asked, positions=True)
     frequency = ix.document_frequencies(posted)
-    there = posted.join(ix.small(asked), "term").join(frequency, ["field", "term"]).join(F.broadcast(ix.field_stats(tokens)), "field")
+    # a document can only hold a phrase if it has the query's rarest term, in a field that has all of them
+    words = asked.select("query_id", "term").distinct()
+    different = words.groupBy("query_id").agg(F.count("*").alias("different"))
+    rarest = words.join(frequency, "term").groupBy("query_id", "field").agg(F.min_by("term", "df").alias("term"), F.count("*").alias("n"))
+    rarest = rarest.join(ix.small(different), "query_id").where("n = different").select("query_id", "field", "term")
+    candidates = posted.select("field", "term", "id").join(ix.small(rarest), ["field", "term"]).select("query_id", "field", "id")
+    there = posted.join(candidates, ["field", "id"]).join(ix.small(asked), ["query_id", "term"]).join(frequency, ["field", "term"]).join(F.broadcast(ix.field_stats(tokens)), "field")
     idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     moved = there.select("query_id", "field", "id", "at", "dl", "avg_len", idf.alias("idf"), F.explode("positions").alias("pos")).withColumn("begin", F.col("pos") - F.col("at"))
     # a place to begin is tried at each shift that a term's position allows

@@ -233,13 +233,57 @@ VSCORES = _r("list_dot_product(q, e)", 6)
 LTR = {"lexicalScore": 1.0, "anyCoverage": 0.25, "feedbackCoverage": 0.1, "phraseCoverage": 0.05, "vectorScore": 0.2}
 FOLD = "CASE WHEN len(regexp_replace({0}, '[^0-9]', '', 'g')) > 0 AND CAST(regexp_replace({0}, '[^0-9]', '', 'g') AS BIGINT) > 0 THEN (CAST(regexp_replace({0}, '[^0-9]', '', 'g') AS BIGINT) - 1) % 5 ELSE list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (h * 31 + c) & 4294967295) % 5 END"
 
+NEEDED = "need AS (SELECT query_id, greatest(CAST(floor(sum(qtf) * CAST(0.7 AS DOUBLE)) AS BIGINT), 1) AS needed FROM ask GROUP BY query_id)"
+ENOUGH = f"ok AS (SELECT query_id, id, {_r('greatest(CASE WHEN n_title >= needed THEN 3 * title END, CASE WHEN n_abstract >= needed THEN 2 * abstract END, CASE WHEN n_text >= needed THEN 1 * text END)', 6)} AS score FROM wide JOIN need USING (query_id))"
+_NORM = "(CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avg_len)"
+PHRASES = f"""want AS (
+  SELECT query_id, unnest(w) AS term, unnest(range(len(w))) AS place FROM (SELECT query_id, {_tokens("query")} AS w FROM queries)
+), want_n AS (
+  SELECT query_id, count(*) AS asked FROM want GROUP BY query_id
+), pos AS MATERIALIZED (
+  SELECT * FROM (SELECT id, field, len(w) AS dl, unnest(w) AS term, unnest(range(len(w))) AS pos FROM tok) WHERE term IN (SELECT term FROM want)
+), idf AS (
+  SELECT field, term, ln(1 + (n_docs - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) AS idf FROM df JOIN stat USING (field)
+), tried AS (
+  SELECT query_id, field, id, dl, place, term, pos - place AS origin, unnest(range(pos - place - 3, pos - place + 1)) AS start FROM pos JOIN want USING (term)
+), moved AS (
+  SELECT query_id, field, id, dl, place, term, start, min(origin - start) AS moves FROM tried GROUP BY ALL
+), whole AS (
+  SELECT query_id, field, id, dl, start, count(*) AS found, max(moves) AS far, min(moves) AS near, sum(idf) AS idf FROM moved JOIN idf USING (field, term) GROUP BY ALL
+), often AS (
+  SELECT query_id, field, id, dl, sum(CAST(1 AS DOUBLE) / (1 + far)) AS freq, max(idf) AS idf FROM whole JOIN want_n USING (query_id) WHERE found = asked AND near = 0 GROUP BY ALL
+), phrases AS MATERIALIZED (
+  SELECT query_id, id, {_r(f"max(CASE field WHEN 'title' THEN 8 WHEN 'abstract' THEN 5 ELSE 2 END * idf * freq / (freq + CAST(1.2 AS DOUBLE) * {_NORM}))", 6)} AS score FROM often JOIN stat USING (field) GROUP BY ALL
+)"""
+CROSS = f"""widest AS (
+  SELECT term, max(df) AS df FROM df GROUP BY term
+), best_of AS (
+  SELECT term, id, max(CASE field WHEN 'title' THEN 3 WHEN 'abstract' THEN 2 ELSE 1 END * ln(1 + (n_docs - least(df, n_docs) + CAST(0.5 AS DOUBLE)) / (least(df, n_docs) + CAST(0.5 AS DOUBLE))) * (tf / (tf + CAST(1.2 AS DOUBLE) * {_NORM}))) AS score
+  FROM post JOIN widest USING (term) JOIN stat USING (field) GROUP BY ALL
+), crossed AS MATERIALIZED (
+  SELECT query_id, id, {_r("score", 6)} AS score FROM (SELECT query_id, id, sum(score * qtf) AS score, count(*) AS found FROM best_of JOIN ask USING (term) GROUP BY ALL)
+  JOIN (SELECT query_id, count(*) AS asked FROM ask GROUP BY query_id) USING (query_id) WHERE found = asked
+)"""
+
+
+def _clean(x: str) -> str:
+    return f"trim(regexp_replace(coalesce({x}, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
+def _lines(*parts: str) -> str:
+    return f"concat_ws(chr(10), {', '.join(parts)})"
+
+
 ORACLE_SQL: dict[str, str] = {
     "fixture_term_search": _with(*COMMON, f"s AS ({_top('wide2', 'score', 10)})".replace("wide2", "(SELECT query_id, id, CAST(sum(CASE field WHEN 'title' THEN 3 WHEN 'abstract' THEN 2 ELSE 1 END * tf * qtf) AS BIGINT) AS score FROM post JOIN ask USING (term) GROUP BY ALL)")) + RANKED + "s",
     "bm25_best_fields": _with(*COMMON, BASELINE) + RANKED + "run",
     "bm25_field_sum": _with(*COMMON) + RANKED + f"({_top('wide', SUM, 10)})",
     "bm25_tie_breaker": _with(DOCS, _index(fields={"title": 1, "text": 1})) + RANKED + f"({_top('wide', _r('greatest(title, text) + CAST(0.5 AS DOUBLE) * (title + text - greatest(title, text))', 6), 10)})",
     "bm25_paper_profile": _with(DOCS, _index(k1=1.5)) + RANKED + f"({_top('wide', SUM, 10)})",
-    "msm_filter": _with(*COMMON, "need AS (SELECT query_id, greatest(CAST(floor(sum(qtf) * CAST(0.7 AS DOUBLE)) AS BIGINT), 1) AS needed FROM ask GROUP BY query_id)", f"ok AS (SELECT query_id, id, {_r('greatest(CASE WHEN n_title >= needed THEN 3 * title END, CASE WHEN n_abstract >= needed THEN 2 * abstract END, CASE WHEN n_text >= needed THEN 1 * text END)', 6)} AS score FROM wide JOIN need USING (query_id))") + RANKED + f"({_top('(SELECT * FROM ok WHERE score IS NOT NULL)', 'score', 10)})",
+    "msm_filter": _with(*COMMON, NEEDED, ENOUGH) + RANKED + f"({_top('(SELECT * FROM ok WHERE score IS NOT NULL)', 'score', 10)})",
+    "phrase_search": _with(*COMMON, PHRASES) + RANKED + f"({_top('phrases', 'score', 10)})",
+    "cross_fields_search": _with(*COMMON, CROSS) + RANKED + f"({_top('crossed', 'score', 10)})",
+    "query_rescue": _with(*COMMON, NEEDED, ENOUGH, PHRASES, CROSS, f"must AS (SELECT query_id, id, {BEST} AS score FROM wide)") + RANKED + f"({_top('(SELECT m.query_id, m.id, m.score AS m, p.score AS p, c.score AS c, o.score AS o FROM must m LEFT JOIN phrases p ON p.query_id = m.query_id AND p.id = m.id LEFT JOIN crossed c ON c.query_id = m.query_id AND c.id = m.id LEFT JOIN ok o ON o.query_id = m.query_id AND o.id = m.id)', _r('m + coalesce(p * 3, 0) + coalesce(c * 2, 0) + coalesce(o * CAST(1.5 AS DOUBLE), 0)', 6), 10)})",
     "total_hits": _with(*COMMON) + "SELECT query_id, count(*) AS total_hits FROM wide GROUP BY query_id",
     "coverage_rerank": _with(*COMMON, POOL, COVERAGE) + RERANKED + "cov",
     "prf_feedback_terms": _with(*COMMON, POOL, TERMS) + "SELECT query_id, term, weight, place FROM fbt",
@@ -302,5 +346,24 @@ SELECT conv_id, turn, md5(regexp_replace(y, '\s+', ' ', 'g')) AS normalized_md5,
     "stopword_tokens": _with(DOCS) + f"SELECT id, array_to_string({_significant('title', COVERAGE_STOPWORDS)}, ' ') AS tokens, len({_significant('text')}) AS n_text_tokens FROM docs",
     "bigrams": _with(DOCS) + f"SELECT bigram, count(*) AS n, count(DISTINCT id) AS n_docs FROM (SELECT id, unnest({_bigrams('w')}) AS bigram FROM (SELECT id, {_significant('text', COVERAGE_STOPWORDS)} AS w FROM docs)) GROUP BY bigram",
     "dataset_profile_counts": _with(DOCS, QRELS) + "SELECT 'documents' AS part, count(*) AS n FROM docs UNION ALL SELECT 'queries', count(*) FROM queries UNION ALL SELECT 'qrels', count(*) FROM qrels UNION ALL SELECT 'judged_queries', count(DISTINCT query_id) FROM qrels",
+    "bm25_ignore_identical": _with(DOCS, _index(fields={"title": 1, "text": 1})) + RANKED + f"({_top('(SELECT * FROM wide WHERE id <> query_id)', _r('greatest(title, text) + CAST(0.5 AS DOUBLE) * (title + text - greatest(title, text))', 6), 10)})",
+    "published_delta": _with(*COMMON, QRELS, BASELINE, DOMAINS, _scored("run", mode="linear"), f"by_set AS (SELECT dataset, {_mean('ndcg_at_k', 'ndcg_at_k')} FROM scored JOIN dom USING (query_id) GROUP BY dataset)") + f"SELECT dataset, ndcg_at_k, {_r('ndcg_at_k - CAST(0.43 AS DOUBLE)')} AS delta, {_r(_r('ndcg_at_k - CAST(0.43 AS DOUBLE)') + ' / CAST(0.43 AS DOUBLE)')} AS relative_delta FROM by_set",
+    "simpler_preferred": _with(
+        *COMMON, QRELS, POOL, COVERAGE, TERMS, PRF, DOMAINS, "runs AS (SELECT 'coverage-rerank' AS technique, query_id, id, rank FROM cov UNION ALL SELECT 'prf-rerank', query_id, id, rank FROM prf)",
+        _scored("runs", mode="linear", keys=", technique"), f"by_set AS (SELECT technique, dataset, {_mean('ndcg_at_k', 'measured')} FROM scored JOIN dom USING (query_id) GROUP BY ALL)",
+        "won AS (SELECT count(*) AS evaluated, count(*) FILTER (a.measured > b.measured) AS won FROM by_set a JOIN by_set b USING (dataset) WHERE a.technique = 'prf-rerank' AND b.technique = 'coverage-rerank')",
+    ) + "SELECT evaluated, won, coalesce(won / nullif(evaluated, 0), 0) >= 0.7 AS preferred FROM won",
+    "weights_metrics": _with(*COMMON, QRELS, POOL, TERMS, HASHED, NEAR, FEATURE_ROWS, "sc AS (SELECT query_id, id, original_rank, " + _r(" + ".join(f'"{f}" * CAST({LTR.get(f, 0.0)} AS DOUBLE)' for f in FEATURES), 6) + " AS ltr_score FROM feats)", "run AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY ltr_score DESC, original_rank, id) AS rank FROM sc)", _scored("run")) + f"SELECT {MEANS} FROM scored",
+    "tagged_collection": _with(DOCS, f"r AS (SELECT id, {_clean('title')} AS t, {_clean('abstract')} AS a, {_clean('source')} AS s, {_clean('lang')} AS l FROM docs JOIN documents ON CAST(doc_id AS VARCHAR) = id)", "n AS (SELECT *, CASE WHEN t = '' THEN 'Cranfield document ' || id ELSE t END AS title FROM r)")
+    + f"SELECT id, 'driver-tables' AS dataset, title, md5(a) AS abstract_md5, md5({_clean("concat_ws(' ', title, s, l, a)")}) AS text_md5, 'documents' AS source FROM n",
+    "tagged_queries": f"SELECT CAST(row_number() OVER (ORDER BY item_id) AS VARCHAR) AS query_id, {_clean('text')} AS query FROM benchmark",
+    "qrels_lines": _with(DOCS, QRELS) + "SELECT query_id, count(g.id) AS judged, coalesce(string_agg(g.id || ':' || g.grade, ',' ORDER BY g.id || ':' || g.grade), '') AS judgements FROM queries LEFT JOIN qrels g USING (query_id) GROUP BY query_id",
+    "jsonl_corpus": _with(DOCS) + "SELECT id, title, md5(text) AS text_md5 FROM docs",
+    "judged_queries": _with(DOCS, QRELS, "n AS (SELECT query_id, count(*) AS n, CAST(sum(grade) AS BIGINT) AS grades FROM qrels GROUP BY query_id)") + "SELECT 'q' || query_id AS query_id, row_number() OVER (ORDER BY CAST(query_id AS BIGINT)) AS place, query, n, grades FROM n JOIN queries USING (query_id)",
+    "archive_members": _with(DOCS) + "SELECT id || '.txt' AS name, CASE WHEN len(id) % 2 = 0 THEN 'zip' ELSE 'tar' END AS kind, md5(text) AS content_md5 FROM docs",
+    "bulk_payload": _with(DOCS) + f"SELECT 'action' AS kind, id, md5('driver-tables') AS content_md5 FROM docs UNION ALL SELECT 'document', id, md5({_lines('title', 'text')}) FROM docs",
+    "embedding_input": _with(DOCS, QRELS) + "SELECT 'document' AS kind, id, md5(CASE WHEN title <> '' THEN title || chr(10) ELSE '' END || abstract) AS text_md5 FROM docs UNION ALL SELECT 'query', query_id, md5(query) FROM queries WHERE query_id IN (SELECT query_id FROM qrels)",
+    "resumed_work": "SELECT CAST(doc_id AS VARCHAR) AS id, length(coalesce(text, '')) AS n_chars FROM documents WHERE lang IS DISTINCT FROM 'en'",
+    "text_forms": _with(DOCS) + f"SELECT id, md5({_clean('text')}) AS cleaned_md5, md5('passage: ' || {_lines("nullif(title, '')", "nullif(abstract, '')", "nullif(text, '')")}) AS whole_md5, md5({_lines("nullif(title, '')", "nullif(abstract, '')")}) AS short_md5, md5(abstract) AS body_md5, md5(concat_ws(' ', title, title, abstract)) AS feedback_md5 FROM docs",
     "event_arrivals": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
 } | {f"metrics_{m.replace('-', '_')}": _with(*COMMON, QRELS, BASELINE, _scored("run", mode=m)) + f"SELECT query_id, {', '.join(METRICS)} FROM scored" for m in MODES}

@@ -20,6 +20,7 @@ from lodestar.operators import retrieval as rt
 from lodestar.operators.store import materialized, shared_folder
 from lodestar.plans.engine import BOOSTS, PHRASE_BOOSTS, Engine, collection_search
 from lodestar.plans.engine import collection_pool as pool_of_collection
+from lodestar.plans.formats import FORMATS
 from lodestar.sources import corpora
 from lodestar.streaming import ingest
 
@@ -369,6 +370,26 @@ def dataset_profile_counts(t: Tables) -> DataFrame:
     return out
 
 
+def bm25_ignore_identical(t: Tables) -> DataFrame:
+    """Documents whose id is the query's are no answers to it."""
+    return _ranked(collection_search(t.docs, t.queries, K, ignore_identical=True))
+
+
+def published_delta(t: Tables) -> DataFrame:
+    runs = metrics.aggregate(t.scored(t.baseline(), "linear").join(t.domains(), "query_id"), "dataset")
+    told = runs.select("dataset", "ndcg_at_k", metrics.reference_comparison(F.col("ndcg_at_k"), F.lit(PUBLISHED), K).alias("c"))
+    return told.select("dataset", "ndcg_at_k", "c.delta", "c.relative_delta")
+
+
+def simpler_preferred(t: Tables) -> DataFrame:
+    """Whether feedback terms win over plain coverage on enough groups of queries."""
+    return compare.wins(_techniques(t), "coverage-rerank", "prf-rerank")
+
+
+def weights_metrics(t: Tables) -> DataFrame:
+    return metrics.aggregate(t.scored(ltr.by_weights(_features(t), LTR_WEIGHTS)))
+
+
 def event_arrivals(t: Tables) -> DataFrame:
     return ingest.arrivals(t.read("events"))
 
@@ -380,6 +401,7 @@ _ALL = [
     missing_relevant, metric_deltas, group_deltas, query_deltas, decision, technique_classification, baseline_matrix, ltr_features, ltr_linear_score,
     ltr_coordinate_ascent, ltr_boosted_trees, fold_assignment, pool_recall, oracle_rank, normalize_query, stopword_tokens, bigrams, dataset_profile_counts,
     event_arrivals, knn_ivf, filtered_search, collection_pool, portfolio, mean_of_parts, failure_shares,
+    bm25_ignore_identical, published_delta, simpler_preferred, weights_metrics, *FORMATS,
 ]
 
 

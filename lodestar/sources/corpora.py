@@ -112,8 +112,9 @@ def zip_members(content: bytes) -> dict[str, bytes]:
         return {n: archive.read(n) for n in archive.namelist() if not n.endswith("/")}
 
 
-def archive_files(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, md5, name, content) of the members of all zip and tar archives at a path, unpacked by the tasks that read them."""
+def unpacked(archives: DataFrame) -> DataFrame:
+    """(archive, name, content) of the members of zip and tar archives (path, content), one row each, unpacked by the tasks that hold them."""
+
     def unpack(batches):
         import pandas as pd
 
@@ -121,8 +122,12 @@ def archive_files(spark: SparkSession, path: str) -> DataFrame:
             rows = [(p, n, c) for p, raw in zip(pdf["path"], pdf["content"], strict=True) for n, c in (zip_members(raw) if raw[:2] == b"PK" else tar_members(raw)).items()]
             yield pd.DataFrame(rows, columns=["archive", "name", "content"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(unpack, "archive string, name string, content binary")
+    return archives.select("path", "content").mapInPandas(unpack, "archive string, name string, content binary")
+
+
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """The members of all archives at a path."""
+    return unpacked(spark.read.format("binaryFile").load(path))
 
 
 def tagged_archive(spark: SparkSession, path: str) -> dict[str, DataFrame]:
