@@ -78,7 +78,7 @@ def judged_queries(t: Tables) -> DataFrame:
     header = t.spark.range(1).select(F.lit("query-id\tcorpus-id\tscore").alias("value"))
     header.unionByName(t.qrels().select(line.alias("value"))).write.option("maxRecordsPerFile", 10_000).text(f"{path}/qrels")
     qrels = corpora.tsv_qrels(t.spark, f"{path}/qrels")
-    judged = corpora.judged_queries(corpora.jsonl_queries(t.spark, f"{path}/queries"), qrels)
+    judged = corpora.judged_queries(corpora.jsonl_queries(t.spark, f"{path}/queries", qrels), qrels)
     grades = qrels.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("grade").alias("grades"))
     return judged.join(grades, "query_id").select("query_id", F.col("place").cast("long").alias("place"), "query", "n", "grades")
 

