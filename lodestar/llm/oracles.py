@@ -93,21 +93,23 @@ WITH d AS (
   SELECT row, count(DISTINCT spot) AS n FROM (SELECT row, unnest(range(i, i + 8)) AS spot FROM again) GROUP BY row
 ), measured AS (
   SELECT row, doc_id, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
-    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n_lines, n_lines - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
     coalesce(r.n, 0) AS n_repeat_words
   FROM d LEFT JOIN repeats r USING (row)
 ), judged AS (
-  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines AS any_failed
+  FROM measured
 ), domains AS (
-  SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM judged GROUP BY source
+  SELECT source, count(*) AS n, count(*) FILTER (any_failed) AS failed FROM judged GROUP BY source
 ), moments AS (
   SELECT avg(CAST(failed AS DOUBLE) / n) AS m, var_pop(CAST(failed AS DOUBLE) / n) AS v FROM domains
 ), prior AS (
   SELECT m, CASE WHEN v > 0 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE 1 END AS k FROM moments
 ), verdicts AS (
-  SELECT source, (failed + m * k) / (n + k) <= 0.9 AS good FROM domains CROSS JOIN prior
+  SELECT source, (failed + m * k) / (n + k) <= 0.7 AS good FROM domains CROSS JOIN prior
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, any_failed, NOT base_failed AND good AS kept
 FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
 """
 

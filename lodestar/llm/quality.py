@@ -1,8 +1,9 @@
 """Quality rules at two levels: of a document, and of its domain.
 
-A document fails by its own words: too few of them, or too many inside repeated windows. Failures are summed per domain,
-each domain's rate is shrunk towards an empirical beta prior (by moments over all domains), and domains whose shrunk rate
-is above a bound reject all their documents. Small domains stay near the prior, so a few failures don't condemn them.
+A document fails by its own words: too few of them, or too many inside repeated windows. Two rules more, for symbols and for lines that
+repeat, don't reject a document, but count against its domain. Documents that break any rule are summed per domain, each domain's rate is
+shrunk towards an empirical beta prior (by moments over all domains), and domains whose shrunk rate is above a bound reject all their
+documents. Small domains stay near the prior, so a few failures don't condemn them.
 
 Only sums per domain are dealt out (a task sends one row a domain, so a hot domain isn't a hot task), and verdicts join
 back on the domain.
@@ -21,13 +22,16 @@ from lodestar.llm.common import checkpoint, fresh, join_checked, map_rows, packe
 LEAST_WORDS = 20
 WINDOW = 8
 MOST_REPEATED_PERCENT = 30
+#: Symbols per word character, and repeated lines per line, above which a document counts against its domain.
+MOST_SYMBOLS_PERCENT = 10
+MOST_DUP_LINES_PERCENT = 30
 #: A domain rejects all its documents if its shrunk rate of failures is above this.
-MOST_FAILURES = 0.9
+MOST_FAILURES = 0.7
 SYMBOLS = b"#*$%&|<>"
 _BLANK = b" \t\n\x0b\x0c\r"
 _INNER = bytes(range(0x80, 0xC0))
 
-BASE = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
+BASE = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")])
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -61,9 +65,10 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(inside[:-1]) > 0).sum())
 
 
-def measure(text: bytes | None) -> tuple[int, int, int, int, int]:
+def measure(text: bytes | None) -> tuple[int, int, int, int, int, int]:
+    """The measures of ``BASE``; lines are those with a word."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     words = text.split()
     lines = [x for x in text.split(b"\n") if x.strip()]
     return (
@@ -72,6 +77,7 @@ def measure(text: bytes | None) -> tuple[int, int, int, int, int]:
         len(text) - len(text.translate(None, SYMBOLS)),
         len(lines) - len(set(lines)),
         repeated_words(words),
+        len(lines),
     )
 
 
@@ -81,7 +87,9 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return dict(zip(BASE.names, map(list, zip(*rows, strict=True)) if rows else [[] for _ in BASE.names], strict=True))
 
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    return map_rows(docs, run, BASE).withColumn("base_failed", failed)
+    symbols = 100 * F.col("n_symbols") > MOST_SYMBOLS_PERCENT * F.col("word_chars")
+    lines = 100 * F.col("n_dup_lines") > MOST_DUP_LINES_PERCENT * F.col("n_lines")
+    return map_rows(docs, run, BASE).withColumn("base_failed", failed).withColumn("any_failed", F.col("base_failed") | symbols | lines)
 
 
 def domain_verdicts(failures: DataFrame, *, most: float = MOST_FAILURES) -> DataFrame:
@@ -101,9 +109,9 @@ def domain_verdicts(failures: DataFrame, *, most: float = MOST_FAILURES) -> Data
 
 
 def _judged(measured: DataFrame, domain_col: str, most: float) -> DataFrame:
-    """``measured`` (checkpointed rows with base_failed) with domain_rate, domain_kept and kept."""
+    """``measured`` (checkpointed rows with base_failed and any_failed) with domain_rate, domain_kept and kept."""
     domain = F.col(domain_col).cast("string")
-    failures = measured.groupBy(domain.alias("domain")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    failures = measured.groupBy(domain.alias("domain")).agg(F.count("*").alias("n"), F.sum(F.col("any_failed").cast("long")).alias("failed"))
     judged = measured.drop("domain_rate", "domain_kept", "kept")
     key = fresh(judged, "_domain")
     verdicts = checkpoint(domain_verdicts(checkpoint(failures), most=most).select(F.col("domain").alias(key), "domain_rate", "domain_kept"))
@@ -111,7 +119,7 @@ def _judged(measured: DataFrame, domain_col: str, most: float) -> DataFrame:
 
 
 def with_verdicts(docs: DataFrame, *, text_col: str = "text", domain_col: str = "source", most: float = MOST_FAILURES) -> DataFrame:
-    """``docs`` with the measures, base_failed, domain_rate, domain_kept and kept.
+    """``docs`` with the measures, base_failed, any_failed, domain_rate, domain_kept and kept.
 
     Null and empty texts have no words and so fail; a very long text is measured in whole, by its task alone; documents without a domain are
     one domain; repeated rows count and are judged one by one; a domain whose rate equals the bound is kept; columns named like new ones are
@@ -121,9 +129,9 @@ def with_verdicts(docs: DataFrame, *, text_col: str = "text", domain_col: str =
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, the measures, base_failed, kept."""
+    """One row a document: doc_id, the measures, base_failed, any_failed, kept."""
     measured = checkpoint(with_measures(docs.select("doc_id", "source", "text")).drop("text"))
-    return _judged(measured, "source", MOST_FAILURES).select("doc_id", *BASE.names, "base_failed", "kept")
+    return _judged(measured, "source", MOST_FAILURES).select("doc_id", *BASE.names, "base_failed", "any_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

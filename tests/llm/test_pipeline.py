@@ -49,7 +49,7 @@ def test_run_against_brute_force(spark, sf_dir):
     items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
 
     def good(text):
-        n, _, _, _, repeats = measured.brute(text)
+        n, _, _, _, repeats, _ = measured.brute(text)
         return n >= 20 and 100 * repeats <= 30 * n
 
     docs = [d for d in docs if good(d[1])]
