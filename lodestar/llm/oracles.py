@@ -113,4 +113,127 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
 FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op2_mix": OP2, "op5_quality": OP5, "op9_chat": OP9, "chat_examples": CHAT_EXAMPLES}
+OP6 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents
+), chunks AS (
+  SELECT row, n, k, substr(h, 800 * k + 1, 1598) AS chunk FROM (SELECT row, h, n, unnest(range(0, n // 400)) AS k FROM d WHERE n >= 400)
+), windows AS MATERIALIZED (
+  SELECT row, 400 * k + j + 1 AS i, md5_number(substr(chunk, 2 * j + 1, 800)) AS g FROM (SELECT row, n, k, chunk, unnest(range(0, 400)) AS j FROM chunks) WHERE 400 * k + j <= n - 400
+), starts AS (
+  SELECT row, i FROM windows WHERE g IN (SELECT g FROM windows GROUP BY g HAVING count(*) > 1)
+), runs AS (
+  SELECT row, i, sum(new) OVER (PARTITION BY row ORDER BY i) AS run
+  FROM (SELECT row, i, CASE WHEN i - lag(i) OVER (PARTITION BY row ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM starts)
+), spans AS (
+  SELECT row, run, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY row, run
+), pieces AS (
+  SELECT row, run, a, b, coalesce(lag(b) OVER (PARTITION BY row ORDER BY run), 1) AS prior FROM spans
+), cut AS (
+  SELECT d.row, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * prior - 1, 2 * (a - prior)), '' ORDER BY run) || substr(any_value(h), 2 * max(b) - 1) AS kept
+  FROM d JOIN pieces USING (row) GROUP BY d.row
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (row)
+"""
+
+OP3 = r"""
+WITH RECURSIVE rules (of, starts, told) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), rest AS (
+  SELECT row_number() OVER () AS row, page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), located AS (
+  SELECT row, page_id, html, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM rest
+), fits AS (
+  SELECT row, arg_min(struct_pack(rule := of || starts, told := told), (-length(of || starts), of || starts)) AS r
+  FROM located JOIN rules ON (host = of OR ends_with(host, '.' || of)) AND starts_with(path, starts) GROUP BY row
+), ruled AS (
+  SELECT row, page_id, html, host, path, r.rule AS rule, r.told AS told FROM located LEFT JOIN fits USING (row)
+), seeds AS (
+  SELECT host, avg(CASE WHEN told = 'allow' THEN 1 ELSE 0 END) AS trust, avg(CASE WHEN told = 'block' THEN 1 ELSE 0 END) AS distrust FROM ruled WHERE host <> '' GROUP BY host
+), hrefs AS (
+  SELECT host AS src, unnest(regexp_extract_all(html, '\b[hH][rR][eE][fF][ \t\n\x0B\f\r]*=[ \t\n\x0B\f\r]*["'']?((?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^"'' \t\n\x0B\f\r>]+)', 1)) AS url FROM ruled
+), links AS (
+  SELECT src, dst, count(*) AS links
+  FROM (SELECT src, translate(regexp_extract(substr(url, strpos(url, '//') + 2), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM hrefs)
+  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
+), shares AS (
+  SELECT src, dst, links / sum(links) OVER (PARTITION BY src) * CAST(0.85 AS DOUBLE) AS given, links / sum(links) OVER (PARTITION BY dst) * CAST(0.85 AS DOUBLE) AS had FROM links
+), flows AS (
+  SELECT 'trust' AS kind, src AS come, dst AS go, given AS share FROM shares
+  UNION ALL SELECT 'distrust', dst, src, had FROM shares
+  UNION ALL SELECT 'suspicion', dst, src, given FROM shares
+), started AS (
+  SELECT kind, host, score * (CAST(1 AS DOUBLE) - CAST(0.85 AS DOUBLE)) AS score
+  FROM (SELECT 'trust' AS kind, host, trust AS score FROM seeds UNION ALL SELECT 'distrust', host, distrust FROM seeds UNION ALL SELECT 'suspicion', host, distrust FROM seeds)
+  WHERE score > 0
+), passed AS (
+  SELECT kind, host, score, 0 AS k FROM started
+  UNION ALL SELECT f.kind, f.go, sum(p.score * f.share), p.k + 1 FROM passed p JOIN flows f ON p.kind = f.kind AND p.host = f.come WHERE p.k < 12 GROUP BY f.kind, f.go, p.k
+), standing AS (
+  SELECT host, round(coalesce(sum(score) FILTER (kind = 'trust'), 0), 9) AS trust, round(coalesce(sum(score) FILTER (kind = 'distrust'), 0), 9) AS distrust,
+    round(coalesce(sum(score) FILTER (kind = 'suspicion'), 0), 9) AS suspicion
+  FROM passed GROUP BY host
+)
+SELECT page_id, host, path, rule, coalesce(told, CASE WHEN greatest(distrust, suspicion) >= 0.075 AND greatest(distrust, suspicion) > trust THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+FROM ruled LEFT JOIN standing USING (host)
+"""
+
+
+def _any_case(word: str) -> str:
+    """A pattern for a word of letters in either case; letters beyond A-Z that fold to them don't match, as in Spark."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def _matches(pattern: str, kind: str, group: int = 0, where: str = "true") -> str:
+    """Matches of a pattern with offsets: the lengths of matches and of the texts between them, summed up."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT row, {kind} AS kind, CAST(stop - len(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM (
+    SELECT row, hit, part, sum(len(gap) + len(hit)) OVER (PARTITION BY row ORDER BY i) AS stop FROM (
+      SELECT row, unnest(regexp_extract_all(text, '{quoted}')) AS hit, unnest(regexp_extract_all(text, '{quoted}', {group})) AS part,
+        unnest(string_split_regex(text, '{quoted}')) AS gap, unnest(range(1, CAST(len(text) AS BIGINT) + 2)) AS i
+      FROM d WHERE regexp_matches(text, '{quoted}'))
+    WHERE hit IS NOT NULL)
+  WHERE {where}"""
+
+
+_ASSIGN = "(" + "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_ACCOUNT = "(?:" + "|".join(map(_any_case, ("client_?id", "user_?name", "user", "login", "account", "key_?id"))) + r""")["']?\x20*[:=]\x20*["']?[a-zA-Z0-9_.@-]{3,}"""
+_ADDRESS = r"""(?:https?|ftps?|sftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|mongodb|amqps?|s3)://[^ \t\n\x0B\f\r"'<>]+"""
+#: A mixed token begins a run of its characters and ``=`` and ends before the first ``=``.
+_TOKENS = _matches("[A-Za-z0-9+/_=-]+", "4").replace("AS BIGINT) AS stop FROM", "AS BIGINT) AS run_stop, regexp_extract(hit, '^[A-Za-z0-9+/_-]*') AS token FROM")
+
+OP10 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), parts AS ({_matches(_ASSIGN, "CASE WHEN len(part) >= 8 THEN 0 ELSE 4 END", 2, "len(part) >= 4")}
+  UNION {_matches("AKIA[A-Z0-9]{12,}", "1")}
+  UNION {_matches("[0-9a-f]{32,}", "2")}
+  UNION {_matches(_ACCOUNT, "3")}
+  UNION {_matches(_ADDRESS, "5")}
+  UNION SELECT row, kind, start, start + len(token) FROM ({_TOKENS})
+  WHERE len(token) >= 20 AND regexp_matches(token, '[0-9]') AND regexp_matches(token, '[A-Z]') AND regexp_matches(token, '[a-z]')
+), near AS (
+  SELECT w.row, w.kind, w.start, w.stop, bool_or(o.kind IN (1, 3)) AS by_id, bool_or(o.kind IN (0, 2, 4)) AS by_key
+  FROM parts w JOIN parts o ON w.row = o.row AND o.start <= w.stop + 240 AND o.stop >= w.start - 240 AND (o.kind, o.start, o.stop) <> (w.kind, w.start, w.stop)
+  WHERE w.kind >= 3 GROUP BY w.row, w.kind, w.start, w.stop
+), spans AS (
+  SELECT row, kind, start, stop FROM parts WHERE kind < 3
+  UNION ALL SELECT row, kind, start, stop FROM near WHERE CASE kind WHEN 3 THEN by_key WHEN 4 THEN by_id ELSE by_id AND by_key END
+), named AS (
+  SELECT *, ['assign', 'access', 'hex', 'linked_id', 'linked_secret', 'linked_endpoint'][kind + 1] || ':' || start || ':' || stop AS name FROM spans
+), gathered AS (
+  SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(name, ',' ORDER BY start, kind, stop) FILTER (kind < 3) AS base, string_agg(name, ',' ORDER BY start, kind, stop) AS spans
+  FROM named GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN gathered USING (row)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op2_mix": OP2, "op3_urls": OP3, "op5_quality": OP5, "op6_repeats": OP6, "op9_chat": OP9, "op10_secrets": OP10, "chat_examples": CHAT_EXAMPLES}
