@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import chat, decontaminate, langid, mix, quality, repeats, secrets, simhash, tokencount, urlgraph
+from lodestar.llm import chat, decontaminate, langid, mix, quality, repeats, secrets, simhash, tokencount, urlgraph, whitening
 from lodestar.llm.common import table
 
 
@@ -67,6 +67,10 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlgraph.url_digest(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
     "op10_secrets": op10_secrets,
+    "op11_whitening": op11_whitening,
     "chat_examples": chat_examples,
     "language_calibration": language_calibration,
 }
