@@ -37,6 +37,8 @@ from lodestar.operators.store import shared_folder
 LEAST_BYTES = 100
 #: Bytes of archive after which a task begins another package; bytes of an index that one row reads; bytes of archive that are dealt out and read together.
 PACKAGE_BYTES, INDEX_BYTES, STRETCH_BYTES = 256 << 20, 4 << 20, 4 << 20
+#: Bytes of packages that one task reads, about, if there are more than the session has cores.
+TASK_BYTES = 64 << 20
 #: Payload bytes that a batch of records holds, about.
 BATCH_BYTES = 8 << 20
 # Signatures, names and places of the ZIP, WARC and package formats.
@@ -230,12 +232,13 @@ class _Package:
         parts = [{"name": name.rpartition("/")[2], "path": name, "hash": f"sha256:{sha}", "bytes": size} for name, sha, size in ((ARCHIVE, self.sha.hexdigest(), n), (INDEX, hashlib.sha256(index).hexdigest(), len(index)))]
         self.zip.writestr(zipfile.ZipInfo(DESCRIPTION), json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": parts}))
         self.zip.close()
+        size = self.out.tell()
         self.out.close()
-        return {"path": self.path, "records": len(self.lines)}
+        return {"path": self.path, "length": size, "records": len(self.lines)}
 
 
 def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Writes ``pages`` as packages to ``folder`` (new, and shared by all executors) and returns a table of (path, records), which is stored there as well.
+    """Writes ``pages`` as packages to ``folder`` (new, and shared by all executors) and returns a table of (path, length, records), which is stored there as well.
 
     A null payload is empty. Of equal payloads of ``LEAST_BYTES`` or more, the rows with the least id are stored, others refer to it; a null id is above all others, and
     if all are null, all are stored; a row repeated in whole is as its twin. A null url is left out; spaces and control characters of urls are escaped. Very long payloads are
@@ -266,10 +269,10 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
                     package = None
         if package is not None:
             made.append(package.close())
-        rows = [{"path": f"{folder}/data/{m['path'].rpartition('/')[2]}", "records": m["records"]} for m in made]
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("records", pa.int64())]))
+        rows = [{"path": f"{folder}/data/{m['path'].rpartition('/')[2]}", "length": m["length"], "records": m["records"]} for m in made]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("length", pa.int64()), ("records", pa.int64())]))
 
-    told.mapInArrow(run, "path string, records long").write.mode("errorifexists").parquet(f"{folder}/written")
+    told.mapInArrow(run, "path string, length long, records long").write.mode("errorifexists").parquet(f"{folder}/written")
     return spark.read.parquet(f"{folder}/written")
 
 
@@ -376,7 +379,7 @@ def entries(packages: DataFrame) -> DataFrame:
 
 
 def read(packages: DataFrame) -> DataFrame:
-    """The records of all ``packages`` (path), each read by ranges from its place.
+    """The records of all ``packages`` (path, length), each read by ranges from its place.
 
     (path, offset, record_id, record_type, url, stated_digest, refers_to, payload, payload_bytes, payload_digest): a revisit has no payload and no digest of its own, and the bytes it states.
     """
@@ -412,7 +415,9 @@ def read(packages: DataFrame) -> DataFrame:
             file.close()
         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    dealt = entries(packages).repartition("path", F.floor(F.col("offset") / STRETCH_BYTES)).sortWithinPartitions("path", "offset")
+    length = packages.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(packages.sparkSession.sparkContext.defaultParallelism, -(-length // TASK_BYTES))  # places are narrow, so their bytes don't tell how many tasks reading takes
+    dealt = entries(packages).repartition(tasks, "path", F.floor(F.col("offset") / STRETCH_BYTES)).sortWithinPartitions("path", "offset")
     return dealt.mapInArrow(run, _RECORD)
 
 
