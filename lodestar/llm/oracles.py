@@ -236,4 +236,34 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN gathered USING (row)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op2_mix": OP2, "op3_urls": OP3, "op5_quality": OP5, "op6_repeats": OP6, "op9_chat": OP9, "op10_secrets": OP10, "chat_examples": CHAT_EXAMPLES}
+_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWERED}, '{_WORDS}') AS words FROM documents
+), own AS (SELECT row, doc_id, words, len(words) AS n FROM d WHERE len(words) > 0
+), totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_words FROM own
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWERED}, '{_WORDS}')) AS term FROM benchmark
+), posted AS (
+  SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(words) AS term FROM own) WHERE term IN (SELECT term FROM asked) GROUP BY row, doc_id, n, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM posted, totals GROUP BY term, n_docs
+), scored AS (
+  SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_words))))::BIGINT AS score
+  FROM asked JOIN posted USING (term) JOIN weights USING (term), totals GROUP BY item_id, row, doc_id
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+) WHERE rank <= 10
+"""
+
+OP13 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+), told AS (SELECT p.*, CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p LEFT JOIN firsts USING (payload_digest))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM told
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op2_mix": OP2, "op3_urls": OP3, "op5_quality": OP5, "op6_repeats": OP6, "op9_chat": OP9, "op10_secrets": OP10, "op12_ranked": OP12, "op13_warc": OP13, "chat_examples": CHAT_EXAMPLES}

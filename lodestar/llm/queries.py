@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import chat, decontaminate, langid, mix, packages, quality, repeats, secrets, simhash, tokencount, urlgraph, whitening
+from lodestar.llm import chat, decontaminate, langid, mix, packages, quality, ranked, repeats, secrets, simhash, tokencount, urlgraph, whitening
 from lodestar.llm.common import table
 
 
@@ -75,6 +75,10 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.archive_digest(table(spark, sf_dir, "pages"))
 
 
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
@@ -87,6 +91,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_secrets": op10_secrets,
     "op11_whitening": op11_whitening,
+    "op12_ranked": op12_ranked,
     "op13_warc": op13_warc,
     "chat_examples": chat_examples,
     "language_calibration": language_calibration,

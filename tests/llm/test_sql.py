@@ -4,9 +4,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lodestar.llm import repeats, secrets, urlgraph
+from lodestar.llm import packages, ranked, repeats, secrets, urlgraph
 from lodestar.llm.oracles import ORACLE_SQL
 from lodestar.llm.queries import QUERIES
+from tests.llm.test_packages import odd_rows
 from tests.llm.test_secrets import TEXTS
 
 
@@ -17,10 +18,10 @@ def same(left, right):
     assert rows(left) == rows(right)
 
 
-@pytest.mark.parametrize("name", ["op3_urls", "op6_repeats", "op10_secrets"])
+@pytest.mark.parametrize("name", ["op3_urls", "op6_repeats", "op10_secrets", "op12_ranked", "op13_warc"])
 def test_whole_tables(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     same(QUERIES[name](spark, sf_dir).toPandas(), con.sql(ORACLE_SQL[name]).df())
 
@@ -56,3 +57,23 @@ def test_repeats_of_odd_texts(spark):
     found = repeats.repeats_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
     same(found, con.sql(ORACLE_SQL["op6_repeats"]).df())
     assert (found.n_removed > 0).sum() > 4
+
+
+def test_payloads_of_odd_rows(spark):
+    rows = [r for r in odd_rows() if r[2] is None or "\x00" not in r[2]]
+    pages = pd.DataFrame([(k, h) for k, _, h, *_ in rows], columns=["page_id", "html"]).astype({"page_id": "Int64"})
+    con = duckdb.connect()
+    con.register("pages", pages)
+    left = packages.archive_digest(spark.createDataFrame(rows, "page_id long, url string, html string, digest string, id int"))
+    right = con.sql(ORACLE_SQL["op13_warc"]).fetchall()
+    assert sorted(map(tuple, left.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str) == sorted(right, key=str)
+
+
+def test_ranked_ties_and_nulls(spark):
+    documents = pd.DataFrame({"doc_id": [5, 3, 9, 4, 7, 8], "text": ["A b c", "a B c", "É a", None, "...", "b b b é É ÉÄ"]})
+    benchmark = pd.DataFrame({"item_id": [1, 2, 3, 4], "text": ["a b", "É!", None, "zz"]})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    con.register("benchmark", benchmark)
+    left = ranked.ranked_digest(spark.createDataFrame(documents), spark.createDataFrame([tuple(r) for r in benchmark.itertuples(index=False)], "item_id long, text string"))
+    same(left.toPandas(), con.sql(ORACLE_SQL["op12_ranked"]).df())
