@@ -14,7 +14,7 @@ from tests.llm.test_secrets import TEXTS
 def same(left, right):
     columns = sorted(left.columns)
     assert columns == sorted(right.columns)
-    rows = lambda df: sorted(map(tuple, df[columns].astype(str).to_numpy().tolist()))
+    rows = lambda df: sorted(map(tuple, df[columns].astype(object).where(df[columns].notna(), None).astype(str).to_numpy().tolist()))
     assert rows(left) == rows(right)
 
 
