@@ -1,8 +1,8 @@
 """Corpus statistics and postings.
 
 Documents are (id, and one text column per field). ``tokenized`` has the token arrays once; postings come from them, for all terms
-(to be written and read by later searches) or for the terms of some queries only, in which case tokens that no query asks for
-are dropped before anything is counted or dealt out.
+or for the terms of some queries only, in which case tokens that no query asks for are dropped before anything is counted or dealt out.
+An index that later searches read is in ``segments``.
 """
 
 from __future__ import annotations
@@ -55,46 +55,3 @@ def document_frequencies(posted: DataFrame) -> DataFrame:
 def query_terms(queries: DataFrame, analyzer: Analyzer = tx.tokens) -> DataFrame:
     """(query_id, term, qtf): each occurrence of a term in a query is a clause of its own."""
     return queries.select("query_id", F.explode(analyzer(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-
-
-# --- a stored index
-
-#: Folders that terms are dealt out to by hash; a search reads those of its terms only.
-BUCKETS = 64
-
-
-def _bucket(term: str | Column = "term") -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
-def store(tokens: DataFrame, path: str, datasets: DataFrame | None = None) -> None:
-    """Writes postings and document frequencies by bucket of term, sorted by term, and the fields' statistics; ``datasets`` (id, dataset) allows filters."""
-    posted = postings(tokens)
-    posted = posted.join(datasets.select("id", "dataset"), "id", "left") if datasets is not None else posted.withColumn("dataset", F.lit(None).cast("string"))
-    dealt = posted.withColumn("bucket", _bucket()).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term")
-    dealt.write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings")
-    again = tokens.sparkSession.read.parquet(f"{path}/postings")
-    frequencies = document_frequencies(again).withColumn("bucket", _bucket()).repartition("bucket").sortWithinPartitions("bucket", "term")
-    frequencies.write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/frequencies")
-    field_stats(tokens).write.mode("errorifexists").parquet(f"{path}/fields")
-
-
-class Stored:
-    """What ``store`` wrote. Searches read the buckets of their terms, and of these the row groups that may hold them."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.fields = spark.read.parquet(f"{path}/fields")
-        self._postings, self._frequencies = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "frequencies"))
-
-    def _of(self, df: DataFrame, terms: DataFrame) -> DataFrame:
-        asked = terms.select("term").distinct()
-        buckets = [r["bucket"] for r in asked.select(_bucket().alias("bucket")).distinct().collect()]
-        return df.where(F.col("bucket").isin(buckets)).join(small(asked), "term", "left_semi").drop("bucket")
-
-    def postings(self, terms: DataFrame, dataset: str | None = None) -> DataFrame:
-        every = self._postings if dataset is None else self._postings.where(F.col("dataset") == dataset)
-        return self._of(every, terms).select("field", "term", "id", "dl", "tf")
-
-    def frequencies(self, terms: DataFrame) -> DataFrame:
-        """Of the whole index: a filter doesn't change what a term is worth."""
-        return self._of(self._frequencies, terms)

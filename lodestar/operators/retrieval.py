@@ -41,10 +41,10 @@ def top_k(scored: DataFrame, k: int, *keys: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def term_scores(docs: DataFrame, queries: DataFrame, fields: list[str], *, profile: Profile = DEFAULT, analyzer=tx.tokens, tokens: DataFrame | None = None, stored: ix.Stored | None = None, dataset: str | None = None) -> DataFrame:
+def term_scores(docs: DataFrame, queries: DataFrame, fields: list[str], *, profile: Profile = DEFAULT, analyzer=tx.tokens, tokens: DataFrame | None = None, stored=None, dataset: str | None = None) -> DataFrame:
     """(query_id, id, field, term, qtf, score): BM25 of each matching term, score without qtf.
 
-    A ``stored`` index is read instead of documents or tokens, of one ``dataset`` if asked for.
+    A ``stored`` index (``segments.Index``) is read instead of documents or tokens, of one ``dataset`` if asked for.
     """
     terms = ix.query_terms(queries, analyzer)
     if stored is not None:
@@ -95,13 +95,22 @@ def at_least(scores: DataFrame, terms: DataFrame, boosts: dict[str, float], shar
     return wide.withColumn("score", round_half_up(F.greatest(*enough), 6)).where(F.col("score").isNotNull()).select("query_id", "id", "score")
 
 
-def cross_fields(docs: DataFrame, queries: DataFrame, boosts: dict[str, float], *, profile: Profile = DEFAULT, analyzer=tx.tokens) -> DataFrame:
+def _posted(docs: DataFrame, terms: DataFrame, fields: list[str], analyzer, stored, positions: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, frequencies, fields) of some terms, from a stored index or from the documents."""
+    if stored is not None:
+        within = F.col("field").isin(fields)
+        return stored.postings(terms, positions=positions).where(within), stored.frequencies(terms).where(within), stored.fields
+    tokens = ix.tokenized(docs, fields, analyzer)
+    posted = ix.postings(tokens, terms, positions)
+    return posted, ix.document_frequencies(posted), ix.field_stats(tokens)
+
+
+def cross_fields(docs: DataFrame, queries: DataFrame, boosts: dict[str, float], *, profile: Profile = DEFAULT, analyzer=tx.tokens, stored=None) -> DataFrame:
     """Term-centric scores: each term's best field, document frequencies blended to the largest of any field, all terms needed."""
-    tokens = ix.tokenized(docs, list(boosts), analyzer)
     terms = ix.query_terms(queries, analyzer)
-    posted = ix.postings(tokens, terms)
-    blended = ix.document_frequencies(posted).groupBy("term").agg(F.max("df").alias("df"))
-    stats = posted.join(blended, "term").join(F.broadcast(ix.field_stats(tokens)), "field")
+    posted, frequencies, fields = _posted(docs, terms, list(boosts), analyzer, stored)
+    blended = frequencies.groupBy("term").agg(F.max("df").alias("df"))
+    stats = posted.join(blended, "term").join(F.broadcast(fields), "field")  # a row per field
     boost = reduce(lambda e, f: e.when(F.col("field") == f, F.lit(float(boosts[f]))), list(boosts)[1:], F.when(F.col("field") == next(iter(boosts)), F.lit(float(next(iter(boosts.values()))))))
     df = F.least(F.col("df"), F.col("n_docs"))
     best = stats.groupBy("term", "id").agg(F.max(boost * bm25(profile, F.col("tf"), df, F.col("dl"), F.col("n_docs"), F.col("avg_len"))).alias("score"))
@@ -110,25 +119,23 @@ def cross_fields(docs: DataFrame, queries: DataFrame, boosts: dict[str, float],
     return found.join(ix.small(asked), "query_id").where("found = asked").select("query_id", "id", round_half_up(F.col("score"), 6).alias("score"))
 
 
-def phrase(docs: DataFrame, queries: DataFrame, boosts: dict[str, float], *, slop: int = 3, profile: Profile = DEFAULT, analyzer=tx.tokens) -> DataFrame:
+def phrase(docs: DataFrame, queries: DataFrame, boosts: dict[str, float], *, slop: int = 3, profile: Profile = DEFAULT, analyzer=tx.tokens, stored=None) -> DataFrame:
     """Best field's phrase score with slop.
 
     A phrase occurs at a place if every term of the query stands within ``slop`` of where it would stand in order; an occurrence counts
     1 / (1 + moves). The score is BM25 with the sum of idf and that frequency. (A simpler rule than an engine's sloppy matcher, which
     moves terms one at a time; exact phrases score alike.)
     """
-    tokens = ix.tokenized(docs, list(boosts), analyzer)
     asked = queries.select("query_id", F.posexplode(analyzer(F.col("query"))).alias("at", "term"))
     length = asked.groupBy("query_id").agg(F.count("*").alias("asked"))
-    posted = ix.postings(tokens, asked, positions=True)
-    frequency = ix.document_frequencies(posted)
+    posted, frequency, fields = _posted(docs, asked, list(boosts), analyzer, stored, positions=True)
     # a document can only hold a phrase if it has the query's rarest term, in a field that has all of them
     words = asked.select("query_id", "term").distinct()
     different = words.groupBy("query_id").agg(F.count("*").alias("different"))
     rarest = words.join(frequency, "term").groupBy("query_id", "field").agg(F.min_by("term", "df").alias("term"), F.count("*").alias("n"))
     rarest = rarest.join(ix.small(different), "query_id").where("n = different").select("query_id", "field", "term")
     candidates = posted.select("field", "term", "id").join(ix.small(rarest), ["field", "term"]).select("query_id", "field", "id")
-    there = posted.join(candidates, ["field", "id"]).join(ix.small(asked), ["query_id", "term"]).join(frequency, ["field", "term"]).join(F.broadcast(ix.field_stats(tokens)), "field")
+    there = posted.join(candidates, ["field", "id"]).join(ix.small(asked), ["query_id", "term"]).join(frequency, ["field", "term"]).join(F.broadcast(fields), "field")  # a row per field
     idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     moved = there.select("query_id", "field", "id", "at", "dl", "avg_len", idf.alias("idf"), F.explode("positions").alias("pos")).withColumn("begin", F.col("pos") - F.col("at"))
     # a place to begin is tried at each shift that a term's position allows
@@ -142,11 +149,11 @@ def phrase(docs: DataFrame, queries: DataFrame, boosts: dict[str, float], *, slo
     return summed.groupBy("query_id", "id").agg(round_half_up(F.max(score * boost), 6).alias("score"))
 
 
-def rescue(docs: DataFrame, queries: DataFrame, fields: dict[str, float], phrase_fields: dict[str, float], *, profile: Profile = DEFAULT, analyzer=tx.tokens) -> DataFrame:
+def rescue(docs: DataFrame, queries: DataFrame, fields: dict[str, float], phrase_fields: dict[str, float], *, profile: Profile = DEFAULT, analyzer=tx.tokens, stored=None) -> DataFrame:
     """Best fields as a must, with three optional clauses added: phrase (x3), cross fields (x2) and 70 % of terms (x1.5)."""
-    scores = term_scores(docs, queries, list(fields), profile=profile, analyzer=analyzer)
+    scores = term_scores(docs, queries, list(fields), profile=profile, analyzer=analyzer, stored=stored)
     must = best_fields(scores, fields)
-    more = [(phrase(docs, queries, phrase_fields, profile=profile, analyzer=analyzer), 3.0), (cross_fields(docs, queries, fields, profile=profile, analyzer=analyzer), 2.0), (at_least(scores, ix.query_terms(queries, analyzer), fields, 0.7), 1.5)]
+    more = [(phrase(docs, queries, phrase_fields, profile=profile, analyzer=analyzer, stored=stored), 3.0), (cross_fields(docs, queries, fields, profile=profile, analyzer=analyzer, stored=stored), 2.0), (at_least(scores, ix.query_terms(queries, analyzer), fields, 0.7), 1.5)]
     for k, (clause, boost) in enumerate(more):
         must = must.join(clause.select("query_id", "id", (F.col("score") * boost).alias(f"clause{k}")), ["query_id", "id"], "left")
     total = reduce(lambda a, k: a + F.coalesce(F.col(f"clause{k}"), F.lit(0.0)), range(len(more)), F.col("score"))
@@ -170,11 +177,11 @@ def without_identical(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("id") != F.col("query_id"))
 
 
-def expanded_field_sum(tokens: DataFrame, queries: DataFrame, expansion: DataFrame, boosts: dict[str, float], expansion_boosts: dict[str, float], *, profile: Profile = DEFAULT, analyzer=tx.tokens) -> DataFrame:
+def expanded_field_sum(tokens: DataFrame | None, queries: DataFrame, expansion: DataFrame, boosts: dict[str, float], expansion_boosts: dict[str, float], *, profile: Profile = DEFAULT, analyzer=tx.tokens, stored=None) -> DataFrame:
     """Field sums of the query's clauses and of those of its unique expansion terms (query_id, term), with boosts of their own."""
     more = expansion.select("query_id", "term").distinct().groupBy("query_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("term"))).alias("query"))
     parts = []
     for asked, weights in ((queries, boosts), (more, expansion_boosts)):
-        wide = _wide(term_scores(None, asked, list(weights), profile=profile, analyzer=analyzer, tokens=tokens), weights)
+        wide = _wide(term_scores(None, asked, list(weights), profile=profile, analyzer=analyzer, tokens=tokens, stored=stored), weights)
         parts.append(wide.select("query_id", "id", reduce(lambda a, b: a + b, _boosted(weights)).alias("score")))
     return parts[0].unionByName(parts[1]).groupBy("query_id", "id").agg(round_half_up(F.sum("score"), 6).alias("score"))

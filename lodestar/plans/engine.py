@@ -1,7 +1,7 @@
 """The search engine: whole query sets over one corpus, under one of six architectures.
 
-``Engine`` holds a corpus as tokens (built once, and written by ``save`` for later sessions). ``search`` is one lazily built plan from queries to
-ranked results, whatever the architecture; ``explain`` adds the plan's text and the path that led to it.
+``Engine`` reads a stored index (``segments.Index``, which ``save`` makes for later sessions), or, where there is none, the documents themselves. ``explain`` adds
+the plan's text and the path that led to the results.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from lodestar.functions import text as tx
 from lodestar.operators import index as ix
 from lodestar.operators import rerank
 from lodestar.operators import retrieval as rt
+from lodestar.operators.segments import Index
 from lodestar.operators.store import materialized
 from lodestar.plans.errors import NotAvailableError, NotFoundError, ValidationError
 
@@ -77,31 +78,34 @@ def normalized(query: str | None) -> str:
 
 
 class Engine:
-    def __init__(self, docs: DataFrame, *, fields: dict[str, float] = BOOSTS, profile: rt.Profile = rt.DEFAULT, analyzer: ix.Analyzer = tx.tokens, tokens: DataFrame | None = None, stored: ix.Stored | None = None) -> None:
+    def __init__(self, docs: DataFrame, *, fields: dict[str, float] = BOOSTS, profile: rt.Profile = rt.DEFAULT, analyzer: ix.Analyzer = tx.tokens, stored: Index | None = None) -> None:
         self.docs, self.fields, self.profile, self.analyzer, self.stored = docs, fields, profile, analyzer, stored
-        self.tokens = ix.tokenized(docs, list(fields), analyzer) if tokens is None else tokens
 
-    def save(self, path: str) -> None:
-        """Writes the corpus and its tokens, by field, so that a later search reads the fields it needs."""
-        self.docs.write.mode("errorifexists").parquet(f"{path}/docs")
-        self.tokens.write.mode("errorifexists").partitionBy("field").parquet(f"{path}/tokens")
-        ix.store(self.tokens, f"{path}/index", self.docs if "dataset" in self.docs.columns else None)
+    def save(self, path: str) -> Engine:
+        """Makes an index of the corpus at ``path``, which has none yet; the engine over it."""
+        index = Index.create(self.docs.sparkSession, path, list(self.fields), analyzer=self.analyzer)
+        if index.told["segments"]:
+            raise FileExistsError(f"{path} has an index")
+        return Engine(self.docs, fields=self.fields, profile=self.profile, analyzer=self.analyzer, stored=index.load(self.docs))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, *, indexed: bool = True, **options) -> Engine:
-        """An engine over what ``save`` wrote, or a stream, which writes no postings (``indexed`` False)."""
-        return cls(spark.read.parquet(f"{path}/docs"), tokens=spark.read.parquet(f"{path}/tokens"), stored=ix.Stored(spark, f"{path}/index") if indexed else None, **options)
+    def load(cls, spark: SparkSession, path: str, *, analyzer: ix.Analyzer = tx.tokens, **options) -> Engine:
+        """An engine over the newest version of the index at ``path``, which ``save``, ``Index.load`` or a stream wrote."""
+        index = Index.open(spark, path, analyzer=analyzer)
+        return cls(index.stored().drop("segment"), stored=index, analyzer=analyzer, **options)
 
     def count(self, dataset: str | None = None) -> int:
+        if self.stored is not None:
+            return self.stored.count(dataset)
         return (self.docs if dataset is None else self.docs.where(F.col("dataset") == dataset)).count()
 
     def scored(self, queries: DataFrame, architecture: str = "field-sum", dataset: str | None = None) -> DataFrame:
         """(query_id, id, score) of all matches at the first stage, of one dataset if asked for; what terms are worth doesn't depend on that."""
         a = resolve(architecture)
         if a.id == "query-rescue":
-            found = rt.rescue(self.docs, queries, self.fields, {f: PHRASE_BOOSTS[f] for f in self.fields}, profile=self.profile, analyzer=self.analyzer)
+            found = rt.rescue(self.docs, queries, self.fields, {f: PHRASE_BOOSTS[f] for f in self.fields}, profile=self.profile, analyzer=self.analyzer, stored=self.stored)
         else:
-            terms = rt.term_scores(self.docs, queries, list(self.fields), profile=self.profile, analyzer=self.analyzer, tokens=self.tokens, stored=self.stored, dataset=dataset)
+            terms = rt.term_scores(self.docs, queries, list(self.fields), profile=self.profile, analyzer=self.analyzer, stored=self.stored, dataset=dataset)
             found = rt.best_fields(terms, self.fields) if a.id == "baseline" else rt.field_sum(terms, self.fields)
         if dataset is not None and (self.stored is None or a.id == "query-rescue"):
             found = found.join(self.docs.where(F.col("dataset") == dataset).select("id"), "id", "left_semi")
@@ -109,9 +113,16 @@ class Engine:
 
     def pool(self, queries: DataFrame, size: int = rerank.POOL_SIZE, *, ignore_identical: bool = False, dataset: str | None = None) -> DataFrame:
         """(query_id, query, id, score, rank, title, abstract): the first stage's best by field sum, with what reranking needs."""
-        found = self.scored(queries, dataset=dataset)
-        best = rt.top_k(rt.without_identical(found) if ignore_identical else found, size)
-        return materialized(self._with_texts(best, queries))
+        return materialized(self._with_texts(self.best(queries, size, "field-sum", ignore_identical=ignore_identical, dataset=dataset), queries))
+
+    def best(self, queries: DataFrame, size: int, architecture: str, *, ignore_identical: bool = False, dataset: str | None = None) -> DataFrame:
+        """(query_id, id, score, rank) of a first stage; an index skips what can't be among the best."""
+        if self.stored is None or architecture == "query-rescue":
+            found = self.scored(queries, architecture, dataset)
+            return rt.top_k(rt.without_identical(found) if ignore_identical else found, size)
+        p, tie = self.profile, 0.0 if architecture == "baseline" else None
+        found = self.stored.top(queries, size + ignore_identical, self.fields, tie=tie, k1=p.k1, b=p.b, factor=p.factor, dataset=dataset, analyzer=self.analyzer)
+        return rt.top_k(rt.without_identical(found).drop("rank"), size) if ignore_identical else found
 
     def _with_texts(self, ranked: DataFrame, queries: DataFrame) -> DataFrame:
         columns = [c for c in ("title", "abstract", "text") if c in self.docs.columns]
@@ -123,8 +134,7 @@ class Engine:
         """(query_id, id, score, rank), for reranking architectures by their own score; of documents of one dataset, if asked for."""
         a, size = resolve(architecture), result_size(size)
         if a.id in ("baseline", "field-sum", "query-rescue"):
-            found = self.scored(queries, a.id, dataset)
-            return rt.top_k(rt.without_identical(found) if ignore_identical else found, size)
+            return self.best(queries, size, a.id, ignore_identical=ignore_identical, dataset=dataset)
         pool = self.pool(queries, max(size, rerank.POOL_SIZE), ignore_identical=ignore_identical, dataset=dataset)
         if a.id == "coverage-rerank":
             ranked = rerank.by_coverage(pool)
@@ -136,7 +146,7 @@ class Engine:
 
     def expanded(self, pool: DataFrame, queries: DataFrame, size: int = rerank.EXPANDED_SIZE, *, dataset: str | None = None) -> DataFrame:
         terms = materialized(rerank.feedback_terms(pool))
-        found = rt.expanded_field_sum(self.tokens, queries, terms, self.fields, {f: rerank.EXPANSION_BOOSTS[f] for f in self.fields}, profile=self.profile, analyzer=self.analyzer)
+        found = rt.expanded_field_sum(None if self.stored is not None else ix.tokenized(self.docs, list(self.fields), self.analyzer), queries, terms, self.fields, {f: rerank.EXPANSION_BOOSTS[f] for f in self.fields}, profile=self.profile, analyzer=self.analyzer, stored=self.stored)
         again = rt.top_k(found if dataset is None else found.join(self.docs.where(F.col("dataset") == dataset).select("id"), "id", "left_semi"), size)
         merged = rerank.merged_pools(pool, again)
         details = self._with_texts(merged.select("query_id", "id", F.lit(0).alias("score"), F.lit(0).alias("rank")), queries)
@@ -173,8 +183,11 @@ def milestone(name: str) -> Architecture:
     return resolve(MILESTONES[key])
 
 
-def collection_search(docs: DataFrame, queries: DataFrame, size: int = 10, *, profile: rt.Profile = rt.DEFAULT, ignore_identical: bool = False, analyzer: ix.Analyzer = tx.tokens) -> DataFrame:
-    """Best fields over title and text, the other field counting half: how collections of (id, title, text) are searched."""
+def collection_search(docs: DataFrame | None, queries: DataFrame, size: int = 10, *, profile: rt.Profile = rt.DEFAULT, ignore_identical: bool = False, analyzer: ix.Analyzer = tx.tokens, stored: Index | None = None) -> DataFrame:
+    """Best fields over title and text, the other field counting half: how collections of (id, title, text) are searched, or an index of them."""
+    if stored is not None:
+        found = stored.top(queries, size + ignore_identical, COLLECTION_BOOSTS, tie=COLLECTION_TIE, k1=profile.k1, b=profile.b, factor=profile.factor, analyzer=analyzer)
+        return rt.top_k(rt.without_identical(found).drop("rank"), size) if ignore_identical else found
     found = rt.best_fields(rt.term_scores(docs, queries, list(COLLECTION_BOOSTS), profile=profile, analyzer=analyzer), COLLECTION_BOOSTS, COLLECTION_TIE)
     return rt.top_k(rt.without_identical(found) if ignore_identical else found, size)
 
@@ -183,6 +196,8 @@ def collection_search(docs: DataFrame, queries: DataFrame, size: int = 10, *, pr
 POOL_BOOSTS = {"title": 3, "text": 2}
 
 
-def collection_pool(docs: DataFrame, queries: DataFrame, size: int = rerank.POOL_SIZE, *, profile: rt.Profile = rt.DEFAULT, analyzer: ix.Analyzer = tx.tokens) -> DataFrame:
+def collection_pool(docs: DataFrame | None, queries: DataFrame, size: int = rerank.POOL_SIZE, *, profile: rt.Profile = rt.DEFAULT, analyzer: ix.Analyzer = tx.tokens, stored: Index | None = None) -> DataFrame:
     """(query_id, id, score, rank): the pool of a collection of (id, title, text), by the sum of both fields."""
+    if stored is not None:
+        return stored.top(queries, size, POOL_BOOSTS, k1=profile.k1, b=profile.b, factor=profile.factor, analyzer=analyzer)
     return rt.top_k(rt.field_sum(rt.term_scores(docs, queries, list(POOL_BOOSTS), profile=profile, analyzer=analyzer), POOL_BOOSTS), size)

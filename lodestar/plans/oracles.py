@@ -335,6 +335,13 @@ ORACLE_SQL: dict[str, str] = {
     "failure_shares": _with(*COMMON, QRELS, BASELINE, DOMAINS, _scored("run"), _classified("scored", "c")) + f"SELECT *, {_r('CAST(query_count AS DOUBLE) / sum(query_count) OVER (PARTITION BY dataset)')} AS share FROM (SELECT dataset, behavior_group, count(*) AS query_count FROM c JOIN dom USING (query_id) GROUP BY ALL)",
     "collection_pool": _with(DOCS, _index(fields={"title": 3, "text": 2})) + RANKED + f"({_top('wide', _r('3 * title + 2 * text', 6), 50)})",
     "filtered_search": _with(*COMMON) + RANKED + f"({_top("(SELECT w.* FROM wide w JOIN documents d ON CAST(d.doc_id AS VARCHAR) = w.id WHERE d.lang = 'fr')", BEST, 10)})",
+    "index_life": """WITH d AS (SELECT doc_id % 2 = 0 AS even, doc_id % 3 = 0 AS third, lang IS NOT DISTINCT FROM 'de' AS de FROM documents
+      ), s AS (
+        SELECT unnest([0, 1, 2, 3, 4, 5, 6])::INT AS step, unnest(['create', 'load', 'load', 'again', 'replace', 'remove', 'merge']) AS name, unnest([0, 1, 2, 2, 3, 3, 1])::INT AS segments, unnest([0, 0, 0, 0, 1, 2, 0])::INT AS tombstones
+      ), n AS (SELECT step, name, segments, tombstones, (SELECT count(*) FILTER (CASE step WHEN 0 THEN false WHEN 1 THEN even WHEN 5 THEN NOT de WHEN 6 THEN NOT de ELSE true END) FROM d) AS n_docs FROM s)
+      SELECT step, name, n_docs, n_docs AS n_stored, segments, tombstones FROM n""",
+    "index_after_changes": _with(DOCS.replace("FROM documents", "FROM documents WHERE lang IS DISTINCT FROM 'de'"), *COMMON[1:], BASELINE) + "SELECT version, query_id, id, rank, score FROM run, (SELECT unnest(['remove', 'merge']) AS version)",
+    "streamed_index": _with(*COMMON, BASELINE) + RANKED + "run",
     "baseline_matrix": _with(*COMMON, QRELS, BASELINE, DOMAINS, _scored("run", mode="linear"), f"by_set AS (SELECT dataset, count(*) AS query_count, {_mean('ndcg_at_k', 'ndcg_at_k')} FROM scored JOIN dom USING (query_id) GROUP BY dataset)") + f"SELECT dataset, CAST(1 AS BIGINT) AS tier, 'measured' AS status, query_count, ndcg_at_k, CAST(0.43 AS DOUBLE) AS published, {_r('ndcg_at_k - CAST(0.43 AS DOUBLE)')} AS delta, {_r(_r('ndcg_at_k - CAST(0.43 AS DOUBLE)') + ' / CAST(0.43 AS DOUBLE)')} AS relative_delta FROM by_set",
     "ltr_features": _with(*COMMON, QRELS, POOL, TERMS, HASHED, NEAR, FEATURE_ROWS) + "SELECT * FROM feats",
     "ltr_linear_score": _with(*COMMON, QRELS, POOL, TERMS, HASHED, NEAR, FEATURE_ROWS, "sc AS (SELECT query_id, id, original_rank, " + _r(" + ".join(f'"{f}" * CAST({LTR.get(f, 0.0)} AS DOUBLE)' for f in FEATURES), 6) + " AS ltr_score FROM feats)") + "SELECT query_id, id, ltr_score, row_number() OVER (PARTITION BY query_id ORDER BY ltr_score DESC, original_rank, id) AS rank FROM sc",

@@ -17,6 +17,7 @@ from lodestar.functions.numbers import dot, round_half_up
 from lodestar.operators import compare, english, failures, ltr, metrics, rerank, vectors
 from lodestar.operators import index as ix
 from lodestar.operators import retrieval as rt
+from lodestar.operators.segments import Index
 from lodestar.operators.store import materialized, shared_folder
 from lodestar.plans.engine import BOOSTS, PHRASE_BOOSTS, Engine, collection_search
 from lodestar.plans.engine import collection_pool as pool_of_collection
@@ -41,8 +42,25 @@ class Tables:
         self.read = read
         self.docs = corpora.table_documents(read("documents"))
         self.queries = corpora.table_queries(read("benchmark"))
-        self.engine = Engine(self.docs)
+        self.documents = f"{sf_dir}/documents.parquet"
         self._held: dict[str, DataFrame] = {}
+        self._engine: Engine | None = None
+
+    @property
+    def engine(self) -> Engine:
+        """The documents' index, with languages as datasets: made by the first query of a session that needs it, and read by later ones until the files change."""
+        if self._engine is None:
+            files = self.spark.read.format("binaryFile").load(self.documents).select("path", "length", "modificationTime")
+            state = files.agg(F.md5(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "path", "length", "modificationTime")))))).first()[0]  # a row a file
+            path = f"{shared_folder(self.spark)}/tables-{state}"
+            index = Index.create(self.spark, path, list(BOOSTS))
+            index = index if index.told["segments"] else index.load(corpora.table_documents(self.read("documents"), "lang"), batch="tables")
+            self._engine = Engine(self.docs, stored=index)
+        return self._engine
+
+    @property
+    def index(self) -> Index:
+        return self.engine.stored
 
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._held:
@@ -53,10 +71,10 @@ class Tables:
         return self._once("qrels", lambda: corpora.table_qrels(self.docs, self.queries, self.read("labels")))
 
     def terms(self, profile: rt.Profile = rt.DEFAULT) -> DataFrame:
-        return rt.term_scores(self.docs, self.queries, list(BOOSTS), profile=profile)
+        return rt.term_scores(None, self.queries, list(BOOSTS), profile=profile, stored=self.index)
 
     def baseline(self, k: int = K) -> DataFrame:
-        return self._once(f"baseline-{k}", lambda: rt.top_k(rt.best_fields(self.terms(), BOOSTS), k))
+        return self._once(f"baseline-{k}", lambda: self.engine.best(self.queries, k, "baseline"))
 
     def pool(self) -> DataFrame:
         if "pool" not in self._held:
@@ -108,15 +126,15 @@ def bm25_best_fields(t: Tables) -> DataFrame:
 
 
 def bm25_field_sum(t: Tables) -> DataFrame:
-    return _ranked(rt.top_k(rt.field_sum(t.terms(), BOOSTS), K))
+    return _ranked(t.engine.best(t.queries, K, "field-sum"))
 
 
 def bm25_tie_breaker(t: Tables) -> DataFrame:
-    return _ranked(collection_search(t.docs, t.queries, K))
+    return _ranked(collection_search(None, t.queries, K, stored=t.index))
 
 
 def bm25_paper_profile(t: Tables) -> DataFrame:
-    return _ranked(rt.top_k(rt.field_sum(t.terms(rt.PAPER), BOOSTS), K))
+    return _ranked(t.index.top(t.queries, K, BOOSTS, k1=rt.PAPER.k1, b=rt.PAPER.b))
 
 
 def msm_filter(t: Tables) -> DataFrame:
@@ -128,11 +146,11 @@ def total_hits(t: Tables) -> DataFrame:
 
 
 def phrase_search(t: Tables) -> DataFrame:
-    return _ranked(rt.top_k(rt.phrase(t.docs, t.queries, PHRASE_BOOSTS), K))
+    return _ranked(rt.top_k(rt.phrase(None, t.queries, PHRASE_BOOSTS, stored=t.index), K))
 
 
 def cross_fields_search(t: Tables) -> DataFrame:
-    return _ranked(rt.top_k(rt.cross_fields(t.docs, t.queries, BOOSTS), K))
+    return _ranked(rt.top_k(rt.cross_fields(None, t.queries, BOOSTS, stored=t.index), K))
 
 
 def query_rescue(t: Tables) -> DataFrame:
@@ -200,15 +218,63 @@ def knn_ivf_recall(t: Tables) -> DataFrame:
 
 
 def filtered_search(t: Tables) -> DataFrame:
-    """A stored index with languages as datasets, searched in one of them."""
-    langs = t.read("documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("dataset"))
+    """One language, which the index holds as a dataset of its own."""
+    return _ranked(t.engine.search(t.queries, K, dataset="fr"))
+
+
+def _own_index(t: Tables, fill: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``fill`` makes of a path for an index of its own, which is dropped again."""
     path = f"{shared_folder(t.spark)}/index-{uuid.uuid4()}"
-    Engine(t.docs.join(langs, "id")).save(path)
-    return _ranked(Engine.load(t.spark, path).search(t.queries, K, dataset="fr"))
+    out = materialized(fill(path))
+    Index.open(t.spark, path).drop()
+    return out
+
+
+def _changed(t: Tables, path: str) -> list[tuple[str, Index]]:
+    """An index through loads of two halves, a load that replaces a third, a removal of one language, and a merge."""
+    docs = corpora.table_documents(t.read("documents"), "lang")
+    half = F.pmod(F.col("id").cast("long"), F.lit(2)) == 0
+    steps = [("create", Index.create(t.spark, path, list(BOOSTS)))]
+    steps.append(("load", steps[-1][1].load(docs.where(half), batch="even")))
+    steps.append(("load", steps[-1][1].load(docs.where(~half), batch="odd")))
+    steps.append(("again", steps[-1][1].load(docs.where(~half), batch="odd")))
+    steps.append(("replace", steps[-1][1].load(docs.where(F.pmod(F.col("id").cast("long"), F.lit(3)) == 0), replace=True)))
+    steps.append(("remove", steps[-1][1].remove(docs.where("dataset = 'de'"))))
+    steps.append(("merge", steps[-1][1].merge()))
+    return steps
+
+
+def index_life(t: Tables) -> DataFrame:
+    """Documents, segments and tombstones after each step of an index's life, by the manifest and by counting what is stored."""
+    def rows(path: str) -> DataFrame:
+        told = [(k, name, i.count(), i.stored().count(), len(i.told["segments"]), len(i.told["tombstones"])) for k, (name, i) in enumerate(_changed(t, path))]
+        return t.spark.createDataFrame(told, "step int, name string, n_docs long, n_stored long, segments int, tombstones int")
+
+    return _own_index(t, rows)
+
+
+def index_after_changes(t: Tables) -> DataFrame:
+    """Searches of the same index before and after it is merged."""
+    def rows(path: str) -> DataFrame:
+        found = [i.top(t.queries, K, BOOSTS, tie=0.0).withColumn("version", F.lit(name)) for name, i in _changed(t, path)[-2:]]
+        return found[0].unionByName(found[1]).select("version", "query_id", "id", F.col("rank").cast("long").alias("rank"), "score")
+
+    return _own_index(t, rows)
+
+
+def streamed_index(t: Tables) -> DataFrame:
+    """Best fields over an index that a stream of the documents' files writes, a segment a batch."""
+    def rows(path: str) -> DataFrame:
+        documents = t.read("documents")
+        arriving = ingest.document_stream(t.spark, t.documents, documents.schema, files_per_batch=8)
+        ingest.index_stream(corpora.table_documents(arriving, "lang"), path, list(BOOSTS)).awaitTermination()
+        return Index.open(t.spark, path).top(t.queries, K, BOOSTS, tie=0.0)
+
+    return _ranked(_own_index(t, rows))
 
 
 def collection_pool(t: Tables) -> DataFrame:
-    return _ranked(pool_of_collection(t.docs, t.queries))
+    return _ranked(pool_of_collection(None, t.queries, stored=t.index))
 
 
 def knn_ignore_identical(t: Tables) -> DataFrame:
@@ -380,7 +446,7 @@ def dataset_profile_counts(t: Tables) -> DataFrame:
 
 def bm25_ignore_identical(t: Tables) -> DataFrame:
     """Documents whose id is the query's are no answers to it."""
-    return _ranked(collection_search(t.docs, t.queries, K, ignore_identical=True))
+    return _ranked(collection_search(None, t.queries, K, ignore_identical=True, stored=t.index))
 
 
 def published_delta(t: Tables) -> DataFrame:
@@ -408,7 +474,7 @@ _ALL = [
     knn_ignore_identical, knn_label_metrics, minmax_scores, blend_linear, rrf, hybrid_sweep, metrics_aggregate, failure_groups, failure_examples,
     missing_relevant, metric_deltas, group_deltas, query_deltas, decision, technique_classification, baseline_matrix, ltr_features, ltr_linear_score,
     ltr_coordinate_ascent, ltr_boosted_trees, fold_assignment, pool_recall, oracle_rank, normalize_query, stopword_tokens, bigrams, dataset_profile_counts,
-    event_arrivals, knn_ivf, filtered_search, collection_pool, portfolio, mean_of_parts, failure_shares,
+    event_arrivals, knn_ivf, filtered_search, index_life, index_after_changes, streamed_index, collection_pool, portfolio, mean_of_parts, failure_shares,
     knn_ivf_recall, bm25_ignore_identical, published_delta, simpler_preferred, weights_metrics, *FORMATS,
 ]
 

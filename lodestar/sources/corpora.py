@@ -185,11 +185,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 # --- the driver tables as a collection
 
 
-def table_documents(documents: DataFrame) -> DataFrame:
-    """(id, title, abstract, text): the first line is the title, the rest the abstract."""
+def table_documents(documents: DataFrame, dataset: str | None = None) -> DataFrame:
+    """(id, title, abstract, text): the first line is the title, the rest the abstract; with the column ``dataset`` as their dataset, if given."""
     text = F.coalesce("text", F.lit(""))
     title = F.substring_index(text, "\n", 1)
-    return documents.select(F.col("doc_id").cast("string").alias("id"), title.alias("title"), F.substr(text, F.length(title) + 2).alias("abstract"), text.alias("text"))
+    return documents.select(F.col("doc_id").cast("string").alias("id"), title.alias("title"), F.substr(text, F.length(title) + 2).alias("abstract"), text.alias("text"), *([] if dataset is None else [F.col(dataset).alias("dataset")]))
 
 
 def table_queries(benchmark: DataFrame) -> DataFrame:
