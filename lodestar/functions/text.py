@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
 
 
+_ALNUM = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
+
+
+def arrow_tokens(texts: pa.Array) -> pa.Array:
+    """``tokens`` of an Arrow column, for tasks that go on with the tokens in Python."""
+    plain = pa.array([(t or "").lower().encode("ascii", "replace").translate(_ALNUM).decode("ascii").strip() for t in texts.to_pylist()], pa.string())
+    found = pc.ascii_split_whitespace(plain)
+    return pc.if_else(pc.equal(pc.binary_length(plain), 0), pa.scalar([], pa.list_(pa.string())), found)
+
+
 def embedding_tokens(text: Column) -> Column:
     return F.filter(tokens(text), lambda t: F.length(t) > 1)
 

@@ -12,7 +12,7 @@ document's score. Windows are scored in falling order of bounds, and those that
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -117,18 +117,23 @@ def _shard_rows(held: pa.Table, fields: list[str], name: str) -> Iterator[pa.Rec
             yield from (rows.slice(k, 4096) for k in range(0, rows.num_rows, 4096))
 
 
-def packed(tokens: DataFrame, fields: list[str]) -> DataFrame:
-    """Rows as ``ROW`` of documents (id, dataset, and an array of tokens a field), each task packing its own.
+def packed(tokens: DataFrame, fields: list[str], tokenizer: Callable[[pa.Array], pa.Array] | None = None) -> DataFrame:
+    """Rows as ``ROW`` of documents (id, dataset, and an array of tokens a field, or a text that ``tokenizer`` makes one of), each task packing its own.
 
     A row without a term gives a shard's ids in order (no field), or how many of its documents have a field, and with how many words.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+            if tokenizer is None:
+                return batch
+            return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("dataset"), *[tokenizer(batch.column(f)) for f in fields]], names=["id", "dataset", *fields])
+
         context = TaskContext.get()
         task, number = (context.partitionId() if context else 0), 0
         parts, docs, words = [], 0, 0
-        for batch in batches:
+        for batch in (cut(b) for whole in batches for b in ((whole.slice(k, 1024) for k in range(0, whole.num_rows, 1024)) if tokenizer else [whole])):
             at = 0
             sizes = sum(np.diff(batch.column(f).offsets.to_numpy()) for f in fields) if batch.num_rows else np.zeros(0, int)
             ends = np.cumsum(sizes)

@@ -178,3 +178,19 @@ def test_manifest_is_plain_text(spark, tmp_path):
     assert told == {"fields": ["text"], "segments": [], "tombstones": []}
     with pytest.raises(ValueError):
         S.Index.create(spark, f"{tmp_path}/index", ["title"])
+
+
+def test_tokens_are_the_same_in_arrow(spark):
+    import pyarrow as pa
+
+    from lodestar.functions import text as tx
+
+    texts = [None, "", " ", "a", " B-c\tÄé1x\u212a I\u0307 \u0130stanbul", "x" * 300, "end. ", "\u00a0nb\u00a0sp", "ΣΑΣ s", "\x1cA\x1fB\x85C", "line\none\r\ntwo"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    assert [r.w for r in df.orderBy("k").select(tx.tokens(F.col("t")).alias("w")).collect()] == tx.arrow_tokens(pa.array(texts, pa.string())).to_pylist()
+
+
+def test_a_custom_analyzer_is_used(spark, tmp_path):
+    letters = lambda c: F.split(F.coalesce(c, F.lit("")), "")
+    index = S.Index.create(spark, f"{tmp_path}/index", ["t"], analyzer=letters).load(spark.createDataFrame([("1", "abc"), ("2", "xyz"), ("3", None)], "id string, t string"))
+    assert [r.id for r in index.top(spark.createDataFrame([("q", "z")], "query_id string, query string"), 5, {"t": 1}).collect()] == ["2"]
