@@ -1,6 +1,6 @@
 """Vector ranking and rank fusion.
 
-Exact search compares a stated query set with all vectors: queries go out in blocks (arrays of at most ``BLOCK`` vectors, broadcast), and
+Exact search (a stored index is in ``vectorindex``) compares a stated query set with all vectors: queries go out in blocks (arrays of at most ``BLOCK`` vectors, broadcast), and
 each task keeps the best k of each query before anything is dealt out, so what is shuffled grows with queries and tasks, not with pairs.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as tx
 from lodestar.functions.numbers import min_max, number, round_half_up
 from lodestar.operators.retrieval import top_k
-from lodestar.operators.store import materialized
+from lodestar.operators.vectorindex import matrix
 
 DIMENSIONS = 384
 RRF_K = 60
@@ -44,116 +44,40 @@ def hash_embeddings(docs: DataFrame, text: str, dimensions: int = DIMENSIONS) ->
     return docs.select("id").join(some, "id", "left").select("id", dense.alias("embedding"))
 
 
-def nearest(documents: DataFrame, queries: DataFrame, k: int, *, ignore_identical: bool = False, block: int = BLOCK, lists: np.ndarray | None = None, probes: int = 1) -> DataFrame:
+def nearest(documents: DataFrame, queries: DataFrame, k: int, *, ignore_identical: bool = False, block: int = BLOCK) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` documents (id, embedding) with the largest dot product with each query (query_id, embedding).
 
-    Scores are rounded to 6 digits before they order; ties go by id. Vectors of different length meet over the shorter one. With ``lists``
-    (centroids), documents have a list each, and a query meets those of its ``probes`` nearest lists only.
+    Scores are rounded to 6 digits before they order; ties go by id. Vectors of different length meet over the shorter one.
     """
     spark = documents.sparkSession
     found = None
-    for names, matrix in _blocks(queries, block):
-        asked = None if lists is None else _probed(matrix, lists, probes)
-        shared = spark.sparkContext.broadcast((names, matrix, asked))
+    for names, left in _blocks(queries, block):
+        shared = spark.sparkContext.broadcast((names, left))
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, left, asked = shared.value
+            names, left = shared.value
             held: list[list[tuple]] = [[] for _ in names]
             for batch in batches:
                 ids = batch.column("id").to_pylist()
-                right = _matrix(batch.column("embedding").to_pylist(), left.shape[1])
+                right = matrix(batch.column("embedding"))
                 if right.shape[1] > left.shape[1]:
                     left = np.pad(left, ((0, 0), (0, right.shape[1] - left.shape[1])))
-                parts = [(np.arange(len(names)), np.arange(len(ids)))]
-                if asked is not None:
-                    of = batch.column("list").to_numpy()
-                    parts = [(np.flatnonzero(asked[:, x]), np.flatnonzero(of == x)) for x in np.unique(of)]
-                for some_queries, some in parts:
-                    scores = np.floor((left[some_queries] @ right[some].T) * 1e6 + 0.5) / 1e6
-                    for q, row in zip(some_queries.tolist(), scores, strict=True):
-                        # the k best of the part, and all that are equal to the last of them
-                        top = np.flatnonzero(row >= np.partition(row, -k - 1)[-k - 1]) if len(row) > k + 1 else range(len(row))
-                        mine = [(-row[j], ids[some[j]]) for j in top if not (ignore_identical and ids[some[j]] == names[q])]
-                        held[q] = heapq.nsmallest(k, held[q] + mine)
+                right = np.pad(right, ((0, 0), (0, left.shape[1] - right.shape[1])))
+                scores = np.floor((left @ right.T) * 1e6 + 0.5) / 1e6
+                for q, row in enumerate(scores):
+                    # the k best of the batch, and all that are equal to the last of them
+                    top = np.flatnonzero(row >= np.partition(row, -k - 1)[-k - 1]) if len(row) > k + 1 else range(len(row))
+                    mine = [(-row[j], ids[j]) for j in top if not (ignore_identical and ids[j] == names[q])]
+                    held[q] = heapq.nsmallest(k, held[q] + mine)
             rows = [(name, i, -s) for name, own in zip(names, held, strict=True) for s, i in own]
             columns = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
 
-        part = documents.select("id", "embedding", *["list"][: lists is not None]).mapInArrow(best, "query_id string, id string, score double")
+        part = documents.select("id", "embedding").mapInArrow(best, "query_id string, id string, score double")
         found = part if found is None else found.unionAll(part)
     return top_k(found, k)
 
 
-def _probed(matrix: np.ndarray, lists: np.ndarray, probes: int) -> np.ndarray:
-    """Which lists (columns) each query (row) meets: those with the largest dot products, all if there are no more."""
-    scores = _probed_scores(matrix, lists)
-    near = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
-    asked = np.zeros(scores.shape, bool)
-    np.put_along_axis(asked, near, True, axis=1)
-    return asked
-
-
-#: Vectors that centroids are fitted on, and queries that probes are chosen on, at most (on average over hashes).
-SAMPLE_VECTORS, SAMPLE_QUERIES = 20_000, 200
-
-
-def _sampled(df: DataFrame, key: str, most: int) -> DataFrame:
-    share = min(1.0, most / max(df.count(), 1))
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_000)) < F.lit(share * 1_000_000))
-
-
-class InvertedLists:
-    """Approximate search: every vector is in the list of its nearest centroid, and a query looks into some lists only.
-
-    Centroids come from a bounded sample; all rows are in the index. ``probes_for`` chooses the number of lists by recall against exact search.
-    """
-
-    def __init__(self, rows: DataFrame, centroids: np.ndarray) -> None:
-        self.rows, self.centroids = rows, centroids
-
-    @classmethod
-    def fitted(cls, documents: DataFrame, *, lists: int = 64, rounds: int = 10, sample: int = SAMPLE_VECTORS) -> InvertedLists:
-        """``documents`` (id, embedding), dealt out to lists and materialized."""
-        taken = _sampled(documents, "id", sample).select("id", "embedding").orderBy("id").collect()
-        points = _matrix([r.embedding for r in taken])
-        centroids = points[np.linspace(0, len(points) - 1, min(lists, len(points))).astype(int)]
-        for _ in range(rounds if len(points) else 0):
-            own = np.argmax(points @ centroids.T, axis=1)
-            sums = np.zeros_like(centroids)
-            np.add.at(sums, own, points)
-            length = np.linalg.norm(sums, axis=1, keepdims=True)
-            centroids = np.where(length > 0, sums / np.where(length > 0, length, 1), centroids)
-        shared = documents.sparkSession.sparkContext.broadcast(centroids)
-
-        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    which = np.argmax(_probed_scores(_matrix(batch.column("embedding").to_pylist()), shared.value), axis=1)
-                    yield batch.append_column("list", pa.array(which.astype(np.int32)))
-
-        kind = documents.schema["embedding"].dataType.simpleString()
-        return cls(materialized(documents.select("id", "embedding").mapInArrow(dealt, f"id string, embedding {kind}, list int")), centroids)
-
-    def nearest(self, queries: DataFrame, k: int, probes: int, **options) -> DataFrame:
-        return nearest(self.rows, queries, k, lists=self.centroids, probes=probes, **options)
-
-    def probes_for(self, queries: DataFrame, k: int, *, recall: float = 0.95) -> int:
-        """The least number of lists with which a sample of ``queries`` has this recall of the exact ``k`` best."""
-        some = materialized(_sampled(queries, "query_id", SAMPLE_QUERIES))
-        exact = materialized(nearest(self.rows, some, k).select("query_id", "id"))
-        low, high = 1, max(len(self.centroids), 1)
-        while low < high:
-            middle = (low + high) // 2
-            hits = exact.join(self.nearest(some, k, middle), ["query_id", "id"], "left_semi").count()
-            low, high = (low, middle) if hits >= recall * exact.count() else (middle + 1, high)
-        return low
-
-
-def _probed_scores(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    width = max(vectors.shape[1], centroids.shape[1])
-    return np.pad(vectors, ((0, 0), (0, width - vectors.shape[1]))) @ np.pad(centroids, ((0, 0), (0, width - centroids.shape[1]))).T
-
-
 def _blocks(queries: DataFrame, block: int):
     """Blocks of the query set, streamed; one empty block if there are no queries."""
     names, vectors, any_ = [], [], False
@@ -162,17 +86,10 @@ def _blocks(queries: DataFrame, block: int):
         vectors.append(row.embedding)
         if len(names) == block:
             any_ = True
-            yield names, _matrix(vectors)
+            yield names, matrix(pa.array(vectors, pa.list_(pa.float64())))
             names, vectors = [], []
     if names or not any_:
-        yield names, _matrix(vectors)
-
-
-def _matrix(vectors: list, width: int = 0) -> np.ndarray:
-    out = np.zeros((len(vectors), max([width, *map(len, vectors)])))
-    for row, v in zip(out, vectors, strict=True):
-        row[: len(v)] = v
-    return out
+        yield names, matrix(pa.array(vectors, pa.list_(pa.float64())))
 
 
 def scaled(run: DataFrame, *keys: str) -> DataFrame:

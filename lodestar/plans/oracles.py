@@ -301,6 +301,7 @@ ORACLE_SQL: dict[str, str] = {
     ) + f"SELECT phrase_weight, {MEANS} FROM scored GROUP BY phrase_weight",
     "local_hash_embedding": _with(DOCS, _hash("docs", "id", "text", "dvec")) + "SELECT id, component, value FROM dvec",
     "knn_exact": _with(VECTORS) + RANKED + f"({_top('(SELECT query_id, id, q, e FROM vq CROSS JOIN vecs)', VSCORES, 10)})",
+    "knn_bounded": _with(VECTORS) + RANKED + f"({_top('(SELECT query_id, id, q, e FROM vq CROSS JOIN vecs)', VSCORES, 10)})",
     "knn_ignore_identical": _with(VECTORS) + RANKED + f"({_top('(SELECT query_id, id, q, e FROM vq CROSS JOIN vecs WHERE id <> query_id)', VSCORES, 10)})",
     "knn_label_metrics": _with(VECTORS, "queries AS (SELECT query_id FROM vq)", "qrels AS (SELECT query_id, id, 1 AS grade FROM vq JOIN vecs USING (label) WHERE id <> query_id)", f"run AS ({_top('(SELECT query_id, id, q, e FROM vq CROSS JOIN vecs WHERE id <> query_id)', VSCORES, 10)})", _scored("run", mode="binary")) + f"SELECT {MEANS} FROM scored",
     "minmax_scores": _with(*COMMON, POOL) + f"SELECT query_id, id, {_r('scaled', 6)} AS scaled FROM {_scaled('pool')}",

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as tx
 from lodestar.functions.numbers import dot, round_half_up
-from lodestar.operators import compare, english, failures, ltr, metrics, rerank, vectors
+from lodestar.operators import compare, english, failures, ltr, metrics, rerank, vectorindex, vectors
 from lodestar.operators import index as ix
 from lodestar.operators import retrieval as rt
 from lodestar.operators.segments import Index
-from lodestar.operators.store import materialized, shared_folder
+from lodestar.operators.store import Folder, materialized, shared_folder
 from lodestar.plans.engine import BOOSTS, PHRASE_BOOSTS, Engine, collection_search
 from lodestar.plans.engine import collection_pool as pool_of_collection
 from lodestar.plans.formats import FORMATS
@@ -202,17 +202,34 @@ def knn_exact(t: Tables) -> DataFrame:
     return _ranked(vectors.nearest(*t.embeddings(), K))
 
 
-def knn_ivf(t: Tables) -> DataFrame:
-    """Every row is indexed; lists are probed until a sample of the queries has a recall of 0.95 or more."""
+def _vector_index(t: Tables, search: Callable[[vectorindex.VectorIndex, DataFrame], DataFrame]) -> DataFrame:
+    """What ``search`` makes of an index of all vectors and the query set; the index is deleted again."""
     docs, asked = t.embeddings()
-    index = vectors.InvertedLists.fitted(docs)
-    return _ranked(index.nearest(asked, K, index.probes_for(asked, K)))
+    path = f"{shared_folder(t.spark)}/vectors-{uuid.uuid4()}"
+    out = materialized(search(vectorindex.VectorIndex.build(docs, path), asked))
+    Folder(t.spark, path).delete()
+    return out
+
+
+def knn_bounded(t: Tables) -> DataFrame:
+    """Exact search over codes and bounds."""
+    return _ranked(_vector_index(t, lambda index, asked: index.nearest(asked, K)))
+
+
+def knn_bounded_products(t: Tables) -> DataFrame:
+    """How many products with vectors that search makes a query, and which share of all it saves."""
+    told = _vector_index(t, lambda index, asked: index.products(asked, K))
+    return told.select("query_id", "products", "n_rows", round_half_up(1 - F.col("products") / F.col("n_rows"), 4).alias("saved"))
+
+
+def knn_ivf(t: Tables) -> DataFrame:
+    """The best ten codes for each result wanted, ranked by their vectors: a fixed number of products a query, nothing chosen by the queries."""
+    return _ranked(_vector_index(t, lambda index, asked: index.nearest(asked, K, rerank=10 * K)))
 
 
 def knn_ivf_recall(t: Tables) -> DataFrame:
-    """The inverted lists against exact search: how many neighbours were wanted, and whether at least nine in ten were found."""
-    docs, asked = t.embeddings()
-    exact, found = vectors.nearest(docs, asked, K), knn_ivf(t)
+    """The same against exact search: how many neighbours were wanted, and whether at least nine in ten were found."""
+    exact, found = vectors.nearest(*t.embeddings(), K), knn_ivf(t)
     hit = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
     return hit.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("nine_in_ten"))
 
@@ -474,7 +491,7 @@ _ALL = [
     knn_ignore_identical, knn_label_metrics, minmax_scores, blend_linear, rrf, hybrid_sweep, metrics_aggregate, failure_groups, failure_examples,
     missing_relevant, metric_deltas, group_deltas, query_deltas, decision, technique_classification, baseline_matrix, ltr_features, ltr_linear_score,
     ltr_coordinate_ascent, ltr_boosted_trees, fold_assignment, pool_recall, oracle_rank, normalize_query, stopword_tokens, bigrams, dataset_profile_counts,
-    event_arrivals, knn_ivf, filtered_search, index_life, index_after_changes, streamed_index, collection_pool, portfolio, mean_of_parts, failure_shares,
+    event_arrivals, knn_ivf, knn_bounded, knn_bounded_products, filtered_search, index_life, index_after_changes, streamed_index, collection_pool, portfolio, mean_of_parts, failure_shares,
     knn_ivf_recall, bm25_ignore_identical, published_delta, simpler_preferred, weights_metrics, *FORMATS,
 ]
 

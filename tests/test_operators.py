@@ -259,23 +259,3 @@ def test_export_of_embedding_input(spark, tmp_path):
     lines = spark.read.json(f"{tmp_path}/out/documents")
     assert sorted((r.id, r.text) for r in lines.collect()) == [("1", "wing pressure distribution\n" + DOCS[0][3]), ("2", "boundary layer\n" + DOCS[1][3]), ("3", "heat transfer\n" + DOCS[2][3])]
     assert [(r.id, r.text) for r in spark.read.json(f"{tmp_path}/out/queries").collect()] == [("q2", "heat")]
-
-
-def test_inverted_lists_reach_the_recall_asked_for(spark):
-    import numpy as np
-
-    from lodestar.operators import vectors
-
-    r = np.random.default_rng(3)
-    middle = r.normal(size=(20, 16))
-    rows = [(f"d{k}", (middle[k % 20] + 0.4 * r.normal(size=16)).tolist()) for k in range(3000)]
-    docs = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(6)
-    asked = docs.where("int(substring(id, 2)) % 100 = 0").selectExpr("id as query_id", "embedding")
-    index = vectors.InvertedLists.fitted(docs, lists=20)
-    assert index.rows.count() == 3000 and index.rows.select("list").distinct().count() > 10
-    probes = index.probes_for(asked, 10)
-    exact = {(x.query_id, x.id) for x in vectors.nearest(docs, asked, 10).collect()}
-    found = {(x.query_id, x.id) for x in index.nearest(asked, 10, probes).collect()}
-    assert probes < 20 and len(exact & found) / len(exact) >= 0.9
-    every = {(x.query_id, x.id, x.score) for x in index.nearest(asked, 10, 20).collect()}
-    assert every == {(x.query_id, x.id, x.score) for x in vectors.nearest(docs, asked, 10).collect()}
