@@ -32,10 +32,11 @@ _SCHEMA = pa.schema([(n, _ARROW.get(n, pa.string())) for n in (c.rsplit(" ", 1)[
 
 
 def _put(name: str, values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """A value of bytes a row, from all rows' numbers and where each row's end."""
+    """A value of bytes a row, from all rows' numbers and where each row's end; null for rows without numbers."""
     kind = KINDS[name]
     offsets = np.append(0, ends).astype(np.int32) * kind.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values, kind))])
+    some = np.packbits(np.diff(offsets) > 0, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(ends), [pa.py_buffer(some), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values, kind))])
 
 
 def get(name: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,14 +80,16 @@ def _field_rows(doc: np.ndarray, code: np.ndarray, position: np.ndarray, length:
     falling = size[best] - number[best] * (int(length.max(initial=0)) + 1)
     lowest = np.minimum.accumulate(falling)
     best = best[np.append(True, falling[1:] < lowest[:-1])] if len(best) else best
+    # a row of one posting is its own bound
+    several = np.repeat(np.diff(np.append(row, len(place))) > 1, np.diff(np.append(row, len(place))))
+    best, block = best[several[best]], block[several[block]]
     row_end = np.append(row[1:], len(place))[: len(row)]
-    block_end = np.searchsorted(block, row_end)
-    block_begin = np.append(0, block_end)[:-1]
-    edge_of, edge_end = number[best], np.searchsorted(number[best], block_end)
-    edge_row = np.repeat(np.arange(len(row)), np.diff(np.append(0, edge_end)))
+    block_end, edge_row = np.searchsorted(block, row_end), np.searchsorted(row, best, "right") - 1
+    edge_end = np.searchsorted(edge_row, np.arange(len(row)), "right")
+    first_block = number[row]
     return {
         "term": terms.take(pa.array(term[row])), "n": pa.array(row_end - row, pa.int64()), "places": _put("places", delta, row_end), "counts": _put("counts", count, row_end), "lengths": _put("lengths", size, row_end),
-        "positions": _put("positions", step, np.append(first, len(doc))[row_end]), "blocks": _put("blocks", place[block] // WINDOW, block_end), "edge_blocks": _put("edge_blocks", edge_of - block_begin[edge_row], edge_end),
+        "positions": _put("positions", step, np.append(first, len(doc))[row_end]), "blocks": _put("blocks", place[block] // WINDOW, block_end), "edge_blocks": _put("edge_blocks", number[best] - first_block[edge_row], edge_end),
         "edge_counts": _put("edge_counts", count[best], edge_end), "edge_lengths": _put("edge_lengths", size[best], edge_end),
     }
 
@@ -187,12 +190,14 @@ class Shard:
         self.end = np.cumsum(self.size)
         each = np.repeat(np.arange(len(names)), self.size)
         self.scores = model.scores(idf[each], average[each], get("counts", _whole(rows, "counts"))[0], get("lengths", _whole(rows, "lengths"))[0])
+        self.bound = np.zeros((len(names), SHARD_DOCS // WINDOW))
+        single = np.flatnonzero(self.size == 1)
+        self.bound[single, self.places[self.end[single] - 1] // WINDOW] = self.scores[self.end[single] - 1]
         windows, per_row = get("blocks", _whole(rows, "blocks"))
         blocks, edges = get("edge_blocks", _whole(rows, "edge_blocks"))
         each = np.repeat(np.arange(len(names)), edges)
         bounds = model.scores(idf[each], average[each], get("edge_counts", _whole(rows, "edge_counts"))[0], get("edge_lengths", _whole(rows, "edge_lengths"))[0])
-        self.bound = np.zeros((len(names), SHARD_DOCS // WINDOW))
-        if len(names):
+        if len(blocks):
             self.bound[np.repeat(np.arange(len(names)), per_row), windows] = np.maximum.reduceat(bounds, _starts(each * 256 + blocks))
 
 

@@ -121,12 +121,12 @@ class Index:
         name = f"{uuid.uuid4()}"
         at = f"{self.path}/segments/{name}"
         own = docs if "dataset" in docs.columns else docs.withColumn("dataset", F.lit(None).cast("string"))
-        own.write.parquet(f"{at}/stored")  # read again below, so that all parts of the segment are of the same rows
+        own.write.option("compression", "zstd").parquet(f"{at}/stored")  # read again below, so that all parts of the segment are of the same rows
         own = self.spark.read.schema(own.schema).parquet(f"{at}/stored")
         tokenizer = tx.arrow_tokens if self.analyzer is tx.tokens else None  # the same tokens, made where they are packed
         texts = [F.col(f).cast("string").alias(f) if tokenizer else self.analyzer(F.col(f)).alias(f) for f in self.field_names]
         tokens = own.select(F.col("id").cast("string").alias("id"), F.col("dataset").cast("string").alias("dataset"), *texts)
-        blocks.packed(tokens, self.field_names, tokenizer).write.parquet(f"{at}/packed")
+        blocks.packed(tokens, self.field_names, tokenizer).write.option("compression", "zstd").parquet(f"{at}/packed")
         packed = self.spark.read.schema(blocks.ROW).parquet(f"{at}/packed")
         told = packed.groupBy("field", F.col("term").isNull().alias("whole")).agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.count("*").alias("rows")).collect()  # two rows a field
         shards = next((r for r in told if r["field"] is None), {"n": 0, "rows": 0})
