@@ -113,10 +113,14 @@ def _shard_rows(held: pa.Table, fields: list[str], name: str) -> Iterator[pa.Rec
             tokens = own.column(f).chunk(0)
             length = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
             flat = tokens.flatten().dictionary_encode()
+            order = pc.sort_indices(flat.dictionary).to_numpy()  # rows of a field are sorted by term
+            code = np.empty(len(order), np.int64)
+            code[order] = np.arange(len(order))
+            terms, code = flat.dictionary.take(pa.array(order)), code[flat.indices.to_numpy()]
             doc = np.repeat(np.arange(b - a), length)
             position = np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
             yield _batch(1, same | {"field": f, "n": int((length > 0).sum()), "words": int(length.sum())})
-            rows = _batch(len(flat.dictionary), same | {"field": f} | _field_rows(doc, flat.indices.to_numpy().astype(np.int64), position, length, flat.dictionary))
+            rows = _batch(len(terms), same | {"field": f} | _field_rows(doc, code, position, length, terms))
             yield from (rows.slice(k, 4096) for k in range(0, rows.num_rows, 4096))
 
 

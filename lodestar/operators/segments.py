@@ -1,8 +1,8 @@
 """A stored index: segments that never change, named by a manifest.
 
-A load writes a segment (documents, packed postings by bucket of term, statistics), a removal or a replacement writes a tombstone (the places that are dead, and what
+A load writes a segment (documents, and packed postings, by shard and sorted by term in it), a removal or a replacement writes a tombstone (the places that are dead, and what
 they take from the statistics), and then a new version of the manifest names what counts. Its file is made once under its number, so of two writers one fails, and a
-writer that is killed leaves the last version as it was. Statistics are summed over segments and tombstones, so scores are those of an index made
+writer that is killed leaves the last version as it was. Nothing is shuffled to make a segment; a search tells the scan its terms, and pages that can't hold them are skipped. Statistics are summed over segments and tombstones, so scores are those of an index made
 at once from the documents that are left. ``merge`` rewrites small segments as one and drops what is dead; ``vacuum`` deletes what no version names.
 """
 
@@ -20,8 +20,6 @@ from lodestar.operators import blocks
 from lodestar.operators.index import Analyzer, query_terms, small
 from lodestar.operators.store import Folder
 
-#: Postings of one bucket of terms, about; shards whose rows of one bucket lie together.
-BUCKET_POSTINGS, BUCKET_SHARDS, MOST_BUCKETS = 2_000_000, 1024, 4096
 #: Terms that a scan is told by name; more are joined.
 NAMED_TERMS = 10_000
 #: Queries that one search answers; their terms' weights go to all tasks.
@@ -40,10 +38,6 @@ def _among(name: str, terms: list[str]) -> Column:
     return F.expr(f"{name} IN ({', '.join(f"'{t}'" for t in quoted)})") if terms else F.lit(False)
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-
-
 class Index:
     """The version of a stored index that was newest when it was opened; ``refresh`` opens the newest."""
 
@@ -126,20 +120,12 @@ class Index:
         tokenizer = tx.arrow_tokens if self.analyzer is tx.tokens else None  # the same tokens, made where they are packed
         texts = [F.col(f).cast("string").alias(f) if tokenizer else self.analyzer(F.col(f)).alias(f) for f in self.field_names]
         tokens = own.select(F.col("id").cast("string").alias("id"), F.col("dataset").cast("string").alias("dataset"), *texts)
-        blocks.packed(tokens, self.field_names, tokenizer).write.option("compression", "zstd").parquet(f"{at}/packed")
+        blocks.packed(tokens, self.field_names, tokenizer).write.options(**_SMALL_ROWS).parquet(f"{at}/packed")  # no shuffle: a task packs its own documents
         packed = self.spark.read.schema(blocks.ROW).parquet(f"{at}/packed")
-        told = packed.groupBy("field", F.col("term").isNull().alias("whole")).agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.count("*").alias("rows")).collect()  # two rows a field
-        shards = next((r for r in told if r["field"] is None), {"n": 0, "rows": 0})
+        told = packed.groupBy("field", F.col("term").isNull().alias("whole")).agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()  # two rows a field
+        docs = sum(r["n"] for r in told if r["field"] is None)
         fields = {r["field"]: [r["n"], r["words"]] for r in told if r["whole"] and r["field"] is not None}
-        n = sum(r["n"] for r in told if not r["whole"])
-        buckets = min(max(1, -(-n // BUCKET_POSTINGS)), MOST_BUCKETS)
-        splits = max(-(-shards["rows"] // BUCKET_SHARDS), -(-self.spark.sparkContext.defaultParallelism // buckets))
-        files = max(buckets * splits, self.spark.sparkContext.defaultParallelism)
-        dealt = packed.where("term is not null").withColumn("bucket", _bucket(buckets)).repartition(files, "bucket", F.pmod(F.xxhash64("shard"), F.lit(splits))).sortWithinPartitions("bucket", "term", "field", "shard")
-        dealt.drop("ids", "words").write.options(**_SMALL_ROWS).partitionBy("bucket").parquet(f"{at}/postings")
-        packed.where("field is null").select("shard", "dataset", "n", "ids").write.parquet(f"{at}/ids")
-        Folder(self.spark, f"{at}/packed").delete()
-        return {"id": name, "docs": shards["n"], "postings": n, "buckets": buckets, "batch": batch, "fields": fields}
+        return {"id": name, "docs": docs, "postings": sum(r["n"] for r in told if not r["whole"]), "batch": batch, "fields": fields}
 
     def _without(self, ids: DataFrame) -> dict:
         """What the manifest says without the documents of these ids (null ids stay)."""
@@ -198,8 +184,13 @@ class Index:
         dead = self._dead("docs")
         return every if dead is None else every.join(small(dead.select("segment", "shard", "place")), ["segment", "shard", "place"], "left_anti")
 
+    def _ids(self) -> DataFrame | None:
+        """(segment, shard, dataset, ids): a row a shard."""
+        packed = self._read(self.told["segments"], "packed")
+        return None if packed is None else packed.where("term is null and field is null").select("segment", "shard", "dataset", "n", "ids")
+
     def _placed(self) -> DataFrame | None:
-        ids = self._read(self.told["segments"], "ids")
+        ids = self._ids()
         return None if ids is None else ids.select("segment", "shard", "dataset", F.posexplode("ids").alias("place", "id"))
 
     def stored(self) -> DataFrame:
@@ -235,15 +226,11 @@ class Index:
         return [r["term"] for r in rows] if len(rows) <= NAMED_TERMS else None
 
     def rows(self, terms: DataFrame, columns: list[str], *, dataset: str | None = None, named: list[str] | None = None) -> DataFrame | None:
-        """Packed rows of ``terms``: a scan of their buckets with the terms as a pushed predicate, or a join where they are too many to name."""
+        """Packed rows of ``terms``: a scan that is told the terms, or a join where they are too many to name."""
         found = None
         for s in self.told["segments"]:
-            df = self.spark.read.parquet(f"{self.path}/segments/{s['id']}/postings")
-            if named is not None:
-                buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in named], "term string").select(_bucket(s["buckets"])).distinct().collect()] if s["buckets"] > 1 else [0]
-                df = df.where(F.col("bucket").isin(buckets) & _among("term", named))
-            else:
-                df = df.join(small(terms.select("term").distinct()), "term", "left_semi")
+            df = self.spark.read.schema(blocks.ROW).parquet(f"{self.path}/segments/{s['id']}/packed")
+            df = df.where(_among("term", named)) if named is not None else df.join(small(terms.select("term").distinct()), "term", "left_semi")
             df = df if dataset is None else df.where(F.col("dataset") == dataset)
             df = df.select(*columns, F.lit(s["id"]).alias("segment"))
             found = df if found is None else found.unionByName(df)
@@ -287,7 +274,7 @@ class Index:
         found, columns = self.rows(terms, packed, dataset=dataset, named=self._named(terms)), [*packed, "ids"]
         if found is None:
             return self.spark.createDataFrame([], "field string, term string, id string, dl int, tf long" + (", positions array<int>" if positions else ""))
-        ids = self._read(self.told["segments"], "ids")
+        ids = self._ids()
         ids = ids if dataset is None else ids.where(F.col("dataset") == dataset)
         every = found.unionByName(ids, allowMissingColumns=True).select(*columns, "segment")
         return blocks.unpacked(self._by_shard(every, columns), positions)
