@@ -24,7 +24,7 @@ from lodestar.operators.store import Folder
 NAMED_TERMS = 10_000
 #: Queries that one search answers; their terms' weights go to all tasks.
 BLOCK_QUERIES = 2_000
-_SMALL_ROWS = {"parquet.block.size": str(4 << 20), "parquet.page.row.count.limit": "1024", "compression": "zstd"}
+_SMALL_ROWS = {"parquet.block.size": str(4 << 20), "parquet.page.row.count.limit": "1024", "parquet.writer.version": "v2", "compression": "zstd"}
 _HEAD = ["shard", "dataset", "field", "term", "n"]
 
 
@@ -100,23 +100,25 @@ class Index:
 
     # --- writing
 
-    def load(self, docs: DataFrame, *, replace: bool = False, batch: str | None = None) -> Index:
+    def load(self, docs: DataFrame, *, replace: bool = False, batch: str | None = None, store: bool = True) -> Index:
         """The next version, with ``docs`` (id, a column a field, further columns) as a segment; with ``replace``, documents of the same ids go.
 
-        ``batch`` names a load: one that the index has already isn't made again. Ids of one load should differ. Null ids and null fields are as they are, empty.
+        ``batch`` names a load: one that the index has already isn't made again. Ids of one load should differ. Null ids and null fields are as they are, empty. Without
+        ``store`` the documents themselves aren't kept; such an index is searched only: nothing of it can be removed, replaced or merged.
         """
         if batch is not None and any(s["batch"] == batch for s in self.told["segments"] + self.told.get("merged", [])):
             return self
-        segment = self._segment(docs, batch)
-        told = self._without(self._read([segment], "stored").select(F.col("id").cast("string").alias("id"))) if replace and self.told["segments"] else self.told
+        segment = self._segment(docs, batch, store)
+        told = self._without(self._placed([segment]).select("id")) if replace and self.told["segments"] else self.told
         return self._next(segments=[*self.told["segments"], segment], tombstones=told["tombstones"])
 
-    def _segment(self, docs: DataFrame, batch: str | None) -> dict:
+    def _segment(self, docs: DataFrame, batch: str | None, store: bool = True) -> dict:
         name = f"{uuid.uuid4()}"
         at = f"{self.path}/segments/{name}"
         own = docs if "dataset" in docs.columns else docs.withColumn("dataset", F.lit(None).cast("string"))
-        own.write.option("compression", "zstd").parquet(f"{at}/stored")  # read again below, so that all parts of the segment are of the same rows
-        own = self.spark.read.schema(own.schema).parquet(f"{at}/stored")
+        if store:
+            own.write.option("compression", "zstd").parquet(f"{at}/stored")
+            own = self.spark.read.schema(own.schema).parquet(f"{at}/stored")  # so that all parts of the segment are of the same rows
         tokenizer = tx.arrow_tokens if self.analyzer is tx.tokens else None  # the same tokens, made where they are packed
         texts = [F.col(f).cast("string").alias(f) if tokenizer else self.analyzer(F.col(f)).alias(f) for f in self.field_names]
         tokens = own.select(F.col("id").cast("string").alias("id"), F.col("dataset").cast("string").alias("dataset"), *texts)
@@ -125,7 +127,7 @@ class Index:
         told = packed.groupBy("field", F.col("term").isNull().alias("whole")).agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()  # two rows a field
         docs = sum(r["n"] for r in told if r["field"] is None)
         fields = {r["field"]: [r["n"], r["words"]] for r in told if r["whole"] and r["field"] is not None}
-        return {"id": name, "docs": docs, "postings": sum(r["n"] for r in told if not r["whole"]), "batch": batch, "fields": fields}
+        return {"id": name, "docs": docs, "postings": sum(r["n"] for r in told if not r["whole"]), "batch": batch, "fields": fields, "stored": store}
 
     def _without(self, ids: DataFrame) -> dict:
         """What the manifest says without the documents of these ids (null ids stay)."""
@@ -184,17 +186,19 @@ class Index:
         dead = self._dead("docs")
         return every if dead is None else every.join(small(dead.select("segment", "shard", "place")), ["segment", "shard", "place"], "left_anti")
 
-    def _ids(self) -> DataFrame | None:
-        """(segment, shard, dataset, ids): a row a shard."""
-        packed = self._read(self.told["segments"], "packed")
+    def _ids(self, segments: list[dict] | None = None) -> DataFrame | None:
+        """(segment, shard, dataset, n, ids): a row a shard."""
+        packed = self._read(self.told["segments"] if segments is None else segments, "packed")
         return None if packed is None else packed.where("term is null and field is null").select("segment", "shard", "dataset", "n", "ids")
 
-    def _placed(self) -> DataFrame | None:
-        ids = self._ids()
+    def _placed(self, segments: list[dict] | None = None) -> DataFrame | None:
+        ids = self._ids(segments)
         return None if ids is None else ids.select("segment", "shard", "dataset", F.posexplode("ids").alias("place", "id"))
 
     def stored(self) -> DataFrame:
         """The documents that are alive as they were loaded, with their segment."""
+        if not all(s["stored"] for s in self.told["segments"]):
+            raise ValueError("this index doesn't keep its documents")
         every = self._read(self.told["segments"], "stored")
         if every is None:
             return self.spark.createDataFrame([], ", ".join(f"{c} string" for c in ("segment", "id", "dataset", *self.field_names)))
@@ -261,11 +265,16 @@ class Index:
             found = found.unionByName(dead.select("field", "term", (-F.col("df")).alias("n")))
         return found.groupBy("field", "term").agg(F.sum("n").alias("df")).where("df > 0")
 
+    def _shard(self) -> Column:
+        """A shard's name in the whole index, by its segment's place in the manifest."""
+        place = F.create_map(*[F.lit(x) for k, s in enumerate(self.told["segments"]) for x in (s["id"], str(k))])
+        return F.concat_ws("/", place[F.col("segment")], "shard")
+
     def _by_shard(self, found: DataFrame, columns: list[str]) -> DataFrame:
         """Rows dealt out by shard: all of a shard in one task, those without a term first."""
         dead = self._places(columns)
         every = found if dead is None else found.unionByName(dead)
-        every = every.withColumn("shard", F.concat_ws("/", "segment", "shard")).drop("segment")
+        every = every.withColumn("shard", self._shard()).drop("segment")
         return every.repartition("shard").sortWithinPartitions(F.col("shard"), F.col("term").asc_nulls_first())
 
     def postings(self, terms: DataFrame, dataset: str | None = None, positions: bool = False) -> DataFrame:
@@ -306,7 +315,7 @@ class Index:
             df = self._frequencies(terms, named).where(F.col("field").isin(list(combine.boosts))).collect()  # a row a term and field
             idf = {(r["field"], r["term"]): math.log(1.0 + (statistics[r["field"]][0] - r["df"] + 0.5) / (r["df"] + 0.5)) for r in df if r["field"] in statistics}
             model = blocks.Model(*profile, idf, {f: statistics[f][1] for f in fields})
-            columns = [*_HEAD, "places", "counts", "lengths", "blocks", "edge_blocks", "edge_counts", "edge_lengths"]
+            columns = ["shard", "field", "term", "places", "counts", "lengths", "blocks", "edge_blocks", "edge_counts", "edge_lengths"]
             rows = self.rows(terms, columns, dataset=dataset, named=named).where(F.col("field").isin(fields))
             out = blocks.searched(self._by_shard(rows, columns), asked, model, combine, k)
             names = F.broadcast(self.spark.createDataFrame(list(enumerate(ids)), f"query int, query_id {kind}"))  # at most BLOCK_QUERIES rows
@@ -319,7 +328,7 @@ class Index:
     def _named_top(self, out: DataFrame, k: int) -> DataFrame:
         """(query, id, score, rank): ids are looked up for the best scores only, with all that are equal to the last."""
         near = out.where("place is not null").withColumn("r", F.rank().over(Window.partitionBy("query").orderBy(F.col("score").desc()))).where(F.col("r") <= k)
-        docs = self._placed().select(F.concat_ws("/", "segment", "shard").alias("shard"), "place", "id")
+        docs = self._placed().select(self._shard().alias("shard"), "place", "id")
         named = docs.join(near.select("query", "shard", "place", "score"), ["shard", "place"])
         order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("id"))
         return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "id", "score", "rank")

@@ -54,7 +54,7 @@ class Tables:
             state = files.agg(F.md5(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "path", "length", "modificationTime")))))).first()[0]  # a row a file
             path = f"{shared_folder(self.spark)}/tables-{state}"
             index = Index.create(self.spark, path, list(BOOSTS))
-            index = index if index.told["segments"] else index.load(corpora.table_documents(self.read("documents"), "lang"), batch="tables")
+            index = index if index.told["segments"] else index.load(corpora.table_documents(self.read("documents"), "lang"), batch="tables", store=False)
             self._engine = Engine(self.docs, stored=index)
         return self._engine
 

@@ -143,6 +143,16 @@ def test_ties_go_by_id_across_shards(spark, tmp_path, small_blocks):
     assert [r.id for r in index.top(one, 7, BOOSTS).orderBy("rank").collect()] == sorted(r[0] for r in rows)[:7]
 
 
+def test_an_index_without_documents(spark, tmp_path):
+    rows = made(3, 40)
+    index = S.Index.create(spark, f"{tmp_path}/index", list(BOOSTS)).load(spark.createDataFrame(rows, SCHEMA), store=False)
+    same(spark, index, rows)
+    for change in (index.stored, lambda: index.load(spark.createDataFrame(rows[:3], SCHEMA), replace=True), lambda: index.remove(spark.createDataFrame([("1",)], "id string"))):
+        with pytest.raises(ValueError):
+            change()
+    assert index.merge() is index and index.refresh().version == index.version
+
+
 def test_stream_writes_segments(spark, tmp_path):
     rows = made(9, 30)
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/in")
