@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as tx
 from lodestar.functions.numbers import round_half_up
 from lodestar.operators import index as ix
+from lodestar.operators import phrases
 
 
 @dataclass(frozen=True)
@@ -120,33 +121,25 @@ def cross_fields(docs: DataFrame, queries: DataFrame, boosts: dict[str, float],
 
 
 def phrase(docs: DataFrame, queries: DataFrame, boosts: dict[str, float], *, slop: int = 3, profile: Profile = DEFAULT, analyzer=tx.tokens, stored=None) -> DataFrame:
-    """Best field's phrase score with slop.
+    """Best field's phrase score with slop: BM25 of the idf of all words, repeats counted, and the frequency of sloppy matches (``phrases``).
 
-    A phrase occurs at a place if every term of the query stands within ``slop`` of where it would stand in order; an occurrence counts
-    1 / (1 + moves). The score is BM25 with the sum of idf and that frequency. (A simpler rule than an engine's sloppy matcher, which
-    moves terms one at a time; exact phrases score alike.)
+    Only fields with all of a query's words are matched, which are found from its rarest one; a document's positions of a query's words meet in one row. A query without words has no rows.
     """
-    asked = queries.select("query_id", F.posexplode(analyzer(F.col("query"))).alias("at", "term"))
-    length = asked.groupBy("query_id").agg(F.count("*").alias("asked"))
+    asked = queries.select("query_id", F.posexplode(analyzer(F.col("query"))).alias("at", "term")).groupBy("query_id", "term").agg(F.sort_array(F.collect_list("at")).alias("places"))
     posted, frequency, fields = _posted(docs, asked, list(boosts), analyzer, stored, positions=True)
-    # a document can only hold a phrase if it has the query's rarest term, in a field that has all of them
-    words = asked.select("query_id", "term").distinct()
-    different = words.groupBy("query_id").agg(F.count("*").alias("different"))
-    rarest = words.join(frequency, "term").groupBy("query_id", "field").agg(F.min_by("term", "df").alias("term"), F.count("*").alias("n"))
-    rarest = rarest.join(ix.small(different), "query_id").where("n = different").select("query_id", "field", "term")
-    candidates = posted.select("field", "term", "id").join(ix.small(rarest), ["field", "term"]).select("query_id", "field", "id")
+    different = asked.groupBy("query_id").agg(F.count("*").alias("different"))
+    # one term a query and field at most, so the number of queries tells its size without a look at the postings
+    few = F.broadcast if queries.limit(ix.BROADCAST_ROWS // len(boosts) + 1).count() <= ix.BROADCAST_ROWS // len(boosts) else lambda df: df
+    rarest = asked.join(frequency, "term").groupBy("query_id", "field").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("n"))
+    rarest = rarest.join(few(different), "query_id").where("n = different").select("query_id", "field", "term")
+    candidates = posted.select("field", "term", "id").join(few(rarest), ["field", "term"]).select("query_id", "field", "id")
     there = posted.join(candidates, ["field", "id"]).join(ix.small(asked), ["query_id", "term"]).join(frequency, ["field", "term"]).join(F.broadcast(fields), "field")  # a row per field
-    idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    moved = there.select("query_id", "field", "id", "at", "dl", "avg_len", idf.alias("idf"), F.explode("positions").alias("pos")).withColumn("begin", F.col("pos") - F.col("at"))
-    # a place to begin is tried at each shift that a term's position allows
-    tried = moved.withColumn("start", F.explode(F.sequence(F.col("begin") - slop, F.col("begin"))))
-    per_term = tried.groupBy("query_id", "field", "id", "dl", "avg_len", "start", "at").agg(F.min(F.col("begin") - F.col("start")).alias("moves"), F.first("idf").alias("idf"))
-    whole = per_term.groupBy("query_id", "field", "id", "dl", "avg_len", "start").agg(F.count("*").alias("found"), F.max("moves").alias("far"), F.min("moves").alias("near"), F.sum("idf").alias("idf"))
-    whole = whole.join(ix.small(length), "query_id").where("found = asked and near = 0")
-    summed = whole.groupBy("query_id", "field", "id", "dl", "avg_len").agg(F.sum(F.lit(1.0) / (1 + F.col("far"))).alias("freq"), F.max("idf").alias("idf"))
-    score = F.col("idf") * F.col("freq") / (F.col("freq") + profile.k1 * (F.lit(1 - profile.b) + profile.b * F.col("dl") / F.col("avg_len")))
+    idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.size("places")
+    whole = there.groupBy("query_id", "field", "id", "dl", "avg_len").agg(F.collect_list(F.struct("places", "positions")).alias("words"), F.sum(idf).alias("idf")).join(few(different), "query_id").where(F.size("words") == F.col("different"))
+    matched = whole.withColumn("freq", phrases.frequencies(slop)(F.col("words.places"), F.col("words.positions"))).where("freq > 0")
+    score = F.col("idf") * F.col("freq") / (F.col("freq") + profile.k1 * (F.lit(1 - profile.b) + profile.b * F.col("dl") / F.col("avg_len"))) * profile.factor
     boost = reduce(lambda e, f: e.when(F.col("field") == f, F.lit(float(boosts[f]))), list(boosts), F.when(F.lit(False), F.lit(0.0)))
-    return summed.groupBy("query_id", "id").agg(round_half_up(F.max(score * boost), 6).alias("score"))
+    return matched.groupBy("query_id", "id").agg(round_half_up(F.max(score * boost), 6).alias("score"))
 
 
 def rescue(docs: DataFrame, queries: DataFrame, fields: dict[str, float], phrase_fields: dict[str, float], *, profile: Profile = DEFAULT, analyzer=tx.tokens, stored=None) -> DataFrame:

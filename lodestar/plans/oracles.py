@@ -77,7 +77,7 @@ BASELINE = f"run AS MATERIALIZED ({_top('wide', BEST, 10)})"
 
 
 def _with(*parts: str) -> str:
-    return "WITH " + ", ".join(parts) + " "
+    return ("WITH RECURSIVE " if any("walk(" in p for p in parts) else "WITH ") + ", ".join(parts) + " "
 
 
 COMMON = (DOCS, _index())
@@ -236,6 +236,11 @@ FOLD = "CASE WHEN len(regexp_replace({0}, '[^0-9]', '', 'g')) > 0 AND CAST(regex
 NEEDED = "need AS (SELECT query_id, greatest(CAST(floor(sum(qtf) * CAST(0.7 AS DOUBLE)) AS BIGINT), 1) AS needed FROM ask GROUP BY query_id)"
 ENOUGH = f"ok AS (SELECT query_id, id, {_r('greatest(CASE WHEN n_title >= needed THEN 3 * title END, CASE WHEN n_abstract >= needed THEN 2 * abstract END, CASE WHEN n_text >= needed THEN 1 * text END)', 6)} AS score FROM wide JOIN need USING (query_id))"
 _NORM = "(CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avg_len)"
+_STANDS = "list_transform(range(1, len(offs) + 1), lambda c: spots[c][seat[c]] - offs[c])"
+_FIRST = "list_min(list_transform(range(1, len(offs) + 1), lambda c: {{'p': {stands}[c], 'c': c}})).c"
+_NEXT = "list_min(list_transform(list_filter(range(1, len(offs) + 1), lambda c: c <> {k}), lambda c: {stands}[c]))"
+_HIT = "CASE WHEN spread <= 3 THEN CAST(1 AS DOUBLE) / (1 + spread) ELSE 0 END"
+#: Cursors over the positions of a query's words (``held``), a step of one cursor (m; k is the one that is behind) a row of ``walk``.
 PHRASES = f"""want AS (
   SELECT query_id, unnest(w) AS term, unnest(range(len(w))) AS place FROM (SELECT query_id, {_tokens("query")} AS w FROM queries)
 ), want_n AS (
@@ -244,14 +249,33 @@ PHRASES = f"""want AS (
   SELECT * FROM (SELECT id, field, len(w) AS dl, unnest(w) AS term, unnest(range(len(w))) AS pos FROM tok) WHERE term IN (SELECT term FROM want)
 ), idf AS (
   SELECT field, term, ln(1 + (n_docs - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) AS idf FROM df JOIN stat USING (field)
-), tried AS (
-  SELECT query_id, field, id, dl, place, term, pos - place AS origin, unnest(range(pos - place - 3, pos - place + 1)) AS start FROM pos JOIN want USING (term)
-), moved AS (
-  SELECT query_id, field, id, dl, place, term, start, min(origin - start) AS moves FROM tried GROUP BY ALL
+), spot AS (
+  SELECT field, id, dl, term, list(pos ORDER BY pos) AS spots FROM pos GROUP BY ALL
+), met AS (
+  SELECT query_id, field, id, dl, count(*) AS found FROM want JOIN spot USING (term) GROUP BY ALL
 ), whole AS (
-  SELECT query_id, field, id, dl, start, count(*) AS found, max(moves) AS far, min(moves) AS near, sum(idf) AS idf FROM moved JOIN idf USING (field, term) GROUP BY ALL
+  SELECT query_id, field, id, dl FROM met JOIN want_n USING (query_id) WHERE found = asked
+), held AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY query_id, field, id) AS n, * FROM (
+    SELECT query_id, field, id, w.dl, list(place ORDER BY place) AS offs, list(term ORDER BY place) AS words, list(spots ORDER BY place) AS spots, sum(idf) AS idf
+    FROM whole w JOIN want USING (query_id) JOIN spot USING (field, id, term) JOIN idf USING (field, term) GROUP BY ALL)
+), begun AS (
+  SELECT * FROM (SELECT *, list_transform(range(1, len(words) + 1), lambda c: len(list_filter(range(1, c + 1), lambda d: words[d] = words[c]))) AS seat FROM held WHERE len(words) > 1)
+  WHERE len(list_filter(range(1, len(words) + 1), lambda c: seat[c] > len(spots[c]))) = 0
+), walk(n, seat, k, m, nxt, spread, fin, freq, going) AS (
+  SELECT n, seat, k, k, {_NEXT.format(k="k", stands="st")}, list_max(st) - st[k], list_max(st), CAST(0 AS DOUBLE), true
+  FROM (SELECT *, {_FIRST.format(stands="st")} AS k FROM (SELECT *, {_STANDS} AS st FROM begun))
+  UNION ALL
+  SELECT n, seat, CASE WHEN turn THEN k2 ELSE k END, CASE WHEN NOT going THEN m WHEN rival IS NOT NULL THEN greatest(m, rival) WHEN turn THEN k2 ELSE k END,
+    CASE WHEN turn THEN {_NEXT.format(k="k2", stands="st")} ELSE nxt END,
+    CASE WHEN turn THEN fin - st[k2] WHEN going AND rival IS NULL THEN least(spread, fin - st[k]) ELSE spread END, fin, CASE WHEN turn OR NOT going THEN freq + {_HIT} ELSE freq END, going
+  FROM (SELECT *, going AND rival IS NULL AND st[k] > nxt AS turn, {_FIRST.format(stands="st")} AS k2
+    FROM (SELECT n, seat, k, m, nxt, spread, freq, offs, st, seat[m] <= len(spots[m]) AS going, greatest(fin, st[m]) AS fin, list_filter(range(1, len(offs) + 1), lambda c: c <> m AND words[c] = words[m] AND spots[c][seat[c]] = spots[m][seat[m]])[1] AS rival
+      FROM (SELECT *, {_STANDS} AS st
+        FROM (SELECT w.n, list_transform(w.seat, lambda v, c: v + CAST(c = w.m AS INT)) AS seat, k, m, nxt, spread, fin, freq, offs, words, spots FROM walk w JOIN held h ON h.n = w.n WHERE w.going))))
 ), often AS (
-  SELECT query_id, field, id, dl, sum(CAST(1 AS DOUBLE) / (1 + far)) AS freq, max(idf) AS idf FROM whole JOIN want_n USING (query_id) WHERE found = asked AND near = 0 GROUP BY ALL
+  SELECT query_id, field, id, dl, idf, freq FROM held JOIN walk USING (n) WHERE NOT going AND freq > 0
+  UNION ALL SELECT query_id, field, id, dl, idf, CAST(len(spots[1]) AS DOUBLE) FROM held WHERE len(words) = 1
 ), phrases AS MATERIALIZED (
   SELECT query_id, id, {_r(f"max(CASE field WHEN 'title' THEN 8 WHEN 'abstract' THEN 5 ELSE 2 END * idf * freq / (freq + CAST(1.2 AS DOUBLE) * {_NORM}))", 6)} AS score FROM often JOIN stat USING (field) GROUP BY ALL
 )"""
