@@ -121,3 +121,18 @@ def test_trees_score_as_plain_ones(spark, least, most):
         for r in rows:
             if r not in seen:
                 assert abs(ranked[r[0], r[1]] - rounded(base, 6) - 0.3 * sum(value(t, r[4:]) for t in trees)) < 2e-6
+
+
+def test_trees_are_the_same_however_often_predictions_are_written(spark):
+    _, df = make(spark, 3)
+    learn = lambda every: ltr.learn_trees(df, folds=2, trees=5, rate=0.3, max_depth=2, min_leaf=3, every=every)
+    assert learn(1) == learn(2) == learn(8)
+
+
+def test_a_level_evaluates_few_trees(spark, monkeypatch):
+    """Trees behind the written predictions aren't looked at again, so a long model costs a level no more than a short one."""
+    _, df = make(spark, 4, queries=6, docs=8)
+    most, plain = [], ltr.histograms
+    monkeypatch.setattr(ltr, "histograms", lambda pools, models, since, *rest: most.append(len(models[0]["trees"]) - since) or plain(pools, models, since, *rest))
+    models = ltr.learn_trees(df, folds=2, trees=7, max_depth=1, min_leaf=2, every=3)
+    assert max(most) == 2 and len(models[0]["trees"]) == 7
