@@ -356,3 +356,48 @@ def unpacked(rows: DataFrame, positions: bool = False) -> DataFrame:
             yield from out.to_batches(max_chunksize=20_000)
 
     return rows.mapInArrow(run, "field string, term string, id string, dl int, tf long" + (", positions array<int>" if positions else ""))
+
+
+def holding(rows: DataFrame, queries: list[list[str]], fields: list[str]) -> DataFrame:
+    """(query, field, shard, place) of documents that have all terms of a query in one field, found by their places alone; ``rows`` lie by shard, dead places among them."""
+    shared = rows.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, rows in shards(batches):
+            without = pc.is_null(rows.column("term"))
+            dead = get("places", _whole(rows.filter(without).combine_chunks(), "places"))[0]
+            rows = rows.filter(pc.invert(without)).combine_chunks()
+            at = {n: k for k, n in enumerate(zip(rows.column("field").to_pylist(), rows.column("term").to_pylist(), strict=True))}
+            deltas, size = get("places", _whole(rows, "places"))
+            own = np.split(_summed_from(deltas, size), np.cumsum(size)[:-1]) if len(size) else []
+            for f in fields:
+                out = []
+                for q, terms in enumerate(shared.value):
+                    if not terms or any((f, t) not in at for t in terms):
+                        continue
+                    least, *others = sorted((own[at[f, t]] for t in terms), key=len)
+                    found = np.setdiff1d(least, dead, assume_unique=True)
+                    for other in others:
+                        found = np.intersect1d(found, other, assume_unique=True)
+                    out.append((np.full(len(found), q), found))
+                if out:
+                    q, place = (np.concatenate(c) for c in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.repeat(f, len(q)), pa.repeat(name, len(q)), pa.array(place, pa.int32())], names=["query", "field", "shard", "place"])
+
+    return rows.mapInArrow(run, "query int, field string, shard string, place int")
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """(shard, field, term, place, dl, positions) of the places that each row's ``wanted`` has, all of which are among its own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(k, 1) for k in range(batch.num_rows)):
+                places, counts, lengths, steps = (get(c, row.column(c))[0] for c in ("places", "counts", "lengths", "positions"))
+                wanted = np.sort(np.asarray(row.column("wanted")[0].values))
+                at = np.searchsorted(np.cumsum(places), wanted)
+                end = np.cumsum(counts)[at]
+                own = [np.cumsum(steps[e - n : e]) for e, n in zip(end, counts[at], strict=True)]
+                same = [pa.repeat(row.column(c)[0], len(at)) for c in ("shard", "field", "term")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(wanted, pa.int32()), pa.array(lengths[at], pa.int32()), pa.array(own, pa.list_(pa.int32()))], names=["shard", "field", "term", "place", "dl", "positions"])
+
+    return rows.select("shard", "field", "term", "places", "counts", "lengths", "positions", "wanted").mapInArrow(run, "shard string, field string, term string, place int, dl int, positions array<int>")

@@ -123,17 +123,21 @@ def cross_fields(docs: DataFrame, queries: DataFrame, boosts: dict[str, float],
 def phrase(docs: DataFrame, queries: DataFrame, boosts: dict[str, float], *, slop: int = 3, profile: Profile = DEFAULT, analyzer=tx.tokens, stored=None) -> DataFrame:
     """Best field's phrase score with slop: BM25 of the idf of all words, repeats counted, and the frequency of sloppy matches (``phrases``).
 
-    Only fields with all of a query's words are matched, which are found from its rarest one; a document's positions of a query's words meet in one row. A query without words has no rows.
+    Only fields with all of a query's words are matched, found by places in a stored index and else from the rarest word; a document's positions of a query's words meet in one row. A query without words has no rows.
     """
     asked = queries.select("query_id", F.posexplode(analyzer(F.col("query"))).alias("at", "term")).groupBy("query_id", "term").agg(F.sort_array(F.collect_list("at")).alias("places"))
-    posted, frequency, fields = _posted(docs, asked, list(boosts), analyzer, stored, positions=True)
     different = asked.groupBy("query_id").agg(F.count("*").alias("different"))
     # one term a query and field at most, so the number of queries tells its size without a look at the postings
     few = F.broadcast if queries.limit(ix.BROADCAST_ROWS // len(boosts) + 1).count() <= ix.BROADCAST_ROWS // len(boosts) else lambda df: df
-    rarest = asked.join(frequency, "term").groupBy("query_id", "field").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("n"))
-    rarest = rarest.join(few(different), "query_id").where("n = different").select("query_id", "field", "term")
-    candidates = posted.select("field", "term", "id").join(few(rarest), ["field", "term"]).select("query_id", "field", "id")
-    there = posted.join(candidates, ["field", "id"]).join(ix.small(asked), ["query_id", "term"]).join(frequency, ["field", "term"]).join(F.broadcast(fields), "field")  # a row per field
+    if stored is not None:
+        frequency, fields, there = stored.frequencies(asked), stored.fields, stored.holding(asked, list(boosts))
+    else:
+        posted, frequency, fields = _posted(docs, asked, list(boosts), analyzer, None, positions=True)
+        rarest = asked.join(frequency, "term").groupBy("query_id", "field").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("n"))
+        rarest = rarest.join(few(different), "query_id").where("n = different").select("query_id", "field", "term")
+        candidates = posted.select("field", "term", "id").join(few(rarest), ["field", "term"]).select("query_id", "field", "id")
+        there = posted.join(candidates, ["field", "id"])
+    there = there.join(ix.small(asked), ["query_id", "term"]).join(frequency, ["field", "term"]).join(F.broadcast(fields), "field")  # a row per field
     idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.size("places")
     whole = there.groupBy("query_id", "field", "id", "dl", "avg_len").agg(F.collect_list(F.struct("places", "positions")).alias("words"), F.sum(idf).alias("idf")).join(few(different), "query_id").where(F.size("words") == F.col("different"))
     matched = whole.withColumn("freq", phrases.frequencies(slop)(F.col("words.places"), F.col("words.positions"))).where("freq > 0")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as tx
 from lodestar.operators import blocks
 from lodestar.operators.index import Analyzer, query_terms, small
-from lodestar.operators.store import Folder
+from lodestar.operators.store import Folder, materialized
 
 #: Terms that a scan is told by name; more are joined.
 NAMED_TERMS = 10_000
@@ -288,6 +288,33 @@ class Index:
         every = found.unionByName(ids, allowMissingColumns=True).select(*columns, "segment")
         return blocks.unpacked(self._by_shard(every, columns), positions)
 
+    def holding(self, terms: DataFrame, fields: list[str]) -> DataFrame:
+        """(query_id, field, term, id, dl, positions) of the documents that have all of a query's ``terms`` (query_id, term) in one of ``fields``.
+
+        Places are intersected by shard first, without positions. Then the tasks that read positions cut out those of the documents found, and only these are dealt out.
+        """
+        kind = terms.schema["query_id"].dataType.simpleString()
+        found = self.spark.createDataFrame([], f"query_id {kind}, field string, term string, id string, dl int, positions array<int>")
+        if not self.told["segments"]:
+            return found
+        docs = self._placed().select(self._shard().alias("shard"), "place", "id")
+        for ids, asked in _query_blocks(terms.select("query_id", "term", F.lit(1).alias("qtf"))):
+            own = [[t for t, _ in words] for words in asked]
+            every = sorted({t for words in own for t in words})
+            named = every if len(every) <= NAMED_TERMS else None
+            wanted = self.spark.createDataFrame([(t,) for t in every], "term string")
+            within = lambda columns: self.rows(wanted, columns, named=named).where(F.col("field").isin(fields))  # noqa: B023, E731
+            columns = ["shard", "field", "term", "places"]
+            places = materialized(blocks.holding(self._by_shard(within(columns), columns), own, fields))  # narrow, and read three times
+            words = self.spark.createDataFrame([(q, i, t) for q, (i, terms_) in enumerate(zip(ids, own, strict=True)) for t in terms_], f"query int, query_id {kind}, term string")
+            each = places.join(F.broadcast(words), "query")  # at most BLOCK_QUERIES queries
+            cuts = small(each.groupBy("shard", "field", "term").agg(F.collect_set("place").alias("wanted")))
+            posted = blocks.cut(within([*columns, "counts", "lengths", "positions"]).withColumn("shard", self._shard()).join(cuts, ["shard", "field", "term"]))
+            known = docs.join(small(places.select("shard", "place").distinct()), ["shard", "place"])
+            met = posted.join(small(known), ["shard", "place"]).join(each, ["shard", "field", "term", "place"])
+            found = found.unionByName(met.select("query_id", "field", "term", "id", "dl", "positions"))
+        return found
+
     def top(self, queries: DataFrame, k: int, boosts: dict[str, float], *, tie: float | None = None, k1: float = 1.2, b: float = 0.75, factor: float = 1.0, dataset: str | None = None, analyzer: Analyzer | None = None) -> DataFrame:
         """(query_id, id, score, rank): the ``k`` best documents of each query (query_id, query) by BM25, blocks that can't get in left out.
 

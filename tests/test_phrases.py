@@ -8,6 +8,7 @@ import pytest
 from lodestar.functions import text as tx
 from lodestar.operators import phrases
 from lodestar.operators import retrieval as rt
+from lodestar.operators.segments import Index
 from lodestar.plans.oracles import _index, _with, PHRASES
 
 
@@ -94,3 +95,23 @@ def test_same_rows_as_sql(spark):
     con.executemany("INSERT INTO queries VALUES (?, ?)", queries)
     want = {(q, d): s for q, d, s in con.sql(_with(_index(), PHRASES) + "SELECT query_id, id, score FROM phrases").fetchall()}
     assert len(got) > 500 and got == want
+
+
+def test_stored_index_gives_the_same(spark, tmp_path, monkeypatch):
+    """Shards of few documents, several segments and removed documents: places, positions and statistics are those of the documents that are left."""
+    monkeypatch.setattr("lodestar.operators.segments.BLOCK_QUERIES", 7)
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, n)))
+    docs = [(str(k), text(8), text(30), text(60)) for k in range(50)] + [("none", None, None, None)]
+    queries = [(f"q{k}", " ".join(r.choice("abcdefghz"[: 3 + k % 7]) for _ in range(1 + k % 4))) for k in range(16)] + [("none", None), ("mark", "?!")]
+    schema, boosts = "id string, title string, abstract string, text string", {"title": 8, "abstract": 5, "text": 2}
+    asked = spark.createDataFrame(queries, "query_id string, query string")
+    index = Index.create(spark, f"{tmp_path}/index", list(boosts))
+    index = index.load(spark.createDataFrame(docs[:30], schema).repartition(3))
+    index = index.load(spark.createDataFrame(docs[30:], schema).repartition(1))
+    index = index.remove(spark.createDataFrame([(d[0],) for d in docs[::9]], "id string"))
+    left = spark.createDataFrame([d for k, d in enumerate(docs) if k % 9], schema)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = rows(rt.phrase(None, asked, boosts, stored=index))
+    assert len(got) > 100 and got == rows(rt.phrase(left, asked, boosts))
+    assert rows(rt.phrase(None, asked, boosts, stored=Index.create(spark, f"{tmp_path}/bare", list(boosts)))) == []
