@@ -1,16 +1,22 @@
-"""An English analyzer: possessives off, stopwords out, Porter stems.
+"""An English analyzer: words by Unicode's boundaries, possessives off, stopwords out, Porter stems.
 
-Stems are computed once per distinct token by an Arrow function and joined back, so long texts cost no more Python than their vocabulary.
+``analyzed`` is an analyzer for indexes and searches: each batch of texts has its distinct words stemmed once. ``vocabulary`` and ``stemmed`` join the stems of the whole
+corpus' distinct words instead.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions import wordbreaks
+
 # The usual English stop list of search engines.
 STOPWORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
@@ -95,9 +101,29 @@ def _stems(words: pd.Series) -> pd.Series:
 
 
 def words(text: Column) -> Column:
-    """Letters and digits of any script and inner apostrophes, lower-cased, without possessives and stopwords."""
-    raw = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*)"), 1)
-    return F.filter(F.transform(raw, lambda w: F.regexp_replace(w, "['’]s$", "")), lambda w: ~F.array_contains(F.array(*[F.lit(s) for s in STOPWORDS]), w) & (w != ""))
+    """Words by Unicode's default boundaries, lower-cased, without possessives and stopwords; none for null."""
+    low = F.transform(wordbreaks.words(text), lambda w: F.regexp_replace(F.lower(w), "['’＇]s$", ""))
+    return F.filter(low, lambda w: ~F.array_contains(F.array(*[F.lit(s) for s in STOPWORDS]), w) & (w != ""))
+
+
+_kept = functools.lru_cache(2**17)(stem)
+
+
+def stem_lists(lists: pa.Array) -> pa.Array:
+    """An Arrow column of word lists with stems instead; of a batch, each distinct word is stemmed once, and frequent ones are remembered."""
+    coded = lists.flatten().cast(pa.string()).dictionary_encode()
+    stems = pa.array([_kept(w) for w in coded.dictionary.to_pylist()], pa.string())
+    offsets = pa.compute.subtract(lists.offsets, lists.offsets[0]) if len(lists) else pa.array([0], pa.int32())
+    return pa.ListArray.from_arrays(offsets.cast(pa.int32()), stems.take(coded.indices))
+
+
+def _stemmed_lists(lists: pa.Array) -> pa.Array:
+    return stem_lists(lists)
+
+
+def analyzed(text: Column) -> Column:
+    """Stems of a text's words, in order: an analyzer for ``Index``, ``Engine`` and the searches."""
+    return F.arrow_udf(_stemmed_lists, "array<string>")(words(text))
 
 
 def vocabulary(docs: DataFrame, fields: list[str]) -> DataFrame:

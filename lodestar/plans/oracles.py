@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestar.functions.text import COVERAGE_STOPWORDS, FEEDBACK_STOPWORDS
+from lodestar.operators.english import STEP2, STEP3, STEP4, STOPWORDS
 from lodestar.operators.ltr import FEATURES
 from lodestar.operators.metrics import METRICS, MODES
 
@@ -43,14 +44,14 @@ QRELS = """qrels AS (
 FIELDS = {"title": 3, "abstract": 2, "text": 1}
 
 
-def _index(queries: str = "queries", tag: str = "", fields: dict[str, float] = FIELDS, k1: float = 1.2) -> str:
+def _index(queries: str = "queries", tag: str = "", fields: dict[str, float] = FIELDS, k1: float = 1.2, tokens=_tokens) -> str:
     """Scores of terms (query_id, id, field, term, qtf, score) of a query table, as score{tag}."""
     return f"""tok{tag} AS MATERIALIZED (
-  {" UNION ALL ".join(f"SELECT id, '{f}' AS field, {_tokens(f)} AS w FROM docs" for f in fields)}
+  {" UNION ALL ".join(f"SELECT id, '{f}' AS field, {tokens(f)} AS w FROM docs" for f in fields)}
 ), stat{tag} AS (
   SELECT field, count(*) AS n_docs, avg(CAST(len(w) AS DOUBLE)) AS avg_len FROM tok{tag} WHERE len(w) > 0 GROUP BY field
 ), ask{tag} AS (
-  SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_tokens("query")}) AS term FROM {queries}) GROUP BY ALL
+  SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens("query")}) AS term FROM {queries}) GROUP BY ALL
 ), post{tag} AS MATERIALIZED (
   SELECT field, term, id, dl, count(*) AS tf FROM (SELECT id, field, len(w) AS dl, unnest(w) AS term FROM tok{tag}) WHERE term IN (SELECT term FROM ask{tag}) GROUP BY ALL
 ), df{tag} AS (
@@ -290,6 +291,64 @@ CROSS = f"""widest AS (
 )"""
 
 
+# Words by Unicode's boundaries in scripts with spaces between words, and Porter's stems, a step a table.
+_LETTERS, _DIGITS = r"[\p{L}\p{Nl}\p{M}\p{Cf}]+", r"[\p{Nd}\p{M}\p{Cf}]+"
+_WORD = rf"(?:{_LETTERS}(?:[:·.''‘’]{_LETTERS})*|{_DIGITS}(?:[,;.''‘’]{_DIGITS})*|_+)+"
+
+
+def _english(x: str) -> str:
+    written = f"list_filter(regexp_extract_all({x}, '{_WORD}'), lambda t: regexp_matches(t, '[\\p{{L}}\\p{{Nd}}]'))"
+    return f"list_filter(list_transform({written}, lambda t: regexp_replace(lower(t), '[''’]s$', '')), lambda t: t <> '' AND NOT list_contains({_list(STOPWORDS)}, t))"
+
+
+def _shape(x: str) -> str:
+    return f"list_reduce(list_prepend('', list_filter(string_split({x}, ''), lambda c: c <> '')), lambda s, c: s || CASE WHEN contains('aeiou', c) OR (c = 'y' AND right(s, 1) = 'c') THEN 'v' ELSE 'c' END)"
+
+
+def _measure(x: str) -> str:
+    return f"len(regexp_extract_all({_shape(x)}, 'v+c+'))"
+
+
+def _short(x: str) -> str:
+    return f"({_shape(x)} LIKE '%cvc' AND right({x}, 1) NOT IN ('w', 'x', 'y'))"
+
+
+def _less(x: str, n: int) -> str:
+    return f"left({x}, len({x}) - {n})"
+
+
+def _suffix_step(name: str, source: str, rules: str) -> str:
+    """Of the suffixes a word ends with, the longest decides: it is replaced if something measurable is left."""
+    pairs = sorted((r.split(":") for r in rules.split()), key=lambda r: -len(r[0]))
+    told = "[" + ", ".join(f"{{'a': '{a}', 'b': '{b}'}}" for a, b in pairs) + "]"
+    return f"""{name} AS (SELECT word, CASE WHEN r IS NOT NULL AND {_measure("left(w, len(w) - len(r.a))")} > 0 THEN left(w, len(w) - len(r.a)) || r.b ELSE w END AS w
+  FROM (SELECT word, w, list_filter({told}, lambda s: ends_with(w, s.a))[1] AS r FROM {source}))"""
+
+
+_FOURTH = _list(sorted(STEP4.split(), key=lambda x: -len(x)))
+STEMS = ",\n".join([
+    f"said AS MATERIALIZED (SELECT 'd' AS kind, id, unnest(['title', 'abstract', 'text']) AS field, unnest([{_english('title')}, {_english('abstract')}, {_english('text')}]) AS ws FROM docs0 UNION ALL SELECT 'q', query_id, 'query', {_english('query')} FROM queries0)",
+    "each AS MATERIALIZED (SELECT kind, id, field, unnest(ws) AS word, generate_subscripts(ws, 1) AS spot FROM said)",
+    f"s0 AS (SELECT DISTINCT word, CASE WHEN word LIKE '%sses' OR word LIKE '%ies' THEN {_less('word', 2)} WHEN word LIKE '%s' AND word NOT LIKE '%ss' THEN {_less('word', 1)} ELSE word END AS w FROM each)",
+    f"""s1 AS (SELECT word, w, CASE WHEN w LIKE '%eed' THEN NULL WHEN w LIKE '%ed' AND contains({_shape(_less('w', 2))}, 'v') THEN {_less('w', 2)} WHEN w LIKE '%ing' AND contains({_shape(_less('w', 3))}, 'v') THEN {_less('w', 3)} END AS x FROM s0)""",
+    f"""s2 AS (SELECT word, CASE WHEN w LIKE '%eed' THEN CASE WHEN {_measure(_less('w', 3))} > 0 THEN {_less('w', 1)} ELSE w END WHEN x IS NULL THEN w
+  WHEN x LIKE '%at' OR x LIKE '%bl' OR x LIKE '%iz' THEN x || 'e'
+  WHEN len(x) > 1 AND right(x, 1) = left(right(x, 2), 1) AND right({_shape('x')}, 1) = 'c' AND right(x, 1) NOT IN ('l', 's', 'z') THEN {_less('x', 1)}
+  WHEN {_measure('x')} = 1 AND {_short('x')} THEN x || 'e' ELSE x END AS w FROM s1)""",
+    f"s3 AS (SELECT word, CASE WHEN w LIKE '%y' AND contains({_shape(_less('w', 1))}, 'v') THEN {_less('w', 1)} || 'i' ELSE w END AS w FROM s2)",
+    _suffix_step("s4", "s3", STEP2),
+    _suffix_step("s5", "s4", STEP3),
+    f"s6 AS (SELECT word, w, list_filter({_FOURTH}, lambda s: ends_with(w, s))[1] AS suffix FROM s5)",
+    f"s7 AS (SELECT word, CASE WHEN suffix IS NOT NULL AND {_measure('left(w, len(w) - len(suffix))')} > 1 AND (suffix <> 'ion' OR right(left(w, len(w) - 3), 1) IN ('s', 't')) THEN left(w, len(w) - len(suffix)) ELSE w END AS w FROM s6)",
+    f"s8 AS (SELECT word, CASE WHEN w LIKE '%e' AND ({_measure(_less('w', 1))} > 1 OR ({_measure(_less('w', 1))} = 1 AND NOT {_short(_less('w', 1))})) THEN {_less('w', 1)} ELSE w END AS w FROM s7)",
+    f"stems AS MATERIALIZED (SELECT word, CASE WHEN len(word) < 3 THEN word WHEN w LIKE '%ll' AND {_measure('w')} > 1 THEN {_less('w', 1)} ELSE w END AS stem FROM s8)",
+    "texts AS MATERIALIZED (SELECT kind, id, field, string_agg(stem, ' ' ORDER BY spot) AS t FROM each JOIN stems USING (word) GROUP BY ALL)",
+    "docs AS (SELECT id, " + ", ".join(f"max(CASE WHEN field = '{f}' THEN t END) AS {f}" for f in FIELDS) + " FROM texts WHERE kind = 'd' GROUP BY id)",
+    "queries AS (SELECT id AS query_id, t AS query FROM texts WHERE kind = 'q')",
+])
+ENGLISH = (DOCS.replace("docs AS", "docs0 AS").replace("queries AS", "queries0 AS"), STEMS, _index(tokens=lambda x: f"list_filter(string_split(coalesce({x}, ''), ' '), lambda t: t <> '')"), BASELINE)
+
+
 def _clean(x: str) -> str:
     return f"trim(regexp_replace(coalesce({x}, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 
@@ -300,6 +359,10 @@ def _lines(*parts: str) -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "fixture_term_search": _with(*COMMON, f"s AS ({_top('wide2', 'score', 10)})".replace("wide2", "(SELECT query_id, id, CAST(sum(CASE field WHEN 'title' THEN 3 WHEN 'abstract' THEN 2 ELSE 1 END * tf * qtf) AS BIGINT) AS score FROM post JOIN ask USING (term) GROUP BY ALL)")) + RANKED + "s",
+    "bm25_english": _with(*ENGLISH) + RANKED + "run",
+    "english_bm25": _with(*ENGLISH) + RANKED + "run",
+    "english_stem": _with(*ENGLISH[:2]) + "SELECT word, stem FROM stems WHERE word IN (SELECT word FROM each WHERE field = 'text')",
+    "english_words": _with(DOCS) + f"SELECT id, len(w) AS n_words, md5(coalesce(list_aggregate(w, 'string_agg', ' '), '')) AS words_md5 FROM (SELECT id, {_english('text')} AS w FROM docs)",
     "bm25_best_fields": _with(*COMMON, BASELINE) + RANKED + "run",
     "bm25_field_sum": _with(*COMMON) + RANKED + f"({_top('wide', SUM, 10)})",
     "bm25_tie_breaker": _with(DOCS, _index(fields={"title": 1, "text": 1})) + RANKED + f"({_top('wide', _r('greatest(title, text) + CAST(0.5 AS DOUBLE) * (title + text - greatest(title, text))', 6), 10)})",

@@ -46,18 +46,24 @@ class Tables:
         self._held: dict[str, DataFrame] = {}
         self._engine: Engine | None = None
 
+    def _opened(self, name: str, analyzer: ix.Analyzer) -> Engine:
+        """The documents' index under an analyzer, with languages as datasets: made by the first query of a session that needs it, and read by later ones until the files change."""
+        files = self.spark.read.format("binaryFile").load(self.documents).select("path", "length", "modificationTime")
+        state = files.agg(F.md5(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "path", "length", "modificationTime")))))).first()[0]  # a row a file
+        path = f"{shared_folder(self.spark)}/{name}-{state}"
+        index = Index.create(self.spark, path, list(BOOSTS), analyzer=analyzer)
+        index = index if index.told["segments"] else index.load(corpora.table_documents(self.read("documents"), "lang"), batch="tables", store=False)
+        return Engine(self.docs, stored=index, analyzer=analyzer)
+
     @property
     def engine(self) -> Engine:
-        """The documents' index, with languages as datasets: made by the first query of a session that needs it, and read by later ones until the files change."""
         if self._engine is None:
-            files = self.spark.read.format("binaryFile").load(self.documents).select("path", "length", "modificationTime")
-            state = files.agg(F.md5(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "path", "length", "modificationTime")))))).first()[0]  # a row a file
-            path = f"{shared_folder(self.spark)}/tables-{state}"
-            index = Index.create(self.spark, path, list(BOOSTS))
-            index = index if index.told["segments"] else index.load(corpora.table_documents(self.read("documents"), "lang"), batch="tables", store=False)
-            self._engine = Engine(self.docs, stored=index)
+            self._engine = self._opened("tables", tx.tokens)
         return self._engine
 
+    def english_engine(self) -> Engine:
+        return self._opened("english", english.analyzed)
+
     @property
     def index(self) -> Index:
         return self.engine.stored
@@ -164,6 +170,17 @@ def english_bm25(t: Tables) -> DataFrame:
     return _ranked(rt.top_k(rt.best_fields(rt.term_scores(t.docs, asked, list(BOOSTS), tokens=tokens, analyzer=lambda c: F.filter(F.split(c, " "), lambda w: w != "")), BOOSTS), K))
 
 
+def bm25_english(t: Tables) -> DataFrame:
+    """Best fields from a stored index of stems."""
+    return _ranked(t.english_engine().best(t.queries, K, "baseline"))
+
+
+def english_words(t: Tables) -> DataFrame:
+    """How many words each document has by Unicode's boundaries, stopwords left out, and which."""
+    words = english.words(F.col("text"))
+    return t.docs.select("id", F.size(words).cast("long").alias("n_words"), F.md5(F.array_join(words, " ")).alias("words_md5"))
+
+
 def english_stem(t: Tables) -> DataFrame:
     return english.vocabulary(t.docs, ["text"])
 
@@ -487,7 +504,7 @@ def event_arrivals(t: Tables) -> DataFrame:
 
 _ALL = [
     fixture_term_search, bm25_best_fields, bm25_field_sum, bm25_tie_breaker, bm25_paper_profile, msm_filter, total_hits, phrase_search, cross_fields_search,
-    query_rescue, english_bm25, english_stem, coverage_rerank, prf_feedback_terms, prf_rerank, prf_expand_merge, prf_grid, local_hash_embedding, knn_exact,
+    query_rescue, english_bm25, bm25_english, english_words, english_stem, coverage_rerank, prf_feedback_terms, prf_rerank, prf_expand_merge, prf_grid, local_hash_embedding, knn_exact,
     knn_ignore_identical, knn_label_metrics, minmax_scores, blend_linear, rrf, hybrid_sweep, metrics_aggregate, failure_groups, failure_examples,
     missing_relevant, metric_deltas, group_deltas, query_deltas, decision, technique_classification, baseline_matrix, ltr_features, ltr_linear_score,
     ltr_coordinate_ascent, ltr_boosted_trees, fold_assignment, pool_recall, oracle_rank, normalize_query, stopword_tokens, bigrams, dataset_profile_counts,
