@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,40 @@ def hash_embeddings(docs: DataFrame, text: str, dimensions: int = DIMENSIONS) ->
     return docs.select("id").join(some, "id", "left").select("id", dense.alias("embedding"))
 
 
+def _fnv1a(words: pa.Array) -> np.ndarray:
+    """32-bit FNV-1a of ASCII words, all of them a character at a time."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    letters = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    order = np.argsort(-np.diff(offsets), kind="stable")
+    starts, sizes = offsets[:-1][order], np.diff(offsets)[order]
+    hashes = np.full(len(order), 2166136261, np.uint64)
+    for k in range(int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -k, "left"))  # words of more than k letters
+        hashes[:n] = ((hashes[:n] ^ letters[starts[:n] + k]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+    out = np.empty_like(hashes)
+    out[order] = hashes
+    return out
+
+
+def hash_matrix(texts: pa.Array, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Local-hash embeddings of an Arrow column of texts, a row each: the same numbers as ``hash_embeddings``, for tasks that are in Python anyway."""
+    lists = tx.arrow_tokens(texts)
+    doc, flat = pc.list_parent_indices(lists).to_numpy(), lists.flatten().cast(pa.string())
+    long = pc.greater(pc.binary_length(flat), 1)
+    doc, flat = doc[long.to_numpy(zero_copy_only=False)], flat.filter(long)
+    same = doc[:-1] == doc[1:]
+    pairs = pc.binary_join_element_wise("bi:", flat[:-1], ":", flat[1:], "").filter(pa.array(same)) if len(flat) > 1 else pa.array([], pa.string())
+    features = pa.concat_arrays([pc.binary_join_element_wise("tok:", flat, ""), pairs]) if len(flat) else pa.array([], pa.string())
+    owner = np.concatenate([doc, doc[:-1][same]]) if len(doc) else doc
+    weight = np.concatenate([np.ones(len(doc)), np.full(len(pairs), 0.5)])
+    coded = features.dictionary_encode()
+    hashes = _fnv1a(coded.dictionary.cast(pa.string()))[coded.indices.to_numpy()] if len(features) else np.zeros(0, np.uint64)
+    place = owner.astype(np.int64) * dimensions + (hashes % np.uint64(dimensions)).astype(np.int64)
+    sums = np.bincount(place, np.where(hashes % np.uint64(2) == 1, weight, -weight), len(texts) * dimensions).reshape(len(texts), dimensions)
+    length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    return np.floor(sums / np.where(length == 0, 1.0, length) * 1e6 + 0.5) / 1e6
+
+
 def nearest(documents: DataFrame, queries: DataFrame, k: int, *, ignore_identical: bool = False, block: int = BLOCK) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` documents (id, embedding) with the largest dot product with each query (query_id, embedding).
 

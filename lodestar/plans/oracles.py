@@ -386,6 +386,10 @@ ORACLE_SQL: dict[str, str] = {
         f"grid AS (SELECT phrase_weight, query_id, id, row_number() OVER (PARTITION BY phrase_weight, query_id ORDER BY rerank_score DESC, original_rank) AS rank FROM (SELECT phrase_weight, query_id, id, original_rank, {_r('fixed + phrase_weight * phrase')} AS rerank_score FROM (SELECT query_id, id, rank AS original_rank, {_share('score')} + CAST(0.06 AS DOUBLE) * {_coverage('asked')} + CAST(0.14 AS DOUBLE) * {_coverage(_E)} AS fixed, {_phrase('asked')} AS phrase FROM {_own(FEEDBACK_STOPWORDS, EXPANDED)}) CROSS JOIN (SELECT CAST(unnest([0, 0.01, 0.02, 0.04, 0.06]) AS DOUBLE) AS phrase_weight)))",
         _scored("grid", keys=", phrase_weight"),
     ) + f"SELECT phrase_weight, {MEANS} FROM scored GROUP BY phrase_weight",
+    "embedding_cache": _with(DOCS, _hash("docs", "id", "text", "dvec")) + "SELECT id, component, value FROM dvec",
+    "embedding_runs": """WITH d AS (SELECT coalesce(text, '') AS t, coalesce(lang = 'en', false) AS e FROM documents), n AS (
+      SELECT count(*) AS a, count(*) FILTER (e) AS ae, count(DISTINCT t) AS m, count(DISTINCT t) FILTER (e) AS me FROM d)
+      SELECT 1 AS run, ae AS asked, me AS made, me AS held FROM n UNION ALL SELECT 2, a, m - me, m FROM n UNION ALL SELECT 3, a, 0, m FROM n""",
     "local_hash_embedding": _with(DOCS, _hash("docs", "id", "text", "dvec")) + "SELECT id, component, value FROM dvec",
     "knn_exact": _with(VECTORS) + RANKED + f"({_top('(SELECT query_id, id, q, e FROM vq CROSS JOIN vecs)', VSCORES, 10)})",
     "knn_bounded": _with(VECTORS) + RANKED + f"({_top('(SELECT query_id, id, q, e FROM vq CROSS JOIN vecs)', VSCORES, 10)})",

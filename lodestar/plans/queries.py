@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as tx
 from lodestar.functions.numbers import dot, round_half_up
-from lodestar.operators import compare, english, failures, ltr, metrics, rerank, vectorindex, vectors
+from lodestar.operators import compare, embedcache, english, failures, ltr, metrics, rerank, vectorindex, vectors
 from lodestar.operators import index as ix
 from lodestar.operators import retrieval as rt
 from lodestar.operators.segments import Index
@@ -211,6 +211,24 @@ def prf_grid(t: Tables) -> DataFrame:
     return metrics.aggregate(metrics.per_query(t.queries, runs, t.qrels(), k=K, keys=("phrase_weight",)), "phrase_weight")
 
 
+def embedding_cache(t: Tables) -> DataFrame:
+    """Local-hash embeddings of the documents by way of a cache, which keeps them for as long as the session's folder is there; entries other than 0."""
+    cache, provider = embedcache.EmbeddingCache(t.spark, f"{shared_folder(t.spark)}/embeddings"), embedcache.LocalHash()
+    dense = cache.embedded(t.docs, provider)
+    return dense.select("id", F.posexplode("embedding").alias("component", "value")).where("value <> 0").select("id", F.col("component").cast("long").alias("component"), "value")
+
+
+def embedding_runs(t: Tables) -> DataFrame:
+    """What three runs of one cache make: over the documents of one language, over all, and over all again."""
+    cache, provider = embedcache.EmbeddingCache(t.spark, f"{shared_folder(t.spark)}/embed-runs-{uuid.uuid4()}"), embedcache.LocalHash()
+    english_ones = t.read("documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("id"), "text")
+    try:
+        told = [(k, docs.count(), cache.fill(docs, provider), cache.held(provider).count()) for k, docs in enumerate((english_ones, t.docs, t.docs), 1)]
+        return t.spark.createDataFrame(told, "run long, asked long, made long, held long")
+    finally:
+        cache.drop()
+
+
 def local_hash_embedding(t: Tables) -> DataFrame:
     return vectors.hash_features(t.docs, "text").withColumn("component", F.col("component").cast("long"))
 
@@ -504,7 +522,7 @@ def event_arrivals(t: Tables) -> DataFrame:
 
 _ALL = [
     fixture_term_search, bm25_best_fields, bm25_field_sum, bm25_tie_breaker, bm25_paper_profile, msm_filter, total_hits, phrase_search, cross_fields_search,
-    query_rescue, english_bm25, bm25_english, english_words, english_stem, coverage_rerank, prf_feedback_terms, prf_rerank, prf_expand_merge, prf_grid, local_hash_embedding, knn_exact,
+    query_rescue, english_bm25, bm25_english, english_words, english_stem, coverage_rerank, prf_feedback_terms, prf_rerank, prf_expand_merge, prf_grid, local_hash_embedding, embedding_cache, embedding_runs, knn_exact,
     knn_ignore_identical, knn_label_metrics, minmax_scores, blend_linear, rrf, hybrid_sweep, metrics_aggregate, failure_groups, failure_examples,
     missing_relevant, metric_deltas, group_deltas, query_deltas, decision, technique_classification, baseline_matrix, ltr_features, ltr_linear_score,
     ltr_coordinate_ascent, ltr_boosted_trees, fold_assignment, pool_recall, oracle_rank, normalize_query, stopword_tokens, bigrams, dataset_profile_counts,
