@@ -182,3 +182,20 @@ def expanded_field_sum(tokens: DataFrame | None, queries: DataFrame, expansion:
         wide = _wide(term_scores(None, asked, list(weights), profile=profile, analyzer=analyzer, tokens=tokens, stored=stored), weights)
         parts.append(wide.select("query_id", "id", reduce(lambda a, b: a + b, _boosted(weights)).alias("score")))
     return parts[0].unionByName(parts[1]).groupBy("query_id", "id").agg(round_half_up(F.sum("score"), 6).alias("score"))
+
+
+def mapped_hits(run: DataFrame, docs: DataFrame, dataset: str) -> DataFrame:
+    """(query_id, id, rank, score, title, abstract, source): hits as a caller gets them.
+
+    Titles and abstracts that are missing are empty, a missing or empty source is the dataset; a hit whose document isn't there stays. ``docs`` may lack any column but id.
+    """
+    own = docs.select("id", *[(F.col(c) if c in docs.columns else F.lit(None).cast("string")).alias(c) for c in ("title", "abstract", "source")])
+    text = lambda c, default: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(default)).alias(c)
+    return run.select("query_id", "id", "rank", "score").join(own, "id", "left").select("query_id", "id", "rank", "score", text("title", ""), text("abstract", ""), text("source", dataset))
+
+
+def cases(queries: DataFrame, run: DataFrame, size: int) -> DataFrame:
+    """(query_id, query, results): every query with its best ``size`` hits (id, score, rank) in order, none for a query that the run lacks."""
+    best = run.where(F.col("rank") <= size).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("results"))
+    joined = queries.select("query_id", "query").join(best, "query_id", "left")
+    return joined.withColumn("results", F.coalesce("results", F.array().cast("array<struct<rank: int, id: string, score: double>>")))

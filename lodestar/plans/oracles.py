@@ -359,6 +359,8 @@ def _lines(*parts: str) -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "fixture_term_search": _with(*COMMON, f"s AS ({_top('wide2', 'score', 10)})".replace("wide2", "(SELECT query_id, id, CAST(sum(CASE field WHEN 'title' THEN 3 WHEN 'abstract' THEN 2 ELSE 1 END * tf * qtf) AS BIGINT) AS score FROM post JOIN ask USING (term) GROUP BY ALL)")) + RANKED + "s",
+    "mapped_hits": _with(*COMMON, BASELINE) + "SELECT r.query_id, r.id, r.rank, r.score, d.title, md5(d.abstract) AS abstract, coalesce(nullif(s.source, ''), 'driver-tables') AS source FROM run r JOIN docs d USING (id) JOIN documents s ON CAST(s.doc_id AS VARCHAR) = r.id",
+    "lexical_cases": _with(*COMMON, BASELINE) + "SELECT q.query_id, count(r.id) AS n, coalesce(string_agg(r.id, ',' ORDER BY r.rank), '') AS ids FROM (SELECT query_id FROM queries UNION ALL SELECT 'none') q LEFT JOIN run r ON r.query_id = q.query_id AND r.rank <= 5 GROUP BY q.query_id",
     "bm25_english": _with(*ENGLISH) + RANKED + "run",
     "english_bm25": _with(*ENGLISH) + RANKED + "run",
     "english_stem": _with(*ENGLISH[:2]) + "SELECT word, stem FROM stems WHERE word IN (SELECT word FROM each WHERE field = 'text')",

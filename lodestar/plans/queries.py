@@ -143,6 +143,18 @@ def bm25_paper_profile(t: Tables) -> DataFrame:
     return _ranked(t.index.top(t.queries, K, BOOSTS, k1=rt.PAPER.k1, b=rt.PAPER.b))
 
 
+def mapped_hits(t: Tables) -> DataFrame:
+    docs = t.docs.join(t.read("documents").select(F.col("doc_id").cast("string").alias("id"), "source"), "id")
+    return rt.mapped_hits(_ranked(t.baseline()), docs, "driver-tables").withColumn("abstract", F.md5("abstract"))
+
+
+def lexical_cases(t: Tables) -> DataFrame:
+    """The best 5 of the stored run of each query, also of one that it has nothing for."""
+    odd = t.spark.range(1).select(F.lit("none").alias("query_id"), F.lit("no such query").alias("query"))
+    found = rt.cases(t.queries.unionByName(odd), t.baseline(), 5)
+    return found.select("query_id", F.size("results").cast("long").alias("n"), F.array_join(F.transform("results", lambda r: r["id"]), ",").alias("ids"))
+
+
 def msm_filter(t: Tables) -> DataFrame:
     return _ranked(rt.top_k(rt.at_least(t.terms(), ix.query_terms(t.queries), BOOSTS, 0.7), K))
 
@@ -461,6 +473,15 @@ def ltr_boosted_trees(t: Tables) -> DataFrame:
     return ltr.cross_validated_trees(_features(t), t.qrels(), trees=60, rate=0.1, min_leaf=3)
 
 
+def ltr_report(t: Tables) -> DataFrame:
+    return ltr.report(_features(t), t.judged_pool(), t.queries, t.qrels())
+
+
+def ltr_against_hybrid(t: Tables) -> DataFrame:
+    fused = hybrid_sweep(t).where(F.col("variant").rlike("^(linear|rrf)-"))
+    return ltr.against_hybrid(ltr_report(t), fused)
+
+
 def fold_assignment(t: Tables) -> DataFrame:
     return t.docs.select("id", ltr.fold_of(F.col("id")).cast("long").alias("fold"), ltr.fold_of(F.regexp_replace("id", "[0-9]", "x")).cast("long").alias("hash_fold"))
 
@@ -521,11 +542,11 @@ def event_arrivals(t: Tables) -> DataFrame:
 
 
 _ALL = [
-    fixture_term_search, bm25_best_fields, bm25_field_sum, bm25_tie_breaker, bm25_paper_profile, msm_filter, total_hits, phrase_search, cross_fields_search,
+    fixture_term_search, bm25_best_fields, bm25_field_sum, bm25_tie_breaker, bm25_paper_profile, mapped_hits, lexical_cases, msm_filter, total_hits, phrase_search, cross_fields_search,
     query_rescue, english_bm25, bm25_english, english_words, english_stem, coverage_rerank, prf_feedback_terms, prf_rerank, prf_expand_merge, prf_grid, local_hash_embedding, embedding_cache, embedding_runs, knn_exact,
     knn_ignore_identical, knn_label_metrics, minmax_scores, blend_linear, rrf, hybrid_sweep, metrics_aggregate, failure_groups, failure_examples,
     missing_relevant, metric_deltas, group_deltas, query_deltas, decision, technique_classification, baseline_matrix, ltr_features, ltr_linear_score,
-    ltr_coordinate_ascent, ltr_boosted_trees, fold_assignment, pool_recall, oracle_rank, normalize_query, stopword_tokens, bigrams, dataset_profile_counts,
+    ltr_coordinate_ascent, ltr_report, ltr_against_hybrid, ltr_boosted_trees, fold_assignment, pool_recall, oracle_rank, normalize_query, stopword_tokens, bigrams, dataset_profile_counts,
     event_arrivals, knn_ivf, knn_bounded, knn_bounded_products, filtered_search, index_life, index_after_changes, streamed_index, collection_pool, portfolio, mean_of_parts, failure_shares,
     knn_ivf_recall, bm25_ignore_identical, published_delta, simpler_preferred, weights_metrics, *FORMATS,
 ]

@@ -71,7 +71,8 @@ def test_ascent_finds_the_weights_of_a_plain_one(spark):
     judged = {}
     for q, _, g in [(r[0], r[1], r[2]) for r in rows if r[2]] + extra:
         judged.setdefault(q, []).append(max(g, 0))
-    climbs = ltr.learn_weights(df, qrels, folds=FOLDS, k=5, steps=(0.5, 0.1))
+    climbs = ltr.learn_weights(df, qrels, folds=FOLDS, k=5, steps=(0.5, 0.1), whole=True)
+    assert sorted(climbs) == [*range(FOLDS), FOLDS]  # the last is of all queries
     for fold, climb in climbs.items():
         seen = [r for r in rows if (int(r[0][1:]) - 1) % FOLDS != fold]
         assert climb.weights.tolist() == plain_ascent(seen, judged, (0.5, 0.1), 5), fold
@@ -136,3 +137,31 @@ def test_a_level_evaluates_few_trees(spark, monkeypatch):
     monkeypatch.setattr(ltr, "histograms", lambda pools, models, since, *rest: most.append(len(models[0]["trees"]) - since) or plain(pools, models, since, *rest))
     models = ltr.learn_trees(df, folds=2, trees=7, max_depth=1, min_leaf=2, every=3)
     assert max(most) == 2 and len(models[0]["trees"]) == 7
+
+
+def test_a_model_of_all_queries_is_that_of_a_fold_without_any(spark):
+    rows, df = make(spark, 9, queries=4)
+    grown = dict(trees=3, rate=0.3, max_depth=2, min_leaf=3)
+    assert ltr.learn_trees(df, folds=2, whole=True, **grown)[2] == ltr.learn_trees(df, folds=6, **grown)[5]
+
+
+@pytest.mark.parametrize("model", ["coordinate-ascent", "boosted-trees"])
+def test_report(spark, model):
+    rows, df = make(spark, 4, queries=12)
+    queries = spark.createDataFrame([(f"q{k}", "x") for k in range(1, 14)], "query_id string, query string")  # q13 has no pool
+    qrels = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows if r[2]] + [("q13", "d1", 1)], "query_id string, id string, grade int")
+    pool = df.selectExpr("query_id", "id", "original_rank as rank", "label as grade")
+    options = dict(trees=2, min_leaf=3) if model == "boosted-trees" else dict(steps=(0.5,))
+    told = ltr.report(df, pool, queries, qrels, folds=3, k=5, model=model, **options)
+    got = {r.run: r for r in told.collect()}
+    judged = {q: [r[2] for r in rows if r[0] == q and r[2]] for q in {r[0] for r in rows}}
+    assert set(got) == {"first-stage", "oracle", "held-out", "in-sample"} and {r.query_count for r in got.values()} == {13}
+    assert got["first-stage"].ndcg_at_k == pytest.approx(ndcg(rows, judged, [1] + [0] * 12, 5) * 12 / 13, abs=1e-4)
+    assert got["oracle"].ndcg_at_k == rounded(12 / 13, 4)
+    if model == "coordinate-ascent":
+        whole = plain_ascent(rows, judged, (0.5,), 5)
+        assert got["in-sample"].ndcg_at_k == pytest.approx(ndcg(rows, judged, whole, 5) * 12 / 13, abs=1e-4)
+    fused = spark.createDataFrame([("a", 0.01), ("b", 0.02)], "variant string, ndcg_at_k double")
+    row = ltr.against_hybrid(told, fused).first()
+    assert (row.first_stage_ndcg, row.ltr_ndcg, row.hybrid_ndcg, row.ltr_beats_hybrid) == (got["first-stage"].ndcg_at_k, got["held-out"].ndcg_at_k, 0.02, True)
+    assert ltr.against_hybrid(told, fused.limit(0)).first().ltr_beats_hybrid is None
