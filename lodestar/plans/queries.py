@@ -224,8 +224,8 @@ def prf_grid(t: Tables) -> DataFrame:
 
 
 def embedding_cache(t: Tables) -> DataFrame:
-    """Local-hash embeddings of the documents by way of a cache, which keeps them for as long as the session's folder is there; entries other than 0."""
-    cache, provider = embedcache.EmbeddingCache(t.spark, f"{shared_folder(t.spark)}/embeddings"), embedcache.LocalHash()
+    """Local-hash embeddings of the documents by way of a new cache, so that all of them are made; entries other than 0."""
+    cache, provider = embedcache.EmbeddingCache(t.spark, f"{shared_folder(t.spark)}/embeddings-{uuid.uuid4()}"), embedcache.LocalHash()
     dense = cache.embedded(t.docs, provider)
     return dense.select("id", F.posexplode("embedding").alias("component", "value")).where("value <> 0").select("id", F.col("component").cast("long").alias("component"), "value")
 
