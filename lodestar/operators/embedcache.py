@@ -163,23 +163,22 @@ class EmbeddingCache:
     def fill(self, docs: DataFrame, provider: LocalHash | Batches, *, write_rows: int = WRITE_ROWS) -> int:
         """Makes the vectors that texts of ``docs`` (text) lack; how many that were.
 
-        Work is what has no key in the table yet, dealt by key to a list of pieces of some ``write_rows`` texts each. A piece is one write that is visible whole or not at all,
+        Work is what has no key in the table yet, cut into pieces of some ``write_rows`` texts each. A piece is one write that is visible whole or not at all,
         so a run that is broken off, and then started again, makes nothing again that was written. Equal and null texts are one, further columns are ignored, and no rows are no work.
         """
         wanted = docs.select(key(F.col("text")).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).dropDuplicates(["key"])
         at = f"{shared_folder(self.spark)}/embed-{uuid.uuid4()}"
         folder = Folder(self.spark, at)
         try:
-            wanted.join(self.held(provider).select("key"), "key", "left_anti").write.parquet(f"{at}/work")
-            work = self.spark.read.schema("key string, text string").parquet(f"{at}/work")
+            # the tasks that find texts apart also write them, a folder each, so texts are shuffled once
+            wanted.join(self.held(provider).select("key"), "key", "left_anti").withColumn("task", F.spark_partition_id()).write.partitionBy("task").parquet(f"{at}/work")
+            work = self.spark.read.schema("key string, text string, task int").parquet(f"{at}/work")
             n = work.count()
-            pieces = max(-(-n // write_rows), 1)
-            if pieces > 1:  # each piece a folder, so that a write reads its own texts only
-                piece = F.pmod(F.xxhash64("key"), F.lit(pieces)).cast("int")
-                work.withColumn("piece", piece).repartition("piece", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(8))).write.partitionBy("piece").parquet(f"{at}/pieces")
-            for k in range(pieces if n else 0):
-                part = work if pieces == 1 else self.spark.read.schema("key string, text string, piece int").parquet(f"{at}/pieces").where(F.col("piece") == k).select("key", "text")
-                made = provider.made(part).select("key", "embedding", F.lit(provider.space).alias("space"))
+            pieces = -(-n // write_rows)
+            folders = len([f for f in Folder(self.spark, f"{at}/work").names() if f.startswith("task=")])
+            by = F.col("task") if folders >= pieces else F.xxhash64("key")  # folders of a piece alone are read, if there are enough
+            for k in range(pieces):
+                made = provider.made(work.where(F.pmod(by, F.lit(pieces)) == k).select("key", "text")).select("key", "embedding", F.lit(provider.space).alias("space"))
                 made.write.mode("append").partitionBy("space").parquet(self.path)
             return n
         finally:
