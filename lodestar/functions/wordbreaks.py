@@ -53,8 +53,13 @@ WORD = _word()
 _JOINED = rf"(?:(?<=‍)(?:(?=[ℹⓂ]){WORD}|[{PICTOGRAPHS}]{_X}))*+"
 _FLAG = r"[\x{1F1E6}-\x{1F1FF}]"
 SEGMENT = rf"(?s)\r\n|[{LINE_ENDS}]|(?:[{SPACES}]++{_X}|{_FLAG}{_X}(?:{_FLAG}{_X})?+|{WORD}|.{_X}){_JOINED}"
-#: Words as a search engine's standard tokenizer has them: segments with a letter or number, an ideograph or hiragana each, scripts without spaces as runs.
-TOKEN = rf"{WORD}|[{_IDEOGRAPHS}&&[^\p{{M}}]]{_X}|(?:[{COMPLEX}&&\p{{L}}]{_X})++"
+_APART = r"\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F"
+#: What ``WORD`` takes of the usual text, told by few and plain classes: Latin letters and digits before an ASCII character, or the end, that no rule joins to them. A mark within words joins only
+#: what has a letter or digit behind it.
+_USUAL = rf"""[A-Za-z0-9À-ÖØ-öø-ſ]++(?=[.,:;'"]?+(?:[{_APART}]|\z))"""
+#: Words as a search engine's standard tokenizer has them: segments with a letter or number, an ideograph or hiragana each, scripts without spaces as runs. No word starts with an ASCII
+#: character that stands apart, so the classes of ``WORD`` are asked for what is left by both.
+TOKEN = rf"(?![{_APART}])(?:{_USUAL}|{WORD}|[{_IDEOGRAPHS}&&[^\p{{M}}]]{_X}|(?:[{COMPLEX}&&\p{{L}}]{_X})++)"
 
 
 def segments(text: Column) -> Column:

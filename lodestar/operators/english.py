@@ -102,8 +102,9 @@ def _stems(words: pd.Series) -> pd.Series:
 
 def words(text: Column) -> Column:
     """Words by Unicode's default boundaries, lower-cased, without possessives and stopwords; none for null."""
-    low = F.transform(wordbreaks.words(text), lambda w: F.regexp_replace(F.lower(w), "['’＇]s$", ""))
-    return F.filter(low, lambda w: ~F.array_contains(F.array(*[F.lit(s) for s in STOPWORDS]), w) & (w != ""))
+    owned = lambda w: F.endswith(w, F.lit("'s")) | F.endswith(w, F.lit("’s")) | F.endswith(w, F.lit("＇s"))
+    low = F.transform(F.transform(wordbreaks.words(text), F.lower), lambda w: F.when(owned(w), F.substr(w, F.lit(1), F.length(w) - 2)).otherwise(w))
+    return F.filter(low, lambda w: ~w.isin(STOPWORDS) & (w != ""))
 
 
 _kept = functools.lru_cache(2**17)(stem)

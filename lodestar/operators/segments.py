@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as tx
-from lodestar.operators import blocks
+from lodestar.operators import blocks, english
 from lodestar.operators.index import Analyzer, query_terms, small
 from lodestar.operators.store import Folder, materialized
 
@@ -25,6 +25,8 @@ NAMED_TERMS = 10_000
 #: Queries that one search answers; their terms' weights go to all tasks.
 BLOCK_QUERIES = 2_000
 _SMALL_ROWS = {"parquet.block.size": str(4 << 20), "parquet.page.row.count.limit": "1024", "parquet.writer.version": "v2", "compression": "zstd"}
+#: Analyzers whose last step, or all of it, the tasks that pack the tokens take themselves: what comes before it, and that step on an Arrow column.
+IN_PYTHON = {tx.tokens: (lambda c: c.cast("string"), tx.arrow_tokens), english.analyzed: (english.words, english.stem_lists)}
 _HEAD = ["shard", "dataset", "field", "term", "n"]
 
 
@@ -119,8 +121,8 @@ class Index:
         if store:
             own.write.option("compression", "zstd").parquet(f"{at}/stored")
             own = self.spark.read.schema(own.schema).parquet(f"{at}/stored")  # so that all parts of the segment are of the same rows
-        tokenizer = tx.arrow_tokens if self.analyzer is tx.tokens else None  # the same tokens, made where they are packed
-        texts = [F.col(f).cast("string").alias(f) if tokenizer else self.analyzer(F.col(f)).alias(f) for f in self.field_names]
+        before, tokenizer = IN_PYTHON.get(self.analyzer, (self.analyzer, None))
+        texts = [before(F.col(f)).alias(f) for f in self.field_names]
         tokens = own.select(F.col("id").cast("string").alias("id"), F.col("dataset").cast("string").alias("dataset"), *texts)
         blocks.packed(tokens, self.field_names, tokenizer).write.options(**_SMALL_ROWS).parquet(f"{at}/packed")  # no shuffle: a task packs its own documents
         packed = self.spark.read.schema(blocks.ROW).parquet(f"{at}/packed")

@@ -176,10 +176,9 @@ def query_rescue(t: Tables) -> DataFrame:
 
 
 def english_bm25(t: Tables) -> DataFrame:
-    """Best fields over stems; a query is joined to the same vocabulary as the documents."""
-    tokens = english.stemmed(t.docs, list(BOOSTS))
+    """Best fields over stems, a query's words joined to a vocabulary with stems, and not analyzed as a text is, before the index of stems is searched."""
     asked = english.stemmed(t.queries.select(F.col("query_id").alias("id"), "query"), ["query"]).select(F.col("id").alias("query_id"), F.array_join("tokens", " ").alias("query"))
-    return _ranked(rt.top_k(rt.best_fields(rt.term_scores(t.docs, asked, list(BOOSTS), tokens=tokens, analyzer=lambda c: F.filter(F.split(c, " "), lambda w: w != "")), BOOSTS), K))
+    return _ranked(t.english_engine().stored.top(asked, K, BOOSTS, tie=0.0, analyzer=lambda c: F.filter(F.split(c, " "), lambda w: w != "")))
 
 
 def bm25_english(t: Tables) -> DataFrame:
