@@ -24,6 +24,8 @@ DIMENSIONS = 384
 RRF_K = 60
 #: Query vectors that one pass over the documents compares with.
 BLOCK = 4096
+#: Texts whose words a task holds at a time.
+SLICE = 256
 
 
 def hash_features(docs: DataFrame, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -45,6 +47,17 @@ def hash_embeddings(docs: DataFrame, text: str, dimensions: int = DIMENSIONS) ->
     return docs.select("id").join(some, "id", "left").select("id", dense.alias("embedding"))
 
 
+def hash_vectors(docs: DataFrame, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(id, embedding): the rows of ``hash_embeddings``, made where the texts are: nothing is dealt out, and ``SLICE`` texts are in the making at a time."""
+
+    def made(texts: pa.Array) -> pa.Array:
+        own = [hash_matrix(texts.slice(k, SLICE), dimensions) for k in range(0, len(texts), SLICE)]
+        flat = np.concatenate(own).ravel() if own else np.zeros(0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dimensions, pa.int32()), pa.array(flat))
+
+    return docs.select("id", F.arrow_udf(made, "array<double>")(F.col(text)).alias("embedding"))
+
+
 def _fnv1a(words: pa.Array) -> np.ndarray:
     """32-bit FNV-1a of ASCII words, all of them a character at a time."""
     offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)

@@ -165,3 +165,23 @@ def test_report(spark, model):
     row = ltr.against_hybrid(told, fused).first()
     assert (row.first_stage_ndcg, row.ltr_ndcg, row.hybrid_ndcg, row.ltr_beats_hybrid) == (got["first-stage"].ndcg_at_k, got["held-out"].ndcg_at_k, 0.02, True)
     assert ltr.against_hybrid(told, fused.limit(0)).first().ltr_beats_hybrid is None
+
+
+def test_vectors_of_what_the_pools_hold_are_all_that_is_made(spark, sf_dir, monkeypatch):
+    from lodestar.operators import vectors
+    from lodestar.plans import queries as Q
+
+    asked = []
+    monkeypatch.setattr(vectors, "hash_vectors", lambda docs, text, made=vectors.hash_vectors: (asked.append(docs.count()), made(docs, text))[1])
+    t = Q.Tables(spark, sf_dir)
+    rows = Q._features(t)
+    assert asked == [rows.select("id").distinct().count(), t.queries.count()] and asked[0] < t.docs.count()
+
+
+def test_vectors_are_made_without_a_shuffle(spark):
+    from lodestar.operators import vectors
+
+    docs = spark.createDataFrame([(str(k), t) for k, t in enumerate([None, "", "a", "wing body", "x " * 3000] + ["b c"] * 300)], "id string, text string")
+    made = vectors.hash_vectors(docs, "text")
+    assert "Exchange" not in made._jdf.queryExecution().toString()
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, vectors.hash_embeddings(docs, "text").collect()))
