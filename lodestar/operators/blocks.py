@@ -12,6 +12,7 @@ document's score. Windows are scored in falling order of bounds, and those that
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -60,15 +61,24 @@ def _summed_from(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return whole - np.repeat(np.append(0, whole)[ends - sizes], sizes)
 
 
-def _field_rows(doc: np.ndarray, code: np.ndarray, position: np.ndarray, length: np.ndarray, terms: pa.Array) -> dict[str, pa.Array]:
-    """The columns of one field's rows, by term, from its tokens in order of documents and positions."""
-    order = np.argsort(code, kind="stable")
-    doc, code, position = doc[order], code[order], position[order]
-    first = _starts(code * (len(length) + 1) + doc)  # a posting each
-    count = np.diff(np.append(first, len(doc)))
-    step = np.diff(position, prepend=0)
-    step[first] = position[first]
-    place, term = doc[first], code[first]
+def _field_rows(code: np.ndarray, length: np.ndarray, terms: pa.Array) -> dict[str, pa.Array]:
+    """The columns of one field's rows, by term, from its tokens (codes) in order of documents and positions; of arrays by token, few and narrow ones are held at a time."""
+    key = np.repeat(np.arange(len(length)), length)
+    key += code.astype(np.int64) * (len(length) + 1)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = _starts(key)  # a posting each
+    term, place = np.divmod(key[first], len(length) + 1)
+    del key
+    count = np.diff(np.append(first, len(order)))
+    step = np.arange(len(order), dtype=np.int32)
+    step -= np.repeat((np.cumsum(length) - length).astype(np.int32), length)
+    step = step[order]
+    tokens = len(order)
+    del order
+    begin = step[first]
+    step[1:] -= step[:-1].copy()
+    step[first] = begin
     size = length[place]
     row = _starts(term)
     delta = np.diff(place, prepend=0)
@@ -89,7 +99,7 @@ def _field_rows(doc: np.ndarray, code: np.ndarray, position: np.ndarray, length:
     first_block = number[row]
     return {
         "term": terms.take(pa.array(term[row])), "n": pa.array(row_end - row, pa.int64()), "places": _put("places", delta, row_end), "counts": _put("counts", count, row_end), "lengths": _put("lengths", size, row_end),
-        "positions": _put("positions", step, np.append(first, len(doc))[row_end]), "blocks": _put("blocks", place[block] // WINDOW, block_end), "edge_blocks": _put("edge_blocks", number[best] - first_block[edge_row], edge_end),
+        "positions": _put("positions", step, np.append(first, tokens)[row_end]), "blocks": _put("blocks", place[block] // WINDOW, block_end), "edge_blocks": _put("edge_blocks", number[best] - first_block[edge_row], edge_end),
         "edge_counts": _put("edge_counts", count[best], edge_end), "edge_lengths": _put("edge_lengths", size[best], edge_end),
     }
 
@@ -100,27 +110,39 @@ def _batch(n: int, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([full(f) for f in _SCHEMA], schema=_SCHEMA)
 
 
+def _coded(lists: pa.ChunkedArray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(codes, length of each document, where documents begin and end, terms) of the tokens of documents in the order ``by``; codes count the terms as they sort."""
+    chunks = [c for c in lists.chunks if len(c)]
+    flat = pa.chunked_array([c.flatten() for c in chunks], pa.string()).dictionary_encode().unify_dictionaries().combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    order = pc.sort_indices(flat.dictionary).to_numpy()  # rows of a field are sorted by term
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    length = np.concatenate([np.zeros(0, np.int64), *[np.diff(c.offsets.to_numpy()) for c in chunks]]).astype(np.int64)
+    begin, own = np.cumsum(length) - length, length[by]
+    ends = np.append(0, np.cumsum(own))
+    at = np.repeat((begin[by] - ends[:-1]).astype(np.int32), own)
+    at += np.arange(len(at), dtype=np.int32)
+    return rank[flat.indices.to_numpy()[at]], own, ends, flat.dictionary.take(pa.array(order))
+
+
 def _shard_rows(held: pa.Table, fields: list[str], name: str) -> Iterator[pa.RecordBatch]:
     """All rows of some documents (id, dataset, an array of tokens a field): shards of one dataset each."""
-    held = held.sort_by([("dataset", "ascending"), ("id", "ascending")]).combine_chunks()
-    datasets = held.column("dataset").to_pylist()
+    by = pc.sort_indices(held.select(["dataset", "id"]), sort_keys=[("dataset", "ascending"), ("id", "ascending")])
+    datasets, ids = held.column("dataset").take(by).to_pylist(), held.column("id").take(by).to_pylist()
+    coded = {f: _coded(held.column(f), by.to_numpy()) for f in fields}
+    del held  # codes are all that is needed from here on
     begin = [k for k in range(len(datasets)) if k == 0 or datasets[k] != datasets[k - 1]]
     for part, (a, b) in enumerate(zip(begin, [*begin[1:], len(datasets)], strict=True)):
-        own = held.slice(a, b - a).combine_chunks()
         same = {"shard": f"{name}-{part}", "dataset": datasets[a]}
-        yield _batch(1, same | {"n": b - a, "ids": pa.array([own.column("id").to_pylist()], pa.list_(pa.string()))})
+        yield _batch(1, same | {"n": b - a, "ids": pa.array([ids[a:b]], pa.list_(pa.string()))})
         for f in fields:
-            tokens = own.column(f).chunk(0)
-            length = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
-            flat = tokens.flatten().dictionary_encode()
-            order = pc.sort_indices(flat.dictionary).to_numpy()  # rows of a field are sorted by term
-            code = np.empty(len(order), np.int64)
-            code[order] = np.arange(len(order))
-            terms, code = flat.dictionary.take(pa.array(order)), code[flat.indices.to_numpy()]
-            doc = np.repeat(np.arange(b - a), length)
-            position = np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
+            code, lengths, ends, terms = coded[f]
+            length = lengths[a:b]
             yield _batch(1, same | {"field": f, "n": int((length > 0).sum()), "words": int(length.sum())})
-            rows = _batch(len(terms), same | {"field": f} | _field_rows(doc, code, position, length, terms))
+            made = _field_rows(code[ends[a] : ends[b]], length, terms)
+            rows = _batch(len(made["term"]), same | {"field": f} | made)
+            del made
             yield from (rows.slice(k, 4096) for k in range(0, rows.num_rows, 4096))
 
 
@@ -152,8 +174,11 @@ def packed(tokens: DataFrame, fields: list[str], tokenizer: Callable[[pa.Array],
                     parts.append(batch.slice(at, take))
                     at, docs, words = at + take, docs + take, words + int(ends[at + take - 1] - before)
                 if docs == SHARD_DOCS or words >= SHARD_TOKENS or not take:
-                    yield from _shard_rows(pa.Table.from_batches(parts), fields, f"{task:06d}-{number:06d}")
-                    parts, docs, words, number = [], 0, 0, number + 1
+                    whole_shard, parts = pa.Table.from_batches(parts), []
+                    made = _shard_rows(whole_shard, fields, f"{task:06d}-{number:06d}")
+                    del whole_shard
+                    yield from made
+                    docs, words, number = 0, 0, number + 1
         if parts:
             yield from _shard_rows(pa.Table.from_batches(parts), fields, f"{task:06d}-{number:06d}")
 
@@ -172,9 +197,14 @@ class Model:
     factor: float
     idf: dict[tuple[str, str], float]
     average: dict[str, float]
+    #: idf of a term by the largest of its fields' frequencies, for scores across fields
+    blended: dict[tuple[str, str], float] = field(default_factory=dict)
+
+    def shares(self, average: np.ndarray, count: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return count / (count + self.k1 * ((1.0 - self.b) + self.b * length / average))
 
     def scores(self, idf: np.ndarray, average: np.ndarray, count: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return idf * (count / (count + self.k1 * ((1.0 - self.b) + self.b * length / average))) * self.factor
+        return idf * self.shares(average, count, length) * self.factor
 
 
 class Shard:
@@ -186,6 +216,7 @@ class Shard:
         told = np.array([n in model.idf for n in names], bool)
         dead = rows.filter(pa.array([t is None for _, t in names], pa.bool_())).combine_chunks()
         self.dead = get("places", _whole(dead, "places"))[0]
+        self.given = _given(dead)
         rows, names = rows.filter(pa.array(told)).combine_chunks(), [n for n, t in zip(names, told, strict=True) if t]
         self.row = {n: k for k, n in enumerate(names)}
         idf, average = np.array([model.idf[n] for n in names]), np.array([model.average[f] for f, _ in names])
@@ -193,7 +224,10 @@ class Shard:
         self.places = _summed_from(deltas, self.size)
         self.end = np.cumsum(self.size)
         each = np.repeat(np.arange(len(names)), self.size)
-        self.scores = model.scores(idf[each], average[each], get("counts", _whole(rows, "counts"))[0], get("lengths", _whole(rows, "lengths"))[0])
+        shares = model.shares(average[each], get("counts", _whole(rows, "counts"))[0], get("lengths", _whole(rows, "lengths"))[0])
+        self.scores = idf[each] * shares * model.factor
+        self.across = np.array([model.blended[n] for n in names])[each] * shares * model.factor if model.blended else None
+        self.best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.bound = np.zeros((len(names), SHARD_DOCS // WINDOW))
         single = np.flatnonzero(self.size == 1)
         self.bound[single, self.places[self.end[single] - 1] // WINDOW] = self.scores[self.end[single] - 1]
@@ -205,6 +239,38 @@ class Shard:
             self.bound[np.repeat(np.arange(len(names)), per_row), windows] = np.maximum.reduceat(bounds, _starts(each * 256 + blocks))
 
 
+    def of(self, fields: list[str], asked: list[tuple[str, int]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """By field, what each place scores in all terms asked, and how many of these it has, both with repeats."""
+        out = {}
+        for f in fields:
+            own = [(slice(self.end[r] - self.size[r], self.end[r]), n) for r, n in ((self.row.get((f, t)), n) for t, n in asked) if r is not None]
+            places = np.concatenate([np.zeros(0, np.int64), *[self.places[s] for s, _ in own]])
+            scores = np.concatenate([np.zeros(0), *[self.scores[s] * n for s, n in own]])
+            times = np.concatenate([np.zeros(0), *[np.full(s.stop - s.start, float(n)) for s, n in own]])
+            out[f] = np.bincount(places, scores, minlength=SHARD_DOCS), np.bincount(places, times, minlength=SHARD_DOCS)
+        return out
+
+    def best_field(self, term: str, boosts: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores) of a term across fields: that of the best field at each place, by the blended idf."""
+        if term not in self.best:
+            best = np.zeros(SHARD_DOCS)
+            for f, w in boosts.items():
+                if (r := self.row.get((f, term))) is not None:
+                    s = slice(self.end[r] - self.size[r], self.end[r])
+                    best[self.places[s]] = np.maximum(best[self.places[s]], float(w) * self.across[s])
+            places = np.flatnonzero(best)
+            self.best[term] = places, best[places]
+        return self.best[term]
+
+
+def _given(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By query, (places, scores) that come with the rows."""
+    if "query" not in rows.column_names:
+        return {}
+    told = rows.filter(pc.is_valid(rows.column("query"))).select(["query", "at", "points"]).to_pylist()
+    return {r["query"]: (np.array(r["at"], np.int64), np.array(r["points"], float)) for r in told}
+
+
 def _whole(rows: pa.Table, name: str) -> pa.Array:
     column = rows.column(name).combine_chunks()
     return column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else pa.array([], pa.binary()) if isinstance(column, pa.ChunkedArray) else column
@@ -230,6 +296,70 @@ def _rounded(scores: np.ndarray) -> np.ndarray:
     return np.floor(scores * 1e6 + 0.5) / 1e6
 
 
+@dataclass(frozen=True)
+class AtLeast:
+    """The best field among those that have floor(share * terms) of a query's terms, repeats counted, one at least."""
+
+    boosts: dict[str, float]
+    share: float
+
+    def scores(self, shard: Shard, query: int, asked: list[tuple]) -> np.ndarray:
+        """Of every place, 0 for those that aren't found."""
+        needed = max(math.floor(sum(n for _, n in asked) * self.share), 1)
+        best = np.zeros(SHARD_DOCS)
+        for f, (score, times) in shard.of(list(self.boosts), asked).items():
+            best = np.maximum(best, np.where(times >= needed, score * float(self.boosts[f]), 0.0))
+        return _rounded(best)
+
+
+@dataclass(frozen=True)
+class CrossFields:
+    """Each term by its best field, all terms needed."""
+
+    boosts: dict[str, float]
+
+    def scores(self, shard: Shard, query: int, asked: list[tuple]) -> np.ndarray:
+        out = np.zeros(SHARD_DOCS)
+        own = sorted(((*shard.best_field(t, self.boosts), n) for t, n in asked), key=lambda x: len(x[0]))
+        places = own[0][0] if own else np.zeros(0, np.int64)
+        for other, _, _ in own[1:]:
+            if not len(places):
+                return out
+            places = places[np.isin(places, other, assume_unique=True)]
+        for other, score, n in own:
+            out[places] += score[np.searchsorted(other, places)] * n
+        return _rounded(out)
+
+
+@dataclass(frozen=True)
+class Rescue:
+    """Best fields as a must, with scores that come with the rows (x3), those across fields (x2) and of fields with 70 % of the terms (x1.5) added."""
+
+    boosts: dict[str, float]
+
+    def scores(self, shard: Shard, query: int, asked: list[tuple]) -> np.ndarray:
+        must = _rounded(Combine(self.boosts, 0.0).of({f: s for f, (s, _) in shard.of(list(self.boosts), asked).items()}))
+        given = np.zeros(SHARD_DOCS)
+        places, points = shard.given.get(query, (np.zeros(0, np.int64), np.zeros(0)))
+        given[places] = points
+        total = must + given * 3.0 + CrossFields(self.boosts).scores(shard, query, asked) * 2.0 + AtLeast(self.boosts, 0.7).scores(shard, query, asked) * 1.5
+        return np.where(must > 0, _rounded(total), 0.0)
+
+
+@dataclass(frozen=True)
+class Expanded:
+    """Field sums of a query's own terms and of further ones, with boosts for either: terms are asked as (term, count, 0 or 1)."""
+
+    boosts: dict[str, float]
+    more: dict[str, float]
+
+    def scores(self, shard: Shard, query: int, asked: list[tuple]) -> np.ndarray:
+        total = np.zeros(SHARD_DOCS)
+        for part, boosts in enumerate((self.boosts, self.more)):
+            total = total + Combine(boosts).of({f: s for f, (s, _) in shard.of(list(boosts), [(t, n) for t, n, p in asked if p == part]).items()})
+        return _rounded(total)
+
+
 @dataclass
 class Found:
     """What a query has found in a task's shards so far, and how many windows with any of its terms it has seen and scored."""
@@ -292,6 +422,15 @@ def search_shard(shard: Shard, asked: list[tuple[str, int]], combine: Combine, f
         found.add(shard.name, places[good], score[good])
 
 
+def score_shard(shard: Shard, query: int, asked: list[tuple], formula: AtLeast | CrossFields | Rescue | Expanded, found: Found) -> None:
+    """Puts a shard's best documents for one query into ``found`` by a formula that needs all places' scores: arrays of a shard's length, whatever matches."""
+    scores = formula.scores(shard, query, asked)
+    scores[shard.dead] = 0.0
+    good = np.flatnonzero((scores > 0) & (scores >= found.bar()))
+    if len(good):
+        found.add(shard.name, good, scores[good])
+
+
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
     """(shard, rows) of a task's rows, which are sorted by shard."""
     held: list[pa.RecordBatch] = []
@@ -309,7 +448,7 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
         yield held[0].column("shard")[0].as_py(), pa.Table.from_batches(held)
 
 
-def searched(rows: DataFrame, queries: list[list[tuple[str, int]]], model: Model, combine: Combine, k: int) -> DataFrame:
+def searched(rows: DataFrame, queries: list[list[tuple]], model: Model, combine: Combine | AtLeast | CrossFields | Rescue | Expanded, k: int) -> DataFrame:
     """(query, shard, place, score, seen, read) of each task's ``k`` best by query, ties across shards kept; ``rows`` lie by shard.
 
     A row a query without a place tells how many windows were seen and scored.
@@ -321,8 +460,11 @@ def searched(rows: DataFrame, queries: list[list[tuple[str, int]]], model: Model
         found = [Found(k) for _ in asked]
         for name, rows in shards(batches):
             shard = Shard(name, rows, told)
-            for terms, best in zip(asked, found, strict=True):
-                search_shard(shard, terms, combine, best)
+            for q, (terms, best) in enumerate(zip(asked, found, strict=True)):
+                if isinstance(combine, Combine):
+                    search_shard(shard, terms, combine, best)
+                else:
+                    score_shard(shard, q, terms, combine, best)
         out = [(q, shard, place, score, None, None) for q, best in enumerate(found) for score, shard, place in best.rows]
         out += [(q, None, None, None, best.seen, best.read) for q, best in enumerate(found) if best.seen]
         names, types = ["query", "shard", "place", "score", "seen", "read"], [pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]

@@ -139,11 +139,12 @@ def phrase(docs: DataFrame, queries: DataFrame, boosts: dict[str, float], *, slo
         there = posted.join(candidates, ["field", "id"])
     there = there.join(ix.small(asked), ["query_id", "term"]).join(frequency, ["field", "term"]).join(F.broadcast(fields), "field")  # a row per field
     idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.size("places")
-    whole = there.groupBy("query_id", "field", "id", "dl", "avg_len").agg(F.collect_list(F.struct("places", "positions")).alias("words"), F.sum(idf).alias("idf")).join(few(different), "query_id").where(F.size("words") == F.col("different"))
+    at = [c for c in ("shard", "place") if c in there.columns]  # where a stored index has the document
+    whole = there.groupBy("query_id", "field", "id", "dl", "avg_len", *at).agg(F.collect_list(F.struct("places", "positions")).alias("words"), F.sum(idf).alias("idf")).join(few(different), "query_id").where(F.size("words") == F.col("different"))
     matched = whole.withColumn("freq", phrases.frequencies(slop)(F.col("words.places"), F.col("words.positions"))).where("freq > 0")
     score = F.col("idf") * F.col("freq") / (F.col("freq") + profile.k1 * (F.lit(1 - profile.b) + profile.b * F.col("dl") / F.col("avg_len"))) * profile.factor
     boost = reduce(lambda e, f: e.when(F.col("field") == f, F.lit(float(boosts[f]))), list(boosts), F.when(F.lit(False), F.lit(0.0)))
-    return matched.groupBy("query_id", "id").agg(round_half_up(F.max(score * boost), 6).alias("score"))
+    return matched.groupBy("query_id", "id", *at).agg(round_half_up(F.max(score * boost), 6).alias("score"))
 
 
 def rescue(docs: DataFrame, queries: DataFrame, fields: dict[str, float], phrase_fields: dict[str, float], *, profile: Profile = DEFAULT, analyzer=tx.tokens, stored=None) -> DataFrame:
@@ -174,11 +175,15 @@ def without_identical(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("id") != F.col("query_id"))
 
 
+def further_queries(expansion: DataFrame) -> DataFrame:
+    """(query_id, query) from the unique expansion terms (query_id, term)."""
+    return expansion.select("query_id", "term").distinct().groupBy("query_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("term"))).alias("query"))
+
+
 def expanded_field_sum(tokens: DataFrame | None, queries: DataFrame, expansion: DataFrame, boosts: dict[str, float], expansion_boosts: dict[str, float], *, profile: Profile = DEFAULT, analyzer=tx.tokens, stored=None) -> DataFrame:
     """Field sums of the query's clauses and of those of its unique expansion terms (query_id, term), with boosts of their own."""
-    more = expansion.select("query_id", "term").distinct().groupBy("query_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("term"))).alias("query"))
     parts = []
-    for asked, weights in ((queries, boosts), (more, expansion_boosts)):
+    for asked, weights in ((queries, boosts), (further_queries(expansion), expansion_boosts)):
         wide = _wide(term_scores(None, asked, list(weights), profile=profile, analyzer=analyzer, tokens=tokens, stored=stored), weights)
         parts.append(wide.select("query_id", "id", reduce(lambda a, b: a + b, _boosted(weights)).alias("score")))
     return parts[0].unionByName(parts[1]).groupBy("query_id", "id").agg(round_half_up(F.sum("score"), 6).alias("score"))

@@ -272,11 +272,12 @@ class Index:
         place = F.create_map(*[F.lit(x) for k, s in enumerate(self.told["segments"]) for x in (s["id"], str(k))])
         return F.concat_ws("/", place[F.col("segment")], "shard")
 
-    def _by_shard(self, found: DataFrame, columns: list[str]) -> DataFrame:
-        """Rows dealt out by shard: all of a shard in one task, those without a term first."""
+    def _by_shard(self, found: DataFrame, columns: list[str], more: DataFrame | None = None) -> DataFrame:
+        """Rows dealt out by shard, and ``more`` of them that have its name: all of a shard in one task, those without a term first."""
         dead = self._places(columns)
         every = found if dead is None else found.unionByName(dead)
         every = every.withColumn("shard", self._shard()).drop("segment")
+        every = every if more is None else every.unionByName(more, allowMissingColumns=True)
         return every.repartition("shard").sortWithinPartitions(F.col("shard"), F.col("term").asc_nulls_first())
 
     def postings(self, terms: DataFrame, dataset: str | None = None, positions: bool = False) -> DataFrame:
@@ -291,12 +292,12 @@ class Index:
         return blocks.unpacked(self._by_shard(every, columns), positions)
 
     def holding(self, terms: DataFrame, fields: list[str]) -> DataFrame:
-        """(query_id, field, term, id, dl, positions) of the documents that have all of a query's ``terms`` (query_id, term) in one of ``fields``.
+        """(query_id, field, term, id, dl, positions, shard, place) of the documents that have all of a query's ``terms`` (query_id, term) in one of ``fields``.
 
         Places are intersected by shard first, without positions. Then the tasks that read positions cut out those of the documents found, and only these are dealt out.
         """
         kind = terms.schema["query_id"].dataType.simpleString()
-        found = self.spark.createDataFrame([], f"query_id {kind}, field string, term string, id string, dl int, positions array<int>")
+        found = self.spark.createDataFrame([], f"query_id {kind}, field string, term string, id string, dl int, positions array<int>, shard string, place int")
         if not self.told["segments"]:
             return found
         docs = self._placed().select(self._shard().alias("shard"), "place", "id")
@@ -314,7 +315,7 @@ class Index:
             posted = blocks.cut(within([*columns, "counts", "lengths", "positions"]).withColumn("shard", self._shard()).join(cuts, ["shard", "field", "term"]))
             known = docs.join(small(places.select("shard", "place").distinct()), ["shard", "place"])
             met = posted.join(small(known), ["shard", "place"]).join(each, ["shard", "field", "term", "place"])
-            found = found.unionByName(met.select("query_id", "field", "term", "id", "dl", "positions"))
+            found = found.unionByName(met.select("query_id", "field", "term", "id", "dl", "positions", "shard", "place"))
         return found
 
     def top(self, queries: DataFrame, k: int, boosts: dict[str, float], *, tie: float | None = None, k1: float = 1.2, b: float = 0.75, factor: float = 1.0, dataset: str | None = None, analyzer: Analyzer | None = None) -> DataFrame:
@@ -322,32 +323,50 @@ class Index:
 
         Fields count by their best, with ``tie`` times the others, or by their sum if ``tie`` is None. Scores are rounded to six digits before they order; ties go by id.
         """
-        found, _ = self._searched(queries, k, blocks.Combine(boosts, tie), (k1, b, factor), dataset, analyzer or self.analyzer)
+        found, _ = self._searched(query_terms(queries, analyzer or self.analyzer), k, blocks.Combine(boosts, tie), (k1, b, factor), dataset)
         return found
 
+    def at_least(self, queries: DataFrame, k: int, boosts: dict[str, float], share: float, *, profile: tuple = (1.2, 0.75, 1.0), analyzer: Analyzer | None = None) -> DataFrame:
+        """``top`` by ``blocks.AtLeast``: as ``retrieval.at_least``, with no row a match."""
+        return self._searched(query_terms(queries, analyzer or self.analyzer), k, blocks.AtLeast(boosts, share), profile, None)[0]
+
+    def cross_fields(self, queries: DataFrame, k: int, boosts: dict[str, float], *, profile: tuple = (1.2, 0.75, 1.0), analyzer: Analyzer | None = None) -> DataFrame:
+        """``top`` by ``blocks.CrossFields``: as ``retrieval.cross_fields``, with no row a match."""
+        return self._searched(query_terms(queries, analyzer or self.analyzer), k, blocks.CrossFields(boosts), profile, None)[0]
+
+    def rescue(self, queries: DataFrame, k: int, boosts: dict[str, float], phrases: DataFrame, *, profile: tuple = (1.2, 0.75, 1.0), dataset: str | None = None, analyzer: Analyzer | None = None) -> DataFrame:
+        """``top`` by ``blocks.Rescue``: as ``retrieval.rescue``; the scores of ``phrases`` (query_id, shard, place, score) meet the others where their shard is scored."""
+        return self._searched(query_terms(queries, analyzer or self.analyzer), k, blocks.Rescue(boosts), profile, dataset, phrases)[0]
+
+    def expanded(self, queries: DataFrame, more: DataFrame, k: int, boosts: dict[str, float], more_boosts: dict[str, float], *, profile: tuple = (1.2, 0.75, 1.0), dataset: str | None = None, analyzer: Analyzer | None = None) -> DataFrame:
+        """``top`` by ``blocks.Expanded``, with ``more`` (query_id, query) for the further terms: as ``retrieval.expanded_field_sum``, with no row a match."""
+        parts = [query_terms(q, analyzer or self.analyzer).withColumn("part", F.lit(p)) for p, q in enumerate((queries, more))]
+        return self._searched(parts[0].unionByName(parts[1]), k, blocks.Expanded(boosts, more_boosts), profile, dataset)[0]
+
     def windows(self, queries: DataFrame, k: int, boosts: dict[str, float], *, tie: float | None = None, dataset: str | None = None) -> DataFrame:
         """(query_id, seen, read): windows of documents that have some term of a query, and those of them that a search scores. It depends on how shards fall to tasks."""
-        return self._searched(queries, k, blocks.Combine(boosts, tie), (1.2, 0.75, 1.0), dataset, self.analyzer)[1]
+        return self._searched(query_terms(queries, self.analyzer), k, blocks.Combine(boosts, tie), (1.2, 0.75, 1.0), dataset)[1]
 
-    def _searched(self, queries: DataFrame, k: int, combine: blocks.Combine, profile: tuple, dataset: str | None, analyzer: Analyzer) -> tuple[DataFrame, DataFrame]:
-        kind = queries.schema["query_id"].dataType.simpleString()
+    def _searched(self, asked_terms: DataFrame, k: int, combine, profile: tuple, dataset: str | None, given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        kind = asked_terms.schema["query_id"].dataType.simpleString()
         results, told = self.spark.createDataFrame([], f"query_id {kind}, id string, score double, rank int"), self.spark.createDataFrame([], f"query_id {kind}, seen long, read long")
         if not self.told["segments"]:
             return results, told
         statistics = self.statistics()
         first = True
-        for ids, asked in _query_blocks(query_terms(queries, analyzer)):
-            named = sorted({t for own in asked for t, _ in own})
+        for ids, asked in _query_blocks(asked_terms):
+            named = sorted({t[0] for own in asked for t in own})
             terms = self.spark.createDataFrame([(t,) for t in named], "term string")
             named = named if len(named) <= NAMED_TERMS else None
             fields = [f for f in combine.boosts if f in statistics]
             df = self._frequencies(terms, named).where(F.col("field").isin(list(combine.boosts))).collect()  # a row a term and field
             idf = {(r["field"], r["term"]): math.log(1.0 + (statistics[r["field"]][0] - r["df"] + 0.5) / (r["df"] + 0.5)) for r in df if r["field"] in statistics}
-            model = blocks.Model(*profile, idf, {f: statistics[f][1] for f in fields})
+            model = blocks.Model(*profile, idf, {f: statistics[f][1] for f in fields}, _blended(df, statistics) if isinstance(combine, blocks.CrossFields | blocks.Rescue) else {})
             columns = ["shard", "field", "term", "places", "counts", "lengths", "blocks", "edge_blocks", "edge_counts", "edge_lengths"]
             rows = self.rows(terms, columns, dataset=dataset, named=named).where(F.col("field").isin(fields))
-            out = blocks.searched(self._by_shard(rows, columns), asked, model, combine, k)
             names = F.broadcast(self.spark.createDataFrame(list(enumerate(ids)), f"query int, query_id {kind}"))  # at most BLOCK_QUERIES rows
+            own = None if given is None else given.join(names, "query_id").groupBy("shard", "query").agg(F.collect_list("place").alias("at"), F.collect_list("score").alias("points"))  # at most a shard's documents
+            out = blocks.searched(self._by_shard(rows, columns, own), asked, model, combine, k)
             part, seen = self._named_top(out, k).join(names, "query"), out.where("seen is not null").groupBy("query").agg(F.sum("seen").alias("seen"), F.sum("read").alias("read")).join(names, "query")
             part, seen = part.select("query_id", "id", "score", "rank"), seen.select("query_id", "seen", "read")
             results, told = (part, seen) if first else (results.unionAll(part), told.unionAll(seen))
@@ -371,14 +390,24 @@ def _sound(folder: Folder, name: str) -> bool:
     return True
 
 
+def _blended(frequencies: list, statistics: dict[str, tuple[int, float]]) -> dict[tuple[str, str], float]:
+    """(field, term) to the idf of the term's largest frequency in any field, of which a field has no more than documents."""
+    most: dict[str, int] = {}
+    for r in frequencies:
+        most[r["term"]] = max(most.get(r["term"], 0), r["df"])
+    least = {(r["field"], r["term"]): (statistics[r["field"]][0], min(most[r["term"]], statistics[r["field"]][0])) for r in frequencies if r["field"] in statistics}
+    return {key: math.log(1.0 + (n - df + 0.5) / (df + 0.5)) for key, (n, df) in least.items()}
+
+
 def _query_blocks(terms: DataFrame):
-    """(ids, (term, count) of each query) of blocks of queries, streamed."""
+    """(ids, (term, count) of each query, and its part where terms have one) of blocks of queries, streamed."""
     ids, asked = [], []
-    for row in terms.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "qtf"))).alias("terms")).toLocalIterator():
+    columns = ["term", "qtf", *["part"][: int("part" in terms.columns)]]
+    for row in terms.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("terms")).toLocalIterator():
         if len(ids) == BLOCK_QUERIES:
             yield ids, asked
             ids, asked = [], []
         ids.append(row["query_id"])
-        asked.append([(t["term"], t["qtf"]) for t in row["terms"]])
+        asked.append([tuple(t) for t in row["terms"]])
     if ids:
         yield ids, asked

@@ -113,22 +113,27 @@ class Engine:
 
     def pool(self, queries: DataFrame, size: int = rerank.POOL_SIZE, *, ignore_identical: bool = False, dataset: str | None = None) -> DataFrame:
         """(query_id, query, id, score, rank, title, abstract): the first stage's best by field sum, with what reranking needs."""
-        return materialized(self._with_texts(self.best(queries, size, "field-sum", ignore_identical=ignore_identical, dataset=dataset), queries))
+        return materialized(self._with_texts(materialized(self.best(queries, size, "field-sum", ignore_identical=ignore_identical, dataset=dataset)), queries))
 
     def best(self, queries: DataFrame, size: int, architecture: str, *, ignore_identical: bool = False, dataset: str | None = None) -> DataFrame:
         """(query_id, id, score, rank) of a first stage; an index skips what can't be among the best."""
-        if self.stored is None or architecture == "query-rescue":
+        if self.stored is None:
             found = self.scored(queries, architecture, dataset)
             return rt.top_k(rt.without_identical(found) if ignore_identical else found, size)
         p, tie = self.profile, 0.0 if architecture == "baseline" else None
-        found = self.stored.top(queries, size + ignore_identical, self.fields, tie=tie, k1=p.k1, b=p.b, factor=p.factor, dataset=dataset, analyzer=self.analyzer)
+        if architecture == "query-rescue":
+            phrases = rt.phrase(None, queries, {f: PHRASE_BOOSTS[f] for f in self.fields}, profile=p, analyzer=self.analyzer, stored=self.stored)
+            found = self.stored.rescue(queries, size + ignore_identical, self.fields, phrases, profile=(p.k1, p.b, p.factor), dataset=dataset, analyzer=self.analyzer)
+        else:
+            found = self.stored.top(queries, size + ignore_identical, self.fields, tie=tie, k1=p.k1, b=p.b, factor=p.factor, dataset=dataset, analyzer=self.analyzer)
         return rt.top_k(rt.without_identical(found).drop("rank"), size) if ignore_identical else found
 
     def _with_texts(self, ranked: DataFrame, queries: DataFrame) -> DataFrame:
         columns = [c for c in ("title", "abstract", "text") if c in self.docs.columns]
         body = F.coalesce("abstract", "text") if "abstract" in columns else F.col("text")
+        """``ranked`` (rows by query, materialized) with queries and texts: documents that it lacks are passed over where they are read."""
         texts = self.docs.select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce(body, F.lit("")).alias("abstract"))
-        return texts.join(ranked, "id").join(ix.small(queries.select("query_id", "query")), "query_id").select("query_id", "query", "id", "score", "rank", "title", "abstract")
+        return texts.join(ix.small(ranked), "id").join(ix.small(queries.select("query_id", "query")), "query_id").select("query_id", "query", "id", "score", "rank", "title", "abstract")
 
     def search(self, queries: DataFrame, size: int = 10, architecture: str = "baseline", *, ignore_identical: bool = False, dataset: str | None = None) -> DataFrame:
         """(query_id, id, score, rank), for reranking architectures by their own score; of documents of one dataset, if asked for."""
@@ -146,9 +151,13 @@ class Engine:
 
     def expanded(self, pool: DataFrame, queries: DataFrame, size: int = rerank.EXPANDED_SIZE, *, dataset: str | None = None) -> DataFrame:
         terms = materialized(rerank.feedback_terms(pool))
-        found = rt.expanded_field_sum(None if self.stored is not None else ix.tokenized(self.docs, list(self.fields), self.analyzer), queries, terms, self.fields, {f: rerank.EXPANSION_BOOSTS[f] for f in self.fields}, profile=self.profile, analyzer=self.analyzer, stored=self.stored)
-        again = rt.top_k(found if dataset is None else found.join(self.docs.where(F.col("dataset") == dataset).select("id"), "id", "left_semi"), size)
-        merged = rerank.merged_pools(pool, again)
+        p, more = self.profile, {f: rerank.EXPANSION_BOOSTS[f] for f in self.fields}
+        if self.stored is not None:
+            again = self.stored.expanded(queries, rt.further_queries(terms), size, self.fields, more, profile=(p.k1, p.b, p.factor), dataset=dataset, analyzer=self.analyzer)
+        else:
+            found = rt.expanded_field_sum(ix.tokenized(self.docs, list(self.fields), self.analyzer), queries, terms, self.fields, more, profile=p, analyzer=self.analyzer)
+            again = rt.top_k(found if dataset is None else found.join(self.docs.where(F.col("dataset") == dataset).select("id"), "id", "left_semi"), size)
+        merged = materialized(rerank.merged_pools(pool, again))
         details = self._with_texts(merged.select("query_id", "id", F.lit(0).alias("score"), F.lit(0).alias("rank")), queries)
         return rerank.by_expanded_feedback(merged, details, terms)
 

@@ -156,7 +156,7 @@ def lexical_cases(t: Tables) -> DataFrame:
 
 
 def msm_filter(t: Tables) -> DataFrame:
-    return _ranked(rt.top_k(rt.at_least(t.terms(), ix.query_terms(t.queries), BOOSTS, 0.7), K))
+    return _ranked(t.index.at_least(t.queries, K, BOOSTS, 0.7))
 
 
 def total_hits(t: Tables) -> DataFrame:
@@ -168,7 +168,7 @@ def phrase_search(t: Tables) -> DataFrame:
 
 
 def cross_fields_search(t: Tables) -> DataFrame:
-    return _ranked(rt.top_k(rt.cross_fields(None, t.queries, BOOSTS, stored=t.index), K))
+    return _ranked(t.index.cross_fields(t.queries, K, BOOSTS))
 
 
 def query_rescue(t: Tables) -> DataFrame:
