@@ -229,6 +229,8 @@ class Shard:
         self.across = np.array([model.blended[n] for n in names])[each] * shares * model.factor if model.blended else None
         self.best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.bound = np.zeros((len(names), SHARD_DOCS // WINDOW))
+        if "blocks" not in rows.column_names:
+            return  # formulas ask for no bounds
         single = np.flatnonzero(self.size == 1)
         self.bound[single, self.places[self.end[single] - 1] // WINDOW] = self.scores[self.end[single] - 1]
         windows, per_row = get("blocks", _whole(rows, "blocks"))

@@ -362,7 +362,8 @@ class Index:
             df = self._frequencies(terms, named).where(F.col("field").isin(list(combine.boosts))).collect()  # a row a term and field
             idf = {(r["field"], r["term"]): math.log(1.0 + (statistics[r["field"]][0] - r["df"] + 0.5) / (r["df"] + 0.5)) for r in df if r["field"] in statistics}
             model = blocks.Model(*profile, idf, {f: statistics[f][1] for f in fields}, _blended(df, statistics) if isinstance(combine, blocks.CrossFields | blocks.Rescue) else {})
-            columns = ["shard", "field", "term", "places", "counts", "lengths", "blocks", "edge_blocks", "edge_counts", "edge_lengths"]
+            bounds = ["blocks", "edge_blocks", "edge_counts", "edge_lengths"] if isinstance(combine, blocks.Combine) else []
+            columns = ["shard", "field", "term", "places", "counts", "lengths", *bounds]
             rows = self.rows(terms, columns, dataset=dataset, named=named).where(F.col("field").isin(fields))
             names = F.broadcast(self.spark.createDataFrame(list(enumerate(ids)), f"query int, query_id {kind}"))  # at most BLOCK_QUERIES rows
             own = None if given is None else given.join(names, "query_id").groupBy("shard", "query").agg(F.collect_list("place").alias("at"), F.collect_list("score").alias("points"))  # at most a shard's documents
