@@ -63,14 +63,13 @@ def _summed_from(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _field_rows(code: np.ndarray, length: np.ndarray, terms: pa.Array) -> dict[str, pa.Array]:
     """The columns of one field's rows, by term, from its tokens (codes) in order of documents and positions; of arrays by token, few and narrow ones are held at a time."""
-    key = np.repeat(np.arange(len(length)), length)
-    key += code.astype(np.int64) * (len(length) + 1)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = _starts(key)  # a posting each
-    term, place = np.divmod(key[first], len(length) + 1)
-    del key
-    count = np.diff(np.append(first, len(order)))
+    order = np.argsort(code, kind="stable").astype(np.int32)  # tokens lie by document and position
+    code = code[order]
+    place = np.repeat(np.arange(len(length), dtype=np.uint16), length)[order]
+    first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (place[1:] != place[:-1]))) if len(order) else np.zeros(0, np.int64)  # a posting each
+    term, place = code[first], place[first].astype(np.int32)
+    del code
+    count = np.diff(np.append(first, len(order))).astype(np.int32)
     step = np.arange(len(order), dtype=np.int32)
     step -= np.repeat((np.cumsum(length) - length).astype(np.int32), length)
     step = step[order]
@@ -79,15 +78,15 @@ def _field_rows(code: np.ndarray, length: np.ndarray, terms: pa.Array) -> dict[s
     begin = step[first]
     step[1:] -= step[:-1].copy()
     step[first] = begin
-    size = length[place]
+    size = length[place].astype(np.int32)
     row = _starts(term)
-    delta = np.diff(place, prepend=0)
+    delta = np.diff(place, prepend=np.int32(0))
     delta[row] = place[row]
-    block = _starts(term * (SHARD_DOCS // WINDOW + 1) + place // WINDOW)
-    number = np.repeat(np.arange(len(block)), np.diff(np.append(block, len(place))))
+    block = _starts(term.astype(np.int64) * (SHARD_DOCS // WINDOW + 1) + place // WINDOW)
+    number = np.repeat(np.arange(len(block), dtype=np.int32), np.diff(np.append(block, len(place))))
     # the best postings of a block: by falling count, those that are shorter than all before them
-    best = np.lexsort((size, -count, number))
-    falling = size[best] - number[best] * (int(length.max(initial=0)) + 1)
+    best = np.lexsort((size, -count, number)).astype(np.int32)
+    falling = size[best] - number[best].astype(np.int64) * (int(length.max(initial=0)) + 1)
     lowest = np.minimum.accumulate(falling)
     best = best[np.append(True, falling[1:] < lowest[:-1])] if len(best) else best
     # a row of one posting is its own bound
@@ -141,9 +140,10 @@ def _shard_rows(held: pa.Table, fields: list[str], name: str) -> Iterator[pa.Rec
             length = lengths[a:b]
             yield _batch(1, same | {"field": f, "n": int((length > 0).sum()), "words": int(length.sum())})
             made = _field_rows(code[ends[a] : ends[b]], length, terms)
-            rows = _batch(len(made["term"]), same | {"field": f} | made)
+            for k in range(0, len(made["term"]), 4096):
+                own = {c: v.slice(k, 4096) for c, v in made.items()}
+                yield _batch(len(own["term"]), same | {"field": f} | own)
             del made
-            yield from (rows.slice(k, 4096) for k in range(0, rows.num_rows, 4096))
 
 
 def packed(tokens: DataFrame, fields: list[str], tokenizer: Callable[[pa.Array], pa.Array] | None = None) -> DataFrame:
@@ -178,9 +178,11 @@ def packed(tokens: DataFrame, fields: list[str], tokenizer: Callable[[pa.Array],
                     made = _shard_rows(whole_shard, fields, f"{task:06d}-{number:06d}")
                     del whole_shard
                     yield from made
+                    pa.default_memory_pool().release_unused()  # else a worker keeps what its largest shard took
                     docs, words, number = 0, 0, number + 1
         if parts:
             yield from _shard_rows(pa.Table.from_batches(parts), fields, f"{task:06d}-{number:06d}")
+            pa.default_memory_pool().release_unused()
 
     return tokens.select("id", "dataset", *fields).mapInArrow(run, ROW)
 

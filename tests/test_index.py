@@ -252,3 +252,56 @@ def test_packing_holds_few_arrays_by_token():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60 * n * each
+
+
+def _peak(run):
+    """The most that ``run`` holds in numpy at once."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_sorting_a_field_takes_narrow_arrays():
+    """Postings of 32 bits, and no key of 64 bits a token beside its order: 32 bytes a token, 39 before."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    n, each = 500, 800
+    code = rng.integers(0, 300, n * each).astype(np.int32)
+    terms = pa.array([f"t{k:03d}" for k in range(300)])
+    assert _peak(lambda: B._field_rows(code, np.full(n, each), terms)) < 35 * n * each
+
+
+def test_more_shards_in_a_task_take_no_more_memory(monkeypatch):
+    """A task's memory is that of a shard, however many it packs."""
+    import pyarrow as pa
+
+    class Task:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    monkeypatch.setattr(B, "SHARD_TOKENS", 20_000)
+    rng = np.random.default_rng(3)
+    words = pa.array([f"t{k}" for k in range(2_000)])
+    run = B.packed(Task(), ["f"])
+
+    def batch(k):
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(101) * 200, pa.int32()), words.take(pa.array(rng.integers(0, 2_000, 20_000))))
+        return pa.RecordBatch.from_arrays([pa.array([f"{k}-{i:03d}" for i in range(100)]), pa.nulls(100, pa.string()), lists], names=["id", "dataset", "f"])
+
+    def packed(shards):
+        names = set()
+        for b in run(batch(k) for k in range(shards)):
+            names |= set(b.column("shard").to_pylist())
+        assert len(names) == shards
+
+    _peak(lambda: packed(1))  # what modules hold from their first use on
+    assert _peak(lambda: packed(12)) < 1.25 * _peak(lambda: packed(2))
