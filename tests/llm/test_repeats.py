@@ -62,3 +62,21 @@ def test_empty_table_and_long_text(spark):
     docs = spark.createDataFrame([(1, "x" * 300_000 + "y" * 450), (2, "y" * 399)], "doc_id long, text string")
     assert [tuple(r)[:4] for r in R.repeats_digest(docs).orderBy("doc_id").collect()] == [(1, 300450, 300450, 1), (2, 399, 0, 0)]
     assert R.repeats_digest(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("size", "length", "removed"), [(394, 400, 0), (399, 400, 0), (400, 400, 400), (394, 250, 394)])
+def test_passages_of_over_fifty_words_planted_across_documents(spark, size, length, removed):
+    # 394 bytes: the longest item of the given benchmark
+    r = random.Random(size)
+    passage = " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(size // 6 - 1))
+    passage = passage.ljust(size, "i")
+    assert len(passage.split()) > 50
+    own = lambda k: f"{k}" + " ".join("".join(r.choices("rstuvw", k=5)) for _ in range(40)) + f"{k}"
+    texts = [f"{own(k)}{passage}{own(k)}" if k < 4 else own(k) for k in range(6)]
+    rows = {r.doc_id: r for r in R.with_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=length).collect()}
+    assert [rows[k].n_removed for k in range(6)] == [removed] * 4 + [0, 0]
+    assert [bytes(rows[k].kept) for k in range(6)] == [(t.replace(passage, "") if removed else t).encode() for t in texts]
+
+
+def test_benchmark_items_are_shorter_than_what_the_query_removes(spark, sf_dir):
+    assert max(len(r.text.encode()) for r in table(spark, sf_dir, "benchmark").collect()) < R.LENGTH
