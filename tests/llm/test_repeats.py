@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import repeats as R
 from lodestar.llm.common import table
@@ -80,3 +81,50 @@ def test_passages_of_over_fifty_words_planted_across_documents(spark, size, leng
 
 def test_benchmark_items_are_shorter_than_what_the_query_removes(spark, sf_dir):
     assert max(len(r.text.encode()) for r in table(spark, sf_dir, "benchmark").collect()) < R.LENGTH
+
+
+def _around(n):
+    # a line of over 64 bytes in different texts: one gram with as many covers
+    r = random.Random(7)
+    line = " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(40))
+    own = lambda: " ".join("".join(r.choices("rstuvwxyz", k=6)) for _ in range(30))
+    return [f"{own()} {line} {own()}" for _ in range(n)]
+
+
+@pytest.fixture
+def apart(spark):
+    # tasks stay as they are dealt, small ones too
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_rows_of_a_common_gram_are_many_tasks(spark, apart):
+    texts = R._keyed(spark.createDataFrame(list(enumerate(_around(4000))), "doc_id long, text string").repartition(4), "text")
+    rows = R.dealt(texts, 400, 64).withColumn("task", F.spark_partition_id()).checkpoint()
+    most = rows.groupBy("gram").count().orderBy(F.desc("count"), "gram").first()
+    tasks = [r["count"] for r in rows.where(F.col("gram") == most["gram"]).groupBy("task").count().collect()]
+    assert most["count"] > 1000 and len(tasks) == 4 and max(tasks) < 0.4 * most["count"]
+    other = rows.where(~F.col("common")).groupBy("gram").agg(F.countDistinct("task").alias("n"))
+    assert other.where("n > 1").count() == 0
+    assert rows.where("common").groupBy("gram", "c1", "c2").agg(F.countDistinct("task").alias("n")).where("n > 1").count() == 0
+
+
+@pytest.mark.parametrize("sampled", [1, 2])
+def test_what_the_sample_shows_changes_no_result(spark, monkeypatch, sampled):
+    monkeypatch.setattr(R, "SAMPLED", sampled)
+    monkeypatch.setattr(R, "COMMON", 0)
+    monkeypatch.setattr(R, "COMMON_ROWS", sampled)  # 1: every gram is common
+    texts = [*_corpus(3, 80), *_around(12), *_around(12)[:3]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert R.common_grams(R._keyed(docs, "text"), 40, 8)
+    rows = {r.doc_id: r for r in R.with_repeats(docs, length=40, gram=8, group=5).collect()}
+    got = [(rows[k].n_bytes, rows[k].n_removed, rows[k].n_spans, hashlib.sha256(rows[k].kept).hexdigest()) for k in range(len(texts))]
+    assert got == brute(texts, 40)
+
+
+def test_common_grams_of_nothing(spark):
+    docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert R.common_grams(R._keyed(docs, "text"), 400, 64) == []
