@@ -7,13 +7,14 @@ each task keeps the best k of each query before anything is dealt out, so what i
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.functions import text as tx
 from lodestar.functions.numbers import min_max, number, round_half_up
@@ -24,22 +25,65 @@ DIMENSIONS = 384
 RRF_K = 60
 #: Query vectors that one pass over the documents compares with.
 BLOCK = 4096
-#: Texts whose words a task holds at a time.
+#: Texts whose words a task holds at a time, fewer if these have more than ``SLICE_BYTES``, but one.
 SLICE = 256
+SLICE_BYTES = 4 << 20
 
 
 def hash_features(docs: DataFrame, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(id, component, value): the sparse local-hash embedding of a text column, of unit length, rounded to 6 digits."""
+    """(id, component, value): the sparse local-hash embedding of a text column, of unit length, rounded to 6 digits. Rows of one id are parts of one text.
+
+    In column expressions, letter by letter, with a row a feature dealt out; ``hash_entries`` has the same rows sooner.
+    """
     words = tx.embedding_tokens(F.col(text))
     single = F.transform(words, lambda t: F.struct(F.concat(F.lit("tok:"), t).alias("feature"), F.lit(1.0).alias("weight")))
     pairs = F.transform(tx.bigrams(words, ":"), lambda t: F.struct(F.concat(F.lit("bi:"), t).alias("feature"), F.lit(0.5).alias("weight")))
     each = docs.select("id", F.explode(F.concat(single, pairs)).alias("f")).groupBy("id", "f.feature").agg(F.sum("f.weight").alias("weight"))
     hashed = each.select("id", tx.fnv1a(F.col("feature")).alias("h"), "weight")
     sums = hashed.select("id", (F.col("h") % dimensions).cast("int").alias("component"), (F.when(F.col("h") % 2 == 1, 1.0).otherwise(-1.0) * F.col("weight")).alias("weight")).groupBy("id", "component").agg(F.sum("weight").alias("weight"))
+    return _unit(sums)
+
+
+def _unit(sums: DataFrame) -> DataFrame:
+    """(id, component, value) of sums of weights (id, component, weight)."""
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id")))
     return sums.withColumn("value", round_half_up(F.col("weight") / F.when(norm == 0, F.lit(1.0)).otherwise(norm), 6)).where("value <> 0").select("id", "component", "value")
 
 
+def hash_entries(docs: DataFrame, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(id, component, value): the rows of ``hash_features``, made where the texts are. Ids are counted first: only if some repeat are sums dealt out, by id and component."""
+    if docs.groupBy("id").count().where("count > 1").isEmpty():
+        return _cells(docs, text, "value", lambda texts: hash_matrix(texts, dimensions))
+    sums = _cells(docs, text, "weight", lambda texts: _hash_sums(texts, dimensions))
+    return _unit(sums.groupBy("id", "component").agg(F.sum("weight").alias("weight")))
+
+
+def _cells(docs: DataFrame, text: str, name: str, made: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """(id, component, ``name``): cells other than 0 of the matrix that ``made`` makes of some texts."""
+    schema = T.StructType([docs.schema["id"], T.StructField("component", T.LongType()), T.StructField(name, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in _slices(batch.column("text")):
+                found = made(texts)
+                row, component = np.nonzero(found)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row + at)), pa.array(component), pa.array(found[row, component])], names=["id", "component", name])
+                at += len(texts)
+
+    return docs.select("id", F.col(text).alias("text")).mapInArrow(run, schema)
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(texts):
+        n = int(np.searchsorted(ends, ends[at] - sizes[at] + SLICE_BYTES, "right")) - at
+        n = min(max(n, 1), SLICE, len(texts) - at)
+        yield texts.slice(at, n)
+        at += n
+
+
 def hash_embeddings(docs: DataFrame, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """(id, embedding): the same, as dense arrays, zeros for texts without tokens."""
     some = hash_features(docs, text, dimensions).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("component", "value"))).alias("m"))
@@ -58,36 +102,52 @@ def hash_vectors(docs: DataFrame, text: str, dimensions: int = DIMENSIONS) -> Da
     return docs.select("id", F.arrow_udf(made, "array<double>")(F.col(text)).alias("embedding"))
 
 
-def _fnv1a(words: pa.Array) -> np.ndarray:
-    """32-bit FNV-1a of ASCII words, all of them a character at a time."""
-    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-    letters = np.frombuffer(words.buffers()[2] or b"", np.uint8)
-    order = np.argsort(-np.diff(offsets), kind="stable")
-    starts, sizes = offsets[:-1][order], np.diff(offsets)[order]
-    hashes = np.full(len(order), 2166136261, np.uint64)
-    for k in range(int(sizes[0]) if len(sizes) else 0):
-        n = int(np.searchsorted(-sizes, -k, "left"))  # words of more than k letters
-        hashes[:n] = ((hashes[:n] ^ letters[starts[:n] + k]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+def _fnv1a(states: np.ndarray, starts: np.ndarray, sizes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """32-bit FNV-1a states (uint32) after words of ASCII letters, a letter of all words at a time."""
+    if not len(sizes):
+        return states
+    order = np.argsort(sizes.astype(np.min_scalar_type(sizes.max())), kind="stable")
+    starts, sizes, hashes = starts[order], sizes[order], states[order]
+    for k in range(int(sizes[-1])):
+        n = int(np.searchsorted(sizes, k, "right"))  # from here on, words have more than k letters
+        hashes[n:] = (hashes[n:] ^ letters[starts[n:] + k]) * np.uint32(16777619)
     out = np.empty_like(hashes)
     out[order] = hashes
     return out
 
 
-def hash_matrix(texts: pa.Array, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Local-hash embeddings of an Arrow column of texts, a row each: the same numbers as ``hash_embeddings``, for tasks that are in Python anyway."""
+def _after(states: np.ndarray, letters: bytes) -> np.ndarray:
+    """FNV-1a states after the same letters for all."""
+    for letter in letters:
+        states = (states ^ np.uint32(letter)) * np.uint32(16777619)
+    return states
+
+
+def _hash_sums(texts: pa.Array, dimensions: int) -> np.ndarray:
+    """Sums of weights by component, a row a text. Words are coded once; a pair goes on from the state that its first word leaves."""
     lists = tx.arrow_tokens(texts)
-    doc, flat = pc.list_parent_indices(lists).to_numpy(), lists.flatten().cast(pa.string())
-    long = pc.greater(pc.binary_length(flat), 1)
-    doc, flat = doc[long.to_numpy(zero_copy_only=False)], flat.filter(long)
+    doc, coded = pc.list_parent_indices(lists).to_numpy(), lists.flatten().cast(pa.string()).dictionary_encode()
+    words, code = coded.dictionary, coded.indices.to_numpy()
+    if not len(words):
+        return np.zeros((len(texts), dimensions))
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    letters, starts, sizes = np.frombuffer(words.buffers()[2], np.uint8), offsets[:-1], np.diff(offsets)
+    long = sizes[code] > 1
+    doc, code = doc[long], code[long]
     same = doc[:-1] == doc[1:]
-    pairs = pc.binary_join_element_wise("bi:", flat[:-1], ":", flat[1:], "").filter(pa.array(same)) if len(flat) > 1 else pa.array([], pa.string())
-    features = pa.concat_arrays([pc.binary_join_element_wise("tok:", flat, ""), pairs]) if len(flat) else pa.array([], pa.string())
-    owner = np.concatenate([doc, doc[:-1][same]]) if len(doc) else doc
-    weight = np.concatenate([np.ones(len(doc)), np.full(len(pairs), 0.5)])
-    coded = features.dictionary_encode()
-    hashes = _fnv1a(coded.dictionary.cast(pa.string()))[coded.indices.to_numpy()] if len(features) else np.zeros(0, np.uint64)
-    place = owner.astype(np.int64) * dimensions + (hashes % np.uint64(dimensions)).astype(np.int64)
-    sums = np.bincount(place, np.where(hashes % np.uint64(2) == 1, weight, -weight), len(texts) * dimensions).reshape(len(texts), dimensions)
+    first, second = code[:-1][same], code[1:][same]
+    begun = np.full(len(words), 2166136261, np.uint32)
+    single = _fnv1a(_after(begun, b"tok:"), starts, sizes, letters)
+    opened = _after(_fnv1a(_after(begun, b"bi:"), starts, sizes, letters), b":")
+    hashes = np.concatenate([single[code], _fnv1a(opened[first], starts[second], sizes[second], letters)])
+    weight = np.concatenate([np.ones(len(code)), np.full(len(first), 0.5)])
+    place = np.concatenate([doc, doc[:-1][same]]) * dimensions + hashes % dimensions
+    return np.bincount(place, np.where(hashes % 2 == 1, weight, -weight), len(texts) * dimensions).reshape(len(texts), dimensions)
+
+
+def hash_matrix(texts: pa.Array, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Local-hash embeddings of an Arrow column of texts, a row each: the same numbers as ``hash_embeddings``, for tasks that are in Python anyway."""
+    sums = _hash_sums(texts, dimensions)
     length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
     return np.floor(sums / np.where(length == 0, 1.0, length) * 1e6 + 0.5) / 1e6
 

@@ -241,7 +241,7 @@ def embedding_runs(t: Tables) -> DataFrame:
 
 
 def local_hash_embedding(t: Tables) -> DataFrame:
-    return vectors.hash_features(t.docs, "text").withColumn("component", F.col("component").cast("long"))
+    return vectors.hash_entries(t.docs, "text")
 
 
 def knn_exact(t: Tables) -> DataFrame:
