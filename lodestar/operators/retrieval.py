@@ -120,10 +120,11 @@ def cross_fields(docs: DataFrame, queries: DataFrame, boosts: dict[str, float],
     return found.join(ix.small(asked), "query_id").where("found = asked").select("query_id", "id", round_half_up(F.col("score"), 6).alias("score"))
 
 
-def phrase(docs: DataFrame, queries: DataFrame, boosts: dict[str, float], *, slop: int = 3, profile: Profile = DEFAULT, analyzer=tx.tokens, stored=None) -> DataFrame:
-    """Best field's phrase score with slop: BM25 of the idf of all words, repeats counted, and the frequency of sloppy matches (``phrases``).
+def phrase(docs: DataFrame, queries: DataFrame, boosts: dict[str, float], *, slop: int = 3, profile: Profile = DEFAULT, analyzer=tx.tokens, stored=None, located: bool = False) -> DataFrame:
+    """(query_id, id, score): best field's phrase score with slop: BM25 of the idf of all words, repeats counted, and the frequency of sloppy matches (``phrases``).
 
     Only fields with all of a query's words are matched, found by places in a stored index and else from the rarest word; a document's positions of a query's words meet in one row. A query without words has no rows.
+    ``located`` adds shard and place, where a stored index has the document.
     """
     asked = queries.select("query_id", F.posexplode(analyzer(F.col("query"))).alias("at", "term")).groupBy("query_id", "term").agg(F.sort_array(F.collect_list("at")).alias("places"))
     different = asked.groupBy("query_id").agg(F.count("*").alias("different"))
@@ -144,7 +145,7 @@ def phrase(docs: DataFrame, queries: DataFrame, boosts: dict[str, float], *, slo
     matched = whole.withColumn("freq", phrases.frequencies(slop)(F.col("words.places"), F.col("words.positions"))).where("freq > 0")
     score = F.col("idf") * F.col("freq") / (F.col("freq") + profile.k1 * (F.lit(1 - profile.b) + profile.b * F.col("dl") / F.col("avg_len"))) * profile.factor
     boost = reduce(lambda e, f: e.when(F.col("field") == f, F.lit(float(boosts[f]))), list(boosts), F.when(F.lit(False), F.lit(0.0)))
-    return matched.groupBy("query_id", "id", *at).agg(round_half_up(F.max(score * boost), 6).alias("score"))
+    return matched.groupBy("query_id", "id", *at).agg(round_half_up(F.max(score * boost), 6).alias("score")).select("query_id", "id", *(at if located else []), "score")
 
 
 def rescue(docs: DataFrame, queries: DataFrame, fields: dict[str, float], phrase_fields: dict[str, float], *, profile: Profile = DEFAULT, analyzer=tx.tokens, stored=None) -> DataFrame:

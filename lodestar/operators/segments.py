@@ -335,7 +335,9 @@ class Index:
         return self._searched(query_terms(queries, analyzer or self.analyzer), k, blocks.CrossFields(boosts), profile, None)[0]
 
     def rescue(self, queries: DataFrame, k: int, boosts: dict[str, float], phrases: DataFrame, *, profile: tuple = (1.2, 0.75, 1.0), dataset: str | None = None, analyzer: Analyzer | None = None) -> DataFrame:
-        """``top`` by ``blocks.Rescue``: as ``retrieval.rescue``; the scores of ``phrases`` (query_id, shard, place, score) meet the others where their shard is scored."""
+        """``top`` by ``blocks.Rescue``: as ``retrieval.rescue``; the scores of ``phrases`` (query_id, id, score; shard and place are looked up if they lack them) meet the others where their shard is scored."""
+        if "place" not in phrases.columns and self.told["segments"]:
+            phrases = self._docs().select("id", self._shard().alias("shard"), "place").join(phrases, "id")
         return self._searched(query_terms(queries, analyzer or self.analyzer), k, blocks.Rescue(boosts), profile, dataset, phrases)[0]
 
     def expanded(self, queries: DataFrame, more: DataFrame, k: int, boosts: dict[str, float], more_boosts: dict[str, float], *, profile: tuple = (1.2, 0.75, 1.0), dataset: str | None = None, analyzer: Analyzer | None = None) -> DataFrame:

@@ -122,7 +122,7 @@ class Engine:
             return rt.top_k(rt.without_identical(found) if ignore_identical else found, size)
         p, tie = self.profile, 0.0 if architecture == "baseline" else None
         if architecture == "query-rescue":
-            phrases = rt.phrase(None, queries, {f: PHRASE_BOOSTS[f] for f in self.fields}, profile=p, analyzer=self.analyzer, stored=self.stored)
+            phrases = rt.phrase(None, queries, {f: PHRASE_BOOSTS[f] for f in self.fields}, profile=p, analyzer=self.analyzer, stored=self.stored, located=True)
             found = self.stored.rescue(queries, size + ignore_identical, self.fields, phrases, profile=(p.k1, p.b, p.factor), dataset=dataset, analyzer=self.analyzer)
         else:
             found = self.stored.top(queries, size + ignore_identical, self.fields, tie=tie, k1=p.k1, b=p.b, factor=p.factor, dataset=dataset, analyzer=self.analyzer)

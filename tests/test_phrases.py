@@ -115,3 +115,20 @@ def test_stored_index_gives_the_same(spark, tmp_path, monkeypatch):
     got = rows(rt.phrase(None, asked, boosts, stored=index))
     assert len(got) > 100 and got == rows(rt.phrase(left, asked, boosts))
     assert rows(rt.phrase(None, asked, boosts, stored=Index.create(spark, f"{tmp_path}/bare", list(boosts)))) == []
+
+
+def test_rescue_takes_phrases_with_and_without_places(spark, tmp_path):
+    """A replaced document's phrases count where it is now."""
+    docs = [(str(k), "a b", "", " ".join("abcd"[(k + n) % 4] for n in range(k % 9))) for k in range(40)]
+    schema, boosts = "id string, title string, abstract string, text string", {"title": 2, "abstract": 1, "text": 1}
+    index = Index.create(spark, f"{tmp_path}/index", list(boosts)).load(spark.createDataFrame(docs, schema).repartition(2))
+    docs[5:9] = [(i, "c d", "a b c", "d") for i, *_ in docs[5:9]]
+    index = index.load(spark.createDataFrame(docs[5:9], schema), replace=True)
+    asked = spark.createDataFrame([("1", "a b"), ("2", "b c d"), ("3", "d")], "query_id string, query string")
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "id", "score").collect()))
+    phrases = [rt.phrase(None, asked, boosts, stored=index, located=x) for x in (False, True)]
+    assert [p.columns for p in phrases] == [["query_id", "id", "score"], ["query_id", "id", "shard", "place", "score"]]
+    want = rows(rt.top_k(rt.rescue(spark.createDataFrame(docs, schema), asked, boosts, boosts), 9))
+    assert len(want) > 20 and [rows(index.rescue(asked, 9, boosts, p)) for p in phrases] == [want, want]
+    bare = Index.create(spark, f"{tmp_path}/bare", list(boosts))
+    assert rows(bare.rescue(asked, 9, boosts, rt.phrase(None, asked, boosts, stored=bare))) == []
